@@ -6,7 +6,7 @@ is a bigint in ``[0, 2**32)``.
 
 The polynomial is resumable: hashing ``a || b`` equals hashing ``b`` from the state
 that ``a`` left. Keys with a common head are therefore hashed head first, once, and
-only the tail is hashed per row (see ``init``).
+only the tail is hashed per row (see ``init``). Text arguments are SQL expressions.
 """
 
 from __future__ import annotations
@@ -20,53 +20,47 @@ FACTOR = 31
 FINAL_MULTIPLIER = 73244475  # 0x45d9f3b
 
 
-def _as_state(init: int | Column) -> Column:
-    return F.lit(init).cast("bigint") if isinstance(init, int) else init
+def _fold(text: str, init: int | str, finish: str = "h") -> str:
+    """SQL for the polynomial over ``text``; a code point outside the BMP counts as its two
+    surrogates. ``finish`` rewrites the final state ``h``."""
+    return f"""
+        IF({text} = '', transform(array(CAST({init} AS BIGINT)), h -> {finish})[0], aggregate(
+            transform(split({text}, ''), c -> CAST(ascii(c) AS BIGINT)),
+            CAST({init} AS BIGINT),
+            (h, c) -> IF(c < 65536,
+                (h * {FACTOR} + c) & {MASK32},
+                ((h * {FACTOR} + 55296 + shiftright(c - 65536, 10)) * {FACTOR}
+                    + 56320 + ((c - 65536) & 1023)) & {MASK32}),
+            h -> {finish}))"""
 
 
-def _mix_final(state: Column) -> Column:
-    def shift_xor(v: Column) -> Column:
-        return v.bitwiseXOR(F.shiftright(v, 16))
+def _shift_xor(v: str) -> str:
+    return f"(({v}) ^ shiftright({v}, 16))"
 
-    return shift_xor((shift_xor(state) * F.lit(FINAL_MULTIPLIER)).bitwiseAND(F.lit(MASK32)))
 
+def _mix(state: str) -> str:
+    return _shift_xor(f"({_shift_xor(state)} * {FINAL_MULTIPLIER}L) & {MASK32}")
 
-def _absorb(state: Column, code_point: Column) -> Column:
-    """One step; a code point outside the BMP counts as its two surrogates."""
-    offset = code_point - 65536
-    lead = F.shiftright(offset, 10) + 55296
-    trail = offset.bitwiseAND(F.lit(1023)) + 56320
-    return F.when(
-        code_point < 65536, (state * FACTOR + code_point).bitwiseAND(F.lit(MASK32))
-    ).otherwise(((state * FACTOR + lead) * FACTOR + trail).bitwiseAND(F.lit(MASK32)))
 
+def hash_state(text: str, init: int | str = 0) -> Column:
+    """Polynomial state after the SQL expression ``text``, starting from ``init`` (a number
+    or the name of a state column)."""
+    return F.expr(f"coalesce({_fold(text, init)}, CAST({init} AS BIGINT))")
 
-def _code_points(text: Column) -> Column:
-    return F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
 
+def hash_final(state: str) -> Column:
+    """Finalizer for a state column."""
+    return F.expr(_mix(state))
 
-def hash_state(text: Column, init: int | Column = 0) -> Column:
-    """Polynomial state after ``text``, starting from ``init``."""
-    start = _as_state(init)
-    folded = F.aggregate(_code_points(text), start, _absorb)
-    return F.coalesce(F.when(text == "", start).otherwise(folded), start)
 
-
-def hash_final(state: Column) -> Column:
-    """Finalizer for a state that is a plain column (it is referenced repeatedly)."""
-    return _mix_final(state)
-
-
-def ring_position(text: Column, init: int | Column = 0) -> Column:
+def ring_position(text: str, init: int | str = 0) -> Column:
     """Ring position of ``init`` extended by ``text``.
 
-    The finalizer runs inside the fold's ``finish`` step, where the state is a bound
-    variable, so the fold itself is evaluated once per row. The outer ``coalesce`` makes
-    the value non-nullable: no ``isnotnull`` copy of the fold is pushed into a scan filter.
+    The finalizer runs inside the fold's last step, where the state is a bound variable, so
+    the fold is evaluated once per row. The outer ``coalesce`` makes the value non-nullable:
+    no ``isnotnull`` copy of the fold is pushed into a scan filter.
     """
-    start = _as_state(init)
-    folded = F.aggregate(_code_points(text), start, _absorb, _mix_final)
-    return F.coalesce(F.when(text == "", _mix_final(start)).otherwise(folded), F.lit(0).cast("bigint"))
+    return F.expr(f"coalesce({_fold(text, init, _mix('h'))}, 0L)")
 
 
 def literal_state(text: str, init: int = 0) -> int:
@@ -78,19 +72,15 @@ def literal_state(text: str, init: int = 0) -> int:
     return state
 
 
-def signed32(state: Column) -> Column:
-    return F.when(state >= 2147483648, state - 4294967296).otherwise(state)
-
-
-def string_seed(text: Column) -> Column:
+def string_seed(text: str) -> Column:
     """Signed 32-bit string hash code."""
-    return signed32(hash_state(text))
+    return F.expr(f"coalesce({_fold(text, 0, 'h - IF(h >= 2147483648, 4294967296, 0)')}, 0L)")
 
 
-def parse_seed(text: Column) -> Column:
+def parse_seed(text: str) -> Column:
     """The integer a string spells, else its string hash code."""
-    spelled = text.rlike(r"^\s*[+-]?[0-9]+\s*$")
-    return F.coalesce(F.when(spelled, text.try_cast("bigint")), string_seed(text))
+    spelled = F.expr(f"IF({text} RLIKE '^[ ]*[+-]?[0-9]+[ ]*$', try_cast({text} AS BIGINT), NULL)")
+    return F.coalesce(spelled, string_seed(text))
 
 
 def seed_from_text(text: str) -> int:

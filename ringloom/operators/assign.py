@@ -16,7 +16,7 @@ TEXTURE_MODES = ("shared", "separate")
 
 def assign_targets(targets: DataFrame, ring: Ring, seed: int, rel: str = "rel") -> DataFrame:
     """``targets`` plus ``overlay``; the key is ``{seed}:{rel}``."""
-    keyed = targets.withColumn("pos", ring_position(F.col(rel), target_state(seed)))
+    keyed = targets.withColumn("pos", ring_position(rel, target_state(seed)))
     return look_up(keyed, ring).drop("pos")
 
 
@@ -28,17 +28,15 @@ def assign_frames(
     Frame 0, and every frame when ``per_frame`` is off, keeps the target's own key; frame
     ``f`` appends ``:{f}``. The path is hashed once per target, the tail once per frame.
     """
-    state = targets.withColumn("state", hash_state(F.col(rel), target_state(seed)))
+    state = targets.withColumn("state", hash_state(rel, target_state(seed)))
     frames = state.withColumn("frame", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)))
-    tail = F.when(
-        (F.col("frame") == 0) | F.lit(not per_frame), F.lit("")
-    ).otherwise(F.concat(F.lit(":"), F.col("frame").cast("string")))
-    keyed = frames.withColumn("tail", tail).withColumn("pos", ring_position(F.col("tail"), F.col("state")))
+    tail = "IF(frame = 0, '', concat(':', frame))" if per_frame else "''"
+    keyed = frames.withColumn("tail", F.expr(tail)).withColumn("pos", ring_position("tail", "state"))
     return look_up(keyed.drop("state", "tail"), ring).drop("pos")
 
 
 def _extended(state: str, part: str) -> Column:
-    return hash_state(F.concat(F.lit(":"), F.col(part)), F.col(state))
+    return hash_state(f"concat(':', {part})", state)
 
 
 def assign_entities(
@@ -63,7 +61,7 @@ def assign_entities(
         "entity_id", F.col("ord").alias("region_ord"), F.col("name").alias("region")
     )
     entities = catalogue.entities.select(
-        "entity_id", hash_state(F.col("entity_id"), target_state(seed)).alias("state")
+        "entity_id", hash_state("entity_id", target_state(seed)).alias("state")
     )
     regions = sizing.broadcast_if_small(regions)
     if texture_mode == "separate":
@@ -73,7 +71,7 @@ def assign_entities(
         keyed = entities
     if face_mode == "different":
         keyed = keyed.join(regions, "entity_id").withColumn("state", _extended("state", "region"))
-    placed = look_up(keyed.withColumn("pos", hash_final(F.col("state"))).drop("state"), ring).drop("pos")
+    placed = look_up(keyed.withColumn("pos", hash_final("state")).drop("state"), ring).drop("pos")
     if texture_mode == "shared":
         placed = owners.join(sizing.broadcast_if_small(placed), "entity_id")
     if face_mode == "same":

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.functions.hashing import MASK32, ring_position, source_state
@@ -28,8 +28,8 @@ def build_ring(sources: DataFrame, seed: int | None, by: tuple[str, ...] = ()) -
     With ``seed=None`` the sources carry a ``source_head`` state column (one ring per ``by``
     group, e.g. per candidate seed).
     """
-    head = F.col("source_head") if seed is None else source_state(seed)
-    keyed = sources.select(*by, ring_position(F.col("rel"), head).alias("pos"), "source")
+    head = "source_head" if seed is None else source_state(seed)
+    keyed = sources.select(*by, ring_position("rel", head).alias("pos"), "source")
     return keyed.groupBy(*by, "pos").agg(F.min("source").alias("source"))
 
 
@@ -44,18 +44,19 @@ class Ring:
 
 
 def _adjacent(ring: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy("pos") if by else Window.orderBy("pos")
-    previous = F.lag("pos").over(order)
-    last = F.max("pos").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    own = F.struct((F.coalesce(previous, F.lit(-1)) + 1).alias("lo"), F.col("pos").alias("hi"))
-    wrap = F.struct((last + 1).alias("lo"), F.lit(MASK32).alias("hi"))
-    arcs = F.when(previous.isNull(), F.array(own, wrap)).otherwise(F.array(own))
-    return (
-        ring.select(*by, "source", arcs.alias("arcs"))
-        .select(*by, "source", F.inline("arcs"))
-        .filter("lo <= hi")
-        .select(*by, "lo", "hi", "source")
+    keys = ", ".join(by)
+    over = f"({'PARTITION BY ' + keys if by else ''} ORDER BY pos"
+    near = ring.selectExpr(
+        *by,
+        "source",
+        "pos AS hi",
+        f"lag(pos) OVER {over}) AS previous",
+        f"max(pos) OVER {over} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last",
     )
+    own = "struct(coalesce(previous, -1L) + 1 AS lo, hi AS hi)"
+    wrap = f"struct(last + 1 AS lo, {MASK32}L AS hi)"
+    arcs = f"inline(IF(previous IS NULL, array({own}, {wrap}), array({own})))"
+    return near.selectExpr(*by, "source", arcs).filter("lo <= hi").select(*by, "lo", "hi", "source")
 
 
 def _adjacent_by_segment(ring: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -123,23 +124,22 @@ def look_up(keys: DataFrame, ring: Ring, pos: str = "pos", out: str = "overlay")
     many keys in one bucket do not end in one task.
     """
     shift = 32 - ring.bucket_bits
-
-    def bucket(c: str) -> Column:
-        return F.shiftright(F.col(c), shift)
-
-    arcs = ring.intervals.withColumn(
-        "bucket", F.explode(F.sequence(bucket("lo"), bucket("hi")))
-    ).withColumnRenamed("source", out)
     on = [*ring.by, "bucket"]
-    probe = keys.withColumn("bucket", bucket(pos))
+    arcs = ring.intervals.selectExpr(
+        *ring.by,
+        "lo",
+        "hi",
+        f"source AS `{out}`",
+        f"explode(sequence(shiftright(lo, {shift}), shiftright(hi, {shift}))) AS bucket",
+    )
+    probe = keys.selectExpr("*", f"shiftright({pos}, {shift}) AS bucket")
     if ring.broadcastable:
         arcs = F.broadcast(arcs)
     else:
-        probe = probe.withColumn("salt", F.pmod(F.xxhash64(*keys.columns), F.lit(LOOKUP_SALTS)))
-        arcs = arcs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))).cast("bigint"))
+        row = ", ".join(f"`{c}`" for c in keys.columns)
+        probe = probe.selectExpr("*", f"pmod(xxhash64({row}), {LOOKUP_SALTS}L) AS salt")
+        arcs = arcs.selectExpr("*", f"explode(sequence(0L, {LOOKUP_SALTS - 1}L)) AS salt")
         on.append("salt")
-    p, a = probe.alias("p"), arcs.alias("a")
-    match = (F.col(f"p.{pos}") >= F.col("a.lo")) & (F.col(f"p.{pos}") <= F.col("a.hi"))
-    for name in on:
-        match = match & (F.col(f"p.{name}") == F.col(f"a.{name}"))
-    return p.join(a, match, "left").select(*[F.col(f"p.`{c}`") for c in keys.columns], F.col(f"a.{out}"))
+    match = " AND ".join([*(f"p.{c} = a.{c}" for c in on), f"p.{pos} >= a.lo", f"p.{pos} <= a.hi"])
+    joined = probe.alias("p").join(arcs.alias("a"), F.expr(match), "left")
+    return joined.selectExpr(*(f"p.`{c}`" for c in keys.columns), f"a.`{out}`")

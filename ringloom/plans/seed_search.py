@@ -35,9 +35,9 @@ def _filter_text(text: str) -> str:
     return text.replace("\\", "/").strip().lower()
 
 
-def _units(text: Column) -> Column:
+def _units(text: str) -> Column:
     """Length in UTF-16 code units."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
+    return F.expr(f"octet_length(encode({text}, 'UTF-16BE')) div 2")
 
 
 def constrained_targets(targets: DataFrame, constraints: list[tuple[str, str]]) -> DataFrame:
@@ -116,13 +116,13 @@ def _search_by_seed(
 ) -> DataFrame:
     lowered = F.lower(normalise(F.col("rel")))
     flags = [F.contains(lowered, F.lit(_filter_text(text))).alias(f"q{i}") for i, (_, text) in enumerate(constraints)]
-    tail = F.concat(F.lit(":overlay:"), F.col("rel"))
+    tail = "concat(':overlay:', rel)"
     ring = (
         sources.select("source", hash_state(tail).alias("tail"), _units(tail).alias("units"), *flags)
         .toPandas()
         .sort_values("source", kind="stable")
     )
-    suffix = F.concat(F.lit(":"), F.col("rel"))
+    suffix = "concat(':', rel)"
     probe = wanted.select("cid", hash_state(suffix).alias("tail"), _units(suffix).alias("units")).toPandas()
     qualifies = np.stack([ring[f"q{i}"].to_numpy(bool) for i in range(len(constraints))])
     source_tail, source_power = ring["tail"].to_numpy(np.uint32), _powers(ring["units"].to_numpy())
@@ -153,14 +153,15 @@ def _search_by_rows(
     every = F.explode(F.sequence(F.lit(seeds.start), F.lit(seeds.stop - 1))).alias("seed")
 
     def head(text: str) -> Column:
-        return hash_state(F.concat(F.col("seed").cast("string"), F.lit(text)))
+        return hash_state(f"concat(seed, '{text}')")
 
     # Seeds outermost: a range partitions them before each fans out to the catalogue.
     rings = sources.select("source", "rel", every).withColumn("source_head", head(":overlay:"))
     ring = prepare_ring(
         rings, None, by=("seed",), rings=len(seeds), max_broadcast_bytes=max_broadcast_bytes
     )
-    keys = wanted.select("cid", "rel", every).withColumn("pos", ring_position(F.col("rel"), head(":")))
+    keys = wanted.select("cid", "rel", every).withColumn("head", head(":"))
+    keys = keys.withColumn("pos", ring_position("rel", "head"))
     lowered = F.lower(normalise(F.col("rel")))
     placed = look_up(keys.select("seed", "cid", "pos"), ring, out="source")
     qualified = sources.select(

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringloom.workload import placement
+from ringloom.workload import catalogues, placement
 
-_GROUPS = (placement,)
+_GROUPS = (placement, catalogues)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

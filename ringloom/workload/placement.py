@@ -35,11 +35,10 @@ PATTERNS = ("gear", "bolt", "red", "ring", "small", "widget")
 
 
 def ring_hash_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.col("c_name")
     return table(spark, sf_dir, "customer", "c_custkey", "c_name").select(
         "c_custkey",
-        hash_state(name, target_state(SEED)).alias("accum"),
-        ring_position(name, target_state(SEED)).alias("final"),
+        hash_state("c_name", target_state(SEED)).alias("accum"),
+        ring_position("c_name", target_state(SEED)).alias("final"),
     )
 
 
@@ -50,7 +49,7 @@ def string_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(table(spark, sf_dir, "customer").select(F.col("c_name").alias("s")))
         .unionByName(table(spark, sf_dir, "customer").select((500 - F.col("c_custkey")).cast("string").alias("s")))
     )
-    return texts.select("s", string_seed(F.col("s")).alias("code"), parse_seed(F.col("s")).alias("seed"))
+    return texts.select("s", string_seed("s").alias("code"), parse_seed("s").alias("seed"))
 
 
 def ring_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
