@@ -1,11 +1,12 @@
 """Longest-affix matching: prefix rules and suffix catalogues without a nested loop.
 
 A pattern of length ``l`` is a suffix of a text iff it equals the text's last ``l``
-characters. So the theta join becomes an equi-join on the text's cuts at the pattern
-lengths that occur. All patterns share a minimum length ``k``; a first equi-join on the
+characters. So the theta join becomes equi-joins on the text's cuts at the pattern lengths
+that occur. All patterns share a minimum length ``k``; a first equi-join on the
 ``k``-character cut gives the lengths worth trying, so a text that cannot match is never
-expanded. Most cuts have one candidate length and are answered map-side; only texts with
-several candidate lengths are expanded and reduced to their longest match.
+probed again. Lengths are then probed longest first, each probe a map-side join against the
+same broadcast table. Only texts with very many candidate lengths, or a pattern table too
+large to broadcast, are expanded and reduced to their longest match instead.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ringloom.operators import sizing
 
+MAX_PROBES = 8
+
 
 def longest_affix(
     texts: DataFrame,
@@ -23,12 +26,14 @@ def longest_affix(
     pattern: str,
     side: str,
     key: str,
+    small: bool | None = None,
     max_broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """``texts`` plus the columns of its longest matching pattern row (null if none).
 
     ``patterns[pattern]`` must be unique; empty patterns never match. ``key`` identifies a
-    row of ``texts``.
+    row of ``texts``. ``small`` says whether the patterns were already measured to fit a
+    broadcast.
     """
     if side not in ("prefix", "suffix"):
         raise ValueError(f"unknown side: {side}")
@@ -40,39 +45,49 @@ def longest_affix(
 
     payload = [c for c in patterns.columns if c != pattern]
     rows = patterns.filter(F.length(pattern) > 0)
+    if small is None:
+        small = sizing.measure(rows).fits(max_broadcast_bytes)
     shortest = rows.agg(F.min(F.length(pattern))).first()[0]
     if shortest is None:
         return texts.select("*", *[F.lit(None).cast(t).alias(n) for n, t in patterns.dtypes])
 
-    small = sizing.measure(rows).fits(max_broadcast_bytes)
-    hinted = F.broadcast if small else (lambda df: df)
+    def hinted(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
     stem = F.lit(shortest)
-    lengths = hinted(
-        rows.groupBy(cut(F.col(pattern), stem).alias("_stem")).agg(
-            F.collect_set(F.length(pattern)).alias("_lengths")  # bounded by the longest pattern
-        )
+    lengths = rows.groupBy(cut(F.col(pattern), stem).alias("_stem")).agg(
+        # Distinct lengths, so bounded by the longest pattern.
+        F.sort_array(F.collect_set(F.length(pattern)), asc=False).alias("_lengths")
     )
-    probe = texts.withColumn("_stem", F.when(F.length(text) >= stem, cut(F.col(text), stem)))
-    probe = probe.join(lengths, "_stem", "left").drop("_stem")
-    table = hinted(rows.select(F.col(pattern).alias("_cut"), F.col(pattern), *payload))
+    most = lengths.agg(F.max(F.size("_lengths"))).first()[0]
+    probes = min(most, MAX_PROBES) if small else 1
     own = list(texts.columns)
-
-    single = (
-        probe.filter(F.coalesce(F.size("_lengths"), F.lit(0)) <= 1)
-        .withColumn("_cut", cut(F.col(text), F.get("_lengths", F.lit(0))))
-        .join(table, "_cut", "left")
-        .select(*own, pattern, *payload)
+    table = hinted(
+        rows.select(F.col(pattern).alias("_cut"), F.struct(pattern, *payload).alias("_row"))
     )
-    several = probe.filter(F.size("_lengths") > 1)
+    probe = texts.withColumn("_stem", F.when(F.length(text) >= stem, cut(F.col(text), stem)))
+    probe = probe.join(hinted(lengths), "_stem", "left").drop("_stem")
+
+    def finished(df: DataFrame) -> DataFrame:
+        return df.select(*own, *[F.col(f"_best.{c}").alias(c) for c in (pattern, *payload)])
+
+    few = probe if most <= probes else probe.filter(F.coalesce(F.size("_lengths"), F.lit(0)) <= probes)
+    for i in range(probes):
+        at = cut(F.col(text), F.get("_lengths", F.lit(i)))
+        if i:
+            at = F.when(F.col("_best").isNull(), at)
+        few = few.withColumn("_cut", at).join(table, "_cut", "left").drop("_cut")
+        best = F.coalesce("_best", "_row") if i else F.col("_row")
+        few = few.withColumn("_best", best).drop("_row")
+    if most <= probes:
+        return finished(few)
+    several = probe.filter(F.size("_lengths") > probes)
     hits = (
         several.select(key, text, F.explode("_lengths").alias("_n"))
         .filter(F.length(text) >= F.col("_n"))
         .select(key, "_n", cut(F.col(text), F.col("_n")).alias("_cut"))
         .join(table, "_cut")
         .groupBy(key)
-        .agg(F.max_by(F.struct(pattern, *payload), "_n").alias("_best"))
-    )
-    ranked = several.join(hits, key, "left").select(
-        *own, F.col(f"_best.{pattern}").alias(pattern), *[F.col(f"_best.{c}").alias(c) for c in payload]
+        .agg(F.max_by("_row", "_n").alias("_best"))
     )
-    return single.unionByName(ranked)
+    return finished(few).unionByName(finished(several.join(hits, key, "left")))

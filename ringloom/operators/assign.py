@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.functions.hashing import hash_final, hash_state, ring_position, target_state
-from ringloom.operators import sizing
-from ringloom.operators.catalog import Catalogue, texture_owners
+from ringloom.operators.catalog import Catalogue, hinted, texture_owners
 from ringloom.operators.ring import Ring, look_up
 
 FACE_MODES = ("same", "different")
@@ -56,16 +55,19 @@ def assign_entities(
         raise ValueError(f"Invalid face_mode: {face_mode}")
     if texture_mode not in TEXTURE_MODES:
         raise ValueError(f"Invalid texture_mode: {texture_mode}")
+    fits = catalogue.profile.fits
     owners = texture_owners(catalogue)
-    regions = catalogue.regions.select(
-        "entity_id", F.col("ord").alias("region_ord"), F.col("name").alias("region")
+    regions = hinted(
+        catalogue.regions.select(
+            "entity_id", F.col("ord").alias("region_ord"), F.col("name").alias("region")
+        ),
+        fits("regions"),
     )
     entities = catalogue.entities.select(
         "entity_id", hash_state("entity_id", target_state(seed)).alias("state")
     )
-    regions = sizing.broadcast_if_small(regions)
     if texture_mode == "separate":
-        keyed = owners.join(sizing.broadcast_if_small(entities), "entity_id")
+        keyed = owners.join(hinted(entities, fits("entities")), "entity_id")
         keyed = keyed.withColumn("state", _extended("state", "texture"))
     else:
         keyed = entities
@@ -73,7 +75,8 @@ def assign_entities(
         keyed = keyed.join(regions, "entity_id").withColumn("state", _extended("state", "region"))
     placed = look_up(keyed.withColumn("pos", hash_final("state")).drop("state"), ring).drop("pos")
     if texture_mode == "shared":
-        placed = owners.join(sizing.broadcast_if_small(placed), "entity_id")
+        # One row per entity, or per entity and region.
+        placed = owners.join(hinted(placed, fits("entities", "regions")), "entity_id")
     if face_mode == "same":
         placed = placed.join(regions, "entity_id")
     return placed.select("texture", "entity_id", "region_ord", "region", "overlay")

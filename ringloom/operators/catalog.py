@@ -12,6 +12,7 @@ rows, not one wide row:
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,17 +22,54 @@ from ringloom.operators import sizing
 REGION_COLUMNS = ["name", "x", "y", "width", "height", "flip", "rotate"]
 
 
+@dataclass(frozen=True)
+class Profile:
+    """Measured sizes of a catalogue. Everything derived from it (owners, summaries per
+    texture or entity) has at most as many rows, so one pass bounds all its joins."""
+
+    entities: sizing.Size
+    regions: sizing.Size
+    textures: sizing.Size
+    face_rows: int  # at most this many (texture, region) pairs
+
+    def fits(self, *parts: str) -> bool:
+        return all(getattr(self, p).fits() for p in parts)
+
+
 @dataclass(frozen=True)
 class Catalogue:
     entities: DataFrame
     regions: DataFrame
     textures: DataFrame
 
+    @cached_property
+    def profile(self) -> Profile:
+        def per_entity(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy("entity_id").agg(F.count(F.lit(1)).alias(name))
+
+        pairs = per_entity(self.textures, "t").join(per_entity(self.regions, "r"), "entity_id")
+        rows = (
+            sizing.size_row(self.entities).withColumn("k", F.lit("entities"))
+            .unionByName(sizing.size_row(self.regions).withColumn("k", F.lit("regions")))
+            .unionByName(sizing.size_row(self.textures).withColumn("k", F.lit("textures")))
+            .unionByName(
+                pairs.selectExpr("t * r AS n").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+                .selectExpr("n", "0L AS b", "0L AS w", "'faces' AS k")
+            )
+            .collect()  # four rows
+        )
+        found = {r["k"]: sizing.Size(r["n"], r["b"], r["w"]) for r in rows}
+        return Profile(found["entities"], found["regions"], found["textures"], found["faces"].rows)
+
+
+def hinted(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
 
 def texture_owners(catalogue: Catalogue) -> DataFrame:
     """``(texture, entity_id)``: one owner per texture, the last entity that claims it."""
     claims = catalogue.textures.select("entity_id", "texture").join(
-        sizing.broadcast_if_small(catalogue.entities.select("entity_id", "claim")), "entity_id"
+        hinted(catalogue.entities.select("entity_id", "claim"), catalogue.profile.fits("entities")), "entity_id"
     )
     return claims.groupBy("texture").agg(
         F.max_by("entity_id", F.struct("claim", "entity_id")).alias("entity_id")
@@ -56,7 +94,7 @@ def append_after(first: DataFrame, second: DataFrame) -> DataFrame:
     be sorted in one task. They stay unique and ordered but may have gaps.
     """
     last = first.groupBy("entity_id").agg((F.max("ord") + 1).cast("bigint").alias("_shift"))
-    shifted = second.join(sizing.broadcast_if_small(last), "entity_id", "left").withColumn(
+    shifted = second.join(last, "entity_id", "left").withColumn(
         "ord", F.col("ord") + F.coalesce("_shift", F.lit(0))
     )
     columns = first.columns
@@ -94,7 +132,6 @@ def merge_halves(catalogue: Catalogue, rules: DataFrame) -> Catalogue:
     active = rules.join(ids.withColumnRenamed("entity_id", "first"), "first", "left_semi").join(
         ids.withColumnRenamed("entity_id", "second"), "second", "left_semi"
     )
-    active = sizing.broadcast_if_small(active)
     halves = active.select(
         "merged",
         F.inline(
@@ -104,8 +141,9 @@ def merge_halves(catalogue: Catalogue, rules: DataFrame) -> Catalogue:
             )
         ),
     )
-    consumed = F.broadcast(halves.select("entity_id").distinct())
-    halves = F.broadcast(halves)
+    small = sizing.measure(rules).fits()  # two half rows per rule at most
+    consumed = hinted(halves.select("entity_id").distinct(), small)
+    halves = hinted(halves, small)
 
     entities = catalogue.entities.join(consumed, "entity_id", "left_anti").unionByName(
         catalogue.entities.join(halves.filter("half = 0"), "entity_id").select(
@@ -142,9 +180,9 @@ def shared_textures(textures: DataFrame) -> DataFrame:
     Long form: a texture shared by very many entities is many rows, not one list.
     """
     counts = textures.groupBy("texture").agg(F.count(F.lit(1)).alias("n_entities")).filter("n_entities > 1")
-    return textures.select("texture", "entity_id").join(
-        sizing.broadcast_if_small(counts), "texture"
-    ).select("texture", "entity_id", "n_entities")
+    return textures.select("texture", "entity_id").join(counts, "texture").select(
+        "texture", "entity_id", "n_entities"
+    )
 
 
 def entities_without_textures(entities: DataFrame, textures: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ringloom.operators.affix import longest_affix
 
 
 def classify_targets(
-    targets: DataFrame, owners: DataFrame, max_broadcast_bytes: int | None = None
+    targets: DataFrame, owners: DataFrame, small: bool | None = None
 ) -> DataFrame:
     """``targets(target, ...)`` plus ``texture``, ``entity_id`` and ``is_entity``.
 
@@ -24,7 +24,7 @@ def classify_targets(
         .select("_norm", "_o.texture", "_o.entity_id")
     )
     probe = targets.withColumn("_path", normalise(F.col("target")))
-    matched = longest_affix(probe, "_path", patterns, "_norm", "suffix", "target", max_broadcast_bytes)
+    matched = longest_affix(probe, "_path", patterns, "_norm", "suffix", "target", small)
     return matched.drop("_path", "_norm").withColumn("is_entity", F.col("entity_id").isNotNull())
 
 

@@ -81,7 +81,7 @@ def faces_of_cuboids(cuboids: DataFrame) -> DataFrame:
     parts = cuboids.groupBy("entity_id", "part").agg(
         F.count(F.lit(1)).alias("in_part"), F.min("ord").alias("first_ord")
     )
-    unfolded = cuboids.join(sizing.broadcast_if_small(parts), ["entity_id", "part"]).select(
+    unfolded = cuboids.join(parts, ["entity_id", "part"]).select(
         "entity_id",
         "part",
         "idx",
@@ -120,7 +120,7 @@ def inherit_regions(own: DataFrame, parents: DataFrame, parent_regions: DataFram
         parent_regions.withColumnRenamed("entity_id", "parent_id")
         .join(links, "parent_id")
         .withColumn("_part", base_part(F.col("name")))
-        .join(sizing.broadcast_if_small(defined), ["entity_id", "_part"], "left_anti")
+        .join(defined, ["entity_id", "_part"], "left_anti")
         .select(*own.columns)
     )
     return append_after(inherited, own)
@@ -133,7 +133,7 @@ def seed_from_base(own: DataFrame, base: DataFrame, entities: DataFrame) -> Data
     template = entities.select("entity_id").withColumn("_all", F.lit(1)).join(
         sizing.broadcast_if_small(base.withColumn("_all", F.lit(1))), "_all"
     )
-    kept = template.join(sizing.broadcast_if_small(redefined), ["entity_id", "part"], "left_anti")
+    kept = template.join(redefined, ["entity_id", "part"], "left_anti")
     return append_after(kept.select(*own.columns), own)
 
 
@@ -174,7 +174,9 @@ def mirror_parts(regions: DataFrame, rules: DataFrame, entities: DataFrame) -> D
         .join(names.withColumnRenamed("name", "unless"), ["entity_id", "unless"], "left_anti")
         .join(entities.select("entity_id", "tex_w"), "entity_id")
     )
-    r, k = regions.alias("r"), sizing.broadcast_if_small(live).alias("k")
+    if sizing.measure(rules).fits():
+        live = F.broadcast(live)
+    r, k = regions.alias("r"), live.alias("k")
     on = (F.col("r.entity_id") == F.col("k.entity_id")) & F.startswith(F.col("r.name"), F.col("k.old"))
     copies = r.join(k, on).select(
         "r.entity_id",
@@ -217,7 +219,7 @@ def tag_orientation(regions: DataFrame, rules: DataFrame) -> DataFrame:
     tags = r.join(k, on).groupBy("r.entity_id", "r.ord").agg(
         F.min_by(F.struct("k.flip", "k.rotate"), "k.rank").alias("_tag")
     )
-    return regions.join(sizing.broadcast_if_small(tags), ["entity_id", "ord"], "left").select(
+    return regions.join(tags, ["entity_id", "ord"], "left").select(
         *[
             F.coalesce(F.col(f"_tag.{c}"), F.col(c)).alias(c) if c in ("flip", "rotate") else F.col(c)
             for c in REGION_TABLE
@@ -278,7 +280,7 @@ def regions_of_models(
     quads that are too thin are dropped and each oriented rectangle is kept once.
     """
     owned = templates.withColumn("name", strip_namespace(F.col("template"))).join(
-        sizing.broadcast_if_small(owners.filter("owner is not null")), "name"
+        owners.filter("owner is not null"), "name"
     )
     bodies = models.select(strip_namespace(F.col("name")).alias("owner"), "elements")
     elements = owned.join(bodies, "owner").select(
@@ -379,7 +381,7 @@ def choose_textures(
         with_included(without_excluded(tier0)).unionByName(without_excluded(tier1)).unionByName(tier2)
     )
     best = tiers.groupBy("entity_id").agg(F.min("tier").alias("tier"))
-    return tiers.join(sizing.broadcast_if_small(best), ["entity_id", "tier"]).select(
+    return tiers.join(best, ["entity_id", "tier"]).select(
         "entity_id", F.col("path").alias("texture")
     )
 

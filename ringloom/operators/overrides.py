@@ -36,7 +36,7 @@ def match_rules(
         .select("_norm", "_r.*")
     )
     probe = targets.withColumn("_path", normalise(F.col(path)))
-    return longest_affix(probe, "_path", patterns, "_norm", "prefix", key, max_broadcast_bytes).drop(
+    return longest_affix(probe, "_path", patterns, "_norm", "prefix", key, max_broadcast_bytes=max_broadcast_bytes).drop(
         "_path", "_norm"
     )
 

@@ -19,8 +19,11 @@ ROW_OVERHEAD_BYTES = 16
 
 @dataclass(frozen=True)
 class Size:
+    """Rows, total bytes and the widest row of a table (strings, arrays: as stored or as JSON)."""
+
     rows: int
     bytes: int
+    widest: int = 0
 
     def fits(self, max_bytes: int | None = None, max_rows: int | None = None) -> bool:
         max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
@@ -28,25 +31,38 @@ class Size:
         return self.rows <= max_rows and self.bytes <= max_bytes
 
 
-def measure(df: DataFrame) -> Size:
-    """Rows and approximate bytes, one partially aggregated pass, two numbers returned."""
-    width = F.lit(ROW_OVERHEAD_BYTES)
+def _row_width(df: DataFrame) -> str:
+    parts = [str(ROW_OVERHEAD_BYTES)]
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
-            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+            parts.append(f"coalesce(octet_length(`{name}`), 0)")
         elif kind.startswith(("array", "map", "struct")):
-            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{name}`"))), F.lit(0))
+            parts.append(f"coalesce(octet_length(to_json(struct(`{name}`))), 0)")
         else:
-            width = width + 8
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
-    return Size(row["n"], row["b"] or 0)
+            parts.append("8")
+    return f"CAST({' + '.join(parts)} AS BIGINT)"
+
+
+def size_row(df: DataFrame) -> DataFrame:
+    """One row ``(n, b, w)``, partially aggregated."""
+    width = _row_width(df)
+    return df.selectExpr(f"{width} AS w").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("b"), F.coalesce(F.max("w"), F.lit(0)).alias("w")
+    )
+
+
+def measure(df: DataFrame) -> Size:
+    row = size_row(df).first()
+    return Size(row["n"], row["b"], row["w"])
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it was measured to fit, else unchanged.
 
-    Use it for plain equi-joins only: without the hint Spark shuffles on the key and
-    adaptive execution splits skewed partitions.
+    For tables that are given or cheap to recompute, in plain equi-joins: without the hint
+    Spark shuffles on the key and adaptive execution splits skewed partitions. Sides that are
+    themselves results of joins are left unhinted; adaptive execution broadcasts them if
+    their shuffled size turns out small.
     """
     return F.broadcast(df) if measure(df).fits(max_bytes) else df
 

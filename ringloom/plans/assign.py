@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.functions.geometry import frame_count
+from ringloom.functions.hashing import ring_position, target_state
 from ringloom.operators import sizing
 from ringloom.operators.assign import assign_entities, assign_frames, assign_targets, primary_overlays
-from ringloom.operators.catalog import Catalogue, texture_owners
+from ringloom.operators.catalog import Catalogue, hinted, texture_owners
 from ringloom.operators.classify import classify_targets
-from ringloom.operators.ring import Ring, prepare_ring
+from ringloom.operators.ring import Ring, look_up, prepare_ring
 
 
 @dataclass(frozen=True)
@@ -23,11 +24,12 @@ class Assignments:
 
     targets: DataFrame
     faces: DataFrame
+    faces_fit: bool = False
 
     def target_faces(self) -> DataFrame:
         """``(target, entity_id, region_ord, region, overlay)`` for entity targets."""
         owners = self.targets.filter("is_entity").select("target", "texture")
-        return owners.join(sizing.broadcast_if_small(self.faces), "texture").drop("texture")
+        return owners.join(hinted(self.faces, self.faces_fit), "texture").drop("texture")
 
 
 def require_rows(df: DataFrame, what: str) -> None:
@@ -46,8 +48,8 @@ def build_assignments(
 ) -> Assignments:
     """Assign ``sources(source, rel)`` to ``targets(target, rel)``.
 
-    Targets are never shuffled unless several catalogue textures of different lengths end
-    alike (see ``longest_affix``) or the ring is too large to broadcast.
+    With a ring and a catalogue of broadcast size the targets are read once and never
+    shuffled.
     """
     require_rows(sources, "overlay images")
     require_rows(targets, "texture images")
@@ -72,26 +74,28 @@ def build_assignments(
                 "overlay",
             ).limit(0),
         )
-    classified = classify_targets(targets, texture_owners(catalogue))
+    fits = catalogue.profile.fits
+    classified = classify_targets(targets, texture_owners(catalogue), fits("textures"))
     faces = assign_entities(catalogue, ring, seed, face_mode, texture_mode)
-    regular = assign_targets(classified.filter(~F.col("is_entity")), ring, seed)
-    regular = regular.select(
-        "target", "rel", "overlay", "is_entity", "entity_id", "texture",
-        F.lit(None).cast("int").alias("tex_w"), F.lit(None).cast("int").alias("tex_h"),
-        F.col("overlay").alias("display"),
-    )
+    # One pass: a regular target has a ring position, an entity one a texture; each join
+    # leaves the other kind's columns null.
+    position = F.when(~F.col("is_entity"), ring_position("rel", target_state(seed)))
+    placed = look_up(classified.withColumn("pos", position), ring)
+    summary = primary_overlays(faces, ["texture"]).withColumnRenamed("overlay", "face_overlay")
+    sizes = catalogue.entities.select("entity_id", "tex_w", "tex_h")
     # An entity without regions shows the first source.
     first_source = sources.agg(F.min("source").alias("first_source"))
-    summary = primary_overlays(faces, ["texture"])
-    entity = (
-        classified.filter("is_entity")
-        .join(sizing.broadcast_if_small(summary), "texture", "left")
-        .join(sizing.broadcast_if_small(catalogue.entities.select("entity_id", "tex_w", "tex_h")), "entity_id")
+    joined = (
+        placed.join(hinted(summary, fits("textures")), "texture", "left")
+        .join(hinted(sizes, fits("entities")), "entity_id", "left")
         .crossJoin(F.broadcast(first_source))  # one row
-        .withColumn("overlay", F.coalesce("overlay", "first_source"))
-        .withColumn("display", F.coalesce("display", F.lit("[multiple]")))
     )
-    return Assignments(regular.select(*kinds).unionByName(entity.select(*kinds)), faces)
+    entity_overlay = F.coalesce("face_overlay", "first_source")
+    named = joined.withColumn("overlay", F.when(F.col("is_entity"), entity_overlay).otherwise(F.col("overlay")))
+    shown = F.when(F.col("is_entity"), F.coalesce("display", F.lit("[multiple]"))).otherwise(F.col("overlay"))
+    pair_bytes = catalogue.profile.textures.widest + catalogue.profile.regions.widest + ring.widest_source
+    bound = sizing.Size(catalogue.profile.face_rows, catalogue.profile.face_rows * pair_bytes)
+    return Assignments(named.withColumn("display", shown).select(*kinds), faces, bound.fits())
 
 
 def frame_assignments(

@@ -577,8 +577,8 @@ _COPIES = (
 _CHAIN = (
     "WITH RECURSIVE nodes AS (SELECT p_partkey::VARCHAR AS name, CASE WHEN p_size = 1 THEN p_partkey::VARCHAR WHEN p_partkey = 0 THEN NULL "
     "ELSE (p_partkey // 3)::VARCHAR END AS parent, p_size > 40 AS has FROM part), "
-    "walk(name, at) AS (SELECT name, name FROM nodes UNION SELECT w.name, n.parent FROM walk w JOIN nodes n ON n.name = w.at WHERE NOT n.has AND n.parent IS NOT NULL), "
-    "owned AS (SELECT n.name, o.owner FROM nodes n LEFT JOIN (SELECT w.name, w.at AS owner FROM walk w JOIN nodes n ON n.name = w.at WHERE n.has) o USING (name)) "
+    "walk(name, cur) AS (SELECT name, name FROM nodes UNION SELECT w.name, n.parent FROM walk w JOIN nodes n ON n.name = w.cur WHERE NOT n.has AND n.parent IS NOT NULL), "
+    "owned AS (SELECT n.name, o.owner FROM nodes n LEFT JOIN (SELECT w.name, w.cur AS owner FROM walk w JOIN nodes n ON n.name = w.cur WHERE n.has) o USING (name)) "
 )
 _QUADS = (
     "SELECT *, p_size / 4.0::DOUBLE AS x1, 0::DOUBLE AS y1, (p_partkey % 17)::DOUBLE AS x2, 16 - (p_size % 9) / 2.0::DOUBLE AS y2, 0 AS e, 'up' AS face FROM m UNION ALL "
