@@ -45,9 +45,10 @@ def longest_affix(
 
     payload = [c for c in patterns.columns if c != pattern]
     rows = patterns.filter(F.length(pattern) > 0)
+    found = sizing.size_row(rows, F.min(F.length(pattern)).alias("shortest")).first()
+    shortest = found["shortest"]
     if small is None:
-        small = sizing.measure(rows).fits(max_broadcast_bytes)
-    shortest = rows.agg(F.min(F.length(pattern))).first()[0]
+        small = sizing.Size(found["n"], found["b"]).fits(max_broadcast_bytes)
     if shortest is None:
         return texts.select("*", *[F.lit(None).cast(t).alias(n) for n, t in patterns.dtypes])
 

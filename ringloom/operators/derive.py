@@ -243,29 +243,35 @@ def elements_owner(models: DataFrame) -> DataFrame:
 
     ``models(name, parent, has_elements)``. Null owner where the chain is broken, ends at a
     root, or is a cycle. Pointers are doubled each round, so a chain of depth d takes
-    log2(d) joins; lineage is cut every round.
+    log2(d) joins; lineage is cut every round. Depths along a chain have no gaps, so a round
+    that settles no further model leaves only cycles and ends the search.
     """
-    listed = models.select(
-        strip_namespace(F.col("name")).alias("name"),
-        F.when(F.col("has_elements"), F.lit(None))
-        .when(F.coalesce("parent", F.lit("")).isin("", *CHAIN_ROOTS), F.lit(None))
-        .otherwise(strip_namespace(F.col("parent")))
-        .alias("next"),
-        F.when(F.col("has_elements"), strip_namespace(F.col("name"))).alias("owner"),
+    state = cut_lineage(
+        models.select(
+            strip_namespace(F.col("name")).alias("name"),
+            F.when(F.col("has_elements"), F.lit(None))
+            .when(F.coalesce("parent", F.lit("")).isin("", *CHAIN_ROOTS), F.lit(None))
+            .otherwise(strip_namespace(F.col("parent")))
+            .alias("next"),
+            F.when(F.col("has_elements"), strip_namespace(F.col("name"))).alias("owner"),
+        )
     )
-    state = cut_lineage(listed)
-    rounds = max(state.count(), 2).bit_length()
-    for _ in range(rounds):
-        moving = state.filter(F.col("next").isNotNull())
-        if moving.isEmpty():
-            break
-        ahead = sizing.broadcast_if_small(
-            state.select(F.col("name").alias("next"), F.col("next").alias("_next"), F.col("owner").alias("_owner"))
+    size = sizing.measure(state)
+    moving, before = state.filter("next is not null").count(), None
+    while moving and moving != before:
+        ahead = state.select(
+            F.col("name").alias("_at"), F.col("next").alias("_next"), F.col("owner").alias("_owner")
         )
-        advanced = moving.join(ahead, "next", "left").select(
-            "name", F.col("_next").alias("next"), F.col("_owner").alias("owner")
+        ahead = F.broadcast(ahead) if size.fits() else ahead
+        # Settled models have no pointer; they get a key of their own so that they neither
+        # match nor meet in one task.
+        at = F.coalesce("next", F.concat(F.lit("\0"), "name"))
+        state = cut_lineage(
+            state.withColumn("_at", at)
+            .join(ahead, "_at", "left")
+            .select("name", F.col("_next").alias("next"), F.coalesce("owner", "_owner").alias("owner"))
         )
-        state = cut_lineage(state.filter(F.col("next").isNull()).unionByName(advanced))
+        before, moving = moving, state.filter("next is not null").count()
     return state.select("name", "owner")
 
 

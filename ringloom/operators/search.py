@@ -1,7 +1,8 @@
 """Filters and rankings over an assignment table.
 
-``assignments(target, overlay, is_entity, ...)`` has one row per target and
-``faces(target, overlay, ...)`` one row per entity target and region.
+``assignments(target, overlay, is_entity, texture, ...)`` has one row per target and
+``faces(texture, overlay, ...)`` one row per entity texture and region. Faces are matched
+per texture, not per target, so the work on them does not grow with the targets.
 """
 
 from __future__ import annotations
@@ -36,33 +37,31 @@ def of_kind(assignments: DataFrame, kind: str) -> DataFrame:
 
 
 def _own_or_face(
-    assignments: DataFrame, faces: DataFrame | None, own: Column, face: Column
+    assignments: DataFrame, faces: DataFrame, own: Column, face: Column, faces_small: bool
 ) -> DataFrame:
-    """Targets with a hit of their own or on any face.
+    """Targets with a hit of their own or on any face, in one pass over the targets."""
+    hits = faces.filter(face).select("texture").distinct().withColumn("_face_hit", F.lit(True))
+    hits = F.broadcast(hits) if faces_small else hits
+    marked = assignments.join(hits, "texture", "left")
+    hit = F.coalesce(own, F.lit(False)) | F.coalesce("_face_hit", F.lit(False))
+    return marked.filter(hit).select(*assignments.columns)
 
-    Faces are reduced to distinct hit targets before the join, and only entity targets
-    without a hit of their own take part in it.
-    """
-    if faces is None:
-        return assignments.filter(own)
-    hits = faces.filter(face).select("target").distinct()
-    return assignments.filter(own).unionByName(
-        assignments.filter(F.col("is_entity") & ~own).join(hits, "target", "left_semi")
-    )
 
+def text_filter(
+    assignments: DataFrame, faces: DataFrame, text: str, faces_small: bool = False
+) -> DataFrame:
+    """Case-insensitive substring on the target, its overlay, or any face overlay.
 
-def text_filter(assignments: DataFrame, faces: DataFrame | None, text: str) -> DataFrame:
-    """Case-insensitive substring on the target, its overlay, or any face overlay."""
+    ``faces_small``: the catalogue's textures were measured to fit a broadcast.
+    """
     if not text.strip():
         return assignments
     own = lower_contains(F.col("target"), text) | lower_contains(F.col("overlay"), text)
-    return _own_or_face(
-        assignments, faces, F.coalesce(own, F.lit(False)), lower_contains(F.col("overlay"), text)
-    )
+    return _own_or_face(assignments, faces, own, lower_contains(F.col("overlay"), text), faces_small)
 
 
 def reverse_lookup(
-    assignments: DataFrame, faces: DataFrame | None, query: str, exact: bool = False
+    assignments: DataFrame, faces: DataFrame, query: str, exact: bool = False, faces_small: bool = False
 ) -> DataFrame:
     """Targets whose overlay, or any face overlay, has a matching file name."""
     wanted = query.strip().lower()
@@ -70,7 +69,7 @@ def reverse_lookup(
         return assignments.limit(0)
     name = F.lower(file_name(F.col("overlay")))
     hit = (name == wanted) if exact else F.contains(name, F.lit(wanted))
-    return _own_or_face(assignments, faces, F.coalesce(hit, F.lit(False)), hit)
+    return _own_or_face(assignments, faces, hit, hit, faces_small)
 
 
 def priority_score(path: Column, patterns: tuple[str, ...] = PRIORITY_PATTERNS) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_BYTES = 64 << 20
@@ -43,11 +43,15 @@ def _row_width(df: DataFrame) -> str:
     return f"CAST({' + '.join(parts)} AS BIGINT)"
 
 
-def size_row(df: DataFrame) -> DataFrame:
-    """One row ``(n, b, w)``, partially aggregated."""
-    width = _row_width(df)
-    return df.selectExpr(f"{width} AS w").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("b"), F.coalesce(F.max("w"), F.lit(0)).alias("w")
+def size_row(df: DataFrame, *extra: Column) -> DataFrame:
+    """One row ``(n, b, w, *extra)``, partially aggregated."""
+    width = F.expr(_row_width(df))
+    zero = F.lit(0)
+    return df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(width), zero).alias("b"),
+        F.coalesce(F.max(width), zero).alias("w"),
+        *extra,
     )
 
 

@@ -25,6 +25,7 @@ class Assignments:
     targets: DataFrame
     faces: DataFrame
     faces_fit: bool = False
+    textures_fit: bool = False
 
     def target_faces(self) -> DataFrame:
         """``(target, entity_id, region_ord, region, overlay)`` for entity targets."""
@@ -95,7 +96,7 @@ def build_assignments(
     shown = F.when(F.col("is_entity"), F.coalesce("display", F.lit("[multiple]"))).otherwise(F.col("overlay"))
     pair_bytes = catalogue.profile.textures.widest + catalogue.profile.regions.widest + ring.widest_source
     bound = sizing.Size(catalogue.profile.face_rows, catalogue.profile.face_rows * pair_bytes)
-    return Assignments(named.withColumn("display", shown).select(*kinds), faces, bound.fits())
+    return Assignments(named.withColumn("display", shown).select(*kinds), faces, bound.fits(), fits("textures"))
 
 
 def frame_assignments(

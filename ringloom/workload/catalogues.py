@@ -34,7 +34,18 @@ RULES = (
     ("", 99, 0.0, 9.0, True, 99),
     ("ftp://nowhere", 3, None, None, None, None),
 )
-_RULE_TYPES = "key string, scale int, alpha double, overlay_scale double, keep_aspect boolean, fast_overlay_size int"
+_RULE_TYPES = ("string", "int", "double", "double", "boolean", "int")
+
+
+def _values(spark: SparkSession, rows: tuple, names: str, kinds: tuple) -> DataFrame:
+    """A small literal table as part of the plan."""
+    listed = ", ".join("(" + ", ".join(_spark_literal(v) for v in row) + ")" for row in rows)
+    raw = spark.sql(f"SELECT * FROM VALUES {listed} AS v({names})")
+    return raw.select(*[F.col(n).cast(k).alias(n) for n, k in zip(raw.columns, kinds)])
+
+
+def _spark_literal(v: object) -> str:
+    return "'" + v.replace("\\", "\\\\") + "'" if isinstance(v, str) else _literal(v)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +62,7 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("boolean").alias("keep_aspect"),
         F.lit(None).cast("int").alias("fast_overlay_size"),
     )
-    return spark.createDataFrame(list(RULES), _RULE_TYPES).unionByName(exact)
+    return _values(spark, RULES, "key, " + ", ".join(DEFAULTS), _RULE_TYPES).unionByName(exact)
 
 
 def override_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +130,7 @@ MERGES = (
 
 
 def merge_halves_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(MERGES), "merged string, first string, second string, first_prefix string, second_prefix string")
+    rules = _values(spark, MERGES, "merged, first, second, first_prefix, second_prefix", ("string",) * 5)
     merged = merge_halves(part_catalogue(spark, sf_dir), rules)
     kind = lambda k: F.lit(k).alias("kind")
     return (

@@ -123,13 +123,13 @@ def kind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = _assignments(spark, sf_dir)
-    return text_filter(built.targets, built.target_faces(), "#00000001").select("target", "overlay")
+    return text_filter(built.targets, built.faces, "#00000001", built.textures_fit).select("target", "overlay")
 
 
 def _reverse(query: str, exact: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         built = _assignments(spark, sf_dir)
-        return reverse_lookup(built.targets, built.target_faces(), query, exact).select("target", "overlay")
+        return reverse_lookup(built.targets, built.faces, query, exact, built.textures_fit).select("target", "overlay")
 
     return run
 
