@@ -46,16 +46,17 @@ def build_assignments(
     face_mode: str = "same",
     texture_mode: str = "shared",
     ring: Ring | None = None,
+    keep: tuple[str, ...] = (),
 ) -> Assignments:
     """Assign ``sources(source, rel)`` to ``targets(target, rel)``.
 
     With a ring and a catalogue of broadcast size the targets are read once and never
-    shuffled.
+    shuffled. ``keep`` names further target columns to carry along.
     """
     require_rows(sources, "overlay images")
     require_rows(targets, "texture images")
     ring = ring or prepare_ring(sources, seed)
-    kinds = ["target", "rel", "overlay", "is_entity", "entity_id", "texture", "tex_w", "tex_h", "display"]
+    kinds = ["target", "rel", "overlay", "is_entity", "entity_id", "texture", "tex_w", "tex_h", "display", *keep]
     if catalogue is None:
         placed = assign_targets(targets, ring, seed)
         return Assignments(
@@ -66,6 +67,7 @@ def build_assignments(
                 F.lit(False).alias("is_entity"),
                 *[F.lit(None).cast(t).alias(c) for c, t in (("entity_id", "string"), ("texture", "string"), ("tex_w", "int"), ("tex_h", "int"))],
                 F.col("overlay").alias("display"),
+                *keep,
             ),
             placed.select(
                 F.lit(None).cast("string").alias("texture"),
@@ -99,6 +101,17 @@ def build_assignments(
     return Assignments(named.withColumn("display", shown).select(*kinds), faces, bound.fits(), fits("textures"))
 
 
+def zip_faces(nested: DataFrame) -> DataFrame:
+    """Long form of ``nested(target, regions array, overlays array)``: paired position by
+    position, to the shorter length."""
+    shorter = F.least(F.size("regions"), F.size("overlays"))
+    paired = F.arrays_zip(
+        F.slice("regions", F.lit(1), shorter).alias("region"), F.slice("overlays", F.lit(1), shorter).alias("overlay")
+    )
+    flat = nested.select("target", F.posexplode(paired).alias("region_ord", "pair"))
+    return flat.select("target", "region_ord", "pair.region", "pair.overlay")
+
+
 def frame_assignments(
     targets: DataFrame, sidecars: DataFrame, ring: Ring, seed: int, per_frame: bool = True
 ) -> DataFrame:

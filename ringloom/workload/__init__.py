@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringloom.workload import catalogues, placement
+from ringloom.workload import catalogues, placement, rasters
 
-_GROUPS = (placement, catalogues)
+_GROUPS = (placement, catalogues, rasters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
