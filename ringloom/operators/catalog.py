@@ -30,7 +30,6 @@ class Profile:
     entities: sizing.Size
     regions: sizing.Size
     textures: sizing.Size
-    face_rows: int  # at most this many (texture, region) pairs
 
     def fits(self, *parts: str) -> bool:
         return all(getattr(self, p).fits() for p in parts)
@@ -44,22 +43,23 @@ class Catalogue:
 
     @cached_property
     def profile(self) -> Profile:
-        def per_entity(df: DataFrame, name: str) -> DataFrame:
-            return df.groupBy("entity_id").agg(F.count(F.lit(1)).alias(name))
-
-        pairs = per_entity(self.textures, "t").join(per_entity(self.regions, "r"), "entity_id")
         rows = (
             sizing.size_row(self.entities).withColumn("k", F.lit("entities"))
             .unionByName(sizing.size_row(self.regions).withColumn("k", F.lit("regions")))
             .unionByName(sizing.size_row(self.textures).withColumn("k", F.lit("textures")))
-            .unionByName(
-                pairs.selectExpr("t * r AS n").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-                .selectExpr("n", "0L AS b", "0L AS w", "'faces' AS k")
-            )
-            .collect()  # four rows
+            .collect()  # three rows
         )
-        found = {r["k"]: sizing.Size(r["n"], r["b"], r["w"]) for r in rows}
-        return Profile(found["entities"], found["regions"], found["textures"], found["faces"].rows)
+        return Profile(**{r["k"]: sizing.Size(r["n"], r["b"], r["w"]) for r in rows})
+
+    @cached_property
+    def face_rows(self) -> int:
+        """At most this many (texture, region) pairs."""
+
+        def per_entity(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy("entity_id").agg(F.count(F.lit(1)).alias(name))
+
+        pairs = per_entity(self.textures, "t").join(per_entity(self.regions, "r"), "entity_id")
+        return pairs.agg(F.sum(F.col("t") * F.col("r"))).first()[0] or 0
 
 
 def hinted(df: DataFrame, small: bool) -> DataFrame:

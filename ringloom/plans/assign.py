@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,13 +25,13 @@ class Assignments:
 
     targets: DataFrame
     faces: DataFrame
-    faces_fit: bool = False
+    faces_fit: Callable[[], bool] = lambda: False
     textures_fit: bool = False
 
     def target_faces(self) -> DataFrame:
         """``(target, entity_id, region_ord, region, overlay)`` for entity targets."""
         owners = self.targets.filter("is_entity").select("target", "texture")
-        return owners.join(hinted(self.faces, self.faces_fit), "texture").drop("texture")
+        return owners.join(hinted(self.faces, self.faces_fit()), "texture").drop("texture")
 
 
 def require_rows(df: DataFrame, what: str) -> None:
@@ -97,8 +98,11 @@ def build_assignments(
     named = joined.withColumn("overlay", F.when(F.col("is_entity"), entity_overlay).otherwise(F.col("overlay")))
     shown = F.when(F.col("is_entity"), F.coalesce("display", F.lit("[multiple]"))).otherwise(F.col("overlay"))
     pair_bytes = catalogue.profile.textures.widest + catalogue.profile.regions.widest + ring.widest_source
-    bound = sizing.Size(catalogue.profile.face_rows, catalogue.profile.face_rows * pair_bytes)
-    return Assignments(named.withColumn("display", shown).select(*kinds), faces, bound.fits(), fits("textures"))
+
+    def faces_fit() -> bool:
+        return sizing.Size(catalogue.face_rows, catalogue.face_rows * pair_bytes).fits()
+
+    return Assignments(named.withColumn("display", shown).select(*kinds), faces, faces_fit, fits("textures"))
 
 
 def zip_faces(nested: DataFrame) -> DataFrame:

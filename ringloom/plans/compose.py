@@ -15,10 +15,10 @@ a source that serves a large share of all patches is spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,42 @@ from ringloom.operators import sizing
 PARAMETERS = ["scale", "alpha", "overlay_scale", "keep_aspect", "fast_overlay_size"]
 PATCH = ["target", "ord", "xs", "ys", "ws", "hs", "overlay", "flip", "rotate"]
 PATCHES_PER_SALT = 20_000
+FLUSH_BYTES = 32 << 20
+ROWS_AT_ONCE = 64
 RASTERS = "target string, w int, h int, data binary"
+DRAWN = "target string, ord bigint, xs int, ys int, ws int, hs int, alpha double, pixels binary"
+VERSIONS = "overlay string, size int, sw int, sh int, sdata binary"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def map_rows(df: DataFrame, draw: Callable[[dict], dict | None], schema: str) -> DataFrame:
+    """One output row, or none, per input row, in Arrow batches.
+
+    Batches are cut by bytes, not rows: a task holds a few rasters however large they are.
+    """
+    fields = [part.split() for part in schema.split(", ")]
+    layout = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
+
+    def flush(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema=layout)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, weight = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for row in batch.slice(start, ROWS_AT_ONCE).to_pylist():
+                    made = draw(row)
+                    if made is None:
+                        continue
+                    held.append(made)
+                    weight += sum(len(v) for v in made.values() if isinstance(v, bytes))
+                    if weight >= FLUSH_BYTES:
+                        yield flush(held)
+                        held, weight = [], 0
+        if held:
+            yield flush(held)
+
+    return df.mapInArrow(run, schema)
 
 
 def regular_patches(frames: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -100,19 +135,15 @@ def source_versions(patches: DataFrame, sources: DataFrame, keep_aspect: bool) -
         F.col("path").alias("overlay"), F.col("w").alias("sw"), F.col("h").alias("sh"), F.col("data").alias("sdata")
     )
 
-    def resize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.size == 0:
-                    yield pd.DataFrame([row])
-                    continue
-                img = kernel.fixed_size(kernel.unpack(row.sdata, row.sw, row.sh), row.size, keep_aspect)
-                yield pd.DataFrame(
-                    [(row.overlay, row.size, row.size, row.size, img.tobytes())], columns=batch.columns
-                )
+    def resize(row: dict) -> dict:
+        size = row["size"]
+        if size == 0:
+            return row
+        img = kernel.fixed_size(kernel.unpack(row["sdata"], row["sw"], row["sh"]), size, keep_aspect)
+        return {**row, "sw": size, "sh": size, "sdata": img.tobytes()}
 
     pairs = wanted.join(raw, "overlay").select("overlay", "size", "sw", "sh", "sdata")
-    return pairs.mapInPandas(resize, "overlay string, size int, sw int, sh int, sdata binary")
+    return map_rows(pairs, resize, VERSIONS)
 
 
 def _source_bytes(sources: DataFrame, sizes: DataFrame) -> int:
@@ -140,50 +171,66 @@ def with_sources(
     return many.join(one, ["overlay", "salt", "size"], "left").drop("size", "salt")
 
 
-def _draw(row) -> np.ndarray | None:
-    if row.sdata is None:
+def _draw(row: dict) -> np.ndarray | None:
+    if row["sdata"] is None:
         return None
-    source = kernel.unpack(row.sdata, int(row.sw), int(row.sh))
     return kernel.region_patch(
-        source, int(row.ws), int(row.hs), row.flip, row.rotate, bool(row.keep_aspect), float(row.overlay_scale)
+        kernel.unpack(row["sdata"], row["sw"], row["sh"]),
+        row["ws"],
+        row["hs"],
+        row["flip"],
+        row["rotate"],
+        row["keep_aspect"],
+        row["overlay_scale"],
     )
 
 
-def _finish_single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            scale = int(row.scale)
-            img = kernel.upscale(kernel.unpack(row.data, row.w, row.h), scale)
-            patch = _draw(row)
-            if patch is not None:
-                area = img[row.ys : row.ys + row.hs, row.xs : row.xs + row.ws]
-                kernel.blend(area, patch, row.alpha)
-            out.append((row.target, row.w * scale, row.h * scale, img.tobytes()))
-        yield pd.DataFrame(out, columns=["target", "w", "h", "data"])
-
-
-def _draw_patches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["target", "ord", "xs", "ys", "ws", "hs", "alpha", "pixels"]
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            patch = _draw(row)
-            if patch is not None:
-                out.append((row.target, row.ord, row.xs, row.ys, row.ws, row.hs, row.alpha, patch.tobytes()))
-        yield pd.DataFrame(out, columns=columns)
-
-
-def _blend_patches(targets: pd.DataFrame, patches: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for row in targets.itertuples(index=False):
-        scale = int(row.scale)
-        img = kernel.upscale(kernel.unpack(row.data, row.w, row.h), scale)
-        for p in patches.sort_values("ord").itertuples(index=False):
-            over = kernel.unpack(p.pixels, p.ws, p.hs)
-            kernel.blend(img[p.ys : p.ys + p.hs, p.xs : p.xs + p.ws], over, p.alpha)
-        out.append((row.target, row.w * scale, row.h * scale, img.tobytes()))
-    return pd.DataFrame(out, columns=["target", "w", "h", "data"])
+def _upscaled(row: dict) -> np.ndarray:
+    return kernel.upscale(kernel.unpack(row["data"], row["w"], row["h"]), row["scale"])
+
+
+def _raster(target: str, img: np.ndarray) -> dict:
+    return {"target": target, "w": img.shape[1], "h": img.shape[0], "data": img.tobytes()}
+
+
+def _area(img: np.ndarray, at: dict) -> np.ndarray:
+    return img[at["ys"] : at["ys"] + at["hs"], at["xs"] : at["xs"] + at["ws"]]
+
+
+def _finish_single(row: dict) -> dict:
+    img, patch = _upscaled(row), _draw(row)
+    if patch is not None:
+        kernel.blend(_area(img, row), patch, row["alpha"])
+    return _raster(row["target"], img)
+
+
+def _draw_patch(row: dict) -> dict | None:
+    patch = _draw(row)
+    if patch is None:
+        return None
+    kept = {c: row[c] for c in ("target", "ord", "xs", "ys", "ws", "hs", "alpha")}
+    return {**kept, "pixels": patch.tobytes()}
+
+
+def _blend_layers(img: np.ndarray, layers: list[dict] | None) -> None:
+    for layer in sorted(layers or [], key=lambda p: p["ord"]):
+        over = kernel.unpack(layer["pixels"], layer["ws"], layer["hs"])
+        kernel.blend(_area(img, layer), over, layer["alpha"])
+
+
+def _finish_layers(row: dict) -> dict:
+    img = _upscaled(row)
+    _blend_layers(img, row["layers"])
+    return _raster(row["target"], img)
+
+
+def _with_layers(targets: DataFrame, patches: DataFrame, sources: DataFrame, keep_aspect: bool, **sizes) -> DataFrame:
+    """``targets`` plus their drawn patches as one array: what makes up one output image."""
+    drawn = map_rows(with_sources(patches, sources, keep_aspect, **sizes), _draw_patch, DRAWN)
+    layers = drawn.groupBy("target").agg(
+        F.collect_list(F.struct("ord", "xs", "ys", "ws", "hs", "alpha", "pixels")).alias("layers")
+    )
+    return targets.join(layers, "target", "left")
 
 
 def composite_single(
@@ -194,7 +241,7 @@ def composite_single(
     ``patches`` carry ``(w, h, data)`` of their target, so with broadcast sources no pixel is
     shuffled at all.
     """
-    return with_sources(patches, sources, keep_aspect, **sizes).mapInPandas(_finish_single, RASTERS)
+    return map_rows(with_sources(patches, sources, keep_aspect, **sizes), _finish_single, RASTERS)
 
 
 def composite_patches(
@@ -202,14 +249,10 @@ def composite_patches(
 ) -> DataFrame:
     """Output rasters of targets with any number of patches, blended by ``ord``.
 
-    ``targets(target, w, h, data, scale)``. One group is one output image.
+    ``targets(target, w, h, data, scale)``. A target without patches is only upscaled.
     """
-    drawn = with_sources(patches, sources, keep_aspect, **sizes).mapInPandas(
-        _draw_patches,
-        "target string, ord bigint, xs int, ys int, ws int, hs int, alpha double, pixels binary",
-    )
     base = targets.select("target", "w", "h", "data", "scale")
-    return base.groupBy("target").cogroup(drawn.groupBy("target")).applyInPandas(_blend_patches, RASTERS)
+    return map_rows(_with_layers(base, patches, sources, keep_aspect, **sizes), _finish_layers, RASTERS)
 
 
 def thumbnails(targets: DataFrame, patches: DataFrame, sources: DataFrame, **sizes) -> DataFrame:
@@ -217,12 +260,8 @@ def thumbnails(targets: DataFrame, patches: DataFrame, sources: DataFrame, **siz
 
     ``targets(target, is_entity, w, h, data)`` and ``patches`` from :func:`preview_patches`.
     """
-    drawn = with_sources(patches, sources, False, **sizes).mapInPandas(
-        _draw_patches,
-        "target string, ord bigint, xs int, ys int, ws int, hs int, alpha double, pixels binary",
-    )
     base = targets.select("target", "is_entity", "w", "h", "data")
-    return base.groupBy("target").cogroup(drawn.groupBy("target")).applyInPandas(_preview, RASTERS)
+    return map_rows(_with_layers(base, patches, sources, False, **sizes), _preview, RASTERS)
 
 
 def preview_patches(targets: DataFrame, faces: DataFrame, params: dict[str, object]) -> DataFrame:
@@ -280,21 +319,13 @@ def preview_patches(targets: DataFrame, faces: DataFrame, params: dict[str, obje
     return regular.unionByName(boxed)
 
 
-def _preview(targets: pd.DataFrame, patches: pd.DataFrame) -> pd.DataFrame:
-    side, out = kernel.THUMB, []
-    for row in targets.itertuples(index=False):
-        img = kernel.unpack(row.data, row.w, row.h)
-        if not row.is_entity:
-            square = img[: min(row.w, row.h)] if row.h > row.w else img
-            img = kernel.nearest_resize(square, side, side)
-        else:
-            fit = min(side / row.w, side / row.h)
-            img = kernel.nearest_resize(img, max(1, int(row.w * fit)), max(1, int(row.h * fit)))
-        img = img.copy()
-        for p in patches.sort_values("ord").itertuples(index=False):
-            over = kernel.unpack(p.pixels, p.ws, p.hs)
-            kernel.blend(img[p.ys : p.ys + p.hs, p.xs : p.xs + p.ws], over, p.alpha)
-        if img.shape[:2] != (side, side):
-            img = kernel.centred(img, side, side)
-        out.append((row.target, side, side, img.tobytes()))
-    return pd.DataFrame(out, columns=["target", "w", "h", "data"])
+def _preview(row: dict) -> dict:
+    side, w, h = kernel.THUMB, row["w"], row["h"]
+    img = kernel.unpack(row["data"], w, h)
+    if row["is_entity"]:
+        fit = min(side / w, side / h)
+        img = kernel.nearest_resize(img, max(1, int(w * fit)), max(1, int(h * fit)))
+    else:
+        img = kernel.nearest_resize(img[:w] if h > w else img, side, side)
+    _blend_layers(img, row["layers"])
+    return _raster(row["target"], img if img.shape[:2] == (side, side) else kernel.centred(img, side, side))
