@@ -45,8 +45,10 @@ def longest_affix(
 
     payload = [c for c in patterns.columns if c != pattern]
     rows = patterns.filter(F.length(pattern) > 0)
-    found = sizing.size_row(rows, F.min(F.length(pattern)).alias("shortest")).first()
-    shortest = found["shortest"]
+    found = sizing.size_row(
+        rows, F.min(F.length(pattern)).alias("shortest"), F.count_distinct(F.length(pattern)).alias("lengths")
+    ).first()
+    shortest, most = found["shortest"], found["lengths"]
     if small is None:
         small = sizing.Size(found["n"], found["b"]).fits(max_broadcast_bytes)
     if shortest is None:
@@ -60,7 +62,9 @@ def longest_affix(
         # Distinct lengths, so bounded by the longest pattern.
         F.sort_array(F.collect_set(F.length(pattern)), asc=False).alias("_lengths")
     )
-    most = lengths.agg(F.max(F.size("_lengths"))).first()[0]
+    if most > MAX_PROBES:
+        # Many lengths overall may still be few per cut.
+        most = lengths.agg(F.max(F.size("_lengths"))).first()[0]
     probes = min(most, MAX_PROBES) if small else 1
     own = list(texts.columns)
     table = hinted(

@@ -41,7 +41,7 @@ class Ring:
     by: tuple[str, ...]
     bucket_bits: int
     broadcastable: bool
-    widest_source: int
+    sources: sizing.Size
 
 
 def _adjacent(ring: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -114,7 +114,7 @@ def prepare_ring(
     small = size.fits(max_broadcast_bytes)
     layout = _adjacent if small else _adjacent_by_segment
     bits = (max(size.rows // rings, 2) - 1).bit_length()
-    return Ring(layout(build_ring(sources, seed, by), by), by, min(bits, MAX_BUCKET_BITS), small, size.widest)
+    return Ring(layout(build_ring(sources, seed, by), by), by, min(bits, MAX_BUCKET_BITS), small, size)
 
 
 def look_up(keys: DataFrame, ring: Ring, pos: str = "pos", out: str = "overlay") -> DataFrame:

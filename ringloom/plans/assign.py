@@ -54,9 +54,10 @@ def build_assignments(
     With a ring and a catalogue of broadcast size the targets are read once and never
     shuffled. ``keep`` names further target columns to carry along.
     """
-    require_rows(sources, "overlay images")
-    require_rows(targets, "texture images")
     ring = ring or prepare_ring(sources, seed)
+    if ring.sources.rows == 0:
+        raise ValueError("No overlay images found")
+    require_rows(targets, "texture images")
     kinds = ["target", "rel", "overlay", "is_entity", "entity_id", "texture", "tex_w", "tex_h", "display", *keep]
     if catalogue is None:
         placed = assign_targets(targets, ring, seed)
@@ -97,7 +98,7 @@ def build_assignments(
     entity_overlay = F.coalesce("face_overlay", "first_source")
     named = joined.withColumn("overlay", F.when(F.col("is_entity"), entity_overlay).otherwise(F.col("overlay")))
     shown = F.when(F.col("is_entity"), F.coalesce("display", F.lit("[multiple]"))).otherwise(F.col("overlay"))
-    pair_bytes = catalogue.profile.textures.widest + catalogue.profile.regions.widest + ring.widest_source
+    pair_bytes = catalogue.profile.textures.widest + catalogue.profile.regions.widest + ring.sources.widest
 
     def faces_fit() -> bool:
         return sizing.Size(catalogue.face_rows, catalogue.face_rows * pair_bytes).fits()
