@@ -127,12 +127,13 @@ def inherit_regions(own: DataFrame, parents: DataFrame, parent_regions: DataFram
 
 
 def seed_from_base(own: DataFrame, base: DataFrame, entities: DataFrame) -> DataFrame:
-    """Every listed entity starts from the ``base`` regions (no entity_id) whose part it does
-    not redefine; ``own`` and ``base`` carry a ``part`` column."""
+    """Every entity of ``entities(entity_id, template)`` starts from the regions of its
+    ``base`` template whose part it does not redefine.
+
+    ``own`` has entity_id, ``base`` has template instead; both carry a ``part`` column.
+    """
     redefined = own.select("entity_id", "part").distinct()
-    template = entities.select("entity_id").withColumn("_all", F.lit(1)).join(
-        sizing.broadcast_if_small(base.withColumn("_all", F.lit(1))), "_all"
-    )
+    template = entities.select("entity_id", "template").join(sizing.broadcast_if_small(base), "template")
     kept = template.join(redefined, ["entity_id", "part"], "left_anti")
     return append_after(kept.select(*own.columns), own)
 

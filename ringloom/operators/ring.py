@@ -42,6 +42,7 @@ class Ring:
     bucket_bits: int
     broadcastable: bool
     sources: sizing.Size
+    first_source: str | None
 
 
 def _adjacent(ring: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -110,11 +111,12 @@ def prepare_ring(
 
     ``rings`` is the number of ``by`` groups; buckets are sized for one of them.
     """
-    size = sizing.measure(sources.select("source"))
+    found = sizing.size_row(sources.select("source"), F.min("source").alias("first")).first()
+    size = sizing.Size(found["n"], found["b"], found["w"])
     small = size.fits(max_broadcast_bytes)
     layout = _adjacent if small else _adjacent_by_segment
     bits = (max(size.rows // rings, 2) - 1).bit_length()
-    return Ring(layout(build_ring(sources, seed, by), by), by, min(bits, MAX_BUCKET_BITS), small, size)
+    return Ring(layout(build_ring(sources, seed, by), by), by, min(bits, MAX_BUCKET_BITS), small, size, found["first"])
 
 
 def look_up(keys: DataFrame, ring: Ring, pos: str = "pos", out: str = "overlay") -> DataFrame:
@@ -137,7 +139,8 @@ def look_up(keys: DataFrame, ring: Ring, pos: str = "pos", out: str = "overlay")
     if ring.broadcastable:
         arcs = F.broadcast(arcs)
     else:
-        row = ", ".join(f"`{c}`" for c in keys.columns)
+        # Everything but packed pixels: rows of one key differ in some other column.
+        row = ", ".join(f"`{c}`" for c, kind in keys.dtypes if kind != "binary")
         probe = probe.selectExpr("*", f"pmod(xxhash64({row}), {LOOKUP_SALTS}L) AS salt")
         arcs = arcs.selectExpr("*", f"explode(sequence(0L, {LOOKUP_SALTS - 1}L)) AS salt")
         on.append("salt")

@@ -88,14 +88,11 @@ def build_assignments(
     placed = look_up(classified.withColumn("pos", position), ring)
     summary = primary_overlays(faces, ["texture"]).withColumnRenamed("overlay", "face_overlay")
     sizes = catalogue.entities.select("entity_id", "tex_w", "tex_h")
-    # An entity without regions shows the first source.
-    first_source = sources.agg(F.min("source").alias("first_source"))
-    joined = (
-        placed.join(hinted(summary, fits("textures")), "texture", "left")
-        .join(hinted(sizes, fits("entities")), "entity_id", "left")
-        .crossJoin(F.broadcast(first_source))  # one row
+    joined = placed.join(hinted(summary, fits("textures")), "texture", "left").join(
+        hinted(sizes, fits("entities")), "entity_id", "left"
     )
-    entity_overlay = F.coalesce("face_overlay", "first_source")
+    # An entity without regions shows the first source.
+    entity_overlay = F.coalesce(F.col("face_overlay"), F.lit(ring.first_source))
     named = joined.withColumn("overlay", F.when(F.col("is_entity"), entity_overlay).otherwise(F.col("overlay")))
     shown = F.when(F.col("is_entity"), F.coalesce("display", F.lit("[multiple]"))).otherwise(F.col("overlay"))
     pair_bytes = catalogue.profile.textures.widest + catalogue.profile.regions.widest + ring.sources.widest

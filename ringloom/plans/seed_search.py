@@ -28,7 +28,8 @@ from ringloom.operators.ring import look_up, prepare_ring
 
 MAX_TASK_ROWS = 2_000_000
 SEEDS_PER_BATCH = 256
-PROBES_PER_STEP = 1 << 20
+CELLS_PER_STEP = 1 << 22  # seeds times sources, or seeds times probes, held at once
+SEEDS_PER_CHUNK = 4096
 
 
 def _filter_text(text: str) -> str:
@@ -91,7 +92,7 @@ def _accepted(
     alive = np.ones(len(seeds), bool)
     for cid, (tail, power) in enumerate(probes):
         met = np.zeros(len(seeds), bool)
-        step = max(1, PROBES_PER_STEP // max(1, len(seeds)))
+        step = max(1, CELLS_PER_STEP // len(seeds))
         for start in range(0, len(tail), step):
             open_ = np.flatnonzero(alive & ~met)
             if not len(open_):
@@ -131,13 +132,14 @@ def _search_by_seed(
         rows = probe[probe["cid"] == cid]
         probes.append((rows["tail"].to_numpy(np.uint32), _powers(rows["units"].to_numpy())))
     shared = spark.sparkContext.broadcast((source_tail, source_power, qualifies, probes))
+    together = max(1, min(SEEDS_PER_BATCH, CELLS_PER_STEP // len(ring)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         constants = shared.value
         for batch in batches:
             ids = batch["id"].to_numpy(np.int64)
-            for start in range(0, len(ids), SEEDS_PER_BATCH):
-                yield pd.DataFrame({"seed": _accepted(ids[start : start + SEEDS_PER_BATCH], *constants)})
+            for start in range(0, len(ids), together):
+                yield pd.DataFrame({"seed": _accepted(ids[start : start + together], *constants)})
 
     return spark.range(seeds.start, seeds.stop, 1, partitions).mapInPandas(search, "seed bigint")
 
@@ -150,17 +152,22 @@ def _search_by_rows(
     seeds: range,
     max_broadcast_bytes: int | None,
 ) -> DataFrame:
-    every = F.explode(F.sequence(F.lit(seeds.start), F.lit(seeds.stop - 1))).alias("seed")
+    def every_seed(rows: DataFrame) -> DataFrame:
+        """Each row once per seed, in two steps so that no row holds a long seed array and
+        the chunks are spread over all tasks before they are expanded."""
+        first, last = seeds.start, seeds.stop - 1
+        chunks = rows.withColumn("_chunk", F.expr(f"explode(sequence({first}L, {last}L, {SEEDS_PER_CHUNK}L))"))
+        within = f"explode(sequence(_chunk, least(_chunk + {SEEDS_PER_CHUNK - 1}, {last}L)))"
+        return chunks.repartition(*rows.columns, "_chunk").withColumn("seed", F.expr(within)).drop("_chunk")
 
     def head(text: str) -> Column:
         return hash_state(f"concat(seed, '{text}')")
 
-    # Seeds outermost: a range partitions them before each fans out to the catalogue.
-    rings = sources.select("source", "rel", every).withColumn("source_head", head(":overlay:"))
+    rings = every_seed(sources.select("source", "rel")).withColumn("source_head", head(":overlay:"))
     ring = prepare_ring(
         rings, None, by=("seed",), rings=len(seeds), max_broadcast_bytes=max_broadcast_bytes
     )
-    keys = wanted.select("cid", "rel", every).withColumn("head", head(":"))
+    keys = every_seed(wanted.select("cid", "rel")).withColumn("head", head(":"))
     keys = keys.withColumn("pos", ring_position("rel", "head"))
     lowered = F.lower(normalise(F.col("rel")))
     placed = look_up(keys.select("seed", "cid", "pos"), ring, out="source")
@@ -214,7 +221,6 @@ def search_seeds(
     if ring_size.rows == 0:
         return spark.range(0).withColumnRenamed("id", "seed")
     partitions = partitions or spark.sparkContext.defaultParallelism * 4
-    # The vectorised ring of a batch is (seeds per batch) x (sources) words.
-    if ring_size.rows * SEEDS_PER_BATCH // 64 + probe_size.rows <= max_task_rows:
+    if ring_size.rows + probe_size.rows <= max_task_rows:
         return _search_by_seed(spark, sources, wanted, constraints, seeds, partitions)
     return _search_by_rows(spark, sources, wanted, constraints, seeds, max_broadcast_bytes)

@@ -249,8 +249,8 @@ def seed_from_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size")
     shape = [F.col("p_partkey").alias("ord"), F.concat("p_type", F.lit("_top")).alias("name"), F.col("p_type").alias("part"), F.col("p_size").alias("x")]
     own = part.filter("p_size > 44").select(F.col("p_brand").alias("entity_id"), *shape)
-    base = keep_first(part.select(*shape), ["part"], "ord")
-    brands = part.select(F.col("p_brand").alias("entity_id")).distinct()
+    base = keep_first(part.select(*shape), ["part"], "ord").withColumn("template", F.lit("standard"))
+    brands = part.select(F.col("p_brand").alias("entity_id"), F.lit("standard").alias("template")).distinct()
     return derive.seed_from_base(own, base, brands)
 
 

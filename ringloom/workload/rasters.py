@@ -231,14 +231,13 @@ REGIONS = (
 def bulk_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image is an entity texture: four regions, each with its own source."""
     targets = _with_parameters(_labels(spark, sf_dir)).selectExpr("*", "concat('t', img) AS target", "concat('t', img) AS texture")
-    values = ", ".join(
-        "(" + ", ".join("CAST(NULL AS STRING)" if v is None else repr(v) for v in r) + ")" for r in REGIONS
+    names = ("region_ord", "name", "x", "y", "width", "height", "flip", "rotate")
+    regions = ", ".join(
+        "struct(" + ", ".join(f"{'CAST(NULL AS STRING)' if v is None else repr(v)} AS {n}" for n, v in zip(names, r)) + ")"
+        for r in REGIONS
     )
-    regions = spark.sql(f"SELECT * FROM VALUES {values} AS v(region_ord, name, x, y, width, height, flip, rotate)")
-    keyed = targets.select("texture").withColumn("one", F.lit(1)).join(
-        F.broadcast(regions.withColumn("one", F.lit(1))), "one"
-    ).withColumn("rel", F.concat_ws(":", "texture", "name"))
-    faces = assign_targets(keyed, _ring(spark, sf_dir), SEED).drop("rel", "one", "name")
+    keyed = targets.selectExpr("texture", f"inline(array({regions}))").withColumn("rel", F.concat_ws(":", "texture", "name"))
+    faces = assign_targets(keyed, _ring(spark, sf_dir), SEED).drop("rel", "name")
     images = targets.join(_rasters(spark, sf_dir).withColumnRenamed("vec_id", "img"), "img").selectExpr(
         "*", "false AS has_anim", "8 AS tex_w", "8 AS tex_h"
     )

@@ -220,7 +220,8 @@ def test_seed_search_plans_agree_with_brute_force(spark, monkeypatch, constraint
 
     want = [s for s in seeds if accepted(s)]
     monkeypatch.setattr(seed_search, "SEEDS_PER_BATCH", 16)
-    monkeypatch.setattr(seed_search, "PROBES_PER_STEP", 64)
+    monkeypatch.setattr(seed_search, "CELLS_PER_STEP", 200)
+    monkeypatch.setattr(seed_search, "SEEDS_PER_CHUNK", 7)
     fast = search_seeds(spark, df, t, constraints, seeds)
     general = search_seeds(spark, df, t, constraints, seeds, max_task_rows=0)
     shuffled = search_seeds(spark, df, t, constraints, seeds, max_task_rows=0, max_broadcast_bytes=0)
