@@ -7,10 +7,19 @@ is a bigint in ``[0, 2**32)``.
 The polynomial is resumable: hashing ``a || b`` equals hashing ``b`` from the state
 that ``a`` left. Keys with a common head are therefore hashed head first, once, and
 only the tail is hashed per row (see ``init``). Text arguments are SQL expressions.
+
+There are two evaluations of the same function. The expressions stay in the JVM and take
+their start state from a column; use them for small sides and short tails. The ``batched``
+ones hash whole Arrow batches column-wise; on long paths they measured an order of magnitude
+faster, and the hash is the one costly step per target.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,7 +69,7 @@ def ring_position(text: str, init: int | str = 0) -> Column:
     the fold is evaluated once per row. The outer ``coalesce`` makes the value non-nullable:
     no ``isnotnull`` copy of the fold is pushed into a scan filter.
     """
-    return F.expr(f"coalesce({_fold(text, init, _mix('h'))}, 0L)")
+    return F.expr(f"coalesce({_fold(text, init, _mix('h'))}, {_mix(f'CAST({init} AS BIGINT)')}, 0L)")
 
 
 def literal_state(text: str, init: int = 0) -> int:
@@ -72,6 +81,64 @@ def literal_state(text: str, init: int = 0) -> int:
     return state
 
 
+def _code_units(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-16 code units of a string array, and where each string starts (n + 1 offsets)."""
+    text = text.cast(pa.string())
+    _, offsets, data = text.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    raw = raw[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    if not len(raw) or raw.max() < 0x80:
+        return raw, bounds
+    # Units per byte: none for a continuation byte, two for the lead of a four-byte sequence.
+    units = np.where(raw >= 0xF0, 2, np.where((raw & 0xC0) == 0x80, 0, 1))
+    at = np.concatenate([[0], np.cumsum(units)])
+    return np.frombuffer(raw.tobytes().decode().encode("utf-16-le"), "<u2"), at[bounds]
+
+
+def _batch_states(text: pa.Array, init: int) -> np.ndarray:
+    """States of a string array: one step per character position over all strings that long."""
+    units, bounds = _code_units(text)
+    lengths = np.diff(bounds)
+    order = np.argsort(-lengths, kind="stable")
+    start, sorted_lengths = bounds[:-1][order], lengths[order]
+    running = np.full(len(lengths), init, np.uint32)
+    longest = int(sorted_lengths[0]) if len(lengths) else 0
+    alive = np.searchsorted(-sorted_lengths, -np.arange(longest), side="left")
+    for i in range(longest):
+        n = alive[i]
+        running[:n] = running[:n] * np.uint32(FACTOR) + units[start[:n] + i]
+    states = np.empty_like(running)
+    states[order] = running
+    return states
+
+
+def final_array(h: np.ndarray) -> np.ndarray:
+    """Finalizer of a uint32 array."""
+    h = h ^ (h >> np.uint32(16))
+    h = h * np.uint32(FINAL_MULTIPLIER)
+    return h ^ (h >> np.uint32(16))
+
+
+def _batched(text: str, finish: Callable[[np.ndarray], np.ndarray], init: int) -> Column:
+    def evaluate(batch: pa.Array) -> pa.Array:
+        # A null is an empty string here and keeps the start state.
+        return pa.array(finish(_batch_states(batch.fill_null(""), init)).astype(np.int64))
+
+    # The type hints select the array-to-array form of the UDF.
+    evaluate.__annotations__ = {"batch": pa.Array, "return": pa.Array}
+    return F.arrow_udf(evaluate, "bigint")(F.expr(text))
+
+
+def batched_state(text: str, init: int = 0) -> Column:
+    return _batched(text, lambda h: h, init)
+
+
+def batched_position(text: str, init: int = 0) -> Column:
+    return _batched(text, final_array, init)
+
+
 def string_seed(text: str) -> Column:
     """Signed 32-bit string hash code."""
     return F.expr(f"coalesce({_fold(text, 0, 'h - IF(h >= 2147483648, 4294967296, 0)')}, 0L)")

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.functions.hashing import hash_final, hash_state, ring_position, target_state
+from ringloom.functions.hashing import (
+    batched_position,
+    batched_state,
+    hash_final,
+    hash_state,
+    ring_position,
+    target_state,
+)
 from ringloom.operators.catalog import Catalogue, hinted, texture_owners
 from ringloom.operators.ring import Ring, look_up
 
@@ -13,9 +20,19 @@ FACE_MODES = ("same", "different")
 TEXTURE_MODES = ("shared", "separate")
 
 
+def target_position(targets: DataFrame, seed: int, rel: str = "rel") -> Column:
+    """Ring position of each target.
+
+    Hashed in Arrow batches, except for rows that carry rasters: those would be copied past
+    the Python worker for the sake of one number.
+    """
+    carries_pixels = any(kind == "binary" for _, kind in targets.dtypes)
+    return (ring_position if carries_pixels else batched_position)(rel, target_state(seed))
+
+
 def assign_targets(targets: DataFrame, ring: Ring, seed: int, rel: str = "rel") -> DataFrame:
     """``targets`` plus ``overlay``; the key is ``{seed}:{rel}``."""
-    keyed = targets.withColumn("pos", ring_position(rel, target_state(seed)))
+    keyed = targets.withColumn("pos", target_position(targets, seed, rel))
     return look_up(keyed, ring).drop("pos")
 
 
@@ -27,7 +44,7 @@ def assign_frames(
     Frame 0, and every frame when ``per_frame`` is off, keeps the target's own key; frame
     ``f`` appends ``:{f}``. The path is hashed once per target, the tail once per frame.
     """
-    state = targets.withColumn("state", hash_state(rel, target_state(seed)))
+    state = targets.withColumn("state", batched_state(rel, target_state(seed)))
     frames = state.withColumn("frame", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)))
     tail = "IF(frame = 0, '', concat(':', frame))" if per_frame else "''"
     keyed = frames.withColumn("tail", F.expr(tail)).withColumn("pos", ring_position("tail", "state"))

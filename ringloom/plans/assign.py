@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.functions.geometry import frame_count
-from ringloom.functions.hashing import ring_position, target_state
 from ringloom.operators import sizing
-from ringloom.operators.assign import assign_entities, assign_frames, assign_targets, primary_overlays
+from ringloom.operators.assign import (
+    assign_entities,
+    assign_frames,
+    assign_targets,
+    primary_overlays,
+    target_position,
+)
 from ringloom.operators.catalog import Catalogue, hinted, texture_owners
 from ringloom.operators.classify import classify_targets
 from ringloom.operators.ring import Ring, look_up, prepare_ring
@@ -84,7 +89,7 @@ def build_assignments(
     faces = assign_entities(catalogue, ring, seed, face_mode, texture_mode)
     # One pass: a regular target has a ring position, an entity one a texture; each join
     # leaves the other kind's columns null.
-    position = F.when(~F.col("is_entity"), ring_position("rel", target_state(seed)))
+    position = F.when(~F.col("is_entity"), target_position(targets, seed))
     placed = look_up(classified.withColumn("pos", position), ring)
     summary = primary_overlays(faces, ["texture"]).withColumnRenamed("overlay", "face_overlay")
     sizes = catalogue.entities.select("entity_id", "tex_w", "tex_h")

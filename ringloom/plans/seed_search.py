@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringloom.functions.hashing import FACTOR, FINAL_MULTIPLIER, hash_state, literal_state, ring_position
+from ringloom.functions.hashing import FACTOR, final_array, hash_state, literal_state, ring_position
 from ringloom.functions.paths import normalise
 from ringloom.operators import sizing
 from ringloom.operators.ring import look_up, prepare_ring
@@ -67,12 +67,6 @@ def _powers(units: np.ndarray) -> np.ndarray:
     return result
 
 
-def _finalise(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint32(16))
-    h = h * np.uint32(FINAL_MULTIPLIER)
-    return h ^ (h >> np.uint32(16))
-
-
 def _accepted(
     seeds: np.ndarray,
     source_tail: np.ndarray,
@@ -84,7 +78,7 @@ def _accepted(
     states = np.array([literal_state(str(s)) for s in seeds], np.uint32)
     n = len(source_tail)
     with np.errstate(over="ignore"):
-        ring = _finalise(states[:, None] * source_power[None, :] + source_tail[None, :])
+        ring = final_array(states[:, None] * source_power[None, :] + source_tail[None, :])
     order = np.argsort(ring, axis=1, kind="stable")
     row = np.arange(len(seeds), dtype=np.uint64) << np.uint64(32)
     # One search over all rings: the seed's row number is the high half of the sort key.
@@ -99,7 +93,7 @@ def _accepted(
                 break
             part = slice(start, start + step)
             with np.errstate(over="ignore"):
-                pos = _finalise(states[open_, None] * power[None, part] + tail[None, part])
+                pos = final_array(states[open_, None] * power[None, part] + tail[None, part])
             at = np.searchsorted(flat, row[open_, None] | pos.astype(np.uint64)) - open_[:, None] * n
             source = np.take_along_axis(order[open_], np.where(at == n, 0, at), 1)
             met[open_] = qualifies[cid][source].any(axis=1)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ringloom.functions.hashing import hash_final, hash_state, literal_state, parse_seed, ring_position, seed_from_text
+from ringloom.functions.hashing import batched_position, batched_state, hash_final, hash_state, literal_state, parse_seed, ring_position, seed_from_text
 from ringloom.operators import affix, sizing
 from ringloom.operators.affix import longest_affix
 from ringloom.operators.assign import assign_frames, assign_targets
@@ -48,6 +48,18 @@ def test_known_hashes(spark):
     assert all(literal_state(s) == a and final(a) == f for s, a, f in KNOWN)
 
 
+def test_batched_hash_equals_expression(spark):
+    rng = random.Random(8)
+    alphabet = "ab/é漢😀\u0000 "
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30))) for _ in range(500)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").repartition(3)
+    pairs = df.select(
+        (batched_state("s", 77) == hash_state("s", 77)).alias("state"),
+        (batched_position("s", 77) == ring_position("s", 77)).alias("position"),
+    )
+    assert [tuple(r) for r in pairs.distinct().collect()] == [(True, True)]
+
+
 def test_hash_is_resumable(spark):
     words = ["", "a", "seed:", "漢😀", "x/y.png", "\\n", "a'b"]
     df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
