@@ -19,6 +19,12 @@ from ringloom.operators import sizing
 MAX_PROBES = 8
 
 
+def length_stats(pattern: str) -> list[Column]:
+    """Aggregates: least positive length and number of distinct positive lengths."""
+    length = F.nullif(F.length(pattern), F.lit(0))
+    return [F.min(length).alias("shortest"), F.count_distinct(length).alias("lengths")]
+
+
 def longest_affix(
     texts: DataFrame,
     text: str,
@@ -27,13 +33,15 @@ def longest_affix(
     side: str,
     key: str,
     small: bool | None = None,
+    lengths_known: tuple[int | None, int] | None = None,
     max_broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """``texts`` plus the columns of its longest matching pattern row (null if none).
 
     ``patterns[pattern]`` must be unique; empty patterns never match. ``key`` identifies a
     row of ``texts``. ``small`` says whether the patterns were already measured to fit a
-    broadcast.
+    broadcast, ``lengths_known`` gives their least length and number of distinct lengths
+    (those of a superset will do).
     """
     if side not in ("prefix", "suffix"):
         raise ValueError(f"unknown side: {side}")
@@ -45,12 +53,12 @@ def longest_affix(
 
     payload = [c for c in patterns.columns if c != pattern]
     rows = patterns.filter(F.length(pattern) > 0)
-    found = sizing.size_row(
-        rows, F.min(F.length(pattern)).alias("shortest"), F.count_distinct(F.length(pattern)).alias("lengths")
-    ).first()
-    shortest, most = found["shortest"], found["lengths"]
-    if small is None:
-        small = sizing.Size(found["n"], found["b"]).fits(max_broadcast_bytes)
+    if small is None or lengths_known is None:
+        found = sizing.size_row(rows, *length_stats(pattern)).first()
+        lengths_known = found["shortest"], found["lengths"]
+        if small is None:
+            small = sizing.Size(found["n"], found["b"]).fits(max_broadcast_bytes)
+    shortest, most = lengths_known
     if shortest is None:
         return texts.select("*", *[F.lit(None).cast(t).alias(n) for n, t in patterns.dtypes])
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.operators import sizing
+from ringloom.operators.affix import length_stats
 
 REGION_COLUMNS = ["name", "x", "y", "width", "height", "flip", "rotate"]
 
@@ -30,6 +31,7 @@ class Profile:
     entities: sizing.Size
     regions: sizing.Size
     textures: sizing.Size
+    texture_lengths: tuple[int | None, int]  # least and number of distinct path lengths
 
     def fits(self, *parts: str) -> bool:
         return all(getattr(self, p).fits() for p in parts)
@@ -46,10 +48,15 @@ class Catalogue:
         rows = (
             sizing.size_row(self.entities).withColumn("k", F.lit("entities"))
             .unionByName(sizing.size_row(self.regions).withColumn("k", F.lit("regions")))
-            .unionByName(sizing.size_row(self.textures).withColumn("k", F.lit("textures")))
+            .unionByName(
+                sizing.size_row(self.textures, *length_stats("texture")).withColumn("k", F.lit("textures")),
+                allowMissingColumns=True,
+            )
             .collect()  # three rows
         )
-        return Profile(**{r["k"]: sizing.Size(r["n"], r["b"], r["w"]) for r in rows})
+        found = {r["k"]: r for r in rows}
+        sizes = {k: sizing.Size(r["n"], r["b"], r["w"]) for k, r in found.items()}
+        return Profile(**sizes, texture_lengths=(found["textures"]["shortest"], found["textures"]["lengths"]))
 
     @cached_property
     def face_rows(self) -> int:

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from ringloom.functions.paths import normalise
 from ringloom.operators.affix import longest_affix
+from ringloom.operators.catalog import Profile
 
 
 def classify_targets(
-    targets: DataFrame, owners: DataFrame, small: bool | None = None
+    targets: DataFrame, owners: DataFrame, profile: Profile | None = None
 ) -> DataFrame:
     """``targets(target, ...)`` plus ``texture``, ``entity_id`` and ``is_entity``.
 
     A target is an entity texture if its path ends with a catalogue texture path. There is
-    no folder-boundary check; of several matches the longest wins.
+    no folder-boundary check; of several matches the longest wins. ``profile`` is that of the catalogue the owners
+    come from.
     """
     patterns = (
         owners.withColumn("_norm", normalise(F.col("texture")))
@@ -24,7 +26,8 @@ def classify_targets(
         .select("_norm", "_o.texture", "_o.entity_id")
     )
     probe = targets.withColumn("_path", normalise(F.col("target")))
-    matched = longest_affix(probe, "_path", patterns, "_norm", "suffix", "target", small)
+    known = (profile.fits("textures"), profile.texture_lengths) if profile else (None, None)
+    matched = longest_affix(probe, "_path", patterns, "_norm", "suffix", "target", *known)
     return matched.drop("_path", "_norm").withColumn("is_entity", F.col("entity_id").isNotNull())
 
 

@@ -15,8 +15,21 @@ def unpack(data: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width, 4)
 
 
+_WEIGHTS: dict[tuple[int, int], np.ndarray] = {}
+MAX_CACHED_WEIGHTS = 256
+
+
 def axis_weights(size: int, out: int) -> np.ndarray:
     """``(out, size)`` integer weights as float64; each row sums to the axis total."""
+    found = _WEIGHTS.get((size, out))
+    if found is None:
+        if len(_WEIGHTS) >= MAX_CACHED_WEIGHTS:
+            _WEIGHTS.clear()
+        found = _WEIGHTS[(size, out)] = _axis_weights(size, out)
+    return found
+
+
+def _axis_weights(size: int, out: int) -> np.ndarray:
     i = np.arange(out, dtype=np.int64)[:, None]
     j = np.arange(size, dtype=np.int64)[None, :]
     if out <= size:

@@ -85,7 +85,7 @@ def build_assignments(
             ).limit(0),
         )
     fits = catalogue.profile.fits
-    classified = classify_targets(targets, texture_owners(catalogue), fits("textures"))
+    classified = classify_targets(targets, texture_owners(catalogue), catalogue.profile)
     faces = assign_entities(catalogue, ring, seed, face_mode, texture_mode)
     # One pass: a regular target has a ring position, an entity one a texture; each join
     # leaves the other kind's columns null.

@@ -85,14 +85,17 @@ def _entity_assign(face_mode: str, texture_mode: str):
     return run
 
 
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue = customer_catalogue(spark, sf_dir)
+    return classify_targets(documents(spark, sf_dir), texture_owners(catalogue), catalogue.profile)
+
+
 def classify_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owners = texture_owners(customer_catalogue(spark, sf_dir))
-    return classify_targets(documents(spark, sf_dir), owners).select("doc_id", "texture", "entity_id", "is_entity")
+    return _classified(spark, sf_dir).select("doc_id", "texture", "entity_id", "is_entity")
 
 
 def classify_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owners = texture_owners(customer_catalogue(spark, sf_dir))
-    return classification_totals(classify_targets(documents(spark, sf_dir), owners))
+    return classification_totals(_classified(spark, sf_dir))
 
 
 def primary_and_display(spark: SparkSession, sf_dir: str) -> DataFrame:
