@@ -31,9 +31,13 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
 
 
+# Prefixes a block model or texture name may carry, in the order they are dropped.
+NAME_PREFIXES = ("minecraft:block/", "block/")
+
+
 def strip_namespace(name: Column) -> Column:
-    """Drop one leading ``minecraft:block/`` and then one leading ``block/``."""
-    return F.regexp_replace(name, "^(minecraft:block/)?(block/)?", "")
+    """Drop each of the name prefixes once, in order."""
+    return F.regexp_replace(name, "^" + "".join(f"({p})?" for p in NAME_PREFIXES), "")
 
 
 def lower_contains(haystack: Column, needle: str | Column) -> Column:

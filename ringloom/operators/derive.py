@@ -17,7 +17,7 @@ from ringloom.functions.geometry import (
     face_region_name,
     quad_rectangle,
 )
-from ringloom.functions.paths import strip_namespace
+from ringloom.functions.paths import NAME_PREFIXES, strip_namespace
 from ringloom.operators import sizing
 from ringloom.operators.catalog import append_after, keep_first
 from ringloom.operators.lineage import cut_lineage
@@ -72,11 +72,12 @@ def carry_forward(
     )
 
 
-def faces_of_cuboids(cuboids: DataFrame) -> DataFrame:
+def faces_of_cuboids(cuboids: DataFrame, keep_part: bool = False) -> DataFrame:
     """Regions of ``cuboids(entity_id, ord, part, idx, u, v, sx, sy, sz)``.
 
     Parts keep the order of their first cuboid. A part's cuboid count decides whether its
-    names carry an index. Faces with an empty side are dropped.
+    names carry an index. Faces with an empty side are dropped. ``keep_part`` keeps the part
+    as a column.
     """
     parts = cuboids.groupBy("entity_id", "part").agg(
         F.count(F.lit(1)).alias("in_part"), F.min("ord").alias("first_ord")
@@ -100,6 +101,7 @@ def faces_of_cuboids(cuboids: DataFrame) -> DataFrame:
         "height",
         F.lit(None).cast("string").alias("flip"),
         F.lit(None).cast("string").alias("rotate"),
+        *(["part"] if keep_part else []),
     )
 
 
@@ -317,9 +319,7 @@ def animated_model_textures(
     """
     listed = templates.select(strip_namespace(F.col("template")).alias("_t"))
     accepted = listed.select(
-        F.explode(
-            F.array(F.concat(F.lit("block/"), "_t"), F.concat(F.lit("minecraft:block/"), "_t"))
-        ).alias("parent")
+        F.explode(F.array(*[F.concat(F.lit(p), "_t") for p in NAME_PREFIXES])).alias("parent")
     )
     used = (
         models.join(sizing.broadcast_if_small(accepted.distinct()), "parent", "left_semi")

@@ -84,10 +84,11 @@ def priority_score(path: Column, patterns: tuple[str, ...] = PRIORITY_PATTERNS)
 
 def priority_top(
     assignments: DataFrame,
-    order: str,
+    order: str | list[str],
     count: int = 200,
     patterns: tuple[str, ...] = PRIORITY_PATTERNS,
 ) -> DataFrame:
     """The first ``count`` rows by (score, ``order``): per-task top-k, then one merge."""
+    order = [order] if isinstance(order, str) else order
     scored = assignments.withColumn("score", priority_score(F.col("target"), patterns))
-    return scored.orderBy("score", order).limit(count)
+    return scored.orderBy("score", *order).limit(count)

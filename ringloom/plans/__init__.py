@@ -1 +1 @@
-"""What a user calls: whole pipelines composed from the operators."""
+"""What a user calls: whole runs composed from the operators."""

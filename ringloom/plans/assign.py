@@ -20,6 +20,7 @@ from ringloom.operators.assign import (
 from ringloom.operators.catalog import Catalogue, hinted, texture_owners
 from ringloom.operators.classify import classify_targets
 from ringloom.operators.ring import Ring, look_up, prepare_ring
+from ringloom.operators.search import PRIORITY_PATTERNS, of_kind, priority_top, text_filter
 
 
 @dataclass(frozen=True)
@@ -108,6 +109,21 @@ def build_assignments(
     return Assignments(named.withColumn("display", shown).select(*kinds), faces, faces_fit, fits("textures"))
 
 
+def preview_list(
+    built: Assignments,
+    kind: str = "all",
+    text: str = "",
+    count: int = 200,
+    patterns: tuple[str, ...] = PRIORITY_PATTERNS,
+) -> DataFrame:
+    """The first ``count`` assignments of a kind that match a text, by priority.
+
+    Within one score regular targets come first, then by path.
+    """
+    shown = text_filter(of_kind(built.targets, kind), built.faces, text, built.textures_fit)
+    return priority_top(shown, ["is_entity", "target"], count, patterns)
+
+
 def zip_faces(nested: DataFrame) -> DataFrame:
     """Long form of ``nested(target, regions array, overlays array)``: paired position by
     position, to the shorter length."""

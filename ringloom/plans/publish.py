@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -13,6 +12,7 @@ from ringloom.functions.geometry import frame_count
 from ringloom.operators import sizing
 from ringloom.operators.assign import assign_frames
 from ringloom.operators.catalog import DEFAULT_MERGES, Catalogue, merge_halves
+from ringloom.operators.lineage import shared_folder
 from ringloom.operators.overrides import resolve_parameters
 from ringloom.operators.ring import Ring, prepare_ring
 from ringloom.plans import compose
@@ -33,9 +33,8 @@ class Inputs:
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names; a temporary one only where none is."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/ringloom-{uuid.uuid4().hex}"
+    """A new folder below the shared one the cluster names."""
+    return f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
 
 
 def load_catalogue(spark: SparkSession, folder: str) -> Catalogue | None:

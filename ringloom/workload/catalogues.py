@@ -9,15 +9,14 @@ from ringloom.functions.geometry import fit_box, region_bounds
 from ringloom.operators import derive
 from ringloom.operators.catalog import (
     Catalogue,
-    catalogue_totals,
     distinct_in_order,
-    entities_without_textures,
     keep_first,
     merge_halves,
-    shared_textures,
     texture_owners,
 )
 from ringloom.operators.overrides import match_rules, resize_targets, resolve_parameters
+from ringloom.plans.audit import audit_catalogue
+from ringloom.plans.derivation import Edits, derive_regions
 from ringloom.sources.catalog_json import entity_documents, parse_catalogue, parse_rules
 from ringloom.sources.harvest import harvest_paths
 from ringloom.sources.params import manifest_documents, parse_parameters
@@ -94,7 +93,7 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_textures(part_catalogue(spark, sf_dir).textures)
+    return audit_catalogue(part_catalogue(spark, sf_dir)).shared
 
 
 def _nation_catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
@@ -115,12 +114,11 @@ def _nation_catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
 
 
 def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue = _nation_catalogue(spark, sf_dir)
-    return entities_without_textures(catalogue.entities, catalogue.textures)
+    return audit_catalogue(_nation_catalogue(spark, sf_dir)).missing
 
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue_totals(_nation_catalogue(spark, sf_dir))
+    return audit_catalogue(_nation_catalogue(spark, sf_dir)).totals
 
 
 MERGES = (
@@ -187,45 +185,63 @@ def keep_first_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.first_per_oriented_rectangle(tagged).select(*_OUT, "flip")
 
 
-def tag_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orientation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = table(spark, sf_dir, "part", "p_brand").distinct().select(F.col("p_brand").alias("entity_id"))
-    rules = brands.select(
+    none = "CAST(NULL AS STRING)"
+    return brands.selectExpr(
         "entity_id",
-        F.inline(
-            F.expr(
-                "array(struct(0 AS rank, 'PROMO_0_top' AS name, true AS whole, cast(null as string) AS except_name, 'hv' AS flip, cast(null as string) AS rotate),"
-                "struct(1 AS rank, 'PROMO_' AS name, false AS whole, 'PROMO_1_top' AS except_name, 'v' AS flip, cast(null as string) AS rotate),"
-                "struct(2 AS rank, 'SMALL_0_right' AS name, true AS whole, cast(null as string) AS except_name, cast(null as string) AS flip, 'cw' AS rotate))"
-            )
-        ),
+        "inline(array("
+        f"struct(0 AS rank, 'PROMO_0_top' AS name, true AS whole, {none} AS except_name, 'hv' AS flip, {none} AS rotate),"
+        f"struct(1 AS rank, 'PROMO_' AS name, false AS whole, 'PROMO_1_top' AS except_name, 'v' AS flip, {none} AS rotate),"
+        f"struct(2 AS rank, 'SMALL_0_right' AS name, true AS whole, {none} AS except_name, {none} AS flip, 'cw' AS rotate)))",
     )
-    return derive.tag_orientation(_faces(spark, sf_dir), rules).select(*_OUT, "flip", "rotate")
 
 
-def mirror_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = table(spark, sf_dir, "part", "p_brand", "p_size").groupBy(F.col("p_brand").alias("entity_id")).agg(
+def _sheet_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part", "p_brand", "p_size").groupBy(F.col("p_brand").alias("entity_id")).agg(
         (F.max("p_size") + 64).alias("tex_w")
     )
-    rules = entities.select(
+
+
+def _mirror_rules(entities: DataFrame) -> DataFrame:
+    return entities.selectExpr(
         "entity_id",
-        F.inline(
-            F.expr(
-                "array(struct('LARGE_0_' AS old, 'LEFT_0_' AS new, true AS mirror, cast(null as string) AS unless),"
-                "struct('SMALL_1_' AS old, 'SAME_1_' AS new, false AS mirror, 'PROMO_0_top' AS unless))"
-            )
-        ),
+        "inline(array(struct('LARGE_0_' AS old, 'LEFT_0_' AS new, true AS mirror, CAST(NULL AS STRING) AS unless),"
+        "struct('SMALL_1_' AS old, 'SAME_1_' AS new, false AS mirror, 'PROMO_0_top' AS unless)))",
     )
-    return derive.mirror_parts(_faces(spark, sf_dir), rules, entities).select(*_OUT)
+
+
+def _copy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part", "p_brand").distinct().selectExpr(
+        "p_brand AS entity_id",
+        "'ECONOMY_' AS match",
+        "'ECONOMY_' AS old",
+        "inline(transform(sequence(0, 2), i -> struct(i AS copy, concat('cube', i, '_') AS new, i * 32 AS dx, i * 9 AS dy)))",
+    )
+
+
+def tag_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.tag_orientation(_faces(spark, sf_dir), _orientation_rules(spark, sf_dir)).select(*_OUT, "flip", "rotate")
+
+
+def mirror_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = _sheet_widths(spark, sf_dir)
+    return derive.mirror_parts(_faces(spark, sf_dir), _mirror_rules(entities), entities).select(*_OUT)
 
 
 def replicate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = table(spark, sf_dir, "part", "p_brand").distinct().select(
-        F.col("p_brand").alias("entity_id"),
-        F.lit("ECONOMY_").alias("match"),
-        F.lit("ECONOMY_").alias("old"),
-        F.posexplode(F.array(F.lit("cube0_"), F.lit("cube1_"), F.lit("cube2_"))).alias("copy", "new"),
-    ).withColumn("dx", F.col("copy") * 32).withColumn("dy", F.col("copy") * 9)
-    return derive.replicate_parts(_faces(spark, sf_dir), rules).select(*_OUT)
+    return derive.replicate_parts(_faces(spark, sf_dir), _copy_rules(spark, sf_dir)).select(*_OUT)
+
+
+def derive_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edits in a row: copies, mirrors, tags, then each rectangle once."""
+    entities = _sheet_widths(spark, sf_dir)
+    edits = Edits(
+        replicate=_copy_rules(spark, sf_dir),
+        mirror=_mirror_rules(entities),
+        orientation=_orientation_rules(spark, sf_dir),
+    )
+    return derive_regions(_cuboids(spark, sf_dir), entities, edits).select(*_OUT, "flip", "rotate")
 
 
 def add_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +323,7 @@ def uv_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regex_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct link targets per site, in first-seen order."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("site", F.regexp_extract("url", "//([^/]+)/", 1))
-    found = harvest_paths(pages, "html", 'href="(/[^"]+)"', "minecraft", ["site"], "page_id")
+    found = harvest_paths(pages, "html", 'href="(/[^"]+)"', "site:", ["site"], "page_id")
     return found.select("site", F.col("at._doc").alias("page_id"), F.col("at._pos").alias("position"), "texture")
 
 
@@ -462,6 +478,7 @@ QUERIES = {
     "tag_orientation": tag_orientation,
     "mirror_parts": mirror_parts,
     "replicate_parts": replicate_parts,
+    "derive_catalogue": derive_catalogue,
     "add_rows": add_rows,
     "inherit_parts": inherit_parts,
     "seed_from_base": seed_from_base,
@@ -585,6 +602,15 @@ _COPIES = (
     "SELECT entity_id, c.copy * 4294967296 + ord AS ord, replace(name, 'ECONOMY_', 'cube' || c.copy || '_') AS name, (x + c.copy * 32)::INTEGER AS x, "
     "(y + c.copy * 9)::INTEGER AS y, width, height FROM faces, range(3) c(copy) WHERE starts_with(name, 'ECONOMY_')"
 )
+
+
+def _tagged_sql(regions: str) -> str:
+    return (
+        f"SELECT entity_id, ord, {_NAMED}, CASE WHEN name = 'PROMO_0_top' THEN 'hv' WHEN starts_with(name, 'PROMO_') AND name <> 'PROMO_1_top' THEN 'v' END AS flip, "
+        f"CASE WHEN name = 'SMALL_0_right' THEN 'cw' END AS rotate FROM ({regions})"
+    )
+
+
 _CHAIN = (
     "WITH RECURSIVE nodes AS (SELECT p_partkey::VARCHAR AS name, CASE WHEN p_size = 1 THEN p_partkey::VARCHAR WHEN p_partkey = 0 THEN NULL "
     "ELSE (p_partkey // 3)::VARCHAR END AS parent, p_size > 40 AS has FROM part), "
@@ -655,9 +681,12 @@ ORACLE = {
         "entity_id, x, y, width, height, flip",
         f"entity_id, ord, {_NAMED}, flip",
     ),
-    "tag_orientation": (
-        f"SELECT entity_id, ord, {_NAMED}, CASE WHEN name = 'PROMO_0_top' THEN 'hv' WHEN starts_with(name, 'PROMO_') AND name <> 'PROMO_1_top' THEN 'v' END AS flip, "
-        f"CASE WHEN name = 'SMALL_0_right' THEN 'cw' END AS rotate FROM ({_faces_sql()})"
+    "tag_orientation": _tagged_sql(_faces_sql()),
+    "derive_catalogue": (
+        f"WITH faces0 AS MATERIALIZED ({_faces_sql()}), faces AS MATERIALIZED ("
+        + _after_sql("SELECT * FROM faces0 WHERE NOT starts_with(name, 'ECONOMY_')", _COPIES.replace("FROM faces", "FROM faces0"), _NAMED)
+        + f"), mirrored AS MATERIALIZED ({_after_sql('SELECT * FROM faces', _MIRRORED, _NAMED)}) "
+        + _first_sql(_tagged_sql("SELECT * FROM mirrored"), "entity_id, x, y, width, height", f"entity_id, ord, {_NAMED}, flip, rotate")
     ),
     "mirror_parts": f"WITH faces AS ({_faces_sql()}) {_after_sql('SELECT * FROM faces', _MIRRORED, _NAMED)}",
     "replicate_parts": (
@@ -688,7 +717,7 @@ ORACLE = {
         "WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     ),
     "regex_harvest": (
-        "SELECT site, page_id, position, 'minecraft' || hit AS texture FROM (SELECT *, row_number() OVER (PARTITION BY site, hit ORDER BY page_id, position) AS rn FROM ("
+        "SELECT site, page_id, position, 'site:' || hit AS texture FROM (SELECT *, row_number() OVER (PARTITION BY site, hit ORDER BY page_id, position) AS rn FROM ("
         "SELECT regexp_extract(url, '//([^/]+)/', 1) AS site, page_id, unnest(hits) AS hit, unnest(range(len(hits)))::INTEGER AS position FROM "
         "(SELECT page_id, url, regexp_extract_all(html, 'href=\"(/[^\"]+)\"', 1) AS hits FROM pages))) WHERE rn = 1"
     ),

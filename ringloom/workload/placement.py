@@ -11,7 +11,7 @@ from ringloom.operators.classify import classification_totals, classify_targets
 from ringloom.operators.catalog import texture_owners
 from ringloom.operators.ring import prepare_ring
 from ringloom.operators.search import of_kind, priority_top, reverse_lookup, text_filter
-from ringloom.plans.assign import build_assignments
+from ringloom.plans.assign import build_assignments, preview_list
 from ringloom.plans.seed_search import search_seeds
 from ringloom.workload.tables import (
     DOCUMENTS_SQL,
@@ -144,6 +144,12 @@ def priority_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priority_top(parts, "p_partkey", 200, PATTERNS)
 
 
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty first entity targets on a matching source, by priority."""
+    top = preview_list(_assignments(spark, sf_dir), "entity", "0001", 50, ("src1/", "/en/"))
+    return top.select("target", "overlay", "score")
+
+
 def seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "url").select(F.col("url").alias("rel"))
     return search_seeds(spark, suppliers(spark, sf_dir), pages, SEARCH_CONSTRAINTS, SEARCH_SEEDS)
@@ -169,6 +175,7 @@ QUERIES = {
     "reverse_lookup_exact": _reverse("supplier#000000007", True),
     "reverse_lookup_contains": _reverse("00002", False),
     "priority_topk": priority_topk,
+    "preview_list": preview,
     "seed_search": seed_search,
 }
 
@@ -301,6 +308,11 @@ ORACLE = {
         + " ".join(f"WHEN contains(lower(p_brand || '/' || p_name), '{p}') THEN {i}" for i, p in enumerate(PATTERNS))
         + f" ELSE {len(PATTERNS)} END::INTEGER AS score FROM part) ORDER BY score, p_partkey LIMIT 200"
     ),
+    "preview_list": (
+        f"{_WITH} SELECT rel AS target, overlay, CASE WHEN contains(lower(rel), 'src1/') THEN 0 WHEN contains(lower(rel), '/en/') THEN 1 ELSE 2 END::INTEGER AS score "
+        "FROM assigned WHERE is_entity AND (contains(lower(rel), '0001') OR contains(lower(overlay), '0001') "
+        "OR rel IN (SELECT target FROM spread WHERE contains(lower(overlay), '0001'))) ORDER BY score, rel LIMIT 50"
+    ),
     "seed_search": (
         f"WITH ring AS MATERIALIZED ({_SEARCH_RING}), keys AS MATERIALIZED ({_SEARCH_KEYS}), "
         "firsts AS (SELECT seed, arg_min(src, pos) AS src FROM ring GROUP BY seed), "
