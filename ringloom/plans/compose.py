@@ -10,13 +10,16 @@ rows until they meet their source.
   resized rectangles travel to the target, where they are blended in order.
 
 Source rasters are broadcast if they were measured to fit; otherwise the join is salted, so
-a source that serves a large share of all patches is spread over tasks.
+a source that serves a large share of all patches is spread over tasks. Either way a source
+enters a task's Python once, not once per patch, and equal rectangles are drawn once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.functions.geometry import region_bounds
@@ -25,12 +28,13 @@ from ringloom.operators import sizing
 from ringloom.operators.rows import map_rows
 
 PARAMETERS = ["scale", "alpha", "overlay_scale", "keep_aspect", "fast_overlay_size"]
-PATCH = ["target", "ord", "xs", "ys", "ws", "hs", "overlay", "flip", "rotate"]
 PATCHES_PER_SALT = 20_000
+DRAWN_BYTES = 64 << 20
 RASTERS = "target string, w int, h int, data binary"
 DRAWN = "target string, ord bigint, xs int, ys int, ws int, hs int, alpha double, pixels binary"
 VERSIONS = "overlay string, size int, sw int, sh int, sdata binary"
 
+
 def regular_patches(frames: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Patches of ``frames(target, w, h, frames, frame, overlay, *parameters)``.
 
@@ -117,36 +121,81 @@ def _source_bytes(sources: DataFrame, sizes: DataFrame) -> int:
     return raw[0] + raw[1] * fixed
 
 
-def with_sources(
+class Painter:
+    """Turns patch rows into drawn rectangles inside one task.
+
+    A rectangle that was drawn before from the same source in the same way is reused; the
+    store is bounded in bytes and emptied when full.
+    """
+
+    def __init__(self, find: Callable[[dict], tuple | None]):
+        self.find = find
+        self.drawn: dict[tuple, np.ndarray] = {}
+        self.held = 0
+
+    def patch(self, row: dict) -> np.ndarray | None:
+        found = self.find(row)
+        if found is None:
+            return None
+        how = [row[c] for c in ("ws", "hs", "flip", "rotate", "keep_aspect", "overlay_scale")]
+        key = (row["overlay"], row["size"], *how)
+        img = self.drawn.get(key)
+        if img is None:
+            width, height, data = found
+            img = kernel.region_patch(kernel.unpack(data, width, height), *how)
+            if self.held > DRAWN_BYTES:
+                self.drawn, self.held = {}, 0
+            self.drawn[key] = img
+            self.held += img.nbytes
+        return img
+
+
+class LastSource:
+    """The source of a run of rows that share it; only the run's first row carries it."""
+
+    def __init__(self) -> None:
+        self.key: tuple | None = None
+        self.source: tuple | None = None
+
+    def __call__(self, row: dict) -> tuple | None:
+        key = (row["overlay"], row["size"], row["salt"])
+        if key != self.key:
+            data = row["sdata"]
+            self.key, self.source = key, None if data is None else (row["sw"], row["sh"], data)
+        return self.source
+
+
+def map_patches(
     patches: DataFrame,
     sources: DataFrame,
+    draw: Callable[[dict, Painter], dict | None],
+    schema: str,
     keep_aspect: bool,
     max_broadcast_bytes: int | None = None,
     patches_per_salt: int = PATCHES_PER_SALT,
 ) -> DataFrame:
-    """``patches`` plus ``(sw, sh, sdata)`` of the version to draw from."""
+    """``draw`` over all patches, each with its source at hand.
+
+    Sources measured to fit are broadcast to the tasks and the patches stay where they are.
+    Otherwise patches and sources meet in a salted join; rows of one (source, salt) follow
+    each other and only the first carries the source's pixels into Python.
+    """
     sized = patches.withColumn("size", _fixed_size())
     versions = source_versions(patches, sources, keep_aspect)
     bound = _source_bytes(sources, sized.select("size").distinct())
-    limit = sizing.BROADCAST_MAX_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
-    if bound <= limit:
-        return sized.join(F.broadcast(versions), ["overlay", "size"], "left").drop("size")
+    if bound <= (sizing.BROADCAST_MAX_BYTES if max_broadcast_bytes is None else max_broadcast_bytes):
+        rows = versions.collect()  # at most ``bound`` bytes of pixels
+        shared = patches.sparkSession.sparkContext.broadcast(
+            {(r["overlay"], r["size"]): (r["sw"], r["sh"], bytes(r["sdata"])) for r in rows}
+        )
+        painter = Painter(lambda row: shared.value.get((row["overlay"], row["size"])))
+        return map_rows(sized, lambda row: draw(row, painter), schema)
     many, one = sizing.salt_hot_keys(sized, versions, "overlay", ["target", "ord"], patches_per_salt)
-    return many.join(one, ["overlay", "salt", "size"], "left").drop("size", "salt")
-
-
-def _draw(row: dict) -> np.ndarray | None:
-    if row["sdata"] is None:
-        return None
-    return kernel.region_patch(
-        kernel.unpack(row["sdata"], row["sw"], row["sh"]),
-        row["ws"],
-        row["hs"],
-        row["flip"],
-        row["rotate"],
-        row["keep_aspect"],
-        row["overlay_scale"],
-    )
+    runs = Window.partitionBy("overlay", "salt", "size").orderBy("target", "ord")
+    met = many.join(one, ["overlay", "salt", "size"], "left").withColumn("_nth", F.row_number().over(runs))
+    first_only = met.withColumn("sdata", F.when(F.col("_nth") == 1, F.col("sdata"))).drop("_nth")
+    painter = Painter(LastSource())
+    return map_rows(first_only, lambda row: draw(row, painter), schema)
 
 
 def _upscaled(row: dict) -> np.ndarray:
@@ -161,15 +210,15 @@ def _area(img: np.ndarray, at: dict) -> np.ndarray:
     return img[at["ys"] : at["ys"] + at["hs"], at["xs"] : at["xs"] + at["ws"]]
 
 
-def _finish_single(row: dict) -> dict:
-    img, patch = _upscaled(row), _draw(row)
+def _finish_single(row: dict, painter: Painter) -> dict:
+    img, patch = _upscaled(row), painter.patch(row)
     if patch is not None:
         kernel.blend(_area(img, row), patch, row["alpha"])
     return _raster(row["target"], img)
 
 
-def _draw_patch(row: dict) -> dict | None:
-    patch = _draw(row)
+def _draw_patch(row: dict, painter: Painter) -> dict | None:
+    patch = painter.patch(row)
     if patch is None:
         return None
     kept = {c: row[c] for c in ("target", "ord", "xs", "ys", "ws", "hs", "alpha")}
@@ -190,7 +239,7 @@ def _finish_layers(row: dict) -> dict:
 
 def _with_layers(targets: DataFrame, patches: DataFrame, sources: DataFrame, keep_aspect: bool, **sizes) -> DataFrame:
     """``targets`` plus their drawn patches as one array: what makes up one output image."""
-    drawn = map_rows(with_sources(patches, sources, keep_aspect, **sizes), _draw_patch, DRAWN)
+    drawn = map_patches(patches, sources, _draw_patch, DRAWN, keep_aspect, **sizes)
     layers = drawn.groupBy("target").agg(
         F.collect_list(F.struct("ord", "xs", "ys", "ws", "hs", "alpha", "pixels")).alias("layers")
     )
@@ -205,7 +254,7 @@ def composite_single(
     ``patches`` carry ``(w, h, data)`` of their target, so with broadcast sources no pixel is
     shuffled at all.
     """
-    return map_rows(with_sources(patches, sources, keep_aspect, **sizes), _finish_single, RASTERS)
+    return map_patches(patches, sources, _finish_single, RASTERS, keep_aspect, **sizes)
 
 
 def composite_patches(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ringloom.functions.geometry import frame_count
 from ringloom.operators import sizing
 from ringloom.operators.assign import assign_frames
-from ringloom.operators.catalog import DEFAULT_MERGES, Catalogue, merge_halves
+from ringloom.operators.catalog import DEFAULT_MERGES, Catalogue, hinted, merge_halves
 from ringloom.operators.lineage import shared_folder
 from ringloom.operators.overrides import resolve_parameters
 from ringloom.operators.ring import Ring, prepare_ring
@@ -90,7 +90,7 @@ def stage_inputs(spark: SparkSession, params: RunParameters, staging: str) -> In
     faces = built.faces
     if catalogue is not None:
         shape = catalogue.regions.withColumnRenamed("ord", "region_ord").drop("name")
-        faces = faces.join(shape, ["entity_id", "region_ord"])
+        faces = hinted(faces.join(shape, ["entity_id", "region_ord"]), built.faces_fit())
     return Inputs(
         spark.read.parquet(f"{staging}/targets"), spark.read.parquet(f"{staging}/sources"), faces, ring
     )
