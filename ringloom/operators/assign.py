@@ -93,7 +93,8 @@ def assign_entities(
     placed = look_up(keyed.withColumn("pos", hash_final("state")).drop("state"), ring).drop("pos")
     if texture_mode == "shared":
         # One row per entity, or per entity and region.
-        placed = owners.join(hinted(placed, fits("entities", "regions")), "entity_id")
+        small = fits("entities", "regions", extra=ring.sources.widest)
+        placed = owners.join(hinted(placed, small), "entity_id")
     if face_mode == "same":
         placed = placed.join(regions, "entity_id")
     return placed.select("texture", "entity_id", "region_ord", "region", "overlay")

@@ -33,8 +33,9 @@ class Profile:
     textures: sizing.Size
     texture_lengths: tuple[int | None, int]  # least and number of distinct path lengths
 
-    def fits(self, *parts: str) -> bool:
-        return all(getattr(self, p).fits() for p in parts)
+    def fits(self, *parts: str, extra: int = 0) -> bool:
+        """Whether each part, with up to ``extra`` bytes added to a row, may be broadcast."""
+        return all(getattr(self, p).widened(extra).fits() for p in parts)
 
 
 @dataclass(frozen=True)

@@ -25,6 +25,10 @@ class Size:
     bytes: int
     widest: int = 0
 
+    def widened(self, extra: int) -> Size:
+        """The same rows with up to ``extra`` more bytes each."""
+        return Size(self.rows, self.bytes + self.rows * extra, self.widest + extra)
+
     def fits(self, max_bytes: int | None = None, max_rows: int | None = None) -> bool:
         max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
         max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows

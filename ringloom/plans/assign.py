@@ -94,7 +94,9 @@ def build_assignments(
     placed = look_up(classified.withColumn("pos", position), ring)
     summary = primary_overlays(faces, ["texture"]).withColumnRenamed("overlay", "face_overlay")
     sizes = catalogue.entities.select("entity_id", "tex_w", "tex_h")
-    joined = placed.join(hinted(summary, fits("textures")), "texture", "left").join(
+    # One row per texture, with two source names added.
+    small = fits("textures", extra=2 * ring.sources.widest)
+    joined = placed.join(hinted(summary, small), "texture", "left").join(
         hinted(sizes, fits("entities")), "entity_id", "left"
     )
     # An entity without regions shows the first source.

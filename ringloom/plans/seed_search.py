@@ -109,7 +109,7 @@ def _search_by_seed(
     seeds: range,
     partitions: int,
 ) -> DataFrame:
-    lowered = F.lower(normalise(F.col("rel")))
+    lowered = F.lower("rel")
     flags = [F.contains(lowered, F.lit(_filter_text(text))).alias(f"q{i}") for i, (_, text) in enumerate(constraints)]
     tail = "concat(':overlay:', rel)"
     ring = (
@@ -163,7 +163,7 @@ def _search_by_rows(
     )
     keys = every_seed(wanted.select("cid", "rel")).withColumn("head", head(":"))
     keys = keys.withColumn("pos", ring_position("rel", "head"))
-    lowered = F.lower(normalise(F.col("rel")))
+    lowered = F.lower("rel")
     placed = look_up(keys.select("seed", "cid", "pos"), ring, out="source")
     qualified = sources.select(
         "source",
@@ -210,6 +210,7 @@ def search_seeds(
     if not constraints or not len(seeds):
         every = spark.range(seeds.start, seeds.stop).withColumnRenamed("id", "seed")
         return every if len(seeds) else every.limit(0)
+    sources = sources.select("source", normalise(F.col("rel")).alias("rel"))
     wanted = constrained_targets(targets, constraints)
     ring_size, probe_size = sizing.measure(sources), sizing.measure(wanted)
     if ring_size.rows == 0:

@@ -20,7 +20,7 @@ from ringloom.plans.derivation import Edits, derive_regions
 from ringloom.sources.catalog_json import entity_documents, parse_catalogue, parse_rules
 from ringloom.sources.harvest import harvest_paths
 from ringloom.sources.params import manifest_documents, parse_parameters
-from ringloom.workload.tables import _claim, _plain_regions, part_catalogue, table
+from ringloom.workload.tables import _claim, part_catalogue, table
 
 DEFAULTS = {"scale": 4, "alpha": 0.75, "overlay_scale": 1.0, "keep_aspect": False, "fast_overlay_size": 512}
 # (key, scale, alpha, overlay_scale, keep_aspect, fast_overlay_size)

@@ -18,11 +18,9 @@ from ringloom.workload.tables import (
     SEED,
     customer_catalogue,
     documents,
-    final_sql,
     part_catalogue,
     placed_sql,
     position_sql,
-    ring_sql,
     state_sql,
     suppliers,
     table,
