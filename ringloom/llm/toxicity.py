@@ -29,10 +29,12 @@ GRAMS = (3, 4, 5)
 SIGNS = 3  # random signs of a bucket that tell words apart
 PER_CLASS = 2_000  # labelled documents of each class that are learned from: the bound
 WINDOWS_KEPT = 4  # training windows of a document
-EPOCHS = 8
+EPOCHS = 6
+LEAST_STEPS = 600  # of training, when windows are few
 SEED = 7
+FALSE_ALARM_COST = 4  # a clean document that goes, in toxic ones that stay
 CACHE = 300_000
-BATCH_WORDS = 1 << 16
+BATCH_WORDS = 1 << 14
 
 _WORD = re.compile(r"[^\W_]+")
 FEATURES = 5 + 2 * SIGNS
@@ -50,34 +52,54 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _buckets(word: str) -> list[int]:
-    """The bucket of the word, then those of its character n-grams."""
-    raw = f"<{word[:64]}>"
-    made = [crc32(word.encode("utf-8", "surrogatepass"))]
-    made += [crc32(raw[i : i + n].encode("utf-8", "surrogatepass"), n) for n in GRAMS for i in range(len(raw) - n + 1)]
-    return [x % BUCKETS for x in made]
+def _word_buckets(words: list[str]) -> np.ndarray:
+    return np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.int64) % BUCKETS
 
 
-def _signs(bucket: int) -> list[float]:
-    return [1.0 if bucket * (2 * k + 3) * 2654435761 >> 16 & 1 else -1.0 for k in range(SIGNS)]
+def _gram_buckets(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of n-gram: their buckets, and the word each is of, in order.
 
-
-def _features(word: str, odds: np.ndarray) -> list[float]:
-    own, *grams = _buckets(word)
-    chars = odds[1, grams] if grams else np.zeros(1, np.float32)
-    top = grams[int(chars.argmax())] if grams else 0
-    return [
-        float(odds[0, own]), float(chars.mean()), float(chars.max()), min(len(word), 20) / 10, 1.0,
-        *[0.3 * s for s in _signs(own)], *[0.3 * s for s in _signs(top)],
-    ]
+    N-grams are hashed over one array of code points for all words, with marks at both ends.
+    """
+    marked = [f"<{w[:64]}>" for w in words]
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(marked)), np.fromiter(map(len, marked), np.int64, len(marked)))
+    for n in GRAMS:
+        last = len(code) - n + 1
+        if last > 0:
+            h = np.full(last, n, np.uint64)
+            for k in range(n):
+                h = h * np.uint64(0x100000001B3) + code[k : last + k]
+            inside = word[:last] == word[n - 1 :]
+            yield (h[inside] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % BUCKETS, word[:last][inside]
+
+
+def _signs(bucket: np.ndarray) -> list[np.ndarray]:
+    return [np.where(bucket * (2 * k + 3) * 2654435761 >> 16 & 1, 0.3, -0.3) for k in range(SIGNS)]
+
+
+def _features(words: list[str], odds: np.ndarray) -> np.ndarray:
+    """[word, FEATURES]; every word has an n-gram, as a letter between marks is one."""
+    n = len(words)
+    total, count, top, first = np.zeros(n), np.zeros(n), np.full(n, -np.inf), np.zeros(n, np.int64)
+    for grams, word in _gram_buckets(words):
+        chars, starts = odds[1, grams], np.flatnonzero(np.diff(word, prepend=-1))
+        total += np.bincount(word, chars, n)
+        count += np.bincount(word, minlength=n)
+        top[word[starts]] = np.maximum(top[word[starts]], np.maximum.reduceat(chars, starts))
+        first[word[starts]] = grams[starts]
+    own = _word_buckets(words)
+    length = np.fromiter(map(len, words), np.float32, n)
+    columns = [odds[0, own], total / count, top, np.minimum(length, 20) / 10, np.ones(n), *_signs(own), *_signs(first)]
+    return np.stack(columns, axis=1).astype(np.float32)
 
 
 class _Vocabulary(dict):
-    """Word -> row of ``table``; forgets all when it is full."""
+    """Word -> row of ``table``, which holds its features; row 0 is no word."""
 
     def __init__(self, odds: np.ndarray):
         super().__init__()
-        self.odds, self.new, self.table = odds, [], np.zeros((1, FEATURES), np.float32)
+        self.odds, self.new, self._table = odds, [], np.zeros((1, FEATURES), np.float32)
 
     def __missing__(self, word: str) -> int:
         self[word] = row = len(self) + 1
@@ -85,15 +107,23 @@ class _Vocabulary(dict):
         return row
 
     def rows(self, words: list[str]) -> np.ndarray:
-        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    @property
+    def table(self) -> np.ndarray:
+        n = len(self) + 1
         if self.new:
-            self.table = np.concatenate([self.table, np.array([_features(w, self.odds) for w in self.new], np.float32)])
+            if n > len(self._table):
+                grown = np.zeros((2 * n, FEATURES), np.float32)
+                grown[: len(self._table)] = self._table
+                self._table = grown
+            self._table[n - len(self.new) : n] = _features(self.new, self.odds)
             self.new = []
-        return found
+        return self._table[:n]
 
     def forget(self) -> None:
         self.clear()
-        self.table = self.table[:1]
+        self.new, self._table = [], np.zeros((1, FEATURES), np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -180,15 +210,16 @@ def train_network(x: np.ndarray, mask: np.ndarray, y: np.ndarray, epochs: int =
     p, draw = _start(seed), np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     importance = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
-    step = 0
-    for epoch in range(epochs):
+    step, in_epoch = 0, -(-len(y) // 128)
+    epochs = max(epochs, -(-LEAST_STEPS // in_epoch))
+    for _ in range(epochs):
         order = draw.permutation(len(y))
         for lo in range(0, len(y), 128):
             rows = order[lo : lo + 128]
             xs, ms, keep = np.ascontiguousarray(x[rows].transpose(1, 0, 2)), mask[rows].T, {}
             error = (_sigmoid(_forward(xs, ms, p, keep)) - y[rows]) * importance[rows] / len(rows)
             grad, step = _backward(xs, error.astype(np.float32), p, keep), step + 1
-            rate = 0.01 * 0.7**epoch
+            rate = 0.01 * 0.05 ** (step / (epochs * in_epoch))
             for k, g in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -212,7 +243,8 @@ def window_logits(found: list[np.ndarray], table: np.ndarray, p: dict) -> list[n
         row[at : at + len(x)] = x
     real = row > 0
     n = (total - WIDTH) // STRIDE + 1
-    sides = {s: (table @ p["W" + s] + p["c" + s])[row] if len(table) < total else table[row] @ p["W" + s] + p["c" + s] for s in "fb"}
+    features = table[row]
+    sides = {s: features @ p["W" + s] + p["c" + s] for s in "fb"}
     views = {s: [v[t : t + STRIDE * (n - 1) + 1 : STRIDE] for t in range(WIDTH)] for s, v in sides.items()}
     fore, back = _run(views["f"], p["Uf"]), _run(views["b"][::-1], p["Ub"])[::-1]
     mask = [real[t : t + STRIDE * (n - 1) + 1 : STRIDE] for t in range(WIDTH)]
@@ -277,59 +309,84 @@ def fit(
 ) -> Model:
     """A model from labelled documents, at most ``per_class`` of each class.
 
-    One half of them gives the log-odds, the other the windows that the network is trained on:
-    those with the most suspicious word of each document, so that clean documents contribute
-    their hardest ones. Null labels and ids are left out; an id labelled twice is toxic if one
-    label says so. With one class only, or no labels, the model is the share of toxic ones.
+    The windows that the network is trained on are those with the most suspicious word of each
+    document, so that clean documents contribute their hardest ones; their features come from
+    log-odds of the other half of the documents, as if they had not been seen. The log-odds of
+    the model are those of both halves. Null labels and ids are left out; an id labelled twice
+    is toxic if one label says so. With one class only, or no labels, the model is the share of
+    toxic ones.
     """
     sample = cut_lineage(_labelled(docs, labels, id_col, text_col, label_col, per_class))
-    counts = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    if len(counts) < 2:
-        return Model(np.zeros((2, BUCKETS), np.float32), None, float(1 in counts))
+    counts = {(r["half"], r["y"]): r["count"] for r in sample.groupBy("half", "y").count().collect()}
+    if len({y for _, y in counts}) < 2:
+        return Model(np.zeros((2, BUCKETS), np.float32), None, float(any(y for _, y in counts)))
 
     def presence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            total = np.zeros((2, 2, BUCKETS), np.int64)
-            for text, y in zip(frame["text"], frame["y"], strict=True):
-                seen = [_buckets(w) for w in set(tokens(text))]
-                total[y, 0, np.unique([x[0] for x in seen]).astype(np.int64)] += 1
-                total[y, 1, np.unique([g for x in seen for g in x[1:]]).astype(np.int64)] += 1
-            y, kind, bucket = total.nonzero()
-            yield pd.DataFrame({"y": y, "kind": kind, "bucket": bucket, "n": total[y, kind, bucket]})
-
-    schema = "y long, kind long, bucket long, n long"
-    seen = sample.where("half = 0").mapInPandas(presence, schema).groupBy("y", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros((2, 2, BUCKETS))
-    n[seen["y"], seen["kind"], seen["bucket"]] = seen["n"]
-    halves = {r["y"]: r["count"] for r in sample.where("half = 0").groupBy("y").count().collect()}
-    shares = [(n[y] + 0.5) / (halves.get(y, 0) + 1) for y in (0, 1)]
-    odds = (np.log(shares[1] / shares[0]) * (n.sum(axis=0) / (n.sum(axis=0) + 8))).astype(np.float32)
+            total = np.zeros((2, 2, 2, BUCKETS), np.int32)
+            for text, y, half in zip(frame["text"], frame["y"], frame["half"], strict=True):
+                words = sorted(set(tokens(text)))
+                if words:
+                    total[half, y, 0, np.unique(_word_buckets(words))] += 1
+                    total[half, y, 1, np.unique(np.concatenate([g for g, _ in _gram_buckets(words)]))] += 1
+            half, y, kind, bucket = total.nonzero()
+            yield pd.DataFrame({"half": half, "y": y, "kind": kind, "bucket": bucket, "n": total[half, y, kind, bucket]})
+
+    keys = ["half", "y", "kind", "bucket"]
+    seen = sample.mapInPandas(presence, ", ".join(f"{k} long" for k in [*keys, "n"])).groupBy(keys).agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros((2, 2, 2, BUCKETS))
+    n[tuple(seen[k] for k in keys)] = seen["n"]
+
+    def log_odds(*halves: int) -> np.ndarray:
+        met = n[list(halves)].sum(axis=0)
+        shares = [(met[y] + 0.5) / (sum(counts.get((h, y), 0) for h in halves) + 1) for y in (0, 1)]
+        return (np.log(shares[1] / shares[0]) * met.sum(axis=0) / (met.sum(axis=0) + 8)).astype(np.float32)
+
+    odds, other = log_odds(0, 1), [log_odds(1), log_odds(0)]
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Vocabulary(odds)
+        both = [_Vocabulary(other[0]), _Vocabulary(other[1])]
         for frame in frames:
-            ys, xs = [], []
-            for text, y in zip(frame["text"], frame["y"], strict=True):
+            ys, xs, ds = [], [], []
+            for text, y, half in zip(frame["text"].fillna(""), frame["y"], frame["half"], strict=True):
+                words = both[half]
                 if len(words) > CACHE:
                     words.forget()
                 found = words.rows(tokens(text))
-                word_score = words.table[:, 0] * 0.5 + words.table[:, 1] + words.table[:, 2] * 0.5
-                starts = np.arange(0, max(1, len(found) - (WIDTH - STRIDE)), STRIDE)
                 padded = np.concatenate([found, np.zeros(WIDTH, np.int64)])
-                worst = np.array([word_score[padded[a : a + WIDTH]].max() for a in starts])
+                suspicion = (words.table[:, 0] * 0.5 + words.table[:, 1] + words.table[:, 2] * 0.5)[padded]
+                starts = np.arange(0, max(1, len(found) - (WIDTH - STRIDE)), STRIDE)
+                worst = np.array([suspicion[a : a + WIDTH].max() for a in starts])
                 keep = np.argsort(-worst, kind="stable")[: WINDOWS_KEPT // 2 if y else WINDOWS_KEPT].tolist()
                 keep += [] if y else [len(starts) // 2]
                 for k in keep:
                     rows = padded[starts[k] : starts[k] + WIDTH]
                     ys.append(y)
+                    ds.append(crc32(text.encode("utf-8", "surrogatepass"), len(text)))
                     xs.append(np.concatenate([words.table[rows], (rows > 0)[:, None]], axis=1).astype(np.float32).tobytes())
-            yield pd.DataFrame({"y": ys, "x": xs})
+            yield pd.DataFrame({"y": ys, "x": xs, "d": ds})
 
-    made = sample.where("half = 1").mapInPandas(windows, "y long, x binary").toPandas()
+    made = sample.mapInPandas(windows, "y long, x binary, d long").toPandas()
     both = np.stack([np.frombuffer(x, np.float32).reshape(WIDTH, FEATURES + 1) for x in made["x"]])
     y = made["y"].to_numpy(np.float32)
     order = np.lexsort((np.array([crc32(x) for x in made["x"]]), y))  # whatever order tasks ended in
-    return Model(odds, train_network(both[order, :, :FEATURES], both[order, :, FEATURES] > 0, y[order]), float(y.mean()))
+    x, mask, y, whose = both[order, :, :FEATURES], both[order, :, FEATURES] > 0, y[order], made["d"].to_numpy()[order]
+    network = train_network(x, mask, y)
+    logits = _forward(np.ascontiguousarray(x.transpose(1, 0, 2)), mask.T, network)
+    network["b"] = network["b"] - np.float32(_cut(logits, y, whose))
+    return Model(odds, network, float(y.mean()))
+
+
+def _cut(logits: np.ndarray, y: np.ndarray, whose: np.ndarray) -> float:
+    """Where documents part by their worst windows: the middle of the span with the least loss."""
+    worst = pd.DataFrame({"s": logits, "y": y, "d": whose}).groupby("d").max().sort_values("s")
+    s, toxic = worst["s"].to_numpy(np.float64), worst["y"].to_numpy() > 0
+    missed = np.append(0, np.cumsum(toxic)) / max(1, toxic.sum())
+    wronged = 1 - np.append(0, np.cumsum(~toxic)) / max(1, (~toxic).sum())
+    loss = missed + FALSE_ALARM_COST * wronged
+    best = np.flatnonzero(loss <= loss.min() + 1e-12)
+    edges = np.concatenate(([s[0] - 1], s, [s[-1] + 1]))
+    return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
