@@ -59,7 +59,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share_percent=SHARE_PERCEN
     capped = F.coalesce(F.sum(cap).over(before), F.lit(0))
     open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     src = src.withColumn("fits", (wanted - capped) / open_weight)
-    src = src.withColumn("level", F.min_by(F.when(F.col("fits") < F.col("ratio"), F.col("fits")), F.when(F.col("fits") < F.col("ratio"), F.col("ratio"))).over(everything))
+    first_to_fit = F.when(F.col("fits") < F.col("ratio"), F.struct("ratio", "sid"))
+    src = src.withColumn("level", F.min_by("fits", first_to_fit).over(everything))
     level = F.coalesce(F.least(cap.cast("double"), F.col("level") * weight), cap.cast("double"))
     return src.select("sid", "source", "source_size", "rows", level.alias("target"))
 

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringloom.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from ringloom.llm import (
+    decontaminate,
+    html_extract,
+    language_id,
+    line_dedup,
+    lz_fingerprint,
+    mixing,
+    secret_scan,
+    simhash,
+    toxicity,
+    warc,
+)
 from ringloom.llm.common import held_out, table
 
 
@@ -16,14 +27,38 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = html_extract.extract(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_columns(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedupe_lines(table(spark, sf_dir, "documents")).drop("key", "line_id")
 
 
+def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    found = language_id.with_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))))
@@ -45,13 +80,95 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_html_extract": op2_html_extract,
+        "op3_secret_scan": op3_secret_scan,
         "op4_decontaminate": op4_decontaminate,
+        "op5_warc": op5_warc,
         "op6_line_dedup": op6_line_dedup,
+        "op7_lz_fingerprint": op7_lz_fingerprint,
+        "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
         "pipeline": pipeline,
     }
 
 
+_MIXING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE sid % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s
+), r AS (
+  SELECT *, (2 * source_size)::DOUBLE / weight AS ratio, sum(source_size) OVER ()::DOUBLE * 150 / 100.0 AS wanted FROM w
+), f AS (
+  SELECT *, (wanted - coalesce(sum(2 * source_size) OVER before, 0)::DOUBLE)
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS fits
+  FROM r WINDOW before AS (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT sid, source, source_size,
+         coalesce(least((2 * source_size)::DOUBLE, (SELECT arg_min(fits, {'a': ratio, 'b': sid}) FROM f WHERE fits < ratio) * weight),
+                  (2 * source_size)::DOUBLE) AS target
+  FROM f
+), o AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+         coalesce(sum(d.size) OVER (PARTITION BY t.sid ORDER BY md5('42:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (greatest(0, least(pos + size, quota) - pos)
+        + greatest(0, least(pos + source_size + size, quota) - pos - source_size))::BIGINT AS taken
+FROM o
+"""
+
+_DECONTAMINATE_SQL = r"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), starts AS (
+  SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS n FROM i WHERE len(w) > 0
+), grams AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, least(len(w), 13) AS length, array_to_string(w[n:n + 12], ' ') AS gram FROM starts
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), places AS (
+  SELECT doc_id, length, w, unnest(range(1, len(w) - length + 2)) AS n
+  FROM d, (SELECT DISTINCT length FROM grams) WHERE len(w) >= length
+), hits AS (
+  SELECT DISTINCT p.doc_id, p.n, p.length, g.item
+  FROM places p JOIN grams g ON g.length = p.length AND g.gram = array_to_string(p.w[p.n:p.n + p.length - 1], ' ')
+), covered AS (
+  SELECT doc_id, count(DISTINCT at) AS n_hit
+  FROM (SELECT doc_id, unnest(range(n, n + length)) AS at FROM (SELECT DISTINCT doc_id, n, length FROM hits)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS said
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(d.w), false) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {at}, 5))::INTEGER >> {shift}) & 31) + 1, 1)"
+_BASE32 = " || ".join(_DIGIT.format(at=5 * i + 1, shift=shift) for i in range(8) for shift in (15, 10, 5, 0))
+_WARC_SQL = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For what SQL can say; fingerprints, models and positions of matches it can't."""
+    return {"op1_mixing": _MIXING_SQL, "op4_decontaminate": _DECONTAMINATE_SQL, "op5_warc": _WARC_SQL}

@@ -16,7 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.llm.common import cut_lineage
@@ -27,7 +27,7 @@ HIDDEN = 8
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 SIGNS = 3  # random signs of a bucket that tell words apart
-PER_CLASS = 2_000  # labelled documents of each class that are learned from: the bound
+PER_CLASS = 2_000  # labelled documents of each class that are learned from, about: the bound
 WINDOWS_KEPT = 4  # training windows of a document
 EPOCHS = 6
 LEAST_STEPS = 600  # of training, when windows are few
@@ -289,13 +289,14 @@ def score_texts(texts: list[str | None], model: Model, words: _Vocabulary | None
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
-    """(text, y, half) of at most ``per_class`` documents of each class, drawn by a hash of the id."""
+    """(text, y, half) of about ``per_class`` documents of each class, drawn by a hash of the id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
-    drawn = Window.partitionBy("y").orderBy(F.xxhash64("_id"), "_id")
-    known = known.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= per_class)
-    known = known.select("_id", "y", (F.col("n") % 2).alias("half"))
-    # Broadcast: two classes of ``per_class`` ids.
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    rate = F.element_at(F.array([F.lit(min(1.0, per_class / sizes.get(y, 1))) for y in (0, 1)]), F.col("y") + 1)
+    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1 << 30)) / float(1 << 30)
+    known = known.where(draw < rate).select("_id", "y", F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)).cast("int").alias("half"))
+    # Broadcast: two classes of about ``per_class`` ids.
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "y", "half")
 
 
@@ -307,9 +308,9 @@ def fit(
     label_col: str = "toxic",
     per_class: int = PER_CLASS,
 ) -> Model:
-    """A model from labelled documents, at most ``per_class`` of each class.
+    """A model from labelled documents, about ``per_class`` of each class.
 
-    The windows that the network is trained on are those with the most suspicious word of each
+    They are drawn by a hash of the id, at the rate that gives that many. The windows that the network is trained on are those with the most suspicious word of each
     document, so that clean documents contribute their hardest ones; their features come from
     log-odds of the other half of the documents, as if they had not been seen. The log-odds of
     the model are those of both halves. Null labels and ids are left out; an id labelled twice
