@@ -23,26 +23,35 @@ _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _NO_ID = -(1 << 63)
 
 
-def parse(text: str, at: int, end: int, known: set[str], spans: list[tuple[int, int]]) -> int:
-    """Adds the phrases of text[at:end] to ``known`` and ``spans``; where the unfinished one starts.
+def parse(text: str, at: int, known: set[str], ends: list[int]) -> int:
+    """Adds the phrases of text[at:] to ``known`` and where they end to ``ends``; where the
+    unfinished one starts.
 
     Every beginning of a known phrase is known, so the longest match is found from a guess by
     steps up or down; the guess is the length of the phrase before.
     """
-    size = 3
+    size, end, add, note = 3, len(text), known.add, ends.append
     while at < end:
-        if text[at : at + size] in known:
+        phrase = text[at : at + size]
+        if phrase in known:
             size += 1
-            while at + size <= end and text[at : at + size] in known:
+            phrase = text[at : at + size]
+            while phrase in known and at + size <= end:
                 size += 1
+                phrase = text[at : at + size]
+            if at + size > end:
+                break
         else:
-            while size > 1 and text[at : at + size - 1] not in known:
+            size = len(phrase)
+            while size > 1:
+                shorter = text[at : at + size - 1]
+                if shorter in known:
+                    break
+                phrase = shorter
                 size -= 1
-        if at + size > end:
-            break
-        known.add(text[at : at + size])
-        spans.append((at, size))
+        add(phrase)
         at += size
+        note(at)
     return at
 
 
@@ -52,42 +61,54 @@ class _Powers:
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
 
+    @staticmethod
+    def _powers(x: int, n: int) -> np.ndarray:
+        factors = np.full(n, x, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors, dtype=np.uint64)
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 2 * n
-            self.up, self.down = (
-                np.cumprod(np.concatenate(([1], np.full(size - 1, x, np.uint64))).astype(np.uint64))
-                for x in (_BASE, pow(_BASE, -1, 1 << 64))
-            )
+            self.up, self.down = (self._powers(x, 2 * n) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
         return self.up, self.down
 
 
-def signature(text: str, spans: list[tuple[int, int]], powers: _Powers) -> np.ndarray:
-    """The least distinct 32-bit hashes of the phrases at ``spans``."""
-    if not spans:
+def least_hashes(text: str, ends: list[int], powers: _Powers) -> np.ndarray:
+    """The least distinct 32-bit hashes of the consecutive phrases of ``text`` that end at ``ends``."""
+    if not ends:
         return np.zeros(0, np.uint32)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    codes = np.frombuffer(text[: ends[-1]].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     up, down = powers.upto(len(codes) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)], dtype=np.uint64)))
-    at, size = np.array(spans, np.int64).T
-    h = (sums[at + size] - sums[at]) * down[at] + size.astype(np.uint64)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    stop = np.array(ends, np.int64)
+    start = np.concatenate((np.zeros(1, np.int64), stop[:-1]))
+    h = (sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     h = (h >> np.uint64(32)).astype(np.uint32)
-    spare = 2 * SIGNATURE  # more than enough even if some hashes are equal
+    spare = 2 * SIGNATURE  # enough unless very many hashes are equal
     if len(h) > 2 * spare:
-        least = np.unique(np.partition(h, spare)[:spare])
-        if len(least) >= SIGNATURE:
-            return least[:SIGNATURE]
-    return np.unique(h)[:SIGNATURE]
+        some = _distinct(np.sort(np.partition(h, spare)[:spare]))
+        if len(some) >= SIGNATURE:
+            return some
+    return _distinct(np.sort(h))
+
+
+def _distinct(sorted_: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    return sorted_[new][:SIGNATURE]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The share, among the least hashes of both together, of those that both have; 1 for two empty."""
-    union = np.unique(np.concatenate((a, b)))[:SIGNATURE]
+    both = np.sort(np.concatenate((a, b)))
+    union = _distinct(both)
     if not len(union):
         return 1.0
-    return float((np.isin(union, a) & np.isin(union, b)).sum() / len(union))
+    shared = both[1:][both[1:] == both[:-1]]
+    return float(np.searchsorted(shared, union[-1], side="right") / len(union))
 
 
 def as_text(print_: np.ndarray) -> str:
@@ -98,21 +119,23 @@ class Parsed:
     """A text's fingerprint, and the dictionary as it stands where its last third begins."""
 
     def __init__(self, text: str, powers: _Powers):
-        self.text, self.powers, self.known, self.spans = text, powers, set(), []
+        self.text, self.powers, self.known, ends = text, powers, set(), []
         self.cut = len(text) - len(text) // 3
-        self.at = parse(text, 0, self.cut, self.known, self.spans)
-        self.print = self._with_tail(text)
+        self.at = parse(text[: self.cut], 0, self.known, ends)
+        self.least = least_hashes(text, ends, powers)
+        self.print = self._with_tail(text[self.at :])
 
-    def _with_tail(self, text: str) -> np.ndarray:
-        tail: list[tuple[int, int]] = []
-        parse(text, self.at, len(text), self.known, tail)
-        self.known.difference_update([text[a : a + n] for a, n in tail])
-        return signature(text, self.spans + tail, self.powers)
+    def _with_tail(self, tail: str) -> np.ndarray:
+        """The fingerprint if ``tail`` follows the phrases before the cut."""
+        ends: list[int] = []
+        parse(tail, 0, self.known, ends)
+        self.known.difference_update([tail[a:b] for a, b in zip([0, *ends], ends)])  # noqa: B905
+        return _distinct(np.sort(np.concatenate((self.least, least_hashes(tail, ends, self.powers)))))
 
     def edited(self, other: str) -> tuple[str, np.ndarray]:
         """The text with its last third replaced by as much of the start of ``other``; its fingerprint."""
-        text = self.text[: self.cut] + other[: len(self.text) - self.cut]
-        return text, self._with_tail(text)
+        tail = self.text[self.at : self.cut] + other[: len(self.text) - self.cut]
+        return self.text[: self.at] + tail, self._with_tail(tail)
 
 
 def fingerprint(text: str | None) -> np.ndarray:
