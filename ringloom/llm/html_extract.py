@@ -43,8 +43,8 @@ LABELLED = [
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>|[^<]+|<",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
+    r"|<[!?][^>]*>|</?[a-zA-Z][^<>]*\Z|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -55,19 +55,19 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ASIDE = frozenset("head nav header footer aside form button dialog menu fieldset figcaption".split())
+_ASIDE = frozenset("head nav header footer aside form button dialog menu fieldset".split())
 _ARTICLE = frozenset("article main".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 _ASIDE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment
     comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer form gdpr header hidden
     legal login masthead menu meta modal nav navbar navigation newsletter notice notices notification pager
-    pagination popup privacy promo promoted promotion rail recommended related replies reply respond share sharing
-    sidebar signup social sponsor sponsored subscribe tags teaser toolbar topbar warning widget widgets alert
-    reader discussion""".split()
+    pagination popup privacy promo promoted promotion recommended related replies reply respond share sharing
+    sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget widgets alert
+    discussion""".split()
 )
 _ARTICLE_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
-_SECTIONS = frozenset("div section td table ul ol li dl p span body blockquote center details".split())
+_SECTIONS = frozenset("div section td table ul ol li dl p span blockquote center details".split())
 
 
 def _place(tag: str, attributes: str) -> int:
@@ -107,7 +107,7 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int]]:
     made, now, links = [], Block(0), 0
     for m in _TOKEN.finditer(page or ""):
         raw, tag = m[0], m[3]
-        if m[1] or raw.startswith(("<!", "<?")):
+        if m[1] or tag is None and len(raw) > 1 and raw[0] == "<":
             continue
         if tag is None:
             now.parts.append(raw)
@@ -131,7 +131,7 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int]]:
             at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
             if at is not None:
                 del open_[at:]
-        elif tag not in _VOID and (place or tag in _SECTIONS - {"p", "li", "body"} or tag in _ARTICLE):
+        elif tag not in _VOID and (place or tag in _SECTIONS - {"p", "li"} or tag in _ARTICLE):
             open_.append((tag, place or (open_[-1][1] if open_ else 0)))
         if tag not in _INLINE:
             links = 0
