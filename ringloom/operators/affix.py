@@ -79,7 +79,7 @@ def longest_affix(
         rows.select(F.col(pattern).alias("_cut"), F.struct(pattern, *payload).alias("_row"))
     )
     probe = texts.withColumn("_stem", F.when(F.length(text) >= stem, cut(F.col(text), stem)))
-    probe = probe.join(hinted(lengths), "_stem", "left").drop("_stem")
+    probe = sizing.join_left(probe, lengths, "_stem", small).drop("_stem")
 
     def finished(df: DataFrame) -> DataFrame:
         return df.select(*own, *[F.col(f"_best.{c}").alias(c) for c in (pattern, *payload)])
@@ -89,7 +89,7 @@ def longest_affix(
         at = cut(F.col(text), F.get("_lengths", F.lit(i)))
         if i:
             at = F.when(F.col("_best").isNull(), at)
-        few = few.withColumn("_cut", at).join(table, "_cut", "left").drop("_cut")
+        few = sizing.join_left(few.withColumn("_cut", at), table, "_cut", small).drop("_cut")
         best = F.coalesce("_best", "_row") if i else F.col("_row")
         few = few.withColumn("_best", best).drop("_row")
     if most <= probes:

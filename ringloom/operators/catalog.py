@@ -149,8 +149,10 @@ def merge_halves(catalogue: Catalogue, rules: DataFrame) -> Catalogue:
             )
         ),
     )
-    small = sizing.measure(rules).fits()  # two half rows per rule at most
-    consumed = hinted(halves.select("entity_id").distinct(), small)
+    small = sizing.measure(rules).fits()  # three rows per rule at most
+    # An entity that already has the merged name is replaced too.
+    replaced = halves.select("entity_id").unionByName(active.select(F.col("merged").alias("entity_id")))
+    consumed = hinted(replaced.distinct(), small)
     halves = hinted(halves, small)
 
     entities = catalogue.entities.join(consumed, "entity_id", "left_anti").unionByName(

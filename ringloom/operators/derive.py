@@ -72,6 +72,13 @@ def carry_forward(
     )
 
 
+def _packed(high: Column, low: Column) -> Column:
+    """One ordinal from two; an error, not a wrong order, if they do not fit."""
+    fits = high.between(0, (1 << 31) - 1) & low.between(0, (1 << 32) - 1)
+    packed = high.cast("bigint") * (1 << 32) + low
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("ordinals too large to be put in order")).cast("bigint"))
+
+
 def faces_of_cuboids(cuboids: DataFrame, keep_part: bool = False) -> DataFrame:
     """Regions of ``cuboids(entity_id, ord, part, idx, u, v, sx, sy, sz)``.
 
@@ -93,7 +100,7 @@ def faces_of_cuboids(cuboids: DataFrame, keep_part: bool = False) -> DataFrame:
     )
     return unfolded.filter("width > 0 and height > 0").select(
         "entity_id",
-        (F.col("first_ord").cast("bigint") * 4294967296 + F.col("ord") * 6 + F.col("face_ord")).alias("ord"),
+        _packed(F.col("first_ord"), F.col("ord").cast("bigint") * 6 + F.col("face_ord")).alias("ord"),
         face_region_name(F.col("part"), F.col("idx"), F.col("in_part"), F.col("face")).alias("name"),
         "x",
         "y",
@@ -150,7 +157,7 @@ def replicate_parts(regions: DataFrame, rules: DataFrame) -> DataFrame:
     on = (F.col("r.entity_id") == F.col("k.entity_id")) & F.startswith(F.col("r.name"), F.col("k.match"))
     copies = r.join(k, on).select(
         "r.entity_id",
-        (F.col("k.copy").cast("bigint") * 4294967296 + F.col("r.ord")).alias("ord"),
+        _packed(F.col("k.copy"), F.col("r.ord")).alias("ord"),
         F.replace("r.name", "k.old", "k.new").alias("name"),
         (F.col("r.x") + F.col("k.dx")).alias("x"),
         (F.col("r.y") + F.col("k.dy")).alias("y"),

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from ringloom.functions.hashing import MASK32, ring_position, source_state
 from ringloom.operators import sizing
 
-MAX_BUCKET_BITS = 20
+MAX_BUCKET_BITS = 31
 SEGMENT_BITS = 12
-LOOKUP_SALTS = 8
 
 
 def build_ring(sources: DataFrame, seed: int | None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -123,8 +122,9 @@ def look_up(keys: DataFrame, ring: Ring, pos: str = "pos", out: str = "overlay")
     """As-of join: ``keys`` plus ``out``, null only when the ring is empty.
 
     Small ring: map-only, the bucketed intervals are broadcast and ``keys`` is not
-    shuffled. Large ring: shuffled on (bucket, salt); the salt comes from the whole row, so
-    many keys in one bucket do not end in one task.
+    shuffled. Large ring: shuffled on the bucket, of which there are as many as entries.
+    Positions are hashes, so only repeated keys make a bucket hot; adaptive execution splits
+    those. A key without a position gets a bucket of its own that no interval has.
     """
     shift = 32 - ring.bucket_bits
     on = [*ring.by, "bucket"]
@@ -139,11 +139,9 @@ def look_up(keys: DataFrame, ring: Ring, pos: str = "pos", out: str = "overlay")
     if ring.broadcastable:
         arcs = F.broadcast(arcs)
     else:
-        # Everything but packed pixels: rows of one key differ in some other column.
         row = ", ".join(f"`{c}`" for c, kind in keys.dtypes if kind != "binary")
-        probe = probe.selectExpr("*", f"pmod(xxhash64({row}), {LOOKUP_SALTS}L) AS salt")
-        arcs = arcs.selectExpr("*", f"explode(sequence(0L, {LOOKUP_SALTS - 1}L)) AS salt")
-        on.append("salt")
+        alone = f"-1L - pmod(xxhash64({row}), {MASK32}L)"
+        probe = keys.selectExpr("*", f"coalesce(shiftright({pos}, {shift}), {alone}) AS bucket")
     match = " AND ".join([*(f"p.{c} = a.{c}" for c in on), f"p.{pos} >= a.lo", f"p.{pos} <= a.hi"])
     joined = probe.alias("p").join(arcs.alias("a"), F.expr(match), "left")
     return joined.selectExpr(*(f"p.`{c}`" for c in keys.columns), f"a.`{out}`")

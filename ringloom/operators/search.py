@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.functions.paths import file_name, lower_contains
+from ringloom.operators import sizing
 
 # Preview priority, best first.
 PRIORITY_PATTERNS = (
@@ -41,8 +42,7 @@ def _own_or_face(
 ) -> DataFrame:
     """Targets with a hit of their own or on any face, in one pass over the targets."""
     hits = faces.filter(face).select("texture").distinct().withColumn("_face_hit", F.lit(True))
-    hits = F.broadcast(hits) if faces_small else hits
-    marked = assignments.join(hits, "texture", "left")
+    marked = sizing.join_left(assignments, hits, "texture", faces_small)
     hit = F.coalesce(own, F.lit(False)) | F.coalesce("_face_hit", F.lit(False))
     return marked.filter(hit).select(*assignments.columns)
 

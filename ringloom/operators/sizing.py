@@ -75,37 +75,48 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     return F.broadcast(df) if measure(df).fits(max_bytes) else df
 
 
+def join_left(df: DataFrame, other: DataFrame, key: str, small: bool) -> DataFrame:
+    """Left equi-join on the string column ``key``; ``other`` is broadcast if it is ``small``.
+
+    In a shuffle all rows without a key would meet in one task. They get keys of their own
+    instead, which begin with a character that no path or name has.
+    """
+    if small:
+        return df.join(F.broadcast(other), key, "left")
+    row = [F.col(f"`{c}`") for c, kind in df.dtypes if kind != "binary"]
+    alone = F.concat(F.lit("\0"), F.xxhash64(*row).cast("string"))
+    spread = df.withColumn("_spread", F.coalesce(key, alone))
+    return spread.join(other.withColumnRenamed(key, "_spread"), "_spread", "left").drop("_spread")
+
+
 def salt_hot_keys(
     many: DataFrame,
     one: DataFrame,
     key: str,
     spread_by: list[str],
     rows_per_salt: int,
-    max_hot_keys: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Add a ``salt`` column to both sides of a join so that no key is one task.
 
     Keys of ``many`` with more than ``rows_per_salt`` rows are spread over
     ``ceil(rows / rows_per_salt)`` salts and their row of ``one`` is repeated that often;
-    all other keys keep the single salt 0. Counts are partially aggregated. The hot-key
-    list is broadcast: the threshold is raised so that it holds ``max_hot_keys`` rows at most
-    (the counts sum to the row count). The salt is a function of ``spread_by`` columns, so a
-    recomputed task repeats its assignment.
+    all other keys keep the single salt 0. Counts are partially aggregated. The hot keys are
+    broadcast if they are measured to fit, else joined in a shuffle. The salt is a function of
+    ``spread_by`` columns, so a recomputed task repeats its assignment.
     """
     counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
-    total = counts.agg(F.sum("key_rows")).first()[0] or 0
-    threshold = max(rows_per_salt, total // max_hot_keys)
-    hot = counts.filter(F.col("key_rows") > threshold).select(
+    hot = counts.filter(F.col("key_rows") > rows_per_salt).select(
         key, F.ceil(F.col("key_rows") / F.lit(rows_per_salt)).cast("int").alias("salts")
     )
+    hot = broadcast_if_small(hot)
     salts = F.coalesce(F.col("salts"), F.lit(1))
     salted_many = (
-        many.join(F.broadcast(hot), key, "left")
+        many.join(hot, key, "left")
         .withColumn("salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
         .drop("salts")
     )
     salted_one = (
-        one.join(F.broadcast(hot), key, "left")
+        one.join(hot, key, "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("salts")
     )

@@ -96,9 +96,8 @@ def build_assignments(
     sizes = catalogue.entities.select("entity_id", "tex_w", "tex_h")
     # One row per texture, with two source names added.
     small = fits("textures", extra=2 * ring.sources.widest)
-    joined = placed.join(hinted(summary, small), "texture", "left").join(
-        hinted(sizes, fits("entities")), "entity_id", "left"
-    )
+    joined = sizing.join_left(placed, summary, "texture", small)
+    joined = sizing.join_left(joined, sizes, "entity_id", fits("entities"))
     # An entity without regions shows the first source.
     entity_overlay = F.coalesce(F.col("face_overlay"), F.lit(ring.first_source))
     named = joined.withColumn("overlay", F.when(F.col("is_entity"), entity_overlay).otherwise(F.col("overlay")))

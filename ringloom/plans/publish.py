@@ -54,14 +54,28 @@ def load_rules(spark: SparkSession, path_config: str) -> DataFrame:
 
 
 def undecodable(spark: SparkSession, folder: str) -> DataFrame:
-    """Listed images that do not decode; a run leaves them out."""
+    """Listed images that do not decode."""
     decoded = files.read_image_sizes(spark, folder).select("path")
     return files.list_images(spark, folder).join(decoded, "path", "left_anti")
 
 
-def stage_inputs(spark: SparkSession, params: RunParameters, staging: str) -> Inputs:
+def account_for(spark: SparkSession, folder: str, staged: DataFrame, rejects: str | None) -> None:
+    """Images listed in ``folder`` that were not ``staged`` (path): a table at ``rejects``, or an
+    error that names some of them."""
+    lost = files.list_images(spark, folder).join(staged, "path", "left_anti")
+    if rejects:
+        lost.write.mode("append").parquet(rejects)
+        return
+    missing = [r["rel"] for r in lost.limit(5).collect()]
+    if missing:
+        raise ValueError(f"images in {folder} that do not decode, among them: {', '.join(missing)}")
+
+
+def stage_inputs(spark: SparkSession, params: RunParameters, staging: str, rejects: str | None = None) -> Inputs:
     """Decode and assign every image once.
 
+    An image that does not decode is an error, or a row (path, rel) of the table ``rejects``.
+
     Targets are written partitioned by the way they will be drawn (one patch, several frames,
     regions), so that each compositing plan reads only its own pixels.
     """
@@ -87,6 +101,8 @@ def stage_inputs(spark: SparkSession, params: RunParameters, staging: str) -> In
         F.when(F.col("is_entity"), F.lit("regions")).when(F.col("frames") > 1, F.lit("frames")).otherwise(F.lit("single")),
     )
     routed.write.partitionBy("route").parquet(f"{staging}/targets")
+    for folder, table, name in ((params.overlay_dir, "sources", "path"), (params.texture_dir, "targets", "target")):
+        account_for(spark, folder, spark.read.parquet(f"{staging}/{table}").select(F.col(name).alias("path")), rejects)
     faces = built.faces
     if catalogue is not None:
         shape = catalogue.regions.withColumnRenamed("ord", "region_ord").drop("name")
@@ -135,22 +151,29 @@ def publish(
     overwrite: bool = True,
     png: bool = False,
     staging: str | None = None,
+    skip_undecodable: bool = False,
 ) -> None:
     """Composite all targets into ``output_dir``.
 
     Rasters go to ``output_dir/rasters`` as Parquet, the manifest to ``output_dir/manifest``.
     With ``png`` (output folder mounted on every executor) the images are also written as PNG
-    files below ``output_dir/tree`` and other files are copied beside them. Inputs are never
-    modified.
+    files below ``output_dir/tree`` and other files are copied beside them. Images that do not
+    decode are an error; with ``skip_undecodable`` they are listed in ``output_dir/rejects`` and the
+    rest goes on. Inputs are never modified.
     """
     if not params.output_dir:
         raise ValueError("output_dir is required: inputs are never overwritten")
+    if png and not files.is_mounted(params.output_dir):
+        raise ValueError("PNG files are written to a mounted folder; leave png out for a URI")
+    for folder in (params.overlay_dir, params.texture_dir):
+        files.require_visible(spark, folder)
     require_rows(files.list_images(spark, params.overlay_dir), "overlay images")
     require_rows(files.list_images(spark, params.texture_dir), "texture images")
-    inputs = stage_inputs(spark, params, staging or staging_folder(spark))
     output = params.output_dir.rstrip("/")
+    rejects = f"{output}/rejects" if skip_undecodable else None
+    inputs = stage_inputs(spark, params, staging or staging_folder(spark), rejects)
     files.write_rasters(composite_inputs(inputs, params), f"{output}/rasters", overwrite)
     if png:
-        files.write_pngs(spark.read.parquet(f"{output}/rasters"), f"{output}/tree")
-        files.copy_other_files(spark, params.texture_dir, f"{output}/tree")
+        files.write_pngs(spark.read.parquet(f"{output}/rasters"), files.plain_root(f"{output}/tree"))
+        files.copy_other_files(spark, params.texture_dir, files.plain_root(f"{output}/tree"))
     write_manifest(spark, params, f"{output}/manifest")

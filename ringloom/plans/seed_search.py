@@ -26,7 +26,7 @@ from ringloom.functions.paths import normalise
 from ringloom.operators import sizing
 from ringloom.operators.ring import look_up, prepare_ring
 
-MAX_TASK_ROWS = 2_000_000
+MAX_TASK_BYTES = 64 << 20
 SEEDS_PER_BATCH = 256
 CELLS_PER_STEP = 1 << 22  # seeds times sources, or seeds times probes, held at once
 SEEDS_PER_CHUNK = 4096
@@ -113,9 +113,7 @@ def _search_by_seed(
     flags = [F.contains(lowered, F.lit(_filter_text(text))).alias(f"q{i}") for i, (_, text) in enumerate(constraints)]
     tail = "concat(':overlay:', rel)"
     ring = (
-        sources.select("source", hash_state(tail).alias("tail"), _units(tail).alias("units"), *flags)
-        .toPandas()
-        .sort_values("source", kind="stable")
+        sources.orderBy("source").select(hash_state(tail).alias("tail"), _units(tail).alias("units"), *flags).toPandas()
     )
     suffix = "concat(':', rel)"
     probe = wanted.select("cid", hash_state(suffix).alias("tail"), _units(suffix).alias("units")).toPandas()
@@ -135,7 +133,7 @@ def _search_by_seed(
             for start in range(0, len(ids), together):
                 yield pd.DataFrame({"seed": _accepted(ids[start : start + together], *constants)})
 
-    return spark.range(seeds.start, seeds.stop, 1, partitions).mapInPandas(search, "seed bigint")
+    return spark.range(seeds.start, seeds.stop, seeds.step, partitions).mapInPandas(search, "seed bigint")
 
 
 def _search_by_rows(
@@ -149,10 +147,11 @@ def _search_by_rows(
     def every_seed(rows: DataFrame) -> DataFrame:
         """Each row once per seed, in two steps so that no row holds a long seed array and
         the chunks are spread over all tasks before they are expanded."""
-        first, last = seeds.start, seeds.stop - 1
-        chunks = rows.withColumn("_chunk", F.expr(f"explode(sequence({first}L, {last}L, {SEEDS_PER_CHUNK}L))"))
+        last = len(seeds) - 1
+        chunks = rows.withColumn("_chunk", F.expr(f"explode(sequence(0L, {last}L, {SEEDS_PER_CHUNK}L))"))
         within = f"explode(sequence(_chunk, least(_chunk + {SEEDS_PER_CHUNK - 1}, {last}L)))"
-        return chunks.repartition(*rows.columns, "_chunk").withColumn("seed", F.expr(within)).drop("_chunk")
+        spread = chunks.repartition(*rows.columns, "_chunk").withColumn("seed", F.expr(within)).drop("_chunk")
+        return spread.withColumn("seed", F.col("seed") * seeds.step + seeds.start)
 
     def head(text: str) -> Column:
         return hash_state(f"concat(seed, '{text}')")
@@ -199,23 +198,26 @@ def search_seeds(
     constraints: list[tuple[str, str]],
     seeds: range,
     partitions: int | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    max_task_bytes: int = MAX_TASK_BYTES,
     max_broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """``(seed)`` of every accepted seed in ``seeds``.
 
     ``sources(source, rel)``, ``targets(rel)``; constraints are (target text, source text),
-    case-insensitive. The length of ``seeds`` is the cap on seeds tried.
+    case-insensitive. The length of ``seeds`` is the cap on seeds tried. Without sources no
+    seed is accepted.
     """
-    if not constraints or not len(seeds):
-        every = spark.range(seeds.start, seeds.stop).withColumnRenamed("id", "seed")
-        return every if len(seeds) else every.limit(0)
+    nothing = spark.range(0).withColumnRenamed("id", "seed")
+    if not len(seeds) or sources.isEmpty():
+        return nothing
+    if not constraints:
+        return spark.range(seeds.start, seeds.stop, seeds.step).withColumnRenamed("id", "seed")
     sources = sources.select("source", normalise(F.col("rel")).alias("rel"))
     wanted = constrained_targets(targets, constraints)
     ring_size, probe_size = sizing.measure(sources), sizing.measure(wanted)
-    if ring_size.rows == 0:
-        return spark.range(0).withColumnRenamed("id", "seed")
     partitions = partitions or spark.sparkContext.defaultParallelism * 4
-    if ring_size.rows + probe_size.rows <= max_task_rows:
+    # What travels: a hash state and a length of each, and a flag of a source for each constraint.
+    travels = ring_size.rows * (16 + len(constraints)) + probe_size.rows * 16
+    if travels <= max_task_bytes:
         return _search_by_seed(spark, sources, wanted, constraints, seeds, partitions)
     return _search_by_rows(spark, sources, wanted, constraints, seeds, max_broadcast_bytes)

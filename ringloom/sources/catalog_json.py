@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ringloom.operators import sizing
 from ringloom.operators.catalog import Catalogue
 from ringloom.operators.overrides import RULE_FIELDS
+from ringloom.sources.files import decoded_path, folder_exists, plain_root
 
 ENTITY_SCHEMA = (
     "map<string, struct<texture_size: array<int>, textures: array<string>, "
@@ -28,8 +29,8 @@ def parse_catalogue(documents: DataFrame) -> Catalogue:
     """Catalogue from ``documents(file, value)``, one JSON object of entities per row.
 
     Malformed JSON is an error. A missing size is 64. An entity listed in several files
-    takes its size, regions and textures from the last one by case-folded file name, while
-    every file's texture claims count.
+    takes its size, regions and textures from the last one by case-folded file name; what the
+    others say of it is dropped.
     """
     claim = F.struct(
         F.lit(0).alias("stage"), F.lower("file").alias("folded"), F.col("file").alias("file")
@@ -63,10 +64,15 @@ def parse_catalogue(documents: DataFrame) -> Catalogue:
 
 
 def read_catalogue(spark: SparkSession, folder: str) -> Catalogue:
-    """Every ``*.json`` directly in ``folder``, in parallel, one task reading whole files."""
-    text = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
-    files = text.select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), "value")
-    return parse_catalogue(files)
+    """Every ``*.json`` directly in ``folder`` and every entity that :func:`write_catalogue` wrote
+    there, in parallel, one task reading whole files."""
+    text = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True, pathGlobFilter="*.{json,txt}")
+    below = F.substring(decoded_path(F.input_file_name()), F.lit(len(plain_root(folder)) + 2), F.lit(1 << 30))
+    written = F.regexp_extract("below", r"^entity_id=([^/]+)/[^/]+\.txt$", 1)
+    named = F.when(written != "", F.concat(F.url_decode(F.replace(written, F.lit("+"), F.lit("%2B"))), F.lit(".json"))).when(
+        F.col("below").rlike(r"^[^/]+\.json$"), F.col("below")
+    )
+    return parse_catalogue(text.select("value", below.alias("below")).select(named.alias("file"), "value").filter("file IS NOT NULL"))
 
 
 def entity_documents(catalogue: Catalogue) -> DataFrame:
@@ -107,15 +113,14 @@ def write_catalogue(catalogue: Catalogue, folder: str, overwrite: bool = False)
         present = existing_entities(spark, folder)
         documents = documents.join(sizing.broadcast_if_small(present), "entity_id", "left_anti")
     spread = documents.repartition("entity_id")
-    writer = spread.write.mode("overwrite" if overwrite else "append").partitionBy("entity_id")
-    writer.text(folder)
+    # Only the partitions, that is the entities, that are written anew are replaced.
+    writer = spread.write.option("partitionOverwriteMode", "dynamic").mode("overwrite" if overwrite else "append")
+    writer.partitionBy("entity_id").text(folder)
     return documents.select("entity_id")
 
 
 def existing_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Entity ids already written below ``folder`` by :func:`write_catalogue`."""
-    from ringloom.sources.files import folder_exists
-
     empty = spark.createDataFrame([], "entity_id string")
     if not folder_exists(spark, folder):
         return empty
@@ -151,7 +156,7 @@ def read_models(spark: SparkSession, folder: str) -> DataFrame:
     Unreadable files are left out.
     """
     text = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
-    stem = F.regexp_replace(F.substring_index(F.input_file_name(), "/", -1), r"\.json$", "")
+    stem = F.regexp_replace(F.substring_index(decoded_path(F.input_file_name()), "/", -1), r"\.json$", "")
     parsed = text.select(
         stem.alias("name"),
         F.from_json("value", MODEL_SCHEMA).alias("m"),

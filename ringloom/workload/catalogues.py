@@ -35,6 +35,9 @@ RULES = (
 )
 _RULE_TYPES = ("string", "int", "double", "double", "boolean", "int")
 
+# At any scale some types are redefined by a brand and others are not.
+_REDEFINED = "p_size > 44 AND length(p_type) % 4 <> 0"
+
 
 def _values(spark: SparkSession, rows: tuple, names: str, kinds: tuple) -> DataFrame:
     """A small literal table as part of the plan."""
@@ -101,7 +104,7 @@ def _nation_catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
     nation = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     textures = (
         table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
-        .filter("s_acctbal > 8000")
+        .filter("s_acctbal > 8000 AND s_nationkey % 5 <> 0")
         .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("n_name").alias("entity_id"),
@@ -258,13 +261,13 @@ def inherit_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = table(spark, sf_dir, "part", "p_brand").distinct().select(
         F.col("p_brand").alias("entity_id"), F.concat(F.lit("Brand#"), (number % 25 + 1).cast("string")).alias("parent_id")
     )
-    return derive.inherit_regions(_faces(spark, sf_dir, "p_size > 44"), parents, _faces(spark, sf_dir)).select(*_OUT)
+    return derive.inherit_regions(_faces(spark, sf_dir, _REDEFINED), parents, _faces(spark, sf_dir)).select(*_OUT)
 
 
 def seed_from_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size")
     shape = [F.col("p_partkey").alias("ord"), F.concat("p_type", F.lit("_top")).alias("name"), F.col("p_type").alias("part"), F.col("p_size").alias("x")]
-    own = part.filter("p_size > 44").select(F.col("p_brand").alias("entity_id"), *shape)
+    own = part.filter(_REDEFINED).select(F.col("p_brand").alias("entity_id"), *shape)
     base = keep_first(part.select(*shape), ["part"], "ord").withColumn("template", F.lit("standard"))
     brands = part.select(F.col("p_brand").alias("entity_id"), F.lit("standard").alias("template")).distinct()
     return derive.seed_from_base(own, base, brands)
@@ -528,7 +531,7 @@ _RESOLVED = (
 )
 _NATION_TEXTURES = (
     "SELECT n_name AS entity_id, s_suppkey AS ord, 't' || floor(s_acctbal / 100)::BIGINT AS texture "
-    "FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 8000"
+    "FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 8000 AND s_nationkey % 5 <> 0"
 )
 _PART_REGIONS = "SELECT p_brand AS entity_id, min(p_partkey) AS ord, p_type AS name FROM part GROUP BY p_brand, p_type"
 _PART_TEXTURES = "SELECT p_brand AS entity_id, min(p_partkey) AS ord, p_name AS name FROM part GROUP BY p_brand, p_name"
@@ -578,7 +581,7 @@ def _faces_sql(where: str = "true") -> str:
 
 _NAMED = "name, x, y, width, height"
 _BASE = "regexp_replace(name, '(_[0-9]+)?_[^_]*$', '')"
-_OWN = _faces_sql("p_size > 44")
+_OWN = _faces_sql(_REDEFINED)
 _PARENTS = "SELECT DISTINCT p_brand AS entity_id, 'Brand#' || (split_part(p_brand, '#', 2)::INTEGER % 25 + 1) AS parent_id FROM part"
 _INHERITED = (
     f"SELECT k.entity_id, r.ord, r.name, r.x, r.y, r.width, r.height FROM ({_faces_sql()}) r JOIN ({_PARENTS}) k ON k.parent_id = r.entity_id "
@@ -588,7 +591,7 @@ _INHERITED = (
 _SHAPE = "p_partkey AS ord, p_type || '_top' AS name, p_type AS part, p_size AS x"
 _BASED = (
     f"SELECT b.entity_id, s.ord, s.name, s.part, s.x FROM (SELECT DISTINCT p_brand AS entity_id FROM part) b, "
-    f"({_first_sql(f'SELECT {_SHAPE} FROM part', 'part')}) s WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_brand = b.entity_id AND o.p_type = s.part AND o.p_size > 44)"
+    f"({_first_sql(f'SELECT {_SHAPE} FROM part', 'part')}) s WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_brand = b.entity_id AND o.p_type = s.part AND o.p_size > 44 AND length(o.p_type) % 4 <> 0)"
 )
 _MIRROR_WIDTH = "SELECT p_brand AS entity_id, max(p_size) + 64 AS tex_w FROM part GROUP BY 1"
 _MIRRORED = (
@@ -698,7 +701,7 @@ ORACLE = {
     ),
     "inherit_parts": _after_sql(_INHERITED, _OWN, _NAMED),
     "seed_from_base": _after_sql(
-        _BASED, f"SELECT p_brand AS entity_id, {_SHAPE} FROM part WHERE p_size > 44", "name, part, x"
+        _BASED, f"SELECT p_brand AS entity_id, {_SHAPE} FROM part WHERE {_REDEFINED}", "name, part, x"
     ),
     "parent_chain": f"{_CHAIN} SELECT name, owner FROM owned",
     "model_regions": (

@@ -159,3 +159,44 @@ def test_block_models_from_files(spark, tmp_path):
     files = spark.createDataFrame([(p,) for p in ("tex/lamp.png", "tex/lamp.png.mcmeta", "tex/still.png")], "path string")
     used = derive.animated_model_textures(read, spark.createDataFrame([("template_a",)], "template string"), files, "tex")
     assert [r["texture"] for r in used.collect()] == ["tex/lamp.png"]
+
+
+def test_a_written_catalogue_is_read_and_rewritten_by_entity(spark, tmp_path):
+    from ringloom.sources.catalog_json import parse_catalogue, read_catalogue, write_catalogue
+
+    def one(entity, side):
+        value = json.dumps({entity: {"texture_size": [side, side], "textures": [f"{entity}.png"], "regions": [{"name": "r", "x": 1, "y": 1, "width": 2, "height": 2}]}})
+        return parse_catalogue(spark.createDataFrame([(f"{entity}.json", value)], "file string, value string"))
+
+    folder = str(tmp_path / "cat")
+    for entity, side in (("a b+c", 16), ("b", 32), ("b", 64)):
+        write_catalogue(one(entity, side), folder, overwrite=True)
+    got = read_catalogue(spark, folder)
+    assert {(r["entity_id"], r["tex_w"]) for r in got.entities.collect()} == {("a b+c", 16), ("b", 64)}
+    assert got.regions.count() == 2 and got.textures.count() == 2
+
+
+def test_merging_replaces_an_entity_of_the_merged_name(spark):
+    from ringloom.operators.catalog import merge_halves
+    from ringloom.sources.catalog_json import parse_catalogue
+
+    region = {"name": "r", "x": 1, "y": 1, "width": 2, "height": 2}
+    value = json.dumps({e: {"textures": [f"{e}.png"], "regions": [region]} for e in ("bed", "bed_head", "bed_foot")})
+    rules = spark.createDataFrame([("bed", "bed_head", "bed_foot", "head_", "foot_")], "merged string, first string, second string, first_prefix string, second_prefix string")
+    got = merge_halves(parse_catalogue(spark.createDataFrame([("x.json", value)], "file string, value string")), rules)
+    assert [r["entity_id"] for r in got.entities.collect()] == ["bed"]
+    assert sorted(r["name"] for r in got.regions.collect()) == ["foot_r", "head_r"]
+    assert sorted(r["texture"] for r in got.textures.collect()) == ["bed_foot.png", "bed_head.png"]
+
+
+def test_ordinals_that_do_not_fit_are_an_error(spark):
+    from ringloom.operators.derive import faces_of_cuboids
+
+    def faces(ord_):
+        row = ("e", ord_, "p", 0, 0, 0, 2, 2, 2)
+        schema = "entity_id string, ord long, part string, idx int, u int, v int, sx int, sy int, sz int"
+        return faces_of_cuboids(spark.createDataFrame([row], schema)).collect()
+
+    assert faces(700_000_000)
+    with pytest.raises(Exception, match="too large"):
+        faces(800_000_000)

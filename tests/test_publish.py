@@ -60,6 +60,10 @@ def folders(tmp_path_factory):
     for i, (w, h) in enumerate([(6, 6), (9, 5), (4, 12), (16, 16)]):
         put(sources, f"s{i}.png", rgba(i, w, h))
     put(sources, "deep/UPPER.PNG", rgba(9, 7, 7))
+    put(sources, "my overlay+50%.png", rgba(10, 6, 6))
+    put(sources, "p%C3 x.png", rgba(11, 6, 5))
+    put(targets, "block/a b.png", rgba(25, 5, 5))
+    put(targets, "block/e%20f+g é.png", rgba(26, 4, 5))
     put(targets, "entity/cat.png", rgba(20, 8, 8))
     put(targets, "block/plain.png", rgba(21, 5, 4))
     put(targets, "block/strip.png", rgba(22, 3, 9))
@@ -105,14 +109,16 @@ def test_run_matches_per_image_recomputation(spark, folders, tmp_path, params):
         **params.__dict__, "overlay_dir": str(root / "sources"), "texture_dir": str(root / "targets"),
         "entity_regions": str(root / "catalogue"), "output_dir": str(tmp_path / "out"),
     })
-    got = {r["rel"]: r for r in composite_inputs(stage_inputs(spark, params, str(tmp_path / "stage")), params).collect()}
+    got = {r["rel"]: r for r in composite_inputs(stage_inputs(spark, params, str(tmp_path / "stage"), str(tmp_path / "rejects")), params).collect()}
     sources = [p for p in pixels if "/sources/" in p]
     src_root, dst_root = str(root / "sources"), str(root / "targets")
 
     def source_for(key):
         return pixels[place(key, sources, src_root, params.seed)]
 
-    assert sorted(got) == ["block/plain.png", "block/ragged.png", "block/still.png", "block/strip.png", "entity/cat.png"]
+    assert sorted(got) == [
+        "block/a b.png", "block/e%20f+g é.png", "block/plain.png", "block/ragged.png", "block/still.png", "block/strip.png", "entity/cat.png",
+    ]
     for rel, row in got.items():
         img = pixels[os.path.join(dst_root, rel)]
         override = params.path_config and rel.startswith("block/p")
@@ -147,7 +153,8 @@ def test_publish_writes_images_copies_and_manifest(spark, folders, tmp_path):
         overlay_dir=str(root / "sources"), texture_dir=str(root / "targets"), entity_regions=str(root / "catalogue"),
         output_dir=str(tmp_path / "out"), scale=2, path_config='{"block/p":{"scale":1}}',
     ).with_seed("spring")
-    publish(spark, params, png=True, staging=str(tmp_path / "stage"))
+    publish(spark, params, png=True, staging=str(tmp_path / "stage"), skip_undecodable=True)
+    assert {r["rel"] for r in spark.read.parquet(str(tmp_path / "out" / "rejects")).collect()} == {"broken.png"}
     tree = tmp_path / "out/tree"
     assert (tree / "notes.txt").read_text() == "keep me"
     assert (tree / "block/strip.png.mcmeta").exists()
@@ -156,7 +163,7 @@ def test_publish_writes_images_copies_and_manifest(spark, folders, tmp_path):
     assert {k: bytes(v["data"]) for k, v in again.items()} == {k: bytes(v["data"]) for k, v in written.items()}
     assert read_parameters(spark, str(tmp_path / "out/manifest")) == params
     # A second run without overwrite adds nothing.
-    publish(spark, params, overwrite=False, staging=str(tmp_path / "stage2"))
+    publish(spark, params, overwrite=False, staging=str(tmp_path / "stage2"), skip_undecodable=True)
     assert spark.read.parquet(str(tmp_path / "out/rasters")).count() == len(written)
     assert [r["rel"] for r in undecodable(spark, params.texture_dir).collect()] == ["broken.png"]
 
@@ -177,3 +184,17 @@ def test_decoding_palette_and_gray(spark, tmp_path):
     (tmp_path / "gray.png").write_bytes(png(0, 2, 1, np.array([[7, 250]])))
     got = {r["rel"]: list(r["data"]) for r in files.read_rasters(spark, str(tmp_path)).collect()}
     assert got == {"pal.png": [10, 20, 30, 0, 200, 100, 50, 128], "gray.png": [7, 7, 7, 255, 250, 250, 250, 255]}
+
+
+def test_faults_are_said(spark, folders, tmp_path):
+    root, _ = folders
+    params = RunParameters(overlay_dir=str(root / "sources"), texture_dir=str(root / "targets"), output_dir=str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="broken.png"):
+        publish(spark, params, staging=str(tmp_path / "stage"))
+    with pytest.raises(ValueError, match="mounted"):
+        publish(spark, RunParameters(**{**params.__dict__, "output_dir": "s3a://bucket/out"}), png=True)
+    hidden = tmp_path / "hidden" / "deep"
+    hidden.mkdir(parents=True)
+    (hidden / "_a.png").write_bytes(b"x")
+    with pytest.raises(ValueError, match="_a.png"):
+        publish(spark, RunParameters(**{**params.__dict__, "texture_dir": str(tmp_path / "hidden")}))

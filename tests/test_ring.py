@@ -235,7 +235,41 @@ def test_seed_search_plans_agree_with_brute_force(spark, monkeypatch, constraint
     monkeypatch.setattr(seed_search, "CELLS_PER_STEP", 200)
     monkeypatch.setattr(seed_search, "SEEDS_PER_CHUNK", 7)
     fast = search_seeds(spark, df, t, constraints, seeds)
-    general = search_seeds(spark, df, t, constraints, seeds, max_task_rows=0)
-    shuffled = search_seeds(spark, df, t, constraints, seeds, max_task_rows=0, max_broadcast_bytes=0)
+    general = search_seeds(spark, df, t, constraints, seeds, max_task_bytes=0)
+    shuffled = search_seeds(spark, df, t, constraints, seeds, max_task_bytes=0, max_broadcast_bytes=0)
     for found in (fast, general, shuffled):
         assert sorted(r["seed"] for r in found.collect()) == want
+
+
+def test_seed_steps_and_no_sources(spark):
+    sources = spark.createDataFrame([(f"/s{i}", f"s{i}.png") for i in range(6)], "source string, rel string")
+    targets = spark.createDataFrame([(f"t{i}.png",) for i in range(20)], "rel string")
+    wanted = [("t3", "s2")]
+    every = {r[0] for r in search_seeds(spark, sources, targets, wanted, range(0, 60)).collect()}
+    for seeds in (range(0, 60, 7), range(3, 60, 5)):
+        for limit in (64 << 20, 0):
+            got = {r[0] for r in search_seeds(spark, sources, targets, wanted, seeds, max_task_bytes=limit).collect()}
+            assert got == every & set(seeds)
+        assert search_seeds(spark, sources, targets, [], seeds).count() == len(seeds)
+    assert search_seeds(spark, sources.limit(0), targets, [], range(5)).count() == 0
+
+
+def test_many_warm_keys_are_all_salted(spark):
+    from ringloom.operators.sizing import salt_hot_keys
+
+    many = spark.range(6000).selectExpr("cast(id % 60 AS string) AS k", "id")
+    one = spark.range(60).selectExpr("cast(id AS string) AS k", "id AS v")
+    left, right = salt_hot_keys(many, one, "k", ["id"], rows_per_salt=20)
+    assert left.groupBy("k", "salt").count().agg({"count": "max"}).first()[0] < 60
+    assert left.join(right, ["k", "salt"]).count() == 6000
+
+
+def test_rows_without_a_key_do_not_meet(spark):
+    from ringloom.operators.sizing import join_left
+
+    df = spark.range(500).selectExpr("id", "if(id % 5 = 0, cast(id AS string), null) AS k")
+    other = spark.range(600).selectExpr("cast(id AS string) AS k", "id * 2 AS v")
+    for small in (True, False):
+        got = join_left(df, other, "k", small)
+        assert set(got.columns) == {"id", "k", "v"}
+        assert {(r["id"], r["v"]) for r in got.collect()} == {(i, 2 * i if i % 5 == 0 else None) for i in range(500)}
