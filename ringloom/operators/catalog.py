@@ -32,10 +32,11 @@ class Profile:
     regions: sizing.Size
     textures: sizing.Size
     texture_lengths: tuple[int | None, int]  # least and number of distinct path lengths
+    max_broadcast_bytes: int | None = None
 
     def fits(self, *parts: str, extra: int = 0) -> bool:
         """Whether each part, with up to ``extra`` bytes added to a row, may be broadcast."""
-        return all(getattr(self, p).widened(extra).fits() for p in parts)
+        return all(getattr(self, p).widened(extra).fits(self.max_broadcast_bytes) for p in parts)
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,7 @@ class Catalogue:
     entities: DataFrame
     regions: DataFrame
     textures: DataFrame
+    max_broadcast_bytes: int | None = None
 
     @cached_property
     def profile(self) -> Profile:
@@ -57,7 +59,8 @@ class Catalogue:
         )
         found = {r["k"]: r for r in rows}
         sizes = {k: sizing.Size(r["n"], r["b"], r["w"]) for k, r in found.items()}
-        return Profile(**sizes, texture_lengths=(found["textures"]["shortest"], found["textures"]["lengths"]))
+        lengths = found["textures"]["shortest"], found["textures"]["lengths"]
+        return Profile(**sizes, texture_lengths=lengths, max_broadcast_bytes=self.max_broadcast_bytes)
 
     @cached_property
     def face_rows(self) -> int:

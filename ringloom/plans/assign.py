@@ -58,7 +58,8 @@ def build_assignments(
     """Assign ``sources(source, rel)`` to ``targets(target, rel)``.
 
     With a ring and a catalogue of broadcast size the targets are read once and never
-    shuffled. ``keep`` names further target columns to carry along.
+    shuffled. ``keep`` names further target columns to carry along. The bounds of broadcasts are
+    those of the ring and of the catalogue (``max_broadcast_bytes`` of either).
     """
     ring = ring or prepare_ring(sources, seed)
     if ring.sources.rows == 0:
@@ -105,7 +106,7 @@ def build_assignments(
     pair_bytes = catalogue.profile.textures.widest + catalogue.profile.regions.widest + ring.sources.widest
 
     def faces_fit() -> bool:
-        return sizing.Size(catalogue.face_rows, catalogue.face_rows * pair_bytes).fits()
+        return sizing.Size(catalogue.face_rows, catalogue.face_rows * pair_bytes).fits(catalogue.max_broadcast_bytes)
 
     return Assignments(named.withColumn("display", shown).select(*kinds), faces, faces_fit, fits("textures"))
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringloom.functions.hashing import hash_state, parse_seed, ring_position, string_seed, target_state
+from ringloom.functions.paths import relative_to
 from ringloom.operators.assign import assign_entities, assign_frames, assign_targets, primary_overlays
 from ringloom.operators.classify import classification_totals, classify_targets
 from ringloom.operators.catalog import texture_owners
 from ringloom.operators.ring import prepare_ring
 from ringloom.operators.search import of_kind, priority_top, reverse_lookup, text_filter
-from ringloom.plans.assign import build_assignments, preview_list
+from ringloom.plans.assign import build_assignments, preview_list, zip_faces
 from ringloom.plans.seed_search import search_seeds
+from ringloom.sources.files import sidecar_flags
 from ringloom.workload.tables import (
     DOCUMENTS_SQL,
     SEED,
@@ -55,6 +59,12 @@ def ring_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_targets(documents(spark, sf_dir), ring, SEED).select("doc_id", F.col("overlay").alias("s_name"))
 
 
+def ring_assign_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ring_assign, with a ring that may not be broadcast."""
+    ring = prepare_ring(suppliers(spark, sf_dir), SEED, max_broadcast_bytes=0)
+    return assign_targets(documents(spark, sf_dir), ring, SEED).select("doc_id", F.col("overlay").alias("s_name"))
+
+
 def ring_assign_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load per source when every line item is a target."""
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").withColumn(
@@ -83,8 +93,8 @@ def _entity_assign(face_mode: str, texture_mode: str):
     return run
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue = customer_catalogue(spark, sf_dir)
+def _classified(spark: SparkSession, sf_dir: str, max_broadcast_bytes: int | None = None) -> DataFrame:
+    catalogue = replace(customer_catalogue(spark, sf_dir), max_broadcast_bytes=max_broadcast_bytes)
     return classify_targets(documents(spark, sf_dir), texture_owners(catalogue), catalogue.profile)
 
 
@@ -92,6 +102,10 @@ def classify_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).select("doc_id", "texture", "entity_id", "is_entity")
 
 
+def classify_suffix_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, 0).select("doc_id", "texture", "entity_id", "is_entity")
+
+
 def classify_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classification_totals(_classified(spark, sf_dir))
 
@@ -101,17 +115,28 @@ def primary_and_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return primary_overlays(faces, ["texture", "entity_id"])
 
 
-def _assignments(spark: SparkSession, sf_dir: str):
-    return build_assignments(
-        suppliers(spark, sf_dir), documents(spark, sf_dir), customer_catalogue(spark, sf_dir), SEED,
-        "different", "separate",
-    )
+def _assignments(spark: SparkSession, sf_dir: str, max_broadcast_bytes: int | None = None):
+    sources = suppliers(spark, sf_dir)
+    catalogue = replace(customer_catalogue(spark, sf_dir), max_broadcast_bytes=max_broadcast_bytes)
+    ring = prepare_ring(sources, SEED, max_broadcast_bytes=max_broadcast_bytes)
+    return build_assignments(sources, documents(spark, sf_dir), catalogue, SEED, "different", "separate", ring)
+
+
+_ASSIGNED = ["rel", "overlay", "is_entity", "entity_id", "texture", "tex_w", "tex_h", "display"]
 
 
 def full_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assignments(spark, sf_dir).targets.select(
-        "rel", "overlay", "is_entity", "entity_id", "texture", "tex_w", "tex_h", "display"
-    )
+    return _assignments(spark, sf_dir).targets.select(*_ASSIGNED)
+
+
+def full_assignment_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As full_assignment, with nothing small enough to be broadcast."""
+    return _assignments(spark, sf_dir, 0).targets.select(*_ASSIGNED)
+
+
+def text_filter_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = _assignments(spark, sf_dir, 0)
+    return text_filter(built.targets, built.faces, "#00000001", built.textures_fit).select("target", "overlay")
 
 
 def assignment_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +178,37 @@ def seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_seeds(spark, suppliers(spark, sf_dir), pages, SEARCH_CONSTRAINTS, SEARCH_SEEDS)
 
 
+def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths below their source's folder, or, for every fifth document, below another one."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source")
+    path = F.concat_ws("/", F.lit("/data"), "source", F.col("doc_id").cast("string"))
+    base = F.when(F.col("doc_id") % 5 == 0, F.lit("/other")).otherwise(F.concat(F.lit("/data/"), "source", F.lit("/")))
+    return docs.select("doc_id", relative_to(path, base).alias("rel"))
+
+
+def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties as sidecars: some with an animation key, some cut short."""
+    events = table(spark, sf_dir, "events", "event_id", "props")
+    value = F.replace("props", F.lit('"k": 1'), F.lit('"animation": 1'))
+    value = F.when(F.col("event_id") % 7 == 0, F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
+    flags = sidecar_flags(events.select(F.col("event_id").cast("string").alias("path"), value.alias("value")))
+    return flags.select(F.col("path").cast("bigint").alias("event_id"), "has_anim")
+
+
+def zipped_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as regions, the larger ones as overlays, paired to the shorter list."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_linestatus", "l_quantity", "l_returnflag")
+
+    def in_order(column: str, large: bool):
+        line = F.struct("l_linenumber", F.col(column).alias("v"))
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("l_quantity") > 20, line) if large else line)), lambda x: x["v"])
+
+    nested = lines.groupBy(F.col("l_orderkey").alias("target")).agg(
+        in_order("l_linestatus", False).alias("regions"), in_order("l_returnflag", True).alias("overlays")
+    )
+    return zip_faces(nested)
+
+
 QUERIES = {
     "ring_hash_keys": ring_hash_keys,
     "string_seed": string_seeds,
@@ -175,6 +231,13 @@ QUERIES = {
     "priority_topk": priority_topk,
     "preview_list": preview,
     "seed_search": seed_search,
+    "ring_assign_shuffled": ring_assign_shuffled,
+    "classify_suffix_shuffled": classify_suffix_shuffled,
+    "full_assignment_shuffled": full_assignment_shuffled,
+    "text_filter_shuffled": text_filter_shuffled,
+    "relative_paths": relative_paths,
+    "sidecar_flags": sidecars,
+    "zip_faces": zipped_faces,
 }
 
 # Oracle ------------------------------------------------------------------------------
@@ -320,3 +383,17 @@ ORACLE = {
         f"GROUP BY seed HAVING count(*) FILTER (met) = {len(SEARCH_CONSTRAINTS)}"
     ),
 }
+
+ORACLE |= {f"{name}_shuffled": ORACLE[name] for name in ("ring_assign", "classify_suffix", "full_assignment", "text_filter")}
+ORACLE |= {
+    "relative_paths": (
+        "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '/data/' || source || '/' || doc_id ELSE doc_id::VARCHAR END AS rel FROM documents"
+    ),
+    "sidecar_flags": "SELECT event_id, event_id % 7 <> 0 AND contains(props, '\"k\": 1') AS has_anim FROM events",
+    "zip_faces": (
+        "WITH o AS (SELECT l_orderkey AS target, list(l_linestatus ORDER BY l_linenumber) AS r, "
+        "coalesce(list(l_returnflag ORDER BY l_linenumber) FILTER (l_quantity > 20), []) AS f FROM lineitem GROUP BY 1) "
+        "SELECT target, n::INTEGER AS region_ord, r[n + 1] AS region, f[n + 1] AS overlay "
+        "FROM (SELECT *, unnest(range(least(len(r), len(f)))) AS n FROM o)"
+    ),
+}
