@@ -391,8 +391,8 @@ ORACLE |= {
     ),
     "sidecar_flags": "SELECT event_id, event_id % 7 <> 0 AND contains(props, '\"k\": 1') AS has_anim FROM events",
     "zip_faces": (
-        "WITH o AS (SELECT l_orderkey AS target, list(l_linestatus ORDER BY l_linenumber) AS r, "
-        "coalesce(list(l_returnflag ORDER BY l_linenumber) FILTER (l_quantity > 20), []) AS f FROM lineitem GROUP BY 1) "
+        "WITH o AS (SELECT l_orderkey AS target, list(l_linestatus ORDER BY l_linenumber, l_linestatus) AS r, "
+        "coalesce(list(l_returnflag ORDER BY l_linenumber, l_returnflag) FILTER (l_quantity > 20), []) AS f FROM lineitem GROUP BY 1) "
         "SELECT target, n::INTEGER AS region_ord, r[n + 1] AS region, f[n + 1] AS overlay "
         "FROM (SELECT *, unnest(range(least(len(r), len(f)))) AS n FROM o)"
     ),
