@@ -143,7 +143,7 @@ def face_region_name(part: Column, index: Column, cuboids_in_part: Column, face:
 
 
 def element_region_name(
-    template: Column, element: Column, direction: Column, many_templates: bool
+    template: Column, element: Column, direction: Column, several: Column
 ) -> Column:
     own = F.concat(F.lit("elem"), element.cast("string"), F.lit("_"), direction)
-    return F.concat(F.lit("t"), template.cast("string"), F.lit("_"), own) if many_templates else own
+    return F.when(several, F.concat(F.lit("t"), template.cast("string"), F.lit("_"), own)).otherwise(own)

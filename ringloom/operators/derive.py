@@ -155,9 +155,11 @@ def replicate_parts(regions: DataFrame, rules: DataFrame) -> DataFrame:
     small = sizing.broadcast_if_small(rules)
     r, k = regions.alias("r"), small.alias("k")
     on = (F.col("r.entity_id") == F.col("k.entity_id")) & F.startswith(F.col("r.name"), F.col("k.match"))
-    copies = r.join(k, on).select(
+    # A copy comes behind all ordinals of the one before; too many of them are an overflow error.
+    span = regions.groupBy("entity_id").agg((F.max("ord") + 1).cast("bigint").alias("span")).alias("s")
+    copies = r.join(k, on).join(span, F.col("r.entity_id") == F.col("s.entity_id")).select(
         "r.entity_id",
-        _packed(F.col("k.copy"), F.col("r.ord")).alias("ord"),
+        (F.col("k.copy") * F.col("s.span") + F.col("r.ord")).alias("ord"),
         F.replace("r.name", "k.old", "k.new").alias("name"),
         (F.col("r.x") + F.col("k.dx")).alias("x"),
         (F.col("r.y") + F.col("k.dy")).alias("y"),
@@ -285,24 +287,25 @@ def elements_owner(models: DataFrame) -> DataFrame:
     return state.select("name", "owner")
 
 
-def regions_of_models(
-    templates: DataFrame, models: DataFrame, owners: DataFrame, many_templates: bool = True
-) -> DataFrame:
+def regions_of_models(templates: DataFrame, models: DataFrame, owners: DataFrame) -> DataFrame:
     """Regions of block models.
 
     ``templates(entity_id, template_ord, template)``;
     ``models(name, elements array<struct<faces map<string, struct<uv array<double>>>>>)``;
     ``owners`` from :func:`elements_owner`. Faces go by template, element, then face name;
-    quads that are too thin are dropped and each oriented rectangle is kept once.
+    quads that are too thin are dropped and each oriented rectangle is kept once. Names of an
+    entity with several templates say which.
     """
-    owned = templates.withColumn("name", strip_namespace(F.col("template"))).join(
+    several = templates.groupBy("entity_id").agg((F.count(F.lit(1)) > 1).alias("several"))
+    counted = templates.join(sizing.broadcast_if_small(several), "entity_id")
+    owned = counted.withColumn("name", strip_namespace(F.col("template"))).join(
         owners.filter("owner is not null"), "name"
     )
     bodies = models.select(strip_namespace(F.col("name")).alias("owner"), "elements")
     elements = owned.join(bodies, "owner").select(
-        "entity_id", "template_ord", F.posexplode("elements").alias("element", "body")
+        "entity_id", "several", "template_ord", F.posexplode("elements").alias("element", "body")
     )
-    faces = elements.select("entity_id", "template_ord", "element", F.explode("body.faces").alias("face", "quad"))
+    faces = elements.select("entity_id", "several", "template_ord", "element", F.explode("body.faces").alias("face", "quad"))
     uv = F.col("quad.uv")
     rect = F.when(F.size(uv) >= 4, quad_rectangle(*[uv[i].cast("double") for i in range(4)]))
     found = faces.withColumn("rect", rect).filter("rect is not null")
@@ -310,7 +313,7 @@ def regions_of_models(
     named = found.select(
         "entity_id",
         at.alias("ord"),
-        element_region_name(F.col("template_ord"), F.col("element"), F.col("face"), many_templates).alias("name"),
+        element_region_name(F.col("template_ord"), F.col("element"), F.col("face"), F.col("several")).alias("name"),
         "rect.*",
     )
     return first_per_oriented_rectangle(named)

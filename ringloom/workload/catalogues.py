@@ -602,8 +602,8 @@ _MIRRORED = (
     "AND NOT EXISTS (SELECT 1 FROM faces t WHERE t.entity_id = f.entity_id AND t.name = k.unless)"
 )
 _COPIES = (
-    "SELECT entity_id, c.copy * 4294967296 + ord AS ord, replace(name, 'ECONOMY_', 'cube' || c.copy || '_') AS name, (x + c.copy * 32)::INTEGER AS x, "
-    "(y + c.copy * 9)::INTEGER AS y, width, height FROM faces, range(3) c(copy) WHERE starts_with(name, 'ECONOMY_')"
+    "SELECT entity_id, c.copy * span + ord AS ord, replace(name, 'ECONOMY_', 'cube' || c.copy || '_') AS name, (x + c.copy * 32)::INTEGER AS x, "
+    "(y + c.copy * 9)::INTEGER AS y, width, height FROM (SELECT *, max(ord) OVER (PARTITION BY entity_id) + 1 AS span FROM faces), range(3) c(copy) WHERE starts_with(name, 'ECONOMY_')"
 )
 
 

@@ -153,9 +153,11 @@ def test_block_models_from_files(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text("{" if body is None else json.dumps(body))
     read = cj.read_models(spark, str(tmp_path))
     assert sorted(r["name"] for r in read.collect()) == ["child", "template_a"]
-    templates = spark.createDataFrame([("lamp", 0, "block/child"), ("lamp", 1, "template_a")], "entity_id string, template_ord int, template string")
+    templates = spark.createDataFrame([("lamp", 0, "block/child"), ("lamp", 1, "template_a"), ("one", 0, "template_a")], "entity_id string, template_ord int, template string")
     found = derive.regions_of_models(templates, read, derive.elements_owner(read)).orderBy("name").collect()
-    assert [(r["name"], r["x"], r["width"], r["height"], r["flip"]) for r in found] == [("t0_elem0_down", 0, 6, 7, "hv"), ("t0_elem0_up", 0, 6, 7, None)]
+    assert [(r["name"], r["x"], r["width"], r["height"], r["flip"]) for r in found] == [
+        ("elem0_down", 0, 6, 7, "hv"), ("elem0_up", 0, 6, 7, None), ("t0_elem0_down", 0, 6, 7, "hv"), ("t0_elem0_up", 0, 6, 7, None),
+    ]
     files = spark.createDataFrame([(p,) for p in ("tex/lamp.png", "tex/lamp.png.mcmeta", "tex/still.png")], "path string")
     used = derive.animated_model_textures(read, spark.createDataFrame([("template_a",)], "template string"), files, "tex")
     assert [r["texture"] for r in used.collect()] == ["tex/lamp.png"]
