@@ -59,10 +59,14 @@ def undecodable(spark: SparkSession, folder: str) -> DataFrame:
     return files.list_images(spark, folder).join(decoded, "path", "left_anti")
 
 
-def account_for(spark: SparkSession, folder: str, staged: DataFrame, rejects: str | None) -> None:
-    """Images listed in ``folder`` that were not ``staged`` (path): a table at ``rejects``, or an
-    error that names some of them."""
+def account_for(
+    spark: SparkSession, folder: str, staged: DataFrame, rejects: str | None, done: DataFrame | None = None
+) -> None:
+    """Images listed in ``folder`` that were not ``staged`` (path), nor ``done`` (rel) before: a
+    table at ``rejects``, or an error that names some of them."""
     lost = files.list_images(spark, folder).join(staged, "path", "left_anti")
+    if done is not None:
+        lost = lost.join(done, "rel", "left_anti")
     if rejects:
         lost.write.mode("append").parquet(rejects)
         return
@@ -71,10 +75,17 @@ def account_for(spark: SparkSession, folder: str, staged: DataFrame, rejects: st
         raise ValueError(f"images in {folder} that do not decode, among them: {', '.join(missing)}")
 
 
-def stage_inputs(spark: SparkSession, params: RunParameters, staging: str, rejects: str | None = None) -> Inputs:
+def stage_inputs(
+    spark: SparkSession,
+    params: RunParameters,
+    staging: str,
+    rejects: str | None = None,
+    done: DataFrame | None = None,
+) -> Inputs | None:
     """Decode and assign every image once.
 
     An image that does not decode is an error, or a row (path, rel) of the table ``rejects``.
+    Targets whose ``rel`` is ``done`` are left out before any work; None if no other is left.
 
     Targets are written partitioned by the way they will be drawn (one patch, several frames,
     regions), so that each compositing plan reads only its own pixels.
@@ -85,6 +96,10 @@ def stage_inputs(spark: SparkSession, params: RunParameters, staging: str, rejec
 
     catalogue = load_catalogue(spark, params.entity_regions)
     rasters = files.read_rasters(spark, params.texture_dir).withColumnRenamed("path", "target")
+    if done is not None:
+        rasters = rasters.join(sizing.broadcast_if_small(done), "rel", "left_anti")
+        if rasters.isEmpty():
+            return None
     built = build_assignments(
         listed, rasters, catalogue, params.seed, params.entity_face_mode, params.entity_texture_mode, ring,
         keep=("w", "h", "data"),
@@ -101,8 +116,9 @@ def stage_inputs(spark: SparkSession, params: RunParameters, staging: str, rejec
         F.when(F.col("is_entity"), F.lit("regions")).when(F.col("frames") > 1, F.lit("frames")).otherwise(F.lit("single")),
     )
     routed.write.partitionBy("route").parquet(f"{staging}/targets")
-    for folder, table, name in ((params.overlay_dir, "sources", "path"), (params.texture_dir, "targets", "target")):
-        account_for(spark, folder, spark.read.parquet(f"{staging}/{table}").select(F.col(name).alias("path")), rejects)
+    decoded = {t: spark.read.parquet(f"{staging}/{t}") for t in ("sources", "targets")}
+    account_for(spark, params.overlay_dir, decoded["sources"].select("path"), rejects)
+    account_for(spark, params.texture_dir, decoded["targets"].select(F.col("target").alias("path")), rejects, done)
     faces = built.faces
     if catalogue is not None:
         shape = catalogue.regions.withColumnRenamed("ord", "region_ord").drop("name")
@@ -156,6 +172,8 @@ def publish(
     """Composite all targets into ``output_dir``.
 
     Rasters go to ``output_dir/rasters`` as Parquet, the manifest to ``output_dir/manifest``.
+    Without ``overwrite`` targets already drawn there are not worked on again. A staging folder
+    that the run made itself is removed at its end.
     With ``png`` (output folder mounted on every executor) the images are also written as PNG
     files below ``output_dir/tree`` and other files are copied beside them. Images that do not
     decode are an error; with ``skip_undecodable`` they are listed in ``output_dir/rejects`` and the
@@ -171,8 +189,14 @@ def publish(
     require_rows(files.list_images(spark, params.texture_dir), "texture images")
     output = params.output_dir.rstrip("/")
     rejects = f"{output}/rejects" if skip_undecodable else None
-    inputs = stage_inputs(spark, params, staging or staging_folder(spark), rejects)
-    files.write_rasters(composite_inputs(inputs, params), f"{output}/rasters", overwrite)
+    folder, done = staging or staging_folder(spark), None
+    if not overwrite and files.folder_exists(spark, f"{output}/rasters"):
+        done = spark.read.parquet(f"{output}/rasters").select("rel").distinct()
+    inputs = stage_inputs(spark, params, folder, rejects, done)
+    if inputs is not None:
+        files.write_rasters(composite_inputs(inputs, params), f"{output}/rasters", overwrite)
+    if not staging:
+        files.remove_folder(spark, folder)
     if png:
         files.write_pngs(spark.read.parquet(f"{output}/rasters"), files.plain_root(f"{output}/tree"))
         files.copy_other_files(spark, params.texture_dir, files.plain_root(f"{output}/tree"))

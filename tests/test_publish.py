@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import pathlib
 import struct
 import zlib
 
@@ -12,6 +13,7 @@ import pytest
 
 from ringloom.functions.hashing import literal_state
 from ringloom.operators import raster_kernel as kernel
+from ringloom.operators.lineage import shared_folder
 from ringloom.plans.publish import composite_inputs, publish, stage_inputs, undecodable
 from ringloom.sources import files
 from ringloom.sources.params import RunParameters, read_parameters
@@ -163,7 +165,8 @@ def test_publish_writes_images_copies_and_manifest(spark, folders, tmp_path):
     assert {k: bytes(v["data"]) for k, v in again.items()} == {k: bytes(v["data"]) for k, v in written.items()}
     assert read_parameters(spark, str(tmp_path / "out/manifest")) == params
     # A second run without overwrite adds nothing.
-    publish(spark, params, overwrite=False, staging=str(tmp_path / "stage2"), skip_undecodable=True)
+    publish(spark, params, overwrite=False, skip_undecodable=True)
+    assert not any(p.name.startswith("staged-") for p in pathlib.Path(shared_folder(spark)).iterdir())
     assert spark.read.parquet(str(tmp_path / "out/rasters")).count() == len(written)
     assert [r["rel"] for r in undecodable(spark, params.texture_dir).collect()] == ["broken.png"]
 
