@@ -220,9 +220,13 @@ def dedupe_lines(
     at = cut_lineage(every.select("doc_id", "key", "line_no", F.when(is_long, _identity()).alias("line_id")))
     placed = at.where("line_id is not null").join(linked, "line_id", "left")
     placed = placed.withColumn("class_id", F.coalesce("root", "line_id")).withColumn("place", place)
-    first = placed.groupBy("class_id").agg(F.min("place").alias("first"))
-    judged = placed.join(first, "class_id").select(
-        "doc_id", "key", "line_no", "line_id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"), (F.col("place") == F.col("first")).alias("kept")
+    # Only classes of several lines need a first one. It is a table of its own, so that in the
+    # join a class that very many lines belong to can be split among tasks.
+    first = placed.groupBy("class_id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    first = cut_lineage(first.where("n > 1").drop("n"))
+    kept = F.col("first").isNull() | (F.col("place") == F.col("first"))
+    judged = placed.join(first, "class_id", "left").select(
+        "doc_id", "key", "line_no", "line_id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"), kept.alias("kept")
     )
     short = at.where("line_id is null").select(
         "doc_id", "key", "line_no", "line_id", F.lit(None).cast("string").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("kept")
