@@ -129,9 +129,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
                 yield pd.DataFrame({"slot": slot, "plane": lang // 8, "bits": 1 << (lang % 8)})
 
     placed = members.mapInPandas(place, "slot long, plane int, bits int").groupBy("plane", "slot").agg(F.bit_or("bits").alias("bits"))
-    filled = placed.toPandas()  # at most a row for each slot and eight languages
+    filled = placed.toArrow()  # at most a row for each slot and eight languages
     planes = np.zeros((-(-len(languages) // 8), SLOTS), np.uint8)
-    planes[filled["plane"], filled["slot"]] = filled["bits"]
+    planes[filled["plane"].to_numpy(), filled["slot"].to_numpy()] = filled["bits"].to_numpy()
     fill = np.concatenate([np.unpackbits(p[:, None], axis=1, bitorder="little").mean(axis=0) for p in planes])[: len(languages)]
     return Model(languages, planes, fill**HASHES, number[max(sizes, key=lambda k: (sizes[k], k))])
 

@@ -334,9 +334,9 @@ def fit(
             yield pd.DataFrame({"half": half, "y": y, "kind": kind, "bucket": bucket, "n": total[half, y, kind, bucket]})
 
     keys = ["half", "y", "kind", "bucket"]
-    seen = sample.mapInPandas(presence, ", ".join(f"{k} long" for k in [*keys, "n"])).groupBy(keys).agg(F.sum("n").alias("n")).toPandas()
+    seen = sample.mapInPandas(presence, ", ".join(f"{k} long" for k in [*keys, "n"])).groupBy(keys).agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((2, 2, 2, BUCKETS))
-    n[tuple(seen[k] for k in keys)] = seen["n"]
+    n[tuple(seen[k].to_numpy() for k in keys)] = seen["n"].to_numpy()
 
     def log_odds(*halves: int) -> np.ndarray:
         met = n[list(halves)].sum(axis=0)
@@ -367,10 +367,11 @@ def fit(
                     xs.append(np.concatenate([words.table[rows], (rows > 0)[:, None]], axis=1).astype(np.float32).tobytes())
             yield pd.DataFrame({"y": ys, "x": xs, "d": ds})
 
-    made = sample.mapInPandas(windows, "y long, x binary, d long").toPandas()
-    both = np.stack([np.frombuffer(x, np.float32).reshape(WIDTH, FEATURES + 1) for x in made["x"]])
-    y = made["y"].to_numpy(np.float32)
-    order = np.lexsort((np.array([crc32(x) for x in made["x"]]), y))  # whatever order tasks ended in
+    made = sample.mapInPandas(windows, "y long, x binary, d long").toArrow()
+    raw = made["x"].to_pylist()
+    both = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), WIDTH, FEATURES + 1)
+    y = made["y"].to_numpy().astype(np.float32)
+    order = np.lexsort((np.array([crc32(x) for x in raw]), y))  # whatever order tasks ended in
     x, mask, y, whose = both[order, :, :FEATURES], both[order, :, FEATURES] > 0, y[order], made["d"].to_numpy()[order]
     network = train_network(x, mask, y)
     logits = _forward(np.ascontiguousarray(x.transpose(1, 0, 2)), mask.T, network)
