@@ -143,8 +143,8 @@ WITH i AS (
   SELECT DISTINCT p.doc_id, p.n, p.length, g.item
   FROM places p JOIN grams g ON g.length = p.length AND g.gram = array_to_string(p.w[p.n:p.n + p.length - 1], ' ')
 ), covered AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit
-  FROM (SELECT doc_id, unnest(range(n, n + length)) AS at FROM (SELECT DISTINCT doc_id, n, length FROM hits)) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(n, n + length)) AS place FROM (SELECT DISTINCT doc_id, n, length FROM hits)) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS said
   FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
