@@ -148,6 +148,28 @@ def _buckets(long_lines: DataFrame, max_edits: int) -> DataFrame:
     return long_lines.select("line").mapInPandas(run, "bucket long, line_id long, own boolean")
 
 
+def _once(long_lines: DataFrame) -> DataFrame:
+    """(line, line_id): copies of a line that a task remembers are left out, so that one which is
+    everywhere comes about once from each task and not in all its copies to one."""
+    from hashlib import md5
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for frame in frames:
+            lines, ids = [], []
+            for line in frame["line"]:
+                line_id = int.from_bytes(md5(line.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
+                if line_id not in seen:
+                    if len(seen) >= RECENT:
+                        seen.clear()
+                    seen.add(line_id)
+                    lines.append(line)
+                    ids.append(line_id)
+            yield pd.DataFrame({"line": lines, "line_id": ids})
+
+    return long_lines.select("line").mapInPandas(run, "line string, line_id long")
+
+
 def links(long_lines: DataFrame, max_edits: int = MAX_EDITS, chunk: int = CHUNK) -> DataFrame:
     """(a, b): pairs of MD5s of lines within ``max_edits`` edits; none is left out.
 
@@ -163,9 +185,8 @@ def links(long_lines: DataFrame, max_edits: int = MAX_EDITS, chunk: int = CHUNK)
     order = Window.partitionBy("bucket").orderBy("line_id")
     met = met.withColumn("part", F.floor((F.row_number().over(order) - 1) / chunk))
     met = met.withColumn("parts", F.max("part").over(in_bucket))
-    handle = F.conv(F.substring(_identity(), 1, 16), 16, -10).cast("long")
     wanted = met.select("line_id").distinct()
-    texts = long_lines.select("line", handle.alias("line_id")).join(wanted, "line_id", "left_semi").distinct()
+    texts = _once(long_lines).join(wanted, "line_id", "left_semi").distinct()
     full = met.join(texts, "line_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "parts")))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     full = full.select("bucket", low.alias("i"), high.alias("j"), (F.col("part") == high).alias("second"), "own", "line")
