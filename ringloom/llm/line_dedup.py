@@ -235,7 +235,7 @@ def dedupe_lines(
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("links"))
     linked = degree.join(components(pairs).withColumnRenamed("node", "a"), "a", "left")
-    linked = linked.select(F.col("a").alias("line_id"), F.coalesce("root", "a").alias("root"), "links")
+    linked = cut_lineage(linked.select(F.col("a").alias("line_id"), F.coalesce("root", "a").alias("root"), "links"))
     # Short lines keep an identity of their own place, so that they do not meet in one key.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "line_no")
     at = cut_lineage(every.select("doc_id", "key", "line_no", F.when(is_long, _identity()).alias("line_id")))
