@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first of each class of lines; every document stays, if only as an empty text."""
-    return line_dedup.drop_repeated_lines(docs)
+    """Keeps the first of each class of lines of any length; every document stays, if only as an empty text."""
+    return line_dedup.drop_repeated_lines(docs, min_chars=1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from ringloom.llm.graph import components
 
 MAX_EDITS = 2
 MIN_CHARS = 30
+CHARS_PER_EDIT = 10  # of a short line: it is allowed an edit for each so many characters
 CHUNK = 256  # members of a bucket that one task compares with as many others
 RECENT = 200_000  # lines that a task remembers, so as not to index copies again
 
@@ -51,6 +52,24 @@ def places(length: int, max_edits: int) -> list[tuple[int, int, int, int, bool]]
     return made
 
 
+def allowed(length: int, max_edits: int, chars_per_edit: int = CHARS_PER_EDIT) -> int:
+    """The edits that a pair of lines may be apart whose longer one has ``length`` characters."""
+    return min(max_edits, length // chars_per_edit)
+
+
+def stands(length: int, max_edits: int, chars_per_edit: int = CHARS_PER_EDIT) -> list[tuple[int, int, int, int, int, bool]]:
+    """(edits, indexed length, segment number, start, size, own): ``places`` for the edits that the
+    line is allowed, and its own segments once more for each other number of edits that a longer
+    line it may be linked to is allowed.
+    """
+    edits = allowed(length, max_edits, chars_per_edit)
+    made = [(edits, *x) for x in places(length, edits)] if edits else []
+    for more in sorted({allowed(length + gap, max_edits, chars_per_edit) for gap in range(1, max_edits + 1)} - {edits}):
+        if length > more and allowed(length + more, max_edits, chars_per_edit) >= more:
+            made += [(more, length, i, at, size, True) for i, (at, size) in enumerate(segments(length, more + 1))]
+    return made
+
+
 def common_prefix(a: str, b: str) -> int:
     lo, hi = 0, min(len(a), len(b))
     while lo < hi:
@@ -107,7 +126,7 @@ def _identity(column: str = "line"):
     return F.md5(F.col(column).cast("binary"))
 
 
-def _buckets(long_lines: DataFrame, max_edits: int) -> DataFrame:
+def _buckets(long_lines: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
     """(bucket, line_id, own): what each line stands under."""
     from hashlib import md5
 
@@ -132,12 +151,12 @@ def _buckets(long_lines: DataFrame, max_edits: int) -> DataFrame:
                     if spots is None:
                         if len(layout) > 20_000:
                             layout.clear()
-                        spots = layout[n] = places(n, max_edits)
+                        spots = layout[n] = stands(n, max_edits, chars_per_edit)
                     if len(raw) == n:  # ASCII: bytes and characters stand at the same places
-                        keys += [digest(raw[at : at + size], m * 8 + i) for m, i, at, size, _ in spots]
+                        keys += [digest(raw[at : at + size], (e << 40) + m * 8 + i) for e, m, i, at, size, _ in spots]
                     else:
-                        keys += [digest(line[at : at + size].encode("utf-8", "surrogatepass"), m * 8 + i) for m, i, at, size, _ in spots]
-                    own += [x[4] for x in spots]
+                        keys += [digest(line[at : at + size].encode("utf-8", "surrogatepass"), (e << 40) + m * 8 + i) for e, m, i, at, size, _ in spots]
+                    own += [x[5] for x in spots]
                     ids += [line_id] * len(spots)
                 yield pd.DataFrame({
                     "bucket": np.array(keys, np.uint64).view(np.int64),
@@ -170,14 +189,14 @@ def _once(long_lines: DataFrame) -> DataFrame:
     return long_lines.select("line").mapInPandas(run, "line string, line_id long")
 
 
-def links(long_lines: DataFrame, max_edits: int = MAX_EDITS, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): pairs of MD5s of lines within ``max_edits`` edits; none is left out.
+def links(long_lines: DataFrame, max_edits: int = MAX_EDITS, chunk: int = CHUNK, *, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """(a, b): pairs of MD5s of lines within the edits that are allowed; none is left out.
 
-    ``long_lines`` has a column ``line``, each longer than ``max_edits`` characters. Lines travel
-    as 64-bit handles until a bucket holds two; only then are texts fetched. A bucket of more
+    ``long_lines`` has a column ``line``. Allowed are ``max_edits``, or fewer if the longer line
+    has not ``chars_per_edit`` characters for each. Lines travel as 64-bit handles until a bucket holds two; only then are texts fetched. A bucket of more
     than ``chunk`` members is cut into chunks, and each pair of chunks is a unit of work.
     """
-    rows = _buckets(long_lines, max_edits)
+    rows = _buckets(long_lines, max_edits, chars_per_edit)
     in_bucket = Window.partitionBy("bucket")
     met = rows.withColumn("lo", F.min("line_id").over(in_bucket)).withColumn("hi", F.max("line_id").over(in_bucket))
     met = met.withColumn("indexed", F.max("own").over(in_bucket)).where("lo <> hi and indexed")
@@ -202,7 +221,7 @@ def links(long_lines: DataFrame, max_edits: int = MAX_EDITS, chunk: int = CHUNK)
                 two = one if i == j else sorted((m["line"], m["own"]) for m in members if m["second"])
                 for x, x_own in one:
                     for y, y_own in two:
-                        if (i != j or x < y) and (x_own or y_own) and within_edits(x, y, max_edits):
+                        if (i != j or x < y) and (x_own or y_own) and within_edits(x, y, allowed(max(len(x), len(y)), max_edits, chars_per_edit)):
                             u, v = (md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in (x, y))
                             a.append(min(u, v))
                             b.append(max(u, v))
@@ -217,21 +236,23 @@ def dedupe_lines(
     text_col: str = "text",
     max_edits: int = MAX_EDITS,
     min_chars: int = MIN_CHARS,
+    chars_per_edit: int = CHARS_PER_EDIT,
 ) -> DataFrame:
     """A row for every line of every row of ``docs``:
     (doc_id, key, line_no, line_id, class_id, links, kept).
 
     Lines are what newlines separate, whole. class_id is the least MD5 that links of up to
-    ``max_edits`` edits (characters put in, left out or changed) reach from the line; links is
-    the number of other texts it is linked to; kept marks the first line of a class by
-    (doc_id, key, line_no), rows without an id last. Lines of fewer than ``min_chars``
-    characters are too short to tell copies from chance: they are kept, with null class and
-    no links. Null and empty texts have one empty line. Rows that repeat a document stand at
+    ``max_edits`` edits (characters put in, left out or changed) reach from the line, of fewer if
+    the longer line has not ``chars_per_edit`` characters for each; exact copies are of one class
+    at any length. links is the number of other texts it is linked to; kept marks the first
+    line of a class by (doc_id, key, line_no), rows without an id last. Empty lines and those of
+    fewer than ``min_chars`` characters, with 1 none, are kept, with null class and no links.
+    Null and empty texts have one empty line. Rows that repeat a document stand at
     the same place and are kept or dropped together. Other columns of ``docs`` play no part.
     """
     every = lines(docs, id_col, text_col)
-    is_long = F.length("line") >= max(min_chars, max_edits + 1)
-    pairs = cut_lineage(links(every.where(is_long).select("line"), max_edits))
+    is_long = F.length("line") >= max(min_chars, 1)
+    pairs = cut_lineage(links(every.where(is_long).select("line"), max_edits, chars_per_edit=chars_per_edit))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("links"))
     linked = degree.join(components(pairs).withColumnRenamed("node", "a"), "a", "left")

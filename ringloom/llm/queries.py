@@ -45,7 +45,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedupe_lines(table(spark, sf_dir, "documents")).drop("key", "line_id")
+    return line_dedup.dedupe_lines(table(spark, sf_dir, "documents"), min_chars=1).drop("key", "line_id")
 
 
 def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,37 @@ def test_cut_lines(spark, documents, rows):
 def test_no_lines(spark, documents):
     assert line_dedup.dedupe_lines(documents([])).count() == 0
     assert line_dedup.drop_repeated_lines(documents([(1, None, "s")])).first()["text"] is None
+
+
+def test_lines_of_any_length(spark, documents):
+    """Every line that is not empty has a class; short ones may differ by a tenth of the longer one."""
+    draw = random.Random(9)
+    words = ["}", "ab", "All rights reserved.", "x" * 9, "short line", "a line of 19 chars.", "twenty nine characters in it."]
+    texts = {w for word in words for w in (word, *(change(draw, word, n) for n in (0, 1, 1, 1, 2, 2) for _ in range(3)))}
+    texts = sorted(texts | {"", "x" * 8, "twenty nine characters in it.!!", "a line of 19 chars.z"})
+    made = [(i, "\n".join(draw.choice(texts) for _ in range(12)), "s") for i in range(60)]
+    seen = sorted({x for _, t, _ in made for x in t.split("\n") if x})
+    allowed = lambda t, u: min(2, max(len(t), len(u)) // 10)
+    near = {t: [u for u in seen if t != u and abs(len(t) - len(u)) <= allowed(t, u) and distance(t, u) <= allowed(t, u)] for t in seen}
+    root = {t: t for t in seen}
+    ids = {t: md5(t.encode()).hexdigest() for t in seen}
+    for _ in seen:
+        root = {t: min((root[u] for u in [t, *near[t]]), key=ids.get) for t in seen}
+    first = {}
+    for i, t, _ in made:
+        for n, x in enumerate(t.split("\n")):
+            first.setdefault(root.get(x), (i, n))
+    got = line_dedup.dedupe_lines(documents(made), min_chars=1).collect()
+    assert len(got) == 60 * 12
+    for r in got:
+        x = made[r["doc_id"]][1].split("\n")[r["line_no"]]
+        want = (ids[root[x]], len(near[x]), first[root[x]] == (r["doc_id"], r["line_no"])) if x else (None, 0, True)
+        assert (r["class_id"], r["links"], r["kept"]) == want, x
+
+
+def test_stage_cuts_short_copies(spark, documents):
+    import corpus_pipeline
+
+    docs = documents([(1, "All rights reserved.\nalpha", "s"), (2, "beta\nAll rights reserved.\n", "s")])
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: "All rights reserved.\nalpha", 2: "beta\n"}
