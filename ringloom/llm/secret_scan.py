@@ -35,8 +35,11 @@ _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(HEX)
 _ID = re.compile(r"""(?:ASIA|AROA|AIDA)[A-Z0-9]{12,}|\b(?:client_?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.IGNORECASE | re.ASCII)
-_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,}={0,2}", re.ASCII)
-_ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,}|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b", re.ASCII)
+_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", re.ASCII)
+_DIGIT = re.compile(r"[0-9]", re.ASCII)
+_IPV4 = re.compile(r"\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b", re.ASCII)
+_ENDPOINT = re.compile(r"://[^\s\"'<>]{4,}|" + _IPV4.pattern, re.ASCII)
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-")
 _LONG_WORD = re.compile(r"[A-Za-z0-9+/_-]{20}", re.ASCII)
 
 
@@ -56,14 +59,34 @@ def _entropy(value: str) -> float:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
 
 
+def _endpoints(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of scheme://host and what follows, of any scheme, and of IPv4 addresses. A scheme is
+    looked for backwards from its colon, so that a long word without one is not read again."""
+    at = 0
+    for m in _ENDPOINT.finditer(text):
+        start = m.start()
+        if text[start] != ":":
+            yield start, m.end()
+        else:
+            while start > at and text[start - 1] in _SCHEME:
+                start -= 1
+            while not text[start].isalpha() and start < m.start():
+                start += 1
+            if start < m.start():
+                yield start, m.end()
+            else:
+                yield from (ip.span() for ip in _IPV4.finditer(text, m.start(), m.end()))
+        at = m.end()
+
+
 def weak_spans(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of parts that mean nothing alone and do not overlap ``strong`` ones."""
     found = []
     if "=" in text or ":" in text or "AIDA" in text or "AROA" in text or "ASIA" in text:
         found += [(m.start(), 3, m.end()) for m in _ID.finditer(text)]
     if _LONG_WORD.search(text):
-        found += [(m.start(), 4, m.end()) for m in _RANDOM.finditer(text) if _entropy(m[0]) >= MIN_ENTROPY]
-    found += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
+        found += [(m.start(), 4, m.end()) for m in _RANDOM.finditer(text) if _DIGIT.search(m[0]) and _entropy(m[0]) >= MIN_ENTROPY]
+    found += [(start, 5, end) for start, end in _endpoints(text)]
     taken = [(a, b) for a, _, b in strong]
     kept, at = [], 0
     for start, kind, end in sorted(found):
