@@ -67,6 +67,7 @@ _ASIDE_WORDS = frozenset(
     discussion""".split()
 )
 _ARTICLE_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
+_MODIFIERS = frozenset("has with no without show".split())  # a class has-sidebar is of what stands beside one
 _SECTIONS = frozenset("div section td table ul ol li dl p span blockquote center details".split())
 
 
@@ -82,16 +83,21 @@ def _place(tag: str, attributes: str) -> int:
             return -1
     if attributes and re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", attributes):
         return -1
-    if tag in _ARTICLE:
-        return 1
-    if named and tag in _SECTIONS:
-        said = _CAMEL.sub(" ", f"{named.get('class', '')} {named.get('id', '')}").lower()
-        words = set(re.split(r"[^a-z]+", said))
-        if words & _ASIDE_WORDS:
-            return -1
-        if words & _ARTICLE_WORDS or named.get("role") in ("main", "article"):
-            return 1
-    return 0
+    if named and (tag in _SECTIONS or tag in _ARTICLE):
+        said = _CAMEL.sub("-", f"{named.get('class', '')} {named.get('id', '')}").lower()
+        main = tag == "main" or named.get("role", "").lower() in ("main", "article")
+        aside = beside = False
+        for name in said.split():
+            words = re.split(r"[^a-z]+", name)
+            main = main or not _ARTICLE_WORDS.isdisjoint(words)
+            for before, word in zip(["", *words], words):
+                if word in _ASIDE_WORDS:
+                    aside, beside = aside or before not in _MODIFIERS, beside or before in _MODIFIERS
+        if aside:  # words that name both kinds decide nothing
+            return 0 if main else -1
+        if main:
+            return 0 if beside and tag not in _ARTICLE else 1
+    return 1 if tag in _ARTICLE else 0
 
 
 class Block:
@@ -131,11 +137,17 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int]]:
             at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
             if at is not None:
                 del open_[at:]
-        elif tag not in _VOID and (place or tag in _SECTIONS - {"p", "li"} or tag in _ARTICLE):
-            open_.append((tag, place or (open_[-1][1] if open_ else 0)))
+        elif tag not in _VOID:
+            if open_ and tag not in _INLINE and (open_[-1][0] == "p" or open_[-1][0] == tag == "li"):
+                del open_[-1]  # its end tag may be left out
+            if place or tag in _SECTIONS - {"p", "li"} or tag in _ARTICLE:
+                # What is not main text holds for all inside; but a form (-2) may be around the whole page.
+                outer = open_[-1][1] if open_ else 0
+                inside = -2 if tag == "form" and outer >= 0 else place or outer
+                open_.append((tag, -1 if outer == -1 else inside))
         if tag not in _INLINE:
             links = 0
-        now = Block(open_[-1][1] if open_ else 0)
+        now = Block(max(open_[-1][1], -1) if open_ else 0)
     if now.parts:
         made.append(now)
     found = []

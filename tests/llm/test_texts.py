@@ -149,6 +149,28 @@ def test_main_text(spark):
     ]
 
 
+@pytest.mark.parametrize("inside, kept", [
+    ("<section class='comments'><article class='comment'>{}</article></section>", False),
+    ("<article class='comment'>{}</article>", False), ("<article role='note'>{}</article>", False),
+    ("<aside class='related'><article>{}</article></aside>", False), ("<aside><main>{}</main></aside>", False),
+    ("<footer><div class='content'>{}</div></footer>", False), ("<div class='sidebar'><div class='post'>{}</div></div>", False),
+    ("<div class='content has-sidebar'>{}</div>", True), ("<div class='layout withSidebar'><article>{}</article></div>", True),
+    ("<div class='content sidebar'>{}</div>", True), ("<article class='post comments-open'>{}</article>", True),
+    ("<main class='sidebar'>{}</main>", True), ("<form><main>{}</main></form>", True), ("<form><div class='wrap'><article>{}</article></div></form>", True),
+    ("<p class='byline'>By X<article>{}</article>", True), ("<ul><li class='share'>Share<li>{}</ul>", True),
+])
+def test_place_inside_what_is_not_main_text(inside, kept):
+    tree, told = html_extract.train_tree(), "told at length " * 20
+    page = "<article><p>" + "the main text " * 20 + "</p></article>" + inside.format(f"<p>{told}</p>") + "<nav><a href='/'>Home</a></nav>"
+    assert ("told" in html_extract.main_text(page, tree)) == kept
+    assert "main text" in html_extract.main_text(page, tree) and "Home" not in html_extract.main_text(page, tree)
+
+
+def test_links_in_a_wrapper_that_names_both_kinds():
+    page = "<div class='content has-sidebar'><p>" + "the main text " * 20 + "</p><ul><li><a href='/a'>Older</a><li><a href='/b'>Newer</a></ul></div>"
+    assert html_extract.main_text(page, html_extract.train_tree()) == ("the main text " * 20).strip()
+
+
 def test_tree_agrees_with_its_table():
     import numpy as np
 
