@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ringloom.llm.common import cut_lineage
 
 WIDTH = 16  # words in a window
+LONGEST = 64  # characters of a word; a longer one is read as pieces that overlap by half
 STRIDE = 8
 HIDDEN = 8
 BUCKETS = 1 << 16
@@ -49,7 +50,12 @@ class Model(NamedTuple):
 
 
 def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Words; of one of more than ``LONGEST`` characters, as in text without spaces, all its pieces."""
+    found = _WORD.findall((text or "").lower())
+    if any(len(w) > LONGEST for w in found):
+        half = LONGEST // 2
+        found = [w[at : at + LONGEST] for w in found for at in range(0, len(w) - half if len(w) > LONGEST else 1, half)]
+    return found
 
 
 def _word_buckets(words: list[str]) -> np.ndarray:
@@ -61,7 +67,7 @@ def _gram_buckets(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
     N-grams are hashed over one array of code points for all words, with marks at both ends.
     """
-    marked = [f"<{w[:64]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(marked)), np.fromiter(map(len, marked), np.int64, len(marked)))
     for n in GRAMS:

@@ -73,6 +73,21 @@ def test_long_texts_are_scored_in_overlapping_pieces(monkeypatch):
     assert toxicity.score_texts([text, "a", text], model)[2] == pytest.approx(whole, abs=1e-4)
 
 
+@pytest.mark.parametrize("before", [0, 30, 60, 63, 64, 100, 5000])
+def test_all_of_a_very_long_word_is_read(before):
+    text = "漢" * before + "grobnix" + "字" * 70
+    grams = {(n, text[i : i + n]) for n in toxicity.GRAMS for i in range(len(text) - n + 1)}
+    assert grams <= {(n, t[i : i + n]) for t in toxicity.tokens(text) for n in toxicity.GRAMS for i in range(len(t) - n + 1)}
+    assert any("grobnix" in t for t in toxicity.tokens(text)) and toxicity.tokens("a" * 64 + " b") == ["a" * 64, "b"]
+    odds = np.zeros((2, toxicity.BUCKETS), np.float32)
+    odds[1, np.concatenate([g for g, _ in toxicity._gram_buckets(["grobnix"])])] = 1
+    words = toxicity._Vocabulary(odds)
+    rows = words.rows(toxicity.tokens(text))
+    assert words.table[rows, 2].max() == 1
+    whole = toxicity._features(["x" * 80 + "grobnix"], odds)
+    assert whole[0, 2] == 1
+
+
 def test_toxic_documents_are_found(spark, documents):
     draw = random.Random(8)
     bad = ("grobnix", "trolvex", "snarfik")
