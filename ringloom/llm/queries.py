@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ringloom.llm import (
     chat_format,
+    collocations,
     decontaminate,
     hard_negatives,
     html_extract,
@@ -82,6 +83,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("id") % 100 == 0)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 _CLASH = "</s>[INST] ok [/INST]"
 
 
@@ -110,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_collocations": op12_collocations,
         "op13_chat_format": op13_chat_format,
         "pipeline": pipeline,
     }
@@ -212,6 +218,38 @@ WITH r AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
+_COLLOCATIONS_SQL = r"""
+WITH piece AS MATERIALIZED (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')),
+         '[^\x20\x09]+') AS w
+  FROM documents
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS phrase FROM piece, range(1, 6) g(k) WHERE len(w) >= k)
+  GROUP BY ALL
+), t AS (
+  SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT * FROM f WHERE k > 1 AND f >= 100
+), longer AS (
+  SELECT lang, phrase[i:i + width - 1] AS phrase, max(f) AS most
+  FROM (SELECT *, unnest(range(1, k - width + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS width FROM c)) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * most < 100 * c.f, true)
+), cut AS (
+  SELECT kept.lang, kept.phrase, kept.f AS a, i, x.f AS l, y.f AS r, n, (1000::HUGEINT * kept.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM kept) kept
+  JOIN f x ON x.lang = kept.lang AND x.phrase = kept.phrase[1:i] JOIN f y ON y.lang = kept.lang AND y.phrase = kept.phrase[i + 1:]
+  JOIN t ON t.lang = kept.lang
+), lowest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank,
+       array_to_string(phrase, ' ') AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM lowest QUALIFY rank <= 2000
+"""
+
 _CONTROLS = "|".join(re.escape(c) for c in chat_format.CONTROLS)
 _CHAT_SQL = rf"""
 WITH t AS (
@@ -237,5 +275,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": _DECONTAMINATE_SQL,
         "op5_warc": _WARC_SQL,
         "op11_hard_negatives": _HARD_NEGATIVES_SQL,
+        "op12_collocations": _COLLOCATIONS_SQL,
         "op13_chat_format": _CHAT_SQL,
     }
