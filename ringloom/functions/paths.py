@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def plain_root(root: str) -> str:
+    """A folder without scheme and authority, without a slash at its end; a relative one in full."""
+    return re.sub(SCHEME, "", root if re.match(SCHEME, root) else os.path.abspath(root)).rstrip("/")
+
 
 def normalise(path: Column) -> Column:
     return F.translate(path, "\\", "/")

@@ -17,7 +17,7 @@ from ringloom.operators.overrides import resolve_parameters
 from ringloom.operators.ring import Ring, prepare_ring
 from ringloom.plans import compose
 from ringloom.plans.assign import build_assignments, require_rows
-from ringloom.sources import files
+from ringloom.sources import files, store
 from ringloom.sources.catalog_json import parse_rules, read_catalogue
 from ringloom.sources.params import RunParameters, write_manifest
 
@@ -60,11 +60,11 @@ def undecodable(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def account_for(
-    spark: SparkSession, folder: str, staged: DataFrame, rejects: str | None, done: DataFrame | None = None
+    folder: str, images: DataFrame, staged: DataFrame, rejects: str | None, done: DataFrame | None = None
 ) -> None:
-    """Images listed in ``folder`` that were not ``staged`` (path), nor ``done`` (rel) before: a
-    table at ``rejects``, or an error that names some of them."""
-    lost = files.list_images(spark, folder).join(staged, "path", "left_anti")
+    """``images`` (path, rel) of ``folder`` that were not ``staged`` (path), nor ``done`` (rel)
+    before: a table at ``rejects``, or an error that names some of them."""
+    lost = images.join(staged, "path", "left_anti")
     if done is not None:
         lost = lost.join(done, "rel", "left_anti")
     if rejects:
@@ -81,21 +81,31 @@ def stage_inputs(
     staging: str,
     rejects: str | None = None,
     done: DataFrame | None = None,
+    listings: tuple[DataFrame, DataFrame] | None = None,
 ) -> Inputs | None:
     """Decode and assign every image once.
 
     An image that does not decode is an error, or a row (path, rel) of the table ``rejects``.
     Targets whose ``rel`` is ``done`` are left out before any work; None if no other is left.
 
+    ``listings`` are those of the sources' and the targets' folder, if they were made before. Files
+    whose names Spark's sources pass over are copied to the staging folder and read there.
+
     Targets are written partitioned by the way they will be drawn (one patch, several frames,
     regions), so that each compositing plan reads only its own pixels.
     """
-    listed = files.list_images(spark, params.overlay_dir).select(F.col("path").alias("source"), "rel")
+    overlays, textures = listings or [store.list_tree(spark, d) for d in (params.overlay_dir, params.texture_dir)]
+    shown = [
+        files.reveal(spark, folder, listing, f"{staging}/revealed/{name}")
+        for folder, listing, name in ((params.overlay_dir, overlays, "sources"), (params.texture_dir, textures, "targets"))
+    ]
+    listed = files.images_of(overlays).select(F.col("path").alias("source"), "rel")
     ring = prepare_ring(listed, params.seed)
-    files.read_rasters(spark, params.overlay_dir).select("path", "w", "h", "data").write.parquet(f"{staging}/sources")
+    sources = files.read_rasters(spark, params.overlay_dir, shown[0])
+    sources.select("path", "w", "h", "data").write.parquet(f"{staging}/sources")
 
     catalogue = load_catalogue(spark, params.entity_regions)
-    rasters = files.read_rasters(spark, params.texture_dir).withColumnRenamed("path", "target")
+    rasters = files.read_rasters(spark, params.texture_dir, shown[1]).withColumnRenamed("path", "target")
     if done is not None:
         rasters = rasters.join(sizing.broadcast_if_small(done), "rel", "left_anti")
         if rasters.isEmpty():
@@ -104,8 +114,8 @@ def stage_inputs(
         listed, rasters, catalogue, params.seed, params.entity_face_mode, params.entity_texture_mode, ring,
         keep=("w", "h", "data"),
     )
-    sidecars = files.read_sidecars(spark, params.texture_dir).select(
-        F.regexp_replace("path", r"\.mcmeta$", "").alias("target"), "has_anim"
+    sidecars = files.read_sidecars(spark, params.texture_dir, shown[1]).select(
+        F.regexp_replace("path", f"\\{files.SIDECAR}$", "").alias("target"), "has_anim"
     )
     resolved = resolve_parameters(built.targets, load_rules(spark, params.path_config), params.blend_defaults())
     marked = resolved.join(sizing.broadcast_if_small(sidecars), "target", "left").withColumn(
@@ -117,8 +127,9 @@ def stage_inputs(
     )
     routed.write.partitionBy("route").parquet(f"{staging}/targets")
     decoded = {t: spark.read.parquet(f"{staging}/{t}") for t in ("sources", "targets")}
-    account_for(spark, params.overlay_dir, decoded["sources"].select("path"), rejects)
-    account_for(spark, params.texture_dir, decoded["targets"].select(F.col("target").alias("path")), rejects, done)
+    account_for(params.overlay_dir, files.images_of(overlays), decoded["sources"].select("path"), rejects)
+    drawn = decoded["targets"].select(F.col("target").alias("path"))
+    account_for(params.texture_dir, files.images_of(textures), drawn, rejects, done)
     faces = built.faces
     if catalogue is not None:
         shape = catalogue.regions.withColumnRenamed("ord", "region_ord").drop("name")
@@ -174,30 +185,27 @@ def publish(
     Rasters go to ``output_dir/rasters`` as Parquet, the manifest to ``output_dir/manifest``.
     Without ``overwrite`` targets already drawn there are not worked on again. A staging folder
     that the run made itself is removed at its end.
-    With ``png`` (output folder mounted on every executor) the images are also written as PNG
-    files below ``output_dir/tree`` and other files are copied beside them. Images that do not
-    decode are an error; with ``skip_undecodable`` they are listed in ``output_dir/rejects`` and the
-    rest goes on. Inputs are never modified.
+    With ``png`` the images are also written as PNG files below ``output_dir/tree``, in whatever store
+    that is, and other files are copied beside them. Images that do not decode are an error; with
+    ``skip_undecodable`` they are listed in ``output_dir/rejects`` and the rest goes on. Inputs are
+    never modified.
     """
     if not params.output_dir:
         raise ValueError("output_dir is required: inputs are never overwritten")
-    if png and not files.is_mounted(params.output_dir):
-        raise ValueError("PNG files are written to a mounted folder; leave png out for a URI")
-    for folder in (params.overlay_dir, params.texture_dir):
-        files.require_visible(spark, folder)
-    require_rows(files.list_images(spark, params.overlay_dir), "overlay images")
-    require_rows(files.list_images(spark, params.texture_dir), "texture images")
+    listings = tuple(store.list_tree(spark, folder) for folder in (params.overlay_dir, params.texture_dir))
+    require_rows(files.images_of(listings[0]), "overlay images")
+    require_rows(files.images_of(listings[1]), "texture images")
     output = params.output_dir.rstrip("/")
     rejects = f"{output}/rejects" if skip_undecodable else None
     folder, done = staging or staging_folder(spark), None
     if not overwrite and files.folder_exists(spark, f"{output}/rasters"):
         done = spark.read.parquet(f"{output}/rasters").select("rel").distinct()
-    inputs = stage_inputs(spark, params, folder, rejects, done)
+    inputs = stage_inputs(spark, params, folder, rejects, done, listings)
     if inputs is not None:
         files.write_rasters(composite_inputs(inputs, params), f"{output}/rasters", overwrite)
     if not staging:
         files.remove_folder(spark, folder)
     if png:
-        files.write_pngs(spark.read.parquet(f"{output}/rasters"), files.plain_root(f"{output}/tree"))
-        files.copy_other_files(spark, params.texture_dir, files.plain_root(f"{output}/tree"))
+        files.write_pngs(spark.read.parquet(f"{output}/rasters"), f"{output}/tree")
+        files.copy_other_files(spark, params.texture_dir, f"{output}/tree", listings[1])
     write_manifest(spark, params, f"{output}/manifest")

@@ -15,7 +15,7 @@ from ringloom.functions.hashing import literal_state
 from ringloom.operators import raster_kernel as kernel
 from ringloom.operators.lineage import shared_folder
 from ringloom.plans.publish import composite_inputs, publish, stage_inputs, undecodable
-from ringloom.sources import files
+from ringloom.sources import files, store
 from ringloom.sources.params import RunParameters, read_parameters
 
 
@@ -194,10 +194,99 @@ def test_faults_are_said(spark, folders, tmp_path):
     params = RunParameters(overlay_dir=str(root / "sources"), texture_dir=str(root / "targets"), output_dir=str(tmp_path / "out"))
     with pytest.raises(ValueError, match="broken.png"):
         publish(spark, params, staging=str(tmp_path / "stage"))
-    with pytest.raises(ValueError, match="mounted"):
-        publish(spark, RunParameters(**{**params.__dict__, "output_dir": "s3a://bucket/out"}), png=True)
-    hidden = tmp_path / "hidden" / "deep"
-    hidden.mkdir(parents=True)
-    (hidden / "_a.png").write_bytes(b"x")
-    with pytest.raises(ValueError, match="_a.png"):
-        publish(spark, RunParameters(**{**params.__dict__, "texture_dir": str(tmp_path / "hidden")}))
+    with pytest.raises(ValueError, match="no folder"):
+        publish(spark, RunParameters(**{**params.__dict__, "texture_dir": str(tmp_path / "absent")}))
+
+
+def test_names_that_spark_passes_over_are_drawn(spark, folders, tmp_path):
+    """Files and folders that begin with an underscore, as images, strips with sidecars and others."""
+    root, _ = folders
+    sources, targets = tmp_path / "src", tmp_path / "dst"
+    for rel in ("_s.png", "deep/_d/t.png", "u_v.png"):
+        (sources / rel).parent.mkdir(parents=True, exist_ok=True)
+        (sources / rel).write_bytes(png(6, 4, 4, rgba(len(rel), 4, 4)))
+    for rel in ("_a.png", "_x/b.png", "y/_c=1.png", "plain.png", "_x/strip.png"):
+        (targets / rel).parent.mkdir(parents=True, exist_ok=True)
+        (targets / rel).write_bytes(png(6, 3, 9, rgba(30 + len(rel), 3, 9)))
+    (targets / "_x/strip.png.mcmeta").write_text('{"animation": {}}')
+    (targets / "_x/_note.txt").write_text("copied")
+    (targets / ".secret.png").write_bytes(b"passed over")
+    params = RunParameters(overlay_dir=str(sources), texture_dir=str(targets), output_dir=f"file://{tmp_path}/out", scale=1, alpha=1.0, fast_overlay_size=0)
+    publish(spark, params, png=True)
+    drawn = {r["rel"]: r for r in spark.read.parquet(str(tmp_path / "out/rasters")).collect()}
+    assert sorted(drawn) == ["_a.png", "_x/b.png", "_x/strip.png", "plain.png", "y/_c=1.png"]
+    listed = [str(p.relative_to(sources)) for p in sources.rglob("*.png")]
+    for rel, row in drawn.items():
+        frames = 3 if rel == "_x/strip.png" else 1
+        img = rgba(30 + len(rel), 3, 9).copy()
+        for f in range(frames):
+            pos = final(literal_state(f"{params.seed}:{rel}" + (f":{f}" if f and params.per_frame else "")))
+            ring = sorted((final(literal_state(f"{params.seed}:overlay:{s}")), s) for s in listed)
+            chosen = next((s for p, s in ring if p >= pos), ring[0][1])
+            h = 9 // frames
+            kernel.blend(img[f * h : (f + 1) * h], draw(rgba(len(chosen), 4, 4), 3, h, 0, False, 1.0), 1.0)
+        assert np.array_equal(kernel.unpack(row["data"], 3, 9), img), rel
+    tree = tmp_path / "out/tree"
+    found = sorted(str(p.relative_to(tree)) for p in tree.rglob("*") if p.is_file())
+    assert found == ["_a.png", "_x/_note.txt", "_x/b.png", "_x/strip.png", "_x/strip.png.mcmeta", "plain.png", "y/_c=1.png"]
+    listing = store.list_tree(spark, f"file://{tree}")
+    shown = files.reveal(spark, str(tree), listing, str(tmp_path / "shown"))
+    again = {r["rel"]: bytes(r["data"]) for r in files.read_rasters(spark, str(tree), shown).collect()}
+    assert again == {k: bytes(v["data"]) for k, v in drawn.items()}
+
+
+def filtered(rows: np.ndarray, step: int, draw) -> bytes:
+    """Scan lines of a PNG, each with a filter drawn anew (1 left, 2 up, 3 mean, 4 nearest of three)."""
+    out, above = b"", np.zeros(rows.shape[1], np.int64)
+    for row in rows.astype(np.int64):
+        kind = int(draw.integers(0, 5))
+        left, corner = np.r_[[0] * step, row[:-step]], np.r_[[0] * step, above[:-step]]
+        guess = left + above - corner
+        by = [abs(guess - left), abs(guess - above), abs(guess - corner)]
+        nearest = np.where((by[0] <= by[1]) & (by[0] <= by[2]), left, np.where(by[1] <= by[2], above, corner))
+        near = [0 * row, left, above, (left + above) // 2, nearest][kind]
+        out += bytes([kind]) + ((row - near) % 256).astype(np.uint8).tobytes()
+        above = row
+    return out
+
+
+@pytest.mark.parametrize("depth", [8, 16])
+def test_gray_with_alpha_keeps_its_alpha(spark, tmp_path, depth):
+    draw_ = np.random.default_rng(depth)
+    w, h, step = 7, 23, depth // 4
+    values = draw_.integers(0, 256, (h, w * step)).astype(np.uint8)
+
+    def chunk(name, body):
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    raw = zlib.compress(filtered(values, step, draw_))
+    head = struct.pack(">IIBBBBB", w, h, depth, 4, 0, 0, 0)
+    content = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", raw[:9]) + chunk(b"IDAT", raw[9:]) + chunk(b"IEND", b"")
+    (tmp_path / "ga.png").write_bytes(content)
+    (tmp_path / "woven.png").write_bytes(content[:28] + b"\x01" + content[29:])  # interlaced: not decoded
+    (tmp_path / "cut.png").write_bytes(content[:60])
+    (tmp_path / "rgba.png").write_bytes(png(6, 2, 2, rgba(1, 2, 2)))
+    got = {r["rel"]: r for r in files.read_rasters(spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["ga.png", "rgba.png"]
+    levels = values.reshape(h, w, 2, step // 2)
+    flat = levels[..., 0] if depth == 8 else ((levels[..., 0].astype(int) * 256 + levels[..., 1] + 128) // 257).astype(np.uint8)
+    want = np.stack([flat[..., 0]] * 3 + [flat[..., 1]], axis=2)
+    assert np.array_equal(np.frombuffer(got["ga.png"]["data"], np.uint8).reshape(h, w, 4), want)
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    root = tmp_path / "tree"
+    (root / "d").mkdir(parents=True)
+    (root / "d/a.txt").write_text("old")
+    good = [(f"d/{i}.txt", f"new {i}".encode(), None) for i in range(20)]
+    bad = spark.createDataFrame([*good, ("d/x.txt", None, "absent.txt")], store.FILE_COLUMNS)
+    with pytest.raises(Exception, match="absent"):
+        store.write_files(bad.repartition(4), str(root), str(tmp_path))
+    assert [str(p.relative_to(root)) for p in root.rglob("*")] == ["d", "d/a.txt"]
+    (tmp_path / "big.bin").write_bytes(bytes(range(256)) * 100_000)
+    rows = [*good, ("d/a.txt", b"", None), ("e/big.bin", None, "big.bin")]
+    store.write_files(spark.createDataFrame(rows, store.FILE_COLUMNS).repartition(4), f"file://{root}", str(tmp_path))
+    found = {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file()}
+    assert found == {r[0]: r[1] for r in good} | {"d/a.txt": b"", "e/big.bin": (tmp_path / "big.bin").read_bytes()}
+    store.write_files(spark.createDataFrame([], store.FILE_COLUMNS), str(root))
+    assert not any(p.name.startswith(".") for p in root.iterdir())
