@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringloom.workload import catalogues, placement, rasters
+from ringloom.workload import catalogues, placement, published, rasters
 
-_GROUPS = (placement, catalogues, rasters)
+_GROUPS = (placement, catalogues, rasters, published)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
