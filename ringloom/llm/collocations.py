@@ -1,10 +1,11 @@
 """Collocations: frequent phrases counted level by level with double-array tries.
 
 1. Texts are cut into words once and written as *shards*: rows (language, the shard's own words,
-   their counts, and the words of its texts as 32-bit codes, -1 at the border of a piece). A shard is
-   read from raw bytes with numpy; it is bounded in bytes and holds whole texts.
-2. Words are summed over shards. Those that are frequent get a number, and shards are written again
-   with numbers instead of words, 0 for a word that is not frequent: no phrase with it can be.
+   their counts and numbers, and the words of its texts as 32-bit codes, -1 at the border of a
+   piece). A shard is read from raw bytes with numpy; it is bounded in bytes and holds whole texts.
+2. Words are summed over shards. The number of a word is a salted 64-bit hash of it and its language.
+   All words are checked for numbers that coincide; should any, shards are made anew with
+   another salt, so that numbers stand for words exactly and no table of words is in any task.
 3. For each length k, candidates are the phrases seen in a text whose both parts of k-1 words
    are frequent (Apriori) and whose hash bucket was hit often enough. Both tests pass every frequent
    phrase; they are bitmaps of bounded size, so neither grows with the corpus.
@@ -26,11 +27,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -45,6 +46,7 @@ LEAST_BITS, MOST_BITS = 20, 27  # of a bitmap, as powers of two
 WORDS_PER_BUCKET = 8
 TOP_SALTS = 64
 RADIX = 512
+FIRST_SALT = 0
 
 _GAP, _BORDER = 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -59,25 +61,25 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 def word_codes(raw: bytes) -> tuple[pa.Array, np.ndarray]:
     """(distinct words, code of each word in order with -1 wherever a new piece begins)."""
-    data = _LOWER[np.frombuffer(raw, np.uint8)]
-    kind = _KIND[data]
+    kind = _KIND[np.frombuffer(raw, np.uint8)]
     inside = kind == 0
-    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    data = _LOWER[np.frombuffer(raw, np.uint8)[inside]]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
     words = pa.BinaryArray.from_buffers(
-        pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes())]
+        pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())]
     ).dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    piece = np.cumsum(kind == _BORDER)[start] if len(start) else np.zeros(0, np.int64)
+    # How many borders lie before a word tells its piece.
+    piece = np.searchsorted(np.flatnonzero(kind == _BORDER), start)
     return words.dictionary, np.insert(codes, np.flatnonzero(np.diff(piece)) + 1, -1)
 
 
-_SHARDS = "shard string, lang string, words array<binary>, counts array<long>, codes binary"
+_SHARDS = "lang string, words array<binary>, counts array<long>, codes binary"
 
 
 def _shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    task, n = TaskContext.get().partitionId(), 0
     for batch in batches:
         for lang, texts in batch.groupby("lang", sort=True)["text"]:
             held, weight = [], 0
@@ -85,59 +87,40 @@ def _shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if held and (text is None or weight + len(text) > SHARD_BYTES):
                     words, codes = word_codes(b"\xff".join(held))
                     counts = np.bincount(codes[codes >= 0], minlength=len(words))
-                    yield pd.DataFrame(
-                        [(f"{task}-{n}", lang, words.to_pylist(), counts, codes.tobytes())],
-                        columns=["shard", "lang", "words", "counts", "codes"],
-                    )
-                    held, weight, n = [], 0, n + 1
+                    row = (lang, words.to_pylist(), counts, codes.tobytes())
+                    yield pd.DataFrame([row], columns=["lang", "words", "counts", "codes"])
+                    held, weight = [], 0
                 if text is not None:
                     held.append(text)
                     weight += len(text)
 
 
-def shards(docs: DataFrame, folder: str) -> DataFrame:
+def shards(docs: DataFrame, folder: str, salt: int) -> DataFrame:
     """Shards of ``docs`` (text, lang), written to ``folder`` and read again."""
     texts = docs.select(
         F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
     ).where(F.octet_length("text") > 0)
-    texts.mapInPandas(_shard, _SHARDS).write.parquet(folder)
+    numbers = F.transform("words", lambda w: F.xxhash64(F.lit(salt), "lang", w))
+    texts.mapInPandas(_shard, _SHARDS).withColumn("numbers", numbers).write.parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
-def word_counts(made: DataFrame) -> DataFrame:
-    """(lang, word, f) over all shards."""
-    pairs = made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("p"))
-    return pairs.groupBy("lang", F.col("p.words").alias("word")).agg(F.sum("p.counts").alias("f"))
+def word_counts(made: DataFrame, least: int) -> DataFrame:
+    """(lang, id, f, word) over all shards; word is null if there are fewer than ``least``."""
+    pairs = made.select("lang", F.explode(F.arrays_zip("words", "numbers", "counts")).alias("p"))
+    words = pairs.groupBy("lang", F.col("p.words").alias("word"), F.col("p.numbers").alias("id")).agg(F.sum("p.counts").alias("f"))
+    return words.select("lang", "id", "f", F.when(F.col("f") >= least, F.col("word")).alias("word"))
 
 
-def number(made: DataFrame, vocabulary: DataFrame, folder: str) -> DataFrame:
-    """(numbers, codes) of each shard: ``numbers[code]`` is a word's number, 0 if it has none.
-
-    Words meet their numbers in a join of one row for each shard and word of it, so that the
-    vocabulary is in no task as a whole.
-    """
-    words = made.select("shard", "lang", F.posexplode("words").alias("at", "word"))
-    known = words.join(sizing.broadcast_if_small(vocabulary.select("lang", "word", "id")), ["lang", "word"])
-    of = known.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("of")).select("shard", "of.at", "of.id")
-    joined = made.select("shard", F.size("words").alias("n"), "codes").join(of, "shard")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for n, at, ids in zip(batch["n"], batch["at"], batch["id"], strict=True):
-                numbers = np.zeros(n, np.int64)
-                numbers[np.asarray(at)] = ids
-                made.append(numbers.tobytes())
-            yield pd.DataFrame({"numbers": made, "codes": batch["codes"]})
-
-    joined.select("n", "codes", "at", "id").mapInPandas(write, "numbers binary, codes binary").write.parquet(folder)
-    return made.sparkSession.read.parquet(folder)
+def _clashes(words: DataFrame) -> bool:
+    """Whether two words have one number, or one the number 0, which stands for borders."""
+    return not words.groupBy("id").count().where("count > 1 OR id = 0").isEmpty()
 
 
 def _shards_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers, codes) of each shard; code -1 takes the last number, 0, where no phrase passes."""
-    for row in batch.to_pylist():
-        yield np.append(np.frombuffer(row["numbers"], np.int64), 0), np.frombuffer(row["codes"], np.int32)
+    """(numbers, codes) of each shard; code -1 takes the last number, 0, which no phrase has."""
+    for numbers, codes in zip(batch.column("numbers"), batch.column("codes"), strict=True):
+        yield np.append(numbers.values.to_numpy(zero_copy_only=False), 0), np.frombuffer(codes.as_buffer(), np.int32)
 
 
 # Bitmaps --------------------------------------------------------------------------------
@@ -171,7 +154,7 @@ def _set(bitmap: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return (bitmap[bucket >> 6] >> (bucket & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def _safe(words: np.ndarray, k: int, bits: int, parts: np.ndarray | None) -> np.ndarray:
+def _safe(words: np.ndarray, k: int, bits: int, parts: np.ndarray) -> np.ndarray:
     """Positions at which ``k`` words stand whose both parts of k-1 words may be frequent."""
     n = len(words) - k + 1
     if n <= 0:
@@ -181,9 +164,8 @@ def _safe(words: np.ndarray, k: int, bits: int, parts: np.ndarray | None) -> np.
     for j in range(1, k):
         whole &= alive[j : j + n]
     at = np.flatnonzero(whole)
-    if parts is not None:
-        for shift in (0, 1):
-            at = at[_set(parts, _buckets(words, at + shift, k - 1, bits))]
+    for shift in (0, 1):
+        at = at[_set(parts, _buckets(words, at + shift, k - 1, bits))]
     return at
 
 
@@ -195,15 +177,15 @@ def _array_of(phrases: np.ndarray) -> pa.Array:
 def frequent_buckets(numbered: DataFrame, k: int, least: int, bits: int, parts) -> np.ndarray:
     """Bitmap of buckets hit at least ``least`` times by safe phrases of ``k`` words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for numbers, codes in _shards_of(batch):
                 words = numbers[codes]
-                bucket = _buckets(words, _safe(words, k, bits, parts and parts.value), k, bits)
+                bucket = _buckets(words, _safe(words, k, bits, parts.value), k, bits)
                 bucket, hits = np.unique(bucket, return_counts=True)
                 yield pa.record_batch({"bucket": bucket, "hits": hits})
 
-    hits = numbered.mapInArrow(count, "bucket long, hits long").groupBy("bucket").agg(F.sum("hits").alias("hits"))
+    hits = numbered.mapInArrow(hit, "bucket long, hits long").groupBy("bucket").agg(F.sum("hits").alias("hits"))
     return _bitmap(hits.where(F.col("hits") >= least), bits)
 
 
@@ -214,7 +196,7 @@ def candidates(numbered: DataFrame, k: int, bits: int, parts, often) -> DataFram
         for batch in batches:
             for numbers, codes in _shards_of(batch):
                 words = numbers[codes]
-                at = _safe(words, k, bits, parts and parts.value)
+                at = _safe(words, k, bits, parts.value)
                 at = at[_set(often.value, _buckets(words, at, k, bits))]
                 found = np.stack([words[at + j] for j in range(k)], axis=1)
                 yield pa.record_batch({"phrase": _array_of(np.unique(found, axis=0))})
@@ -271,11 +253,7 @@ class Trie:
                 onward = self.base[state] + symbol
                 good = (symbol > 0) & (self.check[onward] == state)
                 at, state = at[good], onward[good]
-        hits = np.bincount(state, minlength=len(self.check))
-        out = np.zeros(len(self.phrases), np.int64)
-        accepting = self.accepts >= 0
-        out[self.accepts[accepting]] = hits[accepting]
-        return out
+        return np.bincount(self.accepts[state], minlength=len(self.phrases))  # what is left accepts
 
 
 def build_trie(phrases: np.ndarray) -> Trie:
@@ -339,15 +317,16 @@ def count_phrases(numbered: DataFrame, phrases: DataFrame, round_phrases: int) -
         flat = rows.flatten().to_numpy(zero_copy_only=False)
         shared = spark.sparkContext.broadcast(build_trie(flat.reshape(len(rows), -1)))
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie = shared.value
+            hits = np.zeros(len(trie.phrases), np.int64)
             for batch in batches:
                 for numbers, codes in _shards_of(batch):
-                    hits = trie.count(numbers, codes)
-                    some = np.flatnonzero(hits)
-                    yield pa.record_batch({"phrase": _array_of(trie.phrases[some]), "f": hits[some]})
+                    hits += trie.count(numbers, codes)
+            some = np.flatnonzero(hits)
+            yield pa.record_batch({"phrase": _array_of(trie.phrases[some]), "f": hits[some]})
 
-        made = numbered.mapInArrow(count, "phrase array<long>, f long")
+        made = numbered.mapInArrow(found, "phrase array<long>, f long")
         counted = made if counted is None else counted.unionByName(made)
     if counted is None:
         return spark.createDataFrame([], "phrase array<long>, f long")
@@ -423,18 +402,19 @@ def frequent_phrases(
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/collocations-{uuid.uuid4().hex}"
-    made = shards(docs, f"{folder}/shards")
-    words = cut_lineage(word_counts(made))
+    for salt in count(FIRST_SALT):
+        made = shards(docs, f"{folder}/{salt}", salt)
+        words = cut_lineage(word_counts(made, least))
+        if not _clashes(words):
+            break
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    vocabulary = cut_lineage(
-        words.where(F.col("f") >= least).select("lang", "word", "f", (F.monotonically_increasing_id() + 1).alias("id"))
-    )
-    numbered = number(made, vocabulary, f"{folder}/numbered")
+    vocabulary = words.where(F.col("f") >= least)
+    numbered = made.select("numbers", "codes")
     if bits is None:
         n = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
         bits = min(MOST_BITS, max(LEAST_BITS, (n // WORDS_PER_BUCKET).bit_length()))
     counts = vocabulary.select(F.array("id").alias("phrase"), "f")
-    parts = None
+    parts = spark.sparkContext.broadcast(bitmap_of(counts, 1, bits))
     for k in range(2, longest + 1):
         often = spark.sparkContext.broadcast(frequent_buckets(numbered, k, least, bits, parts))
         tried = cut_lineage(candidates(numbered, k, bits, parts, often))

@@ -70,7 +70,7 @@ def frame(spark):
     return spark.createDataFrame([(*d, 1, 2, "x", "y") for d in table()], SCHEMA).repartition(6)
 
 
-@pytest.mark.parametrize("least, share, top, rounds, bits", [(3, 100, 2000, 1 << 18, None), (2, 60, 25, 97, 6), (5, 100, 3, 10, 12)])
+@pytest.mark.parametrize("least, share, top, rounds, bits", [(3, 100, 2000, 1 << 18, None), (2, 60, 25, 3000, 6), (5, 100, 3, 300, 12)])
 def test_mined_equals_brute_force(frame, least, share, top, rounds, bits):
     got = co.mine(frame, least=least, share=share, top=top, round_phrases=rounds, bits=bits)
     assert sorted(tuple(r) for r in got.collect()) == brute(table(), least=least, share=share, top=top)
@@ -81,6 +81,18 @@ def test_tiny_shards_give_the_same_rows(frame, monkeypatch):
     assert sorted(tuple(r) for r in co.mine(frame, least=4).collect()) == brute(table(), least=4)
 
 
+def test_clashing_numbers_are_made_anew(frame, monkeypatch):
+    tried, clashes = [], co._clashes
+    monkeypatch.setattr(co, "_clashes", lambda words: not tried.append(words) and len(tried) < 3 or clashes(words))
+    assert sorted(tuple(r) for r in co.mine(frame, least=20, longest=2).collect()) == brute(table(), least=20, longest=2)
+    assert len(tried) == 3
+
+
+def test_clashes_are_seen(spark):
+    for rows, want in (([(1, "a"), (2, "b")], False), ([(1, "a"), (1, "b")], True), ([(0, "a")], True)):
+        assert co._clashes(spark.createDataFrame(rows, "id long, word string")) is want
+
+
 def test_no_text(spark):
     assert co.mine(spark.createDataFrame([], SCHEMA)).count() == 0
     assert co.mine(spark.createDataFrame([(1, None, None, 1, 1, "", "")], SCHEMA)).count() == 0
