@@ -4,32 +4,42 @@ A seed is accepted if every constraint (text in target path, text in source path
 least one matching target that lands on a matching source. A constraint no target matches
 rejects every seed. Targets are taken as regular ones (entity textures use other keys).
 
-Two plans give the same rows:
+Two plans give the same rows, and neither shuffles a row for each seed and source:
 
 * small catalogues: the seed range is partitioned; hash states of all sources and constrained
   targets (measured, bounded) travel with the task, which vectorises over seeds;
-* otherwise: one ring per seed as rows, looked up with the shuffled as-of join on
-  (seed, bucket).
+* otherwise a blocked search for the nearest source. A target lands on a matching source if that is
+  nearer, going up the ring, than every other one. So for each block of matching sources and each
+  block of the rest, both of broadcast size, tasks keep the (seed, target) pairs of which the matching
+  block is still nearer; most pairs leave at the first block. Constraints go by rising number of
+  targets, and targets in growing batches, so that a seed that is settled costs no more work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringloom.functions.hashing import FACTOR, final_array, hash_state, literal_state, ring_position
+from ringloom.functions.hashing import FACTOR, final_array, hash_state, literal_state
 from ringloom.functions.paths import normalise
 from ringloom.operators import sizing
-from ringloom.operators.ring import look_up, prepare_ring
+from ringloom.operators.lineage import cut_lineage
 
 MAX_TASK_BYTES = 64 << 20
 SEEDS_PER_BATCH = 256
 CELLS_PER_STEP = 1 << 22  # seeds times sources, or seeds times probes, held at once
-SEEDS_PER_CHUNK = 4096
+BLOCK_BYTES = 32 << 20
+BLOCK_ROW_BYTES = 16  # of a source in a block
+PROBE_ROW_BYTES = 8
+FIRST_TARGETS = 64
+PAIRS_AT_ONCE = 1 << 20
+SORT_PAYS = 24  # targets for which sorting a block costs less than looking through it for each
 
 
 def _filter_text(text: str) -> str:
@@ -136,59 +146,177 @@ def _search_by_seed(
     return spark.range(seeds.start, seeds.stop, seeds.step, partitions).mapInPandas(search, "seed bigint")
 
 
-def _search_by_rows(
+@dataclass(frozen=True)
+class Block:
+    """Hash states of sources, with their places in the order of paths, which settles ties."""
+
+    tail: np.ndarray
+    power: np.ndarray
+    place: np.ndarray
+
+    def nearest(self, state: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distance, place) of the source that each of a seed's ``pos`` reaches first."""
+        with np.errstate(over="ignore"):
+            ring = final_array(state * self.power + self.tail)
+        if len(pos) < SORT_PAYS:  # a few targets: a look at all sources for each
+            found = np.empty(len(pos), np.int64)
+            for i, p in enumerate(pos):
+                gap = ring - p  # wraps as the ring does
+                same = np.flatnonzero(gap == gap.min())
+                found[i] = same[np.argmin(self.place[same])]
+        else:
+            order = np.lexsort((self.place, ring))
+            at = np.searchsorted(ring[order], pos)
+            found = order[np.where(at == len(ring), 0, at)]
+        return ring[found] - pos, self.place[found]
+
+
+def _blocks(spark: SparkSession, sources: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
+    """Broadcast blocks of ``sources`` (rel, place, tail, units), of about ``block_bytes`` each."""
+    count = max(1, -(-sources.count() * BLOCK_ROW_BYTES // block_bytes))
+    for n in range(count):
+        rows = sources.where(F.pmod(F.xxhash64("place"), F.lit(count)) == n).toPandas()
+        if len(rows):
+            held = spark.sparkContext.broadcast(
+                Block(rows["tail"].to_numpy(np.uint32), _powers(rows["units"].to_numpy()), rows["place"].to_numpy(np.int64))
+            )
+            yield held
+            held.unpersist()
+
+
+def _batches(wanted: DataFrame, n: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tail, power) of the ``n`` targets of a constraint, each batch eight times the last, up to ``most``."""
+    turn = F.pmod(F.xxhash64("rel"), F.lit(1 << 30))
+    low, size = 0, FIRST_TARGETS
+    while low < 1 << 30:
+        high = min(1 << 30, low + -(-(1 << 30) * size // n))
+        rows = wanted.where((turn >= low) & (turn < high)).select("tail", "units").distinct().toPandas()
+        if len(rows):
+            yield rows["tail"].to_numpy(np.uint32), _powers(rows["units"].to_numpy())
+        low, size = high, min(most, size * 8)
+
+
+def _kept(
+    seeds: np.ndarray, pairs: Callable, own: Block, other: Block, first_only: bool = False
+) -> Iterator[pd.DataFrame]:
+    """The pairs (seed, target) whose nearest source of ``own`` comes before all of ``other``."""
+    held, size = [], 0
+    for seed in seeds:
+        state = np.uint32(literal_state(str(seed)))
+        target, pos = pairs(seed, state)
+        gap, place = own.nearest(state, pos)
+        gap_, place_ = other.nearest(state, pos)
+        target = target[(gap < gap_) | ((gap == gap_) & (place < place_))]
+        if first_only:
+            target = target[:1]
+        held.append(pd.DataFrame({"seed": np.full(len(target), seed), "target": target}))
+        size += len(target)
+        if size > PAIRS_AT_ONCE:
+            yield pd.concat(held)
+            held, size = [], 0
+    if size:
+        yield pd.concat(held)
+
+
+def _nearer(open_: DataFrame, batch: Broadcast, own: Broadcast, other: Broadcast, last: bool) -> DataFrame:
+    """Pairs (seed, target) of the first round: all targets of ``batch`` for each seed. In the last
+    round one target is enough."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail, power = batch.value
+        all_ = np.arange(len(tail))
+
+        def pairs(_, state):
+            with np.errstate(over="ignore"):
+                return all_, final_array(state * power + tail)
+
+        for rows in batches:
+            yield from _kept(rows["seed"].to_numpy(np.int64), pairs, own.value, other.value, last)
+
+    return open_.mapInPandas(search, "seed bigint, target bigint")
+
+
+def _still_nearer(pairs_: DataFrame, batch: Broadcast, own: Broadcast, other: Broadcast) -> DataFrame:
+    """Pairs that are left after one more block; a seed's pairs may be in several tasks."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail, power = batch.value
+        for rows in batches:
+            targets = {seed: group.to_numpy() for seed, group in rows.groupby("seed")["target"]}
+
+            def pairs(seed, state, targets=targets):
+                at = targets[seed]
+                with np.errstate(over="ignore"):
+                    return at, final_array(state * power[at] + tail[at])
+
+            yield from _kept(np.array(list(targets), np.int64), pairs, own.value, other.value)
+
+    return pairs_.mapInPandas(search, "seed bigint, target bigint")
+
+
+def _met(
+    spark: SparkSession, open_: DataFrame, batch: tuple, own: DataFrame, rest: DataFrame, block_bytes: int
+) -> DataFrame:
+    """(seed) of ``open_`` with a target of ``batch`` that lands on one of the sources ``own``.
+
+    A pair is met if some block of ``own`` is nearer than every block of ``rest``; other blocks of
+    ``own`` can't spoil it.
+    """
+    targets, met = spark.sparkContext.broadcast(batch), None
+    others = max(1, -(-rest.count() * BLOCK_ROW_BYTES // block_bytes))
+    for mine in _blocks(spark, own, block_bytes):
+        left = None
+        for n, other in enumerate(_blocks(spark, rest, block_bytes), 1):
+            if left is None:
+                left = cut_lineage(_nearer(open_, targets, mine, other, n == others))
+            else:
+                left = cut_lineage(_still_nearer(left, targets, mine, other))
+        found = left.select("seed").distinct()
+        met = found if met is None else met.unionByName(found)
+    return cut_lineage(met.distinct())
+
+
+def _search_in_blocks(
     spark: SparkSession,
     sources: DataFrame,
     wanted: DataFrame,
     constraints: list[tuple[str, str]],
     seeds: range,
-    max_broadcast_bytes: int | None,
+    partitions: int,
+    block_bytes: int,
 ) -> DataFrame:
-    def every_seed(rows: DataFrame) -> DataFrame:
-        """Each row once per seed, in two steps so that no row holds a long seed array and
-        the chunks are spread over all tasks before they are expanded."""
-        last = len(seeds) - 1
-        chunks = rows.withColumn("_chunk", F.expr(f"explode(sequence(0L, {last}L, {SEEDS_PER_CHUNK}L))"))
-        within = f"explode(sequence(_chunk, least(_chunk + {SEEDS_PER_CHUNK - 1}, {last}L)))"
-        spread = chunks.repartition(*rows.columns, "_chunk").withColumn("seed", F.expr(within)).drop("_chunk")
-        return spread.withColumn("seed", F.col("seed") * seeds.step + seeds.start)
-
-    def head(text: str) -> Column:
-        return hash_state(f"concat(seed, '{text}')")
-
-    rings = every_seed(sources.select("source", "rel")).withColumn("source_head", head(":overlay:"))
-    ring = prepare_ring(
-        rings, None, by=("seed",), rings=len(seeds), max_broadcast_bytes=max_broadcast_bytes
-    )
-    keys = every_seed(wanted.select("cid", "rel")).withColumn("head", head(":"))
-    keys = keys.withColumn("pos", ring_position("rel", "head"))
-    lowered = F.lower("rel")
-    placed = look_up(keys.select("seed", "cid", "pos"), ring, out="source")
-    qualified = sources.select(
-        "source",
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.when(F.contains(lowered, F.lit(_filter_text(text))), F.lit(i))
-                        for i, (_, text) in enumerate(constraints)
-                    ]
-                ),
-                lambda c: c.isNotNull(),
-            )
-        ).alias("cid"),
-    )
-    hits = placed.join(
-        sizing.broadcast_if_small(qualified, max_broadcast_bytes), ["source", "cid"], "left_semi"
-    )
-    # Partial aggregation first collapses each task's hits to one row per (seed, constraint).
-    met = hits.groupBy("seed", "cid").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        met.groupBy("seed")
-        .agg(F.count(F.lit(1)).alias("constraints"))
-        .filter(F.col("constraints") == len(constraints))
-        .select("seed")
+    tail, suffix = "concat(':overlay:', rel)", "concat(':', rel)"
+    placed = sources.repartitionByRange(partitions, "source").sortWithinPartitions("source")
+    # Numbers that rise from one partition to the next follow the order of paths.
+    placed = cut_lineage(
+        placed.select(
+            "rel", F.monotonically_increasing_id().alias("place"), hash_state(tail).alias("tail"), _units(tail).alias("units")
+        )
     )
+    probes = cut_lineage(wanted.select("cid", "rel", hash_state(suffix).alias("tail"), _units(suffix).alias("units")))
+    counts = {r["cid"]: r["n"] for r in probes.groupBy("cid").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < len(constraints):
+        return spark.range(0).withColumnRenamed("id", "seed")
+    alive = spark.range(seeds.start, seeds.stop, seeds.step, partitions).withColumnRenamed("id", "seed")
+    for cid in sorted(counts, key=lambda c: counts[c]):
+        fits = F.contains(F.lower("rel"), F.lit(_filter_text(constraints[cid][1])))
+        own, rest = placed.where(fits), placed.where(~fits)
+        if own.isEmpty():
+            return spark.range(0).withColumnRenamed("id", "seed")
+        if rest.isEmpty():  # every source will do
+            continue
+        open_, passed = alive, None
+        most = max(1, block_bytes // PROBE_ROW_BYTES)
+        for batch in _batches(probes.where(F.col("cid") == cid), counts[cid], most):
+            met = _met(spark, open_, batch, own, rest, block_bytes)
+            passed = met if passed is None else passed.unionByName(met)
+            open_ = cut_lineage(open_.join(sizing.broadcast_if_small(met), "seed", "left_anti"))
+            if open_.isEmpty():
+                break
+        alive = cut_lineage(passed.repartition(partitions))
+        if alive.isEmpty():
+            break
+    return alive
 
 
 def search_seeds(
@@ -199,13 +327,14 @@ def search_seeds(
     seeds: range,
     partitions: int | None = None,
     max_task_bytes: int = MAX_TASK_BYTES,
-    max_broadcast_bytes: int | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(seed)`` of every accepted seed in ``seeds``.
 
     ``sources(source, rel)``, ``targets(rel)``; constraints are (target text, source text),
     case-insensitive. The length of ``seeds`` is the cap on seeds tried. Without sources no
-    seed is accepted.
+    seed is accepted. Up to ``max_task_bytes`` of hash states go to every task; beyond it, blocks of
+    ``block_bytes``.
     """
     nothing = spark.range(0).withColumnRenamed("id", "seed")
     if not len(seeds) or sources.isEmpty():
@@ -220,4 +349,4 @@ def search_seeds(
     travels = ring_size.rows * (16 + len(constraints)) + probe_size.rows * 16
     if travels <= max_task_bytes:
         return _search_by_seed(spark, sources, wanted, constraints, seeds, partitions)
-    return _search_by_rows(spark, sources, wanted, constraints, seeds, max_broadcast_bytes)
+    return _search_in_blocks(spark, sources, wanted, constraints, seeds, partitions, block_bytes)

@@ -15,7 +15,7 @@ from ringloom.operators.catalog import texture_owners
 from ringloom.operators.ring import prepare_ring
 from ringloom.operators.search import of_kind, priority_top, reverse_lookup, text_filter
 from ringloom.plans.assign import build_assignments, preview_list, zip_faces
-from ringloom.plans.seed_search import search_seeds
+from ringloom.plans.seed_search import BLOCK_ROW_BYTES, search_seeds
 from ringloom.sources.files import sidecar_flags
 from ringloom.workload.tables import (
     DOCUMENTS_SQL,
@@ -178,6 +178,14 @@ def seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_seeds(spark, suppliers(spark, sf_dir), pages, SEARCH_CONSTRAINTS, SEARCH_SEEDS)
 
 
+def seed_search_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, with sources in three blocks or so: the way of catalogues too large for a task."""
+    pages = table(spark, sf_dir, "pages", "url").select(F.col("url").alias("rel"))
+    sources = suppliers(spark, sf_dir)
+    third = BLOCK_ROW_BYTES * max(1, sources.count() // 3)
+    return search_seeds(spark, sources, pages, SEARCH_CONSTRAINTS, SEARCH_SEEDS, max_task_bytes=0, block_bytes=third)
+
+
 def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths below their source's folder, or, for every fifth document, below another one."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source")
@@ -231,6 +239,7 @@ QUERIES = {
     "priority_topk": priority_topk,
     "preview_list": preview,
     "seed_search": seed_search,
+    "seed_search_blocked": seed_search_blocked,
     "ring_assign_shuffled": ring_assign_shuffled,
     "classify_suffix_shuffled": classify_suffix_shuffled,
     "full_assignment_shuffled": full_assignment_shuffled,
@@ -386,6 +395,7 @@ ORACLE = {
 
 ORACLE |= {f"{name}_shuffled": ORACLE[name] for name in ("ring_assign", "classify_suffix", "full_assignment", "text_filter")}
 ORACLE |= {
+    "seed_search_blocked": ORACLE["seed_search"],
     "relative_paths": (
         "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '/data/' || source || '/' || doc_id ELSE doc_id::VARCHAR END AS rel FROM documents"
     ),

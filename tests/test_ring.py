@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,14 +234,28 @@ def test_seed_search_plans_agree_with_brute_force(spark, monkeypatch, constraint
     want = [s for s in seeds if accepted(s)]
     monkeypatch.setattr(seed_search, "SEEDS_PER_BATCH", 16)
     monkeypatch.setattr(seed_search, "CELLS_PER_STEP", 200)
-    monkeypatch.setattr(seed_search, "SEEDS_PER_CHUNK", 7)
+    monkeypatch.setattr(seed_search, "FIRST_TARGETS", 2)
     fast = search_seeds(spark, df, t, constraints, seeds)
-    general = search_seeds(spark, df, t, constraints, seeds, max_task_bytes=0)
-    shuffled = search_seeds(spark, df, t, constraints, seeds, max_task_bytes=0, max_broadcast_bytes=0)
-    for found in (fast, general, shuffled):
+    one_block = search_seeds(spark, df, t, constraints, seeds, max_task_bytes=0)
+    blocks = search_seeds(spark, df, t, constraints, seeds, max_task_bytes=0, block_bytes=16 * 11)
+    for found in (fast, one_block, blocks):
         assert sorted(r["seed"] for r in found.collect()) == want
 
 
+@pytest.mark.parametrize("targets", [3, 60])
+def test_nearest_source_of_a_block(targets):
+    """Both ways to search a block, with positions that coincide and ones past the last source."""
+    rng = np.random.default_rng(targets)
+    tail, place = rng.integers(0, 2**32, 200).astype(np.uint32), rng.permutation(200)
+    tail[50:100] = tail[:50]
+    block = seed_search.Block(tail, np.ones(200, np.uint32), place)
+    ring = [final(int(t)) for t in tail]
+    pos = np.append(rng.integers(0, 2**32, targets - 2), [ring[3], 2**32 - 1]).astype(np.uint32)
+    gap, found = block.nearest(np.uint32(0), pos)
+    want = [min(((r - int(p)) % 2**32, q) for r, q in zip(ring, place.tolist())) for p in pos]
+    assert list(zip(gap.tolist(), found.tolist())) == want
+
+
 def test_seed_steps_and_no_sources(spark):
     sources = spark.createDataFrame([(f"/s{i}", f"s{i}.png") for i in range(6)], "source string, rel string")
     targets = spark.createDataFrame([(f"t{i}.png",) for i in range(20)], "rel string")
