@@ -1,8 +1,8 @@
 """Collocations: frequent phrases counted level by level with double-array tries.
 
 1. Texts are cut into words once and written as *shards*: rows (language, the shard's own words,
-   their counts and numbers, and the words of its texts as 32-bit codes, -1 at the border of a
-   piece). A shard is read from raw bytes with numpy; it is bounded in bytes and holds whole texts.
+   their counts and numbers, and the words of its texts as 16-bit or 32-bit codes, the
+   highest at the border of a piece). A shard is read from raw bytes with numpy; it is bounded in bytes and holds whole texts.
 2. Words are summed over shards. The number of a word is a salted 64-bit hash of it and its language.
    All words are checked for numbers that coincide; should any, shards are made anew with
    another salt, so that numbers stand for words exactly and no table of words is in any task.
@@ -32,6 +32,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -40,7 +41,7 @@ from ringloom.llm.common import cut_lineage
 from ringloom.operators import sizing
 from ringloom.operators.lineage import shared_folder
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20  # which seldom holds more words than 16 bits can number
 ROUND_PHRASES = 1 << 18  # in one trie
 LEAST_BITS, MOST_BITS = 20, 27  # of a bitmap, as powers of two
 WORDS_PER_BUCKET = 8
@@ -48,10 +49,11 @@ TOP_SALTS = 64
 RADIX = 512
 FIRST_SALT = 0
 
+END = b"\xff"  # is in no UTF-8 text: it ends one
 _GAP, _BORDER = 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(b" \t")] = _GAP
-_KIND[list(b".,;:!?\n\x0b\x0c\r\xff")] = _BORDER  # 0xFF is in no UTF-8 text: it ends one
+_KIND[list(b".,;:!?\n\x0b\x0c\r" + END)] = _BORDER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -59,7 +61,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 # Shards ---------------------------------------------------------------------------------
 
 
-def word_codes(raw: bytes) -> tuple[pa.Array, np.ndarray]:
+def word_codes(raw: memoryview) -> tuple[pa.Array, np.ndarray]:
     """(distinct words, code of each word in order with -1 wherever a new piece begins)."""
     kind = _KIND[np.frombuffer(raw, np.uint8)]
     inside = kind == 0
@@ -79,29 +81,47 @@ def word_codes(raw: bytes) -> tuple[pa.Array, np.ndarray]:
 _SHARDS = "lang string, words array<binary>, counts array<long>, codes binary"
 
 
-def _shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each language of a batch, cut where their texts pass ``SHARD_BYTES``."""
     for batch in batches:
-        for lang, texts in batch.groupby("lang", sort=True)["text"]:
-            held, weight = [], 0
-            for text in [*texts, None]:
-                if held and (text is None or weight + len(text) > SHARD_BYTES):
-                    words, codes = word_codes(b"\xff".join(held))
-                    counts = np.bincount(codes[codes >= 0], minlength=len(words))
-                    row = (lang, words.to_pylist(), counts, codes.tobytes())
-                    yield pd.DataFrame([row], columns=["lang", "words", "counts", "codes"])
-                    held, weight = [], 0
-                if text is not None:
-                    held.append(text)
-                    weight += len(text)
+        for lang in sorted(pc.unique(batch.column("lang")).to_pylist()):
+            texts = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            first = 0
+            while first < len(texts):
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + SHARD_BYTES, side="right")))
+                words, codes = word_codes(_bytes_of(texts[first:last]))
+                counts = np.bincount(codes[codes >= 0], minlength=len(words))
+                codes = codes.astype(_code_type(len(words))).tobytes()
+                row = {"lang": [lang], "words": _one_row(words), "counts": _one_row(pa.array(counts)), "codes": [codes]}
+                yield pa.record_batch(row)
+                first = last
+
+
+def _code_type(words: int) -> type:
+    """Of the codes of a shard of so many words; the highest number is left for borders."""
+    return np.uint16 if words < 0xFFFF else np.uint32
+
+
+def _one_row(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(np.array([0, len(values)], np.int32), values)
+
+
+def _bytes_of(texts: pa.Array) -> memoryview:
+    """The bytes of consecutive texts, which lie one after the other."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return memoryview(data)[at[0] : at[-1]]
 
 
 def shards(docs: DataFrame, folder: str, salt: int) -> DataFrame:
     """Shards of ``docs`` (text, lang), written to ``folder`` and read again."""
     texts = docs.select(
-        F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    ).where(F.octet_length("text") > 0)
+        F.coalesce("lang", F.lit("und")).alias("lang"), F.concat(F.col("text").cast("binary"), F.lit(END)).alias("text")
+    ).where(F.octet_length("text") > 1)
     numbers = F.transform("words", lambda w: F.xxhash64(F.lit(salt), "lang", w))
-    texts.mapInPandas(_shard, _SHARDS).withColumn("numbers", numbers).write.parquet(folder)
+    texts.mapInArrow(_shard, _SHARDS).withColumn("numbers", numbers).write.parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
@@ -118,9 +138,15 @@ def _clashes(words: DataFrame) -> bool:
 
 
 def _shards_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers, codes) of each shard; code -1 takes the last number, 0, which no phrase has."""
+    """(numbers, codes) of each shard; borders have the number 0, which no phrase has."""
     for numbers, codes in zip(batch.column("numbers"), batch.column("codes"), strict=True):
-        yield np.append(numbers.values.to_numpy(zero_copy_only=False), 0), np.frombuffer(codes.as_buffer(), np.int32)
+        n, kind = len(numbers), _code_type(len(numbers))
+        codes = np.frombuffer(codes.as_buffer(), kind)
+        if kind is np.uint32:
+            codes = np.minimum(codes, n)
+        padded = np.zeros(max(n + 1, 1 << 16), np.int64)
+        padded[:n] = numbers.values.to_numpy(zero_copy_only=False)
+        yield padded, codes
 
 
 # Bitmaps --------------------------------------------------------------------------------
@@ -139,15 +165,65 @@ def _buckets(words: np.ndarray, at: np.ndarray, k: int, bits: int) -> np.ndarray
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _bitmap(buckets: DataFrame, bits: int) -> np.ndarray:
-    """Bits set for the rows (bucket); what comes to the driver is bounded by the bitmap."""
-    pages = buckets.groupBy(F.shiftright("bucket", 6).alias("page")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(bucket & 63 AS INT))")).alias("mask")
-    )
-    found = pages.toPandas()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found["page"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
-    return out
+def _page_bits(bits: int) -> int:
+    """A bitmap has 512 pages, or as many more as keep places within a page to 16 bits."""
+    return max(6, min(16, bits - 9))
+
+
+def _bitmap(pages: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap from its pages (page, mask); what comes to the driver is bounded by the bitmap."""
+    found = pages.toArrow()
+    page_bits = _page_bits(bits)
+    out = np.zeros((1 << (bits - page_bits), 1 << (page_bits - 6)), np.uint64)
+    for page, mask in zip(found["page"].to_pylist(), found["mask"].to_pylist(), strict=True):
+        out[page] = np.frombuffer(mask, np.uint64)
+    return out.ravel()
+
+
+def _paged(bucket: np.ndarray, page_bits: int) -> pa.RecordBatch:
+    """Sorted hits of buckets as rows (page, places, hits), a row for each page that is hit."""
+    start = np.flatnonzero(np.diff(bucket, prepend=-1))
+    hits = np.diff(start, append=len(bucket)).astype(np.uint32)
+    bucket = bucket[start]
+    page, first = np.unique(bucket >> page_bits, return_index=True)
+    edges = np.append(first, len(bucket)).astype(np.int32)
+
+    def cut(values: np.ndarray) -> pa.Array:
+        size = values.dtype.itemsize
+        return pa.BinaryArray.from_buffers(pa.binary(), len(page), [None, pa.py_buffer(edges * size), pa.py_buffer(values.tobytes())])
+
+    places = (bucket & ((1 << page_bits) - 1)).astype(np.uint16)
+    return pa.record_batch({"page": page.astype(np.int32), "places": cut(places), "hits": cut(hits)})
+
+
+def _merged(least: int, page_bits: int):
+    """Sums the rows of each page, which come one after the other, to a mask of buckets with ``least``
+    hits or more. A page is all that is held."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, np.zeros(1 << page_bits, np.int64)
+
+        def mask() -> pa.RecordBatch:
+            bits = np.packbits(sums >= least, bitorder="little").tobytes()
+            return pa.record_batch({"page": pa.array([now], pa.int32()), "mask": [bits]})
+
+        for batch in batches:
+            for page, places, hits in zip(*(batch.column(c) for c in ("page", "places", "hits")), strict=True):
+                if page.as_py() != now:
+                    if now is not None:
+                        yield mask()
+                    now = page.as_py()
+                    sums[:] = 0
+                sums[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(hits.as_buffer(), np.uint32)
+        if now is not None:
+            yield mask()
+
+    return merge
+
+
+def _masks(rows: DataFrame, least: int, bits: int) -> DataFrame:
+    """(page, mask) from rows (page, places, hits) of any number of tasks."""
+    return rows.repartition("page").sortWithinPartitions("page").mapInArrow(_merged(least, _page_bits(bits)), "page int, mask binary")
 
 
 def _set(bitmap: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -174,6 +250,9 @@ def _array_of(phrases: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, n * k + 1, k, dtype=np.int32), pa.array(phrases.ravel()))
 
 
+_PAGES = "page int, places binary, hits binary"
+
+
 def frequent_buckets(numbered: DataFrame, k: int, least: int, bits: int, parts) -> np.ndarray:
     """Bitmap of buckets hit at least ``least`` times by safe phrases of ``k`` words."""
 
@@ -182,11 +261,10 @@ def frequent_buckets(numbered: DataFrame, k: int, least: int, bits: int, parts)
             for numbers, codes in _shards_of(batch):
                 words = numbers[codes]
                 bucket = _buckets(words, _safe(words, k, bits, parts.value), k, bits)
-                bucket, hits = np.unique(bucket, return_counts=True)
-                yield pa.record_batch({"bucket": bucket, "hits": hits})
+                if len(bucket):
+                    yield _paged(np.sort(bucket), _page_bits(bits))
 
-    hits = numbered.mapInArrow(hit, "bucket long, hits long").groupBy("bucket").agg(F.sum("hits").alias("hits"))
-    return _bitmap(hits.where(F.col("hits") >= least), bits)
+    return _bitmap(_masks(numbered.mapInArrow(hit, _PAGES), least, bits), bits)
 
 
 def candidates(numbered: DataFrame, k: int, bits: int, parts, often) -> DataFrame:
@@ -210,9 +288,10 @@ def bitmap_of(phrases: DataFrame, k: int, bits: int) -> np.ndarray:
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("phrase").flatten().to_numpy(zero_copy_only=False)
-            yield pa.record_batch({"bucket": _buckets(words, np.arange(0, len(words), k), k, bits)})
+            if len(words):
+                yield _paged(np.sort(_buckets(words, np.arange(0, len(words), k), k, bits)), _page_bits(bits))
 
-    return _bitmap(phrases.select("phrase").mapInArrow(hash_, "bucket long"), bits)
+    return _bitmap(_masks(phrases.select("phrase").mapInArrow(hash_, _PAGES), 1, bits), bits)
 
 
 # Double-array trie ------------------------------------------------------------------------
