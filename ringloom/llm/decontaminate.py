@@ -1,8 +1,9 @@
 """Benchmark decontamination: windows of benchmark words found in training documents.
 
-The windows of all items, normalised, are a hash set of n-grams that every task holds. A
-document's words are scanned once; a window is looked up where its longest word stands, then
-the n-gram there is compared with it, so each hit is verified and no window is missed.
+The windows of all items, normalised, are a hash set of n-grams that every task holds. A document is
+read and cut into words once; the words from every place on, as many as windows have, are
+hashed and looked up, and what meets a hash is compared with the n-gram, so each hit is verified
+and no window is missed. The same scan counts the words.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import ascii_lower, digest_of, text_key
+from ringloom.llm.common import ascii_lower, cut_lineage, digest_of, text_key
 
 WINDOW = 13
 NOT_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # ASCII but for digits and letters
@@ -23,20 +24,69 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item, gram, len, anchor, at): every window of every item; gram has its words, ``at`` is
-    the place of the anchor, its longest word (the first of several)."""
+    """(item, gram, len, h): every window of every item; gram has its words, h is their hash."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), words(F.col(text_col)).alias("w"))
     n = F.size("w")
     starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))
     grams = items.where(n > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("g"))
-    longest = F.array_max(F.transform("g", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("back"), w.alias("word"))))
-    return grams.select(
-        "item",
-        F.array_join("g", " ").alias("gram"),
-        F.size("g").alias("len"),
-        longest["word"].alias("anchor"),
-        (-longest["back"]).alias("at"),
-    ).distinct()
+    return grams.select("item", F.array_join("g", " ").alias("gram"), F.size("g").alias("len"), F.xxhash64("g").alias("h")).distinct()
+
+
+def _starts(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """A row (..., len, start, h) for each place in ``w`` and each length of a window: the hash of so
+    many words. A document without a place has one row, without a hash; the first row of each
+    document, and no other, has ``first``."""
+
+    def hashes(length: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size("w") - length + 1, F.lit(1)))
+        # Of too few words for the length the hash is that of fewer, and no window's of this length.
+        return F.transform(places, lambda i: F.xxhash64(F.slice("w", i, length)))
+
+    each = F.array(*[hashes(n) for n in lengths]) if lengths else F.lit(None).cast("array<array<bigint>>")
+    # The outer forms add no condition on the words, which would cut the text once more.
+    per_length = rows.select("*", F.posexplode_outer(each).alias("which", "hs"))
+    length = F.element_at(F.array(*[F.lit(n) for n in lengths or [0]]), F.coalesce("which", F.lit(0)) + 1)
+    placed = per_length.select(*rows.columns, "which", length.alias("len"), F.posexplode_outer("hs").alias("start", "h"))
+    first = (F.coalesce("which", F.lit(0)) == 0) & (F.coalesce("start", F.lit(0)) == 0)
+    return placed.withColumn("first", first).drop("which")
+
+
+def _equal(grams: str, words_: str = "w") -> Column:
+    """Those of an array of n-grams that stand at ``start``."""
+    there = F.array_join(F.slice(words_, F.col("start") + 1, F.col("len")), " ")
+    return F.filter(grams, lambda g: g == there)
+
+
+def _scan(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, max_broadcast_bytes: int) -> DataFrame:
+    """(doc_id, key, n_words, first, start, len, grams): the first row of every document and every
+    place where n-grams stand.
+
+    The n-grams are broadcast if, counted, they fit ``max_broadcast_bytes``: one scan, no shuffle.
+    Otherwise hashes of places meet those of windows in a shuffle, without texts, and only documents
+    with a hash in common are read again to compare words.
+    """
+    grams = windows.select("gram", "len", "h").distinct()
+    sizes = grams.groupBy("len").agg(F.sum(F.octet_length("gram") + 64).alias("b")).collect()
+    lengths = sorted(r["len"] for r in sizes)
+    by_hash = grams.groupBy("h").agg(F.collect_list("gram").alias("grams"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), words(F.col(text_col)).alias("w"))
+    rows = rows.withColumn("n_words", F.size("w").cast("long"))
+    none = F.array().cast("array<string>")
+    found = ["doc_id", "key", "n_words", "first", "start", "len"]
+    if sum(r["b"] for r in sizes) <= max_broadcast_bytes:
+        met = _starts(rows, lengths).join(F.broadcast(by_hash), "h", "left")
+        met = met.where(F.col("first") | F.col("grams").isNotNull())
+        met = met.select(*found, F.when(F.col("grams").isNotNull(), _equal("grams")).otherwise(none).alias("grams"))
+        return met.where(F.col("first") | (F.size("grams") > 0))
+    plain = rows.select("doc_id", "key", "n_words", F.lit(True).alias("first"), F.lit(0).alias("start"), F.lit(0).alias("len"), none.alias("grams"))
+    places = _starts(rows, lengths).select("doc_id", "key", "start", "len", "h").distinct()
+    met = cut_lineage(places.join(by_hash, "h").drop("h"))
+    texts = rows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "w")
+    some = met.select(F.col("doc_id").alias("_i"), F.col("key").alias("_k")).distinct()
+    texts = texts.join(some, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi").dropDuplicates(["_id", "_key"])
+    met = met.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    met = met.select("doc_id", "key", F.lit(0).cast("long").alias("n_words"), F.lit(False).alias("first"), "start", "len", _equal("grams").alias("grams"))
+    return plain.unionByName(met.where(F.size("grams") > 0))
 
 
 def find_hits(
@@ -46,21 +96,12 @@ def find_hits(
     text_col: str = "text",
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """(doc_id, key, start, len, gram): occurrences of windows, by the place of their first word.
+    """(doc_id, key, start, len, gram): occurrences of windows, by the place of their first word."""
+    return _hits(_scan(docs, windows, id_col, text_col, max_broadcast_bytes))
 
-    The windows are broadcast if, counted, they fit ``max_broadcast_bytes``; else documents and
-    windows meet by anchor in a shuffle, where skew handling splits frequent words.
-    """
-    grams = windows.select("gram", "len", "anchor", "at").distinct()
-    size = grams.agg(F.sum(F.octet_length("gram") + F.octet_length("anchor") + 64)).first()[0] or 0
-    if size <= max_broadcast_bytes:
-        grams = F.broadcast(grams)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), words(F.col(text_col)).alias("w"))
-    places = rows.select("doc_id", "key", "w", F.posexplode("w").alias("place", "word"))
-    met = places.join(grams, places["word"] == grams["anchor"]).withColumn("start", F.col("place") - F.col("at"))
-    met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("w")))
-    same = F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ") == F.col("gram")
-    return met.where(same).select("doc_id", "key", "start", "len", "gram")
+
+def _hits(scanned: DataFrame) -> DataFrame:
+    return scanned.select("doc_id", "key", "start", "len", F.explode("grams").alias("gram"))
 
 
 def contamination(
@@ -77,10 +118,12 @@ def contamination(
 
     A null text has no words, and neither hits nor is hit. Items of equal text all count; rows
     that repeat an item's id are one item, items without an id are one item called ``null``.
-    Repeated documents get a row each. An empty benchmark or no documents: no hits, no rows.
+    Repeated documents get a row each. Texts may be of any length. An empty benchmark or no documents: no
+    hits, no rows.
     """
     windows = benchmark_windows(benchmark, item_col, item_text_col, window)
-    hits = find_hits(docs, windows, id_col, text_col, max_broadcast_bytes).distinct()
+    scanned = cut_lineage(_scan(docs, windows, id_col, text_col, max_broadcast_bytes))
+    hits = _hits(scanned).distinct()
     row = ["doc_id", "key"]
     in_order = Window.partitionBy(*row).orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
@@ -96,12 +139,7 @@ def contamination(
         items.select(F.col("doc_id").alias("_id2"), F.col("key").alias("_key2"), "items"),
         F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")),
     )
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        text_key(F.col(text_col)).alias("key"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-    )
-    rows = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    rows = scanned.where("first").select(*row, "n_words").join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return rows.select(
         *row,
