@@ -1,24 +1,30 @@
 """WARC archives: written from pages, read back, and assembled into captures.
 
 A capture is a transaction of several records: the response (or a revisit of an equal payload),
-the request, and metadata. The records name each other by WARC-Concurrent-To; assembly joins
-them on these names and emits one nested row per capture.
+the request, and metadata. The records name each other by WARC-Concurrent-To, each any number of
+others; what such names connect is one capture, and assembly emits one nested row for it.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringloom.llm import graph
 from ringloom.llm.common import cut_lineage
+from ringloom.operators import sizing
 from ringloom.operators.lineage import shared_folder
 
-RECORDS_IN_FILE = 12_000  # an archive is read by one task
+# A task reads an archive record by record, but has its compressed bytes whole: pages of up to so many
+# bytes go together, so many records to a file, and a file has about 48 MB before compression.
+SIZES = ((16 << 10, 9_000), (512 << 10, 288), (2 << 30, 6))
 CRLF = "\r\n"
 PRINCIPAL = ("response", "revisit", "resource")
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -26,9 +32,13 @@ _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 
 
 def payload_digest(payload: Column) -> Column:
-    """SHA-1 in upper-case base 32: five hex digits at a time are four digits of base 32."""
-    hex_digest = F.sha1(payload)
-    parts = [F.lpad(F.conv(F.substring(hex_digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+    """SHA-1 in upper-case base 32."""
+    return base32(F.sha1(payload))
+
+
+def base32(hex_digest: Column) -> Column:
+    """Of 40 hex digits: ten at a time are eight digits of base 32."""
+    parts = [F.lpad(F.conv(F.substring(hex_digest, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4)]
     return F.translate(F.concat(*parts), _DIGITS, _BASE32)
 
 
@@ -47,29 +57,31 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def first_of_equal(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, digest, n_bytes, ...) with ``first_id``: the smallest id of an equal payload.
+    """``pages`` (page_id, sha1, n_bytes, ...) with ``first_id``: the smallest id of an equal payload.
 
     The smallest ids are summed up on the map side, so a payload that very many pages share is
-    a row there. Null ids are not counted; payloads under ``min_bytes`` have no first.
+    a row there. Those of payloads that repeat are broadcast if, counted, they fit; payloads do not
+    move then. Null ids are not counted; payloads under ``min_bytes`` have no first.
     """
-    first = pages.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = first.where("n > 1").drop("n")
-    return pages.join(first, ["digest", "n_bytes"], "left")
+    first = pages.where(F.col("n_bytes") >= min_bytes).groupBy("sha1", "n_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = cut_lineage(first.where("n > 1").drop("n"))
+    return pages.join(sizing.broadcast_if_small(first), ["sha1", "n_bytes"], "left")
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Archives of a request, a response or revisit, and a metadata record for every row.
 
     The payload is a string or binary column, whole; null is empty. A null url leaves the target
-    out; control characters and spaces in urls are percent-encoded. Files are gzip-compressed.
+    out; control characters and spaces in urls are percent-encoded. Files are gzip-compressed; pages
+    of like size go to a folder of their own, with a number of records a file that bounds its bytes.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     url = F.col(url_col).cast("string")
     for raw, coded in ((" ", "%20"), ("\r", "%0D"), ("\n", "%0A"), ("\t", "%09")):
         url = F.replace(url, F.lit(raw), F.lit(coded))
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", payload_digest(F.col("payload"))).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    rows = first_of_equal(rows, min_bytes).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
+    rows = first_of_equal(rows, min_bytes).withColumn("row", F.monotonically_increasing_id()).withColumn("digest", base32(F.col("sha1")))
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
     name = {k: F.concat(F.lit("<"), _id(k), F.lit(">")) for k in ("response", "request", "metadata")}
     target, when = ("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(date))
@@ -95,32 +107,60 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", name["request"]), when, target, to, ("Content-Type", F.lit("application/http; msgtype=request"))], asked.cast("binary"))
     # The metadata names the request: a chain of two, as crawlers write it too.
     metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", name["metadata"]), when, target, ("WARC-Concurrent-To", name["request"]), ("Content-Type", F.lit("application/warc-fields"))], about.cast("binary"))
-    records = rows.select(F.explode(F.array(answer, request, metadata)).alias("record"))
+    records = rows.select("n_bytes", F.explode(F.array(answer, request, metadata)).alias("record"))
     # The text sink writes the bytes as they are, with the blank lines that end a record.
-    lines = records.select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_IN_FILE).text(folder)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(fields in lower case, block) of every record of one archive; a record that does not end is left out."""
-    at = 0
-    while True:
-        while data[at : at + 1] in (b"\r", b"\n"):
-            at += 1
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+    lines = records.select("n_bytes", F.col("record").cast("string").alias("value"))
+    largest = pages.agg(F.max(F.octet_length(F.col(payload_col).cast("binary")))).first()[0] or 0
+    low = -1
+    for n, (high, together) in enumerate(SIZES):
+        part = lines.where((F.col("n_bytes") > low) & (F.col("n_bytes") <= high)).select("value")
+        if low < largest:
+            part.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", together).text(f"{folder}/{n}")
+        low = high
+
+
+class _Unpacked(io.RawIOBase):
+    """Decompressed bytes, up to where the compressed ones are cut or broken."""
+
+    def __init__(self, data: bytes):
+        self.members = gzip.GzipFile(fileobj=io.BytesIO(data))
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        try:
+            got = self.members.read1(len(out))
+        except (EOFError, gzip.BadGzipFile, zlib.error):
+            return 0
+        out[: len(got)] = got
+        return len(got)
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """(fields in lower case, each with all its values; block) of every record of an archive, which
+    may be compressed. Records are decompressed one by one. Reading ends at a record that does not
+    end, and where the compressed data are cut or broken."""
+    stream = io.BufferedReader(_Unpacked(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while line := stream.readline():
+        if line in (b"\r\n", b"\n"):
+            continue
+        if not line.startswith(b"WARC/"):
             return
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields.get("content-length", 0))
-        block = data[end + 4 : end + 4 + size]
+        fields: dict[str, list[str]] = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line.endswith(b"\n"):
+                return
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields.setdefault(name.strip().lower(), []).append(value.strip())
+        size = int(fields.get("content-length", ["0"])[0])
+        block = stream.read(size)
         if len(block) < size:
             return
         yield fields, block
-        at = end + 4 + size
 
 
-RECORD = "record_id string, type string, concurrent_to string, url string, date string, digest string, http string, payload binary"
+RECORD = "record_id string, type string, concurrent_to array<string>, url string, date string, digest string, http string, payload binary"
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,15 +171,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         names = [x.split()[0] for x in RECORD.split(", ")]
         for frame in frames:
             for content in frame["content"]:
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
                 rows, size = [], 0
-                for fields, block in parse(data):
-                    head, http = None, fields.get("content-type", "").startswith("application/http")
+                for fields, block in parse(content):
+                    one = lambda k, fields=fields: fields.get(k, [None])[0]
+                    head, http = None, (one("content-type") or "").startswith("application/http")
                     if http:
                         head, _, block = block.partition(b"\r\n\r\n")
                     rows.append((
-                        fields.get("warc-record-id", "").strip("<>"), fields.get("warc-type"), fields.get("warc-concurrent-to", "").strip("<>") or None,
-                        fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+                        (one("warc-record-id") or "").strip("<>"), one("warc-type"),
+                        [v.strip("<>") for v in fields.get("warc-concurrent-to", [])],
+                        one("warc-target-uri"), one("warc-date"), (one("warc-payload-digest") or "").removeprefix("sha1:") or None,
                         head.decode("utf-8", "replace") if head is not None else None, block,
                     ))
                     size += len(block)
@@ -149,32 +190,35 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("content")
     return files.mapInPandas(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: capture_id, principal (a struct), requests and metadata (arrays of them).
 
-    ``records`` has record_id, type and concurrent_to; its other columns go into the structs. A
-    record belongs to the principal (response, revisit or resource) that it names, that what it
-    names names, or that names it. Records without one are captures of their own, without a
-    principal. Only names take part in finding captures; a record then moves once.
+    ``records`` has record_id, type and concurrent_to (an array); its other columns go into the
+    structs. Records that names connect, over any number of steps and in either direction, are one
+    capture, also by way of a record that is not there. Its principal is the response, revisit or
+    resource of the least id, which is capture_id too; without one it is the least id. What is no
+    request and not the principal is in ``metadata``. Only names take part in finding captures; a
+    record then moves once.
     """
-    names = records.select("record_id", "type", "concurrent_to")
-    principal = F.col("type").isin(*PRINCIPAL)
-    targets = names.select(F.col("record_id").alias("_to"), F.col("type").alias("to_type"), F.col("concurrent_to").alias("to_next"))
-    by_other = names.where(principal & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("_named")).agg(F.min("record_id").alias("by"))
-    others = records.where(~principal | F.col("type").isNull())
-    others = others.join(targets.dropDuplicates(["_to"]), F.col("concurrent_to") == F.col("_to"), "left").join(by_other, F.col("record_id") == F.col("_named"), "left")
-    to_principal = F.when(F.col("to_type").isin(*PRINCIPAL), F.col("concurrent_to"))
-    others = others.withColumn("capture_id", F.coalesce("by", to_principal, "to_next", "record_id"))
-    every = records.where(principal).withColumn("capture_id", F.col("record_id")).unionByName(others.drop("_to", "to_type", "to_next", "_named", "by"))
-    whole = F.struct(*records.columns)
-    return every.groupBy("capture_id").agg(
-        F.max(F.when(principal, whole)).alias("principal"),
-        F.collect_list(F.when(F.col("type") == "request", whole)).alias("requests"),
-        F.collect_list(F.when(F.coalesce(F.col("type"), F.lit("")).isin("request", *PRINCIPAL), None).otherwise(whole)).alias("metadata"),
+    named = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
+    root = graph.components(named).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    joined = records.join(root, F.col("record_id") == F.col("_node"), "left")
+    grouped = joined.groupBy(F.coalesce("_root", "record_id").alias("_root")).agg(
+        F.min(F.when(F.col("type").isin(*PRINCIPAL), F.col("record_id"))).alias("_main"),
+        F.min("record_id").alias("_least"),
+        F.collect_list(F.struct(*records.columns)).alias("_all"),
+    )
+    main = lambda r: F.coalesce(r["record_id"] == F.col("_main"), F.lit(False))
+    asks = lambda r: F.coalesce(r["type"] == "request", F.lit(False))
+    return grouped.select(
+        F.coalesce("_main", "_least").alias("capture_id"),
+        F.get(F.filter("_all", main), F.lit(0)).alias("principal"),
+        F.filter("_all", lambda r: asks(r) & ~main(r)).alias("requests"),
+        F.filter("_all", lambda r: ~asks(r) & ~main(r)).alias("metadata"),
     )
 
 
@@ -201,7 +245,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.when(F.col("type") == "metadata", F.regexp_extract(said, r"(?m)^page-id: (-?\d+)", 1)).alias("page"),
         F.when(F.col("type") == "metadata", F.regexp_extract(said, r"(?m)^refers-to-page-id: (-?\d+)", 1)).alias("refers"),
     )
-    captures = cut_lineage(assemble(light))
+    captures = assemble(cut_lineage(light))  # archives are read once
     kind = pages.schema["page_id"].dataType.simpleString()
     meta = F.get("metadata", 0)
     number = lambda c: F.nullif(c, F.lit("")).cast(kind)

@@ -201,17 +201,50 @@ def test_round_trip(spark, tmp_path):
     assert sorted(got, key=key) == sorted(want, key=key)
     folder = str(tmp_path / "w")
     warc.write(pages, folder)
-    records = [f for p in sorted((tmp_path / "w").glob("part-*")) for f, _ in warc.parse(gzip.decompress(p.read_bytes()))]
+    records = [f for p in sorted((tmp_path / "w").rglob("part-*")) for f, _ in warc.parse(p.read_bytes())]
     assert len(records) == 3 * len(rows)
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
 def test_assembly_follows_names_both_ways(spark):
-    rows = [("r1", "response", "q1"), ("q1", "request", None), ("m1", "metadata", "r1"), ("r2", "revisit", None), ("q2", "request", "r2"), ("m2", "metadata", "q2"), ("m3", "metadata", "gone"), ("i", "warcinfo", None)]
-    got = {r["capture_id"]: r for r in warc.assemble(spark.createDataFrame(rows, "record_id string, type string, concurrent_to string")).collect()}
-    names = {k: (r["principal"] and r["principal"]["record_id"], [x["record_id"] for x in r["requests"]], [x["record_id"] for x in r["metadata"]]) for k, r in got.items()}
-    assert names["r1"] == ("r1", ["q1"], ["m1"]) and names["r2"] == ("r2", ["q2"], ["m2"])
-    assert names["m3"] == (None, [], ["m3"]) and names["i"][2] == ["i"]
+    rows = [
+        ("r1", "response", ["q1"]), ("q1", "request", []), ("m1", "metadata", ["r1"]), ("r2", "revisit", None), ("q2", "request", ["r2"]),
+        ("m2", "metadata", ["q2"]), ("m3", "metadata", ["gone"]), ("i", "warcinfo", []), ("a3", "metadata", ["m4"]), ("m4", "metadata", ["q4"]),
+        ("q4", "request", ["r4"]), ("r4", "response", []), ("m5", "metadata", ["r1", "q1"]), ("q5", "request", ["x", "r5"]), ("r5", "resource", None),
+        ("n", None, ["r5"]),
+    ]
+    df = spark.createDataFrame(rows, "record_id string, type string, concurrent_to array<string>")
+    names = {
+        r["capture_id"]: (r["principal"] and r["principal"]["record_id"], sorted(x["record_id"] for x in r["requests"]), sorted(x["record_id"] for x in r["metadata"]))
+        for r in warc.assemble(df).collect()
+    }
+    assert names == {
+        "r1": ("r1", ["q1"], ["m1", "m5"]), "r2": ("r2", ["q2"], ["m2"]), "m3": (None, [], ["m3"]), "i": (None, [], ["i"]),
+        "r4": ("r4", ["q4"], ["a3", "m4"]), "r5": ("r5", ["q5"], ["n"]),
+    }
+
+
+def test_archives_of_large_pages(spark, tmp_path):
+    """Several MB a page: few records a file, so that no task reads much at once."""
+    rows = [(i, f"http://h/{i}", ("é%d " % (i % 9)) * 900_000) for i in range(20)] + [(100 + i, None, "small") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write(pages, str(tmp_path / "w"))
+    sizes = {str(p): sum(len(b) for _, b in warc.parse(p.read_bytes())) for p in (tmp_path / "w").rglob("part-*")}
+    assert max(sizes.values()) < 64 << 20 and len(sizes) >= 10
+    got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    assert len(got) == 70
+    for i, _, html in rows:
+        assert got[i]["payload_bytes"] == len(html.encode())
+        assert got[i]["refers_to"] == (i % 9 if 9 <= i < 20 else 100 if i > 100 else None)
+
+
+def test_fields_that_repeat(spark, tmp_path):
+    record = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <m>\r\nWARC-Concurrent-To: <a>\r\nwarc-concurrent-to: <b>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    (tmp_path / "part-0").write_bytes(gzip.compress(record) + gzip.compress(record.replace(b"<m>", b"<n>")) + record[:40])
+    (tmp_path / "part-1").write_bytes(record + record[:-6])
+    got = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(r["record_id"] for r in got) == ["m", "m", "n"]
+    assert all(r["concurrent_to"] == ["a", "b"] and bytes(r["payload"]) == b"hi" for r in got)
 
 
 def test_archives_of_the_table(spark):
