@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +17,16 @@ def map_rows(df: DataFrame, draw: Callable[[dict], dict | None], schema: str) ->
 
     Batches are cut by bytes, not rows: a task holds a few rasters however large they are.
     """
+
+    def some(row: dict) -> list[dict]:
+        made = draw(row)
+        return [] if made is None else [made]
+
+    return map_rows_many(df, some, schema)
+
+
+def map_rows_many(df: DataFrame, draw: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
+    """Any number of output rows per input row."""
     fields = [part.split() for part in schema.split(", ")]
     layout = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
 
@@ -28,14 +38,12 @@ def map_rows(df: DataFrame, draw: Callable[[dict], dict | None], schema: str) ->
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 for row in batch.slice(start, ROWS_AT_ONCE).to_pylist():
-                    made = draw(row)
-                    if made is None:
-                        continue
-                    held.append(made)
-                    weight += sum(len(v) for v in made.values() if isinstance(v, bytes))
-                    if weight >= FLUSH_BYTES:
-                        yield flush(held)
-                        held, weight = [], 0
+                    for made in draw(row):
+                        held.append(made)
+                        weight += sum(len(v) for v in made.values() if isinstance(v, bytes))
+                        if weight >= FLUSH_BYTES:
+                            yield flush(held)
+                            held, weight = [], 0
         if held:
             yield flush(held)
 

@@ -8,6 +8,8 @@ rows until they meet their source.
   pixels move once.
 * A target with several patches: each patch meets its source, is resized there, and only the
   resized rectangles travel to the target, where they are blended in order.
+* A target that is too large for one row once it is upscaled is drawn in bands of rows, see
+  :func:`composite_bands`.
 
 Source rasters are broadcast if they were measured to fit; otherwise the join is salted, so
 a source that serves a large share of all patches is spread over tasks. Either way a source
@@ -24,14 +26,19 @@ from pyspark.sql import functions as F
 
 from ringloom.functions.geometry import region_bounds
 from ringloom.operators import raster_kernel as kernel
+from ringloom.operators import raster_view as views
 from ringloom.operators import sizing
-from ringloom.operators.rows import map_rows
+from ringloom.operators.rows import map_rows, map_rows_many
 
 PARAMETERS = ["scale", "alpha", "overlay_scale", "keep_aspect", "fast_overlay_size"]
 PATCHES_PER_SALT = 20_000
 DRAWN_BYTES = 64 << 20
 RASTERS = "target string, w int, h int, data binary"
 DRAWN = "target string, ord bigint, xs int, ys int, ws int, hs int, alpha double, pixels binary"
+BAND_BYTES = 16 << 20
+BASE_BANDS = "target string, band int, w int, h int, y int, rows int, scale int, skip int, data binary"
+DRAWN_BANDS = "target string, band int, ord bigint, xs int, ys int, ws int, hs int, alpha double, pixels binary"
+BANDS = "target string, w int, h int, y int, data binary"
 VERSIONS = "overlay string, size int, sw int, sh int, sdata binary"
 
 
@@ -173,12 +180,13 @@ def map_patches(
     keep_aspect: bool,
     max_broadcast_bytes: int | None = None,
     patches_per_salt: int = PATCHES_PER_SALT,
+    tie: tuple[str, ...] = ("target", "ord"),
 ) -> DataFrame:
     """``draw`` over all patches, each with its source at hand.
 
     Sources measured to fit are broadcast to the tasks and the patches stay where they are.
     Otherwise patches and sources meet in a salted join; rows of one (source, salt) follow
-    each other and only the first carries the source's pixels into Python.
+    each other and only the first carries the source's pixels into Python. ``tie`` tells rows apart.
     """
     sized = patches.withColumn("size", _fixed_size())
     versions = source_versions(patches, sources, keep_aspect)
@@ -190,8 +198,8 @@ def map_patches(
         )
         painter = Painter(lambda row: shared.value.get((row["overlay"], row["size"])))
         return map_rows(sized, lambda row: draw(row, painter), schema)
-    many, one = sizing.salt_hot_keys(sized, versions, "overlay", ["target", "ord"], patches_per_salt)
-    runs = Window.partitionBy("overlay", "salt", "size").orderBy("target", "ord")
+    many, one = sizing.salt_hot_keys(sized, versions, "overlay", list(tie), patches_per_salt)
+    runs = Window.partitionBy("overlay", "salt", "size").orderBy(*tie)
     met = many.join(one, ["overlay", "salt", "size"], "left").withColumn("_nth", F.row_number().over(runs))
     first_only = met.withColumn("sdata", F.when(F.col("_nth") == 1, F.col("sdata"))).drop("_nth")
     painter = Painter(LastSource())
@@ -268,6 +276,83 @@ def composite_patches(
     return map_rows(_with_layers(base, patches, sources, keep_aspect, **sizes), _finish_layers, RASTERS)
 
 
+# Large images -------------------------------------------------------------------------------
+
+
+def _bands(row: dict, band_bytes: int) -> list[dict]:
+    """A target cut into bands of output rows, each with the input rows that it shows."""
+    img, scale = kernel.unpack(row["data"], row["w"], row["h"]), row["scale"]
+    wide, high = row["w"] * scale, row["h"] * scale
+    step = rows_in_band(wide, band_bytes)
+    made = []
+    for n, y in enumerate(range(0, high, step)):
+        stop = min(high, y + step)
+        first, last = y // scale, -(-stop // scale)
+        band = {"target": row["target"], "band": n, "w": wide, "h": high, "y": y, "rows": stop - y}
+        made.append({**band, "scale": scale, "skip": y - first * scale, "data": img[first:last].tobytes()})
+    return made
+
+
+def rows_in_band(width: int, band_bytes: int) -> int:
+    return max(1, band_bytes // (4 * width))
+
+
+def _draw_window(row: dict, painter: Painter) -> dict | None:
+    """The part of a patch inside one band, made without the rest of the patch."""
+    found = painter.find(row)
+    if found is None:
+        return None
+    width, height, data = found
+    how = [row[c] for c in ("ws", "hs", "flip", "rotate", "keep_aspect", "overlay_scale")]
+    top, stop = max(row["ys"], row["y"]), min(row["ys"] + row["hs"], row["y"] + row["rows"])
+    box = views.Box(0, top - row["ys"], row["ws"], stop - row["ys"])
+    pixels = views.region_patch(kernel.unpack(data, width, height), *how).window(box)
+    kept = {c: row[c] for c in ("target", "band", "ord", "xs", "ws", "alpha")}
+    return {**kept, "ys": top - row["y"], "hs": stop - top, "pixels": pixels.tobytes()}
+
+
+def _finish_band(row: dict) -> dict:
+    scale, wide = row["scale"], row["w"]
+    shown = kernel.unpack(row["data"], wide // scale, len(row["data"]) * scale // (4 * wide))
+    img = np.ascontiguousarray(kernel.upscale(shown, scale)[row["skip"] : row["skip"] + row["rows"]])
+    _blend_layers(img, row["layers"])
+    return {**{c: row[c] for c in ("target", "w", "h", "y")}, "data": img.tobytes()}
+
+
+def composite_bands(
+    targets: DataFrame,
+    patches: DataFrame,
+    sources: DataFrame,
+    keep_aspect: bool = False,
+    band_bytes: int = BAND_BYTES,
+    **sizes,
+) -> DataFrame:
+    """Output rasters as bands ``(target, w, h, y, data)`` of up to ``band_bytes``, for images too large
+    to be one row once they are upscaled.
+
+    A patch becomes a row for each band it touches; there only the rows of it that lie in the band
+    are drawn, so neither the image nor a patch is ever whole. Bands are folded apart from each other.
+    The rasters are those of :func:`composite_patches`.
+    """
+    base = map_rows_many(
+        targets.select("target", "w", "h", "data", "scale"), lambda row: _bands(row, band_bytes), BASE_BANDS
+    )
+    width = targets.select("target", (F.col("w") * F.col("scale")).alias("_wide"), (F.col("h") * F.col("scale")).alias("_high"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(band_bytes) / (F.lit(4) * F.col("_wide"))).cast("int"))
+    cut = patches.join(width, "target").withColumn("_step", step).where("ws > 0 AND hs > 0")
+    first = F.floor(F.col("ys") / F.col("_step")).cast("int")
+    last = F.floor((F.least(F.col("ys") + F.col("hs"), F.col("_high")) - 1) / F.col("_step")).cast("int")
+    cut = cut.withColumn("band", F.explode(F.sequence(first, last)))
+    cut = cut.withColumn("y", F.col("band") * F.col("_step")).withColumn("rows", F.least(F.col("_step"), F.col("_high") - F.col("y")))
+    drawn = map_patches(
+        cut.drop("_wide", "_high", "_step"), sources, _draw_window, DRAWN_BANDS, keep_aspect, tie=("target", "ord", "band"), **sizes
+    )
+    layers = drawn.groupBy("target", "band").agg(
+        F.collect_list(F.struct("ord", "xs", "ys", "ws", "hs", "alpha", "pixels")).alias("layers")
+    )
+    return map_rows(base.join(layers, ["target", "band"], "left"), _finish_band, BANDS)
+
+
 def thumbnails(targets: DataFrame, patches: DataFrame, sources: DataFrame, **sizes) -> DataFrame:
     """Preview squares.
 

@@ -195,6 +195,22 @@ def _checksums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["target", "w", "h", "r", "g", "b", "a"])
 
 
+def _band_checksums(bands: DataFrame) -> DataFrame:
+    """The same sums from the bands of each output raster."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                img = np.frombuffer(row.data, np.uint8).reshape(-1, row.w, 4).astype(np.int64)
+                at = np.arange(1, img.shape[0] * row.w + 1).reshape(-1, row.w) + row.y * row.w
+                rows.append((row.target, row.w, row.h, *(int((img[..., c] * at).sum()) for c in range(4))))
+            yield pd.DataFrame(rows, columns=["target", "w", "h", "r", "g", "b", "a"])
+
+    parts = bands.mapInPandas(partial, "target string, w int, h int, r bigint, g bigint, b bigint, a bigint")
+    return parts.groupBy("target", "w", "h").agg(*[F.sum(c).alias(c) for c in "rgba"])
+
+
 def checksums(rasters: DataFrame) -> DataFrame:
     """Position-weighted channel sums of each output raster."""
     return rasters.mapInPandas(
@@ -228,8 +244,8 @@ REGIONS = (
 )
 
 
-def bulk_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every image is an entity texture: four regions, each with its own source."""
+def _entity_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every image as an entity texture: four regions, each with its own source."""
     targets = _with_parameters(_labels(spark, sf_dir)).selectExpr("*", "concat('t', img) AS target", "concat('t', img) AS texture")
     names = ("region_ord", "name", "x", "y", "width", "height", "flip", "rotate")
     regions = ", ".join(
@@ -241,10 +257,21 @@ def bulk_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = targets.join(_rasters(spark, sf_dir).withColumnRenamed("vec_id", "img"), "img").selectExpr(
         "*", "false AS has_anim", "8 AS tex_w", "8 AS tex_h"
     )
-    patches = compose.entity_patches(images.drop("data"), faces)
+    return images, compose.entity_patches(images.drop("data"), faces)
+
+
+def bulk_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images, patches = _entity_images(spark, sf_dir)
     return checksums(compose.composite_patches(images, patches, _sources(spark, sf_dir)))
 
 
+def banded_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in bands of three rows: the way of images too large for one row."""
+    images, patches = _entity_images(spark, sf_dir)
+    bands = compose.composite_bands(images, patches, _sources(spark, sf_dir), band_bytes=3 * 4 * 16)
+    return _band_checksums(bands)
+
+
 def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews of the first fifty images in priority order; the limit comes before the pixels."""
     listed = _assigned(spark, sf_dir).selectExpr("img", "overlay", "rel AS target")
@@ -273,6 +300,7 @@ QUERIES = {
     "frame_strip_blend": frame_strip_blend,
     "bulk_composite": bulk_composite,
     "bulk_regions": bulk_regions,
+    "banded_regions": banded_regions,
     "thumbnails": thumbnails,
 }
 
@@ -514,3 +542,4 @@ ORACLE = {
         + _checksum_sql(_blend_sql(_THUMB_BASE, _THUMB_OVER, ALPHA))
     ),
 }
+ORACLE["banded_regions"] = ORACLE["bulk_regions"]
