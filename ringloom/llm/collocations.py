@@ -47,6 +47,7 @@ LEAST_BITS, MOST_BITS = 20, 27  # of a bitmap, as powers of two
 WORDS_PER_BUCKET = 8
 TOP_SALTS = 64
 RADIX = 512
+BLOCK = 4096  # phrases whose counts travel in one row
 FIRST_SALT = 0
 
 END = b"\xff"  # is in no UTF-8 text: it ends one
@@ -384,8 +385,9 @@ def build_trie(phrases: np.ndarray) -> Trie:
     return Trie(numbers, base.astype(np.int32), check.astype(np.int32), accepts, phrases)
 
 
-def count_phrases(numbered: DataFrame, phrases: DataFrame, round_phrases: int) -> DataFrame:
-    """(phrase, f) of ``phrases`` (phrase), a trie of at most about ``round_phrases`` a round."""
+def count_phrases(numbered: DataFrame, phrases: DataFrame, least: int, round_phrases: int) -> DataFrame:
+    """(phrase, f) of those ``phrases`` (phrase) that occur ``least`` times or more; a trie of at most about
+    ``round_phrases`` a round."""
     spark = numbered.sparkSession
     rounds = max(1, -(-phrases.count() // round_phrases))
     counted = None
@@ -396,20 +398,55 @@ def count_phrases(numbered: DataFrame, phrases: DataFrame, round_phrases: int) -
         flat = rows.flatten().to_numpy(zero_copy_only=False)
         shared = spark.sparkContext.broadcast(build_trie(flat.reshape(len(rows), -1)))
 
-        def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trie = shared.value
-            hits = np.zeros(len(trie.phrases), np.int64)
-            for batch in batches:
-                for numbers, codes in _shards_of(batch):
-                    hits += trie.count(numbers, codes)
-            some = np.flatnonzero(hits)
-            yield pa.record_batch({"phrase": _array_of(trie.phrases[some]), "f": hits[some]})
-
-        made = numbered.mapInArrow(found, "phrase array<long>, f long")
-        counted = made if counted is None else counted.unionByName(made)
+        made = numbered.mapInArrow(_count(shared), "block int, hits binary").repartition("block").sortWithinPartitions("block")
+        summed = made.mapInArrow(_sum(shared, least), "phrase array<long>, f long")
+        counted = summed if counted is None else counted.unionByName(summed)
     if counted is None:
         return spark.createDataFrame([], "phrase array<long>, f long")
-    return counted.groupBy("phrase").agg(F.sum("f").alias("f"))
+    return counted
+
+
+def _count(shared):
+    """Counts of a task's shards, as rows (block, hits) for ``BLOCK`` phrases each."""
+
+    def count_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, hits = shared.value, None
+        for batch in batches:
+            for numbers, codes in _shards_of(batch):
+                counts = trie.count(numbers, codes)
+                hits = counts if hits is None else hits + counts
+        if hits is not None:
+            blocks = range(0, len(hits), BLOCK)
+            packed = [hits[b : b + BLOCK].astype(np.int64).tobytes() for b in blocks]
+            yield pa.record_batch({"block": pa.array([b // BLOCK for b in blocks], pa.int32()), "hits": packed})
+
+    return count_
+
+
+def _sum(shared, least: int):
+    """(phrase, f) of the phrases with ``least`` occurrences or more, from the rows of each block, which
+    come one after the other. One block's sums are all that is held."""
+
+    def sum_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, now, sums = shared.value.phrases, None, None
+
+        def often() -> pa.RecordBatch:
+            some = np.flatnonzero(sums >= least)
+            return pa.record_batch({"phrase": _array_of(phrases[now * BLOCK + some]), "f": sums[some]})
+
+        for batch in batches:
+            for block, hits in zip(batch.column("block").to_pylist(), batch.column("hits"), strict=True):
+                hits = np.frombuffer(hits.as_buffer(), np.int64)
+                if block == now:
+                    sums += hits
+                    continue
+                if now is not None:
+                    yield often()
+                now, sums = block, hits.copy()
+        if now is not None:
+            yield often()
+
+    return sum_
 
 
 # Phrases --------------------------------------------------------------------------------
@@ -497,7 +534,7 @@ def frequent_phrases(
     for k in range(2, longest + 1):
         often = spark.sparkContext.broadcast(frequent_buckets(numbered, k, least, bits, parts))
         tried = cut_lineage(candidates(numbered, k, bits, parts, often))
-        level = cut_lineage(count_phrases(numbered, tried, round_phrases).where(F.col("f") >= least))
+        level = cut_lineage(count_phrases(numbered, tried, least, round_phrases))
         counts = counts.unionByName(level)
         if k < longest:
             parts = spark.sparkContext.broadcast(bitmap_of(level, k, bits))

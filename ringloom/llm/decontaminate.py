@@ -59,7 +59,7 @@ def _equal(grams: str, words_: str = "w") -> Column:
 
 def _scan(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, max_broadcast_bytes: int) -> DataFrame:
     """(doc_id, key, n_words, first, start, len, grams): the first row of every document and every
-    place where n-grams stand.
+    place where n-grams stand; where only their hash does, grams is empty.
 
     The n-grams are broadcast if, counted, they fit ``max_broadcast_bytes``: one scan, no shuffle.
     Otherwise hashes of places meet those of windows in a shuffle, without texts, and only documents
@@ -75,9 +75,9 @@ def _scan(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, max_b
     found = ["doc_id", "key", "n_words", "first", "start", "len"]
     if sum(r["b"] for r in sizes) <= max_broadcast_bytes:
         met = _starts(rows, lengths).join(F.broadcast(by_hash), "h", "left")
+        # This condition alone: with one on the words beside it, words would be copied for every place.
         met = met.where(F.col("first") | F.col("grams").isNotNull())
-        met = met.select(*found, F.when(F.col("grams").isNotNull(), _equal("grams")).otherwise(none).alias("grams"))
-        return met.where(F.col("first") | (F.size("grams") > 0))
+        return met.select(*found, F.when(F.col("grams").isNotNull(), _equal("grams")).otherwise(none).alias("grams"))
     plain = rows.select("doc_id", "key", "n_words", F.lit(True).alias("first"), F.lit(0).alias("start"), F.lit(0).alias("len"), none.alias("grams"))
     places = _starts(rows, lengths).select("doc_id", "key", "start", "len", "h").distinct()
     met = cut_lineage(places.join(by_hash, "h").drop("h"))
