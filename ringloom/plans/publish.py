@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from ringloom.sources import files, store
 from ringloom.sources.catalog_json import parse_rules, read_catalogue
 from ringloom.sources.params import RunParameters, write_manifest
 
+LARGE_BYTES = 256 << 20  # of an upscaled image; a row may have 2 GB
+
 
 @dataclass(frozen=True)
 class Inputs:
@@ -82,6 +85,7 @@ def stage_inputs(
     rejects: str | None = None,
     done: DataFrame | None = None,
     listings: tuple[DataFrame, DataFrame] | None = None,
+    large_bytes: int = LARGE_BYTES,
 ) -> Inputs | None:
     """Decode and assign every image once.
 
@@ -125,6 +129,8 @@ def stage_inputs(
         "route",
         F.when(F.col("is_entity"), F.lit("regions")).when(F.col("frames") > 1, F.lit("frames")).otherwise(F.lit("single")),
     )
+    pixels = F.col("w").cast("bigint") * F.col("h") * F.col("scale") * F.col("scale")
+    routed = routed.withColumn("large", pixels * 4 > large_bytes)
     routed.write.partitionBy("route").parquet(f"{staging}/targets")
     decoded = {t: spark.read.parquet(f"{staging}/{t}") for t in ("sources", "targets")}
     account_for(params.overlay_dir, files.images_of(overlays), decoded["sources"].select("path"), rejects)
@@ -139,37 +145,59 @@ def stage_inputs(
     )
 
 
+def _strips(inputs: Inputs, params: RunParameters, strips: DataFrame) -> DataFrame:
+    """Patches of targets with several frames."""
+    framed = assign_frames(
+        strips.select("target", "rel", "w", "h", "frames", *compose.PARAMETERS), inputs.ring, params.seed, params.per_frame
+    )
+    return compose.regular_patches(framed)
+
+
+def _entities(inputs: Inputs, entities: DataFrame) -> DataFrame | None:
+    """Patches of entity textures; none without a catalogue."""
+    if "x" not in inputs.faces.columns:
+        return None
+    columns = ("target", "texture", "w", "h", "has_anim", "tex_w", "tex_h", *compose.PARAMETERS)
+    return compose.entity_patches(entities.select(*columns), inputs.faces)
+
+
+def _named(drawn: DataFrame, params: RunParameters, *columns: str) -> DataFrame:
+    rel = files.relative_to(F.col("target"), files.plain_root(params.texture_dir))
+    return drawn.withColumn("rel", rel).select("target", "rel", *columns)
+
+
 def composite_inputs(inputs: Inputs, params: RunParameters) -> DataFrame:
-    """``(target, rel, w, h, data)`` of every staged target."""
-    knobs = compose.PARAMETERS
+    """``(target, rel, w, h, data)`` of every staged target that is not large."""
 
     def route(name: str) -> DataFrame:
-        return inputs.targets.filter(F.col("route") == name)
+        return inputs.targets.filter((F.col("route") == name) & ~F.col("large"))
 
+    keep = params.keep_aspect
     single = compose.composite_single(
-        compose.regular_patches(route("single").withColumn("frame", F.lit(0)), keep=("w", "h", "data")),
-        inputs.sources,
-        params.keep_aspect,
-    )
-    strips = route("frames")
-    framed = assign_frames(
-        strips.select("target", "rel", "w", "h", "frames", *knobs), inputs.ring, params.seed, params.per_frame
+        compose.regular_patches(route("single").withColumn("frame", F.lit(0)), keep=("w", "h", "data")), inputs.sources, keep
     )
-    animated = compose.composite_patches(
-        strips, compose.regular_patches(framed), inputs.sources, params.keep_aspect
-    )
-    drawn = single.unionByName(animated)
-    if "x" in inputs.faces.columns:
-        entities = route("regions")
-        patches = compose.entity_patches(
-            entities.select("target", "texture", "w", "h", "has_anim", "tex_w", "tex_h", *knobs), inputs.faces
-        )
-        drawn = drawn.unionByName(
-            compose.composite_patches(entities, patches, inputs.sources, params.keep_aspect)
-        )
-    return drawn.withColumn(
-        "rel", files.relative_to(F.col("target"), files.plain_root(params.texture_dir))
-    ).select("target", "rel", "w", "h", "data")
+    strips, entities = route("frames"), route("regions")
+    drawn = single.unionByName(compose.composite_patches(strips, _strips(inputs, params, strips), inputs.sources, keep))
+    patches = _entities(inputs, entities)
+    if patches is not None:
+        drawn = drawn.unionByName(compose.composite_patches(entities, patches, inputs.sources, keep))
+    return _named(drawn, params, "w", "h", "data")
+
+
+def composite_large(inputs: Inputs, params: RunParameters, band_bytes: int = compose.BAND_BYTES) -> DataFrame:
+    """``(target, rel, w, h, y, data)``: bands of the targets that are large once upscaled."""
+    large = inputs.targets.filter("large")
+
+    def route(name: str) -> DataFrame:
+        return large.filter(F.col("route") == name)
+
+    patches = compose.regular_patches(route("single").withColumn("frame", F.lit(0)))
+    patches = patches.unionByName(_strips(inputs, params, route("frames")))
+    of_entities = _entities(inputs, route("regions"))
+    if of_entities is not None:
+        patches = patches.unionByName(of_entities)
+    bands = compose.composite_bands(large, patches, inputs.sources, params.keep_aspect, band_bytes)
+    return _named(bands, params, "w", "h", "y", "data")
 
 
 def publish(
@@ -179,10 +207,13 @@ def publish(
     png: bool = False,
     staging: str | None = None,
     skip_undecodable: bool = False,
+    large_bytes: int = LARGE_BYTES,
+    band_bytes: int = compose.BAND_BYTES,
 ) -> None:
     """Composite all targets into ``output_dir``.
 
-    Rasters go to ``output_dir/rasters`` as Parquet, the manifest to ``output_dir/manifest``.
+    Rasters go to ``output_dir/rasters`` as Parquet, the manifest to ``output_dir/manifest``. Targets of
+    more than ``large_bytes`` once upscaled go to ``output_dir/bands`` instead, as bands of rows.
     Without ``overwrite`` targets already drawn there are not worked on again. A staging folder
     that the run made itself is removed at its end.
     With ``png`` the images are also written as PNG files below ``output_dir/tree``, in whatever store
@@ -198,14 +229,22 @@ def publish(
     output = params.output_dir.rstrip("/")
     rejects = f"{output}/rejects" if skip_undecodable else None
     folder, done = staging or staging_folder(spark), None
-    if not overwrite and files.folder_exists(spark, f"{output}/rasters"):
-        done = spark.read.parquet(f"{output}/rasters").select("rel").distinct()
-    inputs = stage_inputs(spark, params, folder, rejects, done, listings)
+    there = [f for f in ("rasters", "bands") if files.folder_exists(spark, f"{output}/{f}")]
+    if overwrite:
+        if "bands" in there:
+            files.remove_folder(spark, f"{output}/bands")
+    elif "rasters" in there:
+        done = reduce(DataFrame.unionByName, [spark.read.parquet(f"{output}/{f}").select("rel") for f in there]).distinct()
+    inputs = stage_inputs(spark, params, folder, rejects, done, listings, large_bytes)
     if inputs is not None:
         files.write_rasters(composite_inputs(inputs, params), f"{output}/rasters", overwrite)
+        if not inputs.targets.filter("large").isEmpty():
+            files.write_rasters(composite_large(inputs, params, band_bytes), f"{output}/bands", overwrite)
     if not staging:
         files.remove_folder(spark, folder)
     if png:
         files.write_pngs(spark.read.parquet(f"{output}/rasters"), f"{output}/tree")
+        if files.folder_exists(spark, f"{output}/bands"):
+            files.write_banded_pngs(spark.read.parquet(f"{output}/bands"), f"{output}/tree")
         files.copy_other_files(spark, params.texture_dir, f"{output}/tree", listings[1])
     write_manifest(spark, params, f"{output}/manifest")

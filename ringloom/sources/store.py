@@ -26,6 +26,7 @@ COPY_BYTES = 8 << 20
 PENDING = ".pending-"  # names that begin with a dot are nobody's files
 _WINNERS = "tasks"
 FILE_COLUMNS = "rel string, content binary, source string"
+_SINK_COLUMNS = f"{FILE_COLUMNS}, more boolean"
 
 
 @dataclass(frozen=True)
@@ -133,10 +134,10 @@ class TaskDone(WriterCommitMessage):
 
 
 class FileSink(DataSource):
-    """Spark sink of files: rows ``(rel, content, source)``, one file each.
+    """Spark sink of files: rows ``(rel, content, source, more)``, one file each.
 
     ``content`` is written; where it is null the file at ``source`` (below the option ``from``) is
-    copied in pieces. Every task attempt writes to a folder of its own below ``path``. The commit
+    copied in pieces. A row with ``more`` goes on with the file of the row before it. Every task attempt writes to a folder of its own below ``path``. The commit
     names the attempts that count; a failed job leaves nothing.
     """
 
@@ -145,7 +146,7 @@ class FileSink(DataSource):
         return "ringloom_files"
 
     def schema(self) -> str:
-        return FILE_COLUMNS
+        return _SINK_COLUMNS
 
     def writer(self, schema, overwrite: bool) -> FileWriter:
         return FileWriter(Store(self.options["path"]), Store(self.options.get("from", self.options["path"])))
@@ -156,14 +157,19 @@ class FileWriter(DataSourceWriter):
         self.store, self.origin = store, origin
 
     def write(self, iterator: Iterator[Row]) -> TaskDone:
-        folder = uuid.uuid4().hex
+        folder, out = uuid.uuid4().hex, None
         try:
             for row in iterator:
-                name = f"{folder}/{row['rel']}"
-                if row["content"] is None:
-                    self.store.copy(name, self.origin, row["source"])
-                else:
-                    self.store.write(name, bytes(row["content"]))
+                if not row["more"]:
+                    out = out and out.close()
+                    name = f"{folder}/{row['rel']}"
+                    if row["content"] is None:
+                        self.store.copy(name, self.origin, row["source"])
+                        continue
+                    out = self.store.create(name)
+                out.write(bytes(row["content"]))
+            if out:
+                out.close()
         except BaseException:
             self.store.remove(folder)
             raise
@@ -183,15 +189,18 @@ def write_files(files: DataFrame, root: str, origin: str | None = None) -> None:
     First a job writes all of them aside, below ``root`` but under a name that begins with a dot. Only
     when every task is done a second job renames them into place, one task for a share of the
     names; a rename that is repeated does nothing, so a lost executor is no fault there. If the
-    first job fails, ``root`` is as it was. ``source`` names files below ``origin`` to be copied.
+    first job fails, ``root`` is as it was. ``source`` names files below ``origin`` to be copied. With a
+    column ``more`` a file may be several rows that follow each other in a partition.
     """
     spark = files.sparkSession
     if "source" not in files.columns:
         files = files.withColumn("source", F.lit(None).cast("string"))
+    if "more" not in files.columns:
+        files = files.withColumn("more", F.lit(False))
     pending = f"{PENDING}{uuid.uuid4().hex}"
     staging, store = f"{root.rstrip('/')}/{pending}", Store(root)
     spark.dataSource.register(FileSink)
-    sink = files.select("rel", "content", "source").write.format(FileSink.name()).mode("append")
+    sink = files.select("rel", "content", "source", "more").write.format(FileSink.name()).mode("append")
     try:
         sink.option("path", staging).option("from", origin or root).save()
         tasks = tuple(Store(staging).read(_WINNERS).decode().split())

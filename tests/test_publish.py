@@ -171,6 +171,25 @@ def test_publish_writes_images_copies_and_manifest(spark, folders, tmp_path):
     assert [r["rel"] for r in undecodable(spark, params.texture_dir).collect()] == ["broken.png"]
 
 
+def test_large_images_are_drawn_in_bands(spark, folders, tmp_path):
+    """Everything above some pixels counts as large: the same pixels come out, in files too."""
+    root, _ = folders
+    base = RunParameters(overlay_dir=str(root / "sources"), texture_dir=str(root / "targets"), entity_regions=str(root / "catalogue"),
+                         seed=5, scale=3, per_frame=True, fast_overlay_size=0, entity_face_mode="different")
+    runs = {}
+    for name, limit in (("whole", 1 << 30), ("bands", 800)):
+        params = RunParameters(**{**base.__dict__, "output_dir": str(tmp_path / name)})
+        publish(spark, params, png=True, skip_undecodable=True, large_bytes=limit, band_bytes=250)
+        tree = {str(p.relative_to(tmp_path / name)): p for p in (tmp_path / name / "tree").rglob("*") if p.is_file()}
+        runs[name] = ({r["rel"]: bytes(r["data"]) for r in files.read_rasters(spark, str(tmp_path / name / "tree")).collect()}, sorted(tree))
+    assert runs["whole"] == runs["bands"]
+    bands = spark.read.parquet(str(tmp_path / "bands/bands"))
+    assert bands.select("rel").distinct().count() >= 4 and spark.read.parquet(str(tmp_path / "bands/rasters")).count() >= 1
+    assert bands.groupBy("rel").count().agg({"count": "max"}).first()[0] > 5
+    publish(spark, params, overwrite=False, skip_undecodable=True, large_bytes=800)
+    assert spark.read.parquet(str(tmp_path / "bands/bands")).count() == bands.count()
+
+
 def test_empty_inputs_are_errors(spark, folders, tmp_path):
     root, _ = folders
     (tmp_path / "none").mkdir()
