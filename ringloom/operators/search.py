@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.functions.paths import file_name, lower_contains
-from ringloom.operators import sizing
+from ringloom.operators import matching, sizing
+
+CHAINED = 32  # patterns that are searched one by one
 
 # Preview priority, best first.
 PRIORITY_PATTERNS = (
@@ -82,6 +84,15 @@ def priority_score(path: Column, patterns: tuple[str, ...] = PRIORITY_PATTERNS)
     return F.lit(0) if chain is None else chain.otherwise(len(patterns))
 
 
+def with_priority(rows: DataFrame, path: str, patterns: tuple[str, ...] = PRIORITY_PATTERNS) -> DataFrame:
+    """``rows`` plus ``score``; a long list of patterns costs one pass of the path, not one each."""
+    if len(patterns) <= CHAINED:
+        return rows.withColumn("score", priority_score(F.col(path), patterns))
+    found = matching.with_hits(rows.withColumn("_lowered", F.lower(path)), "_lowered", list(patterns), "_first")
+    score = F.coalesce(F.get("_first", F.lit(0)), F.lit(len(patterns)))
+    return found.withColumn("score", score).drop("_lowered", "_first")
+
+
 def priority_top(
     assignments: DataFrame,
     order: str | list[str],
@@ -90,5 +101,5 @@ def priority_top(
 ) -> DataFrame:
     """The first ``count`` rows by (score, ``order``): per-task top-k, then one merge."""
     order = [order] if isinstance(order, str) else order
-    scored = assignments.withColumn("score", priority_score(F.col("target"), patterns))
+    scored = with_priority(assignments, "target", patterns)
     return scored.orderBy("score", *order).limit(count)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ringloom.functions.hashing import FACTOR, final_array, hash_state, literal_state
 from ringloom.functions.paths import normalise
-from ringloom.operators import sizing
+from ringloom.operators import matching, sizing
 from ringloom.operators.lineage import cut_lineage
 
 MAX_TASK_BYTES = 64 << 20
@@ -38,6 +38,7 @@ BLOCK_BYTES = 32 << 20
 BLOCK_ROW_BYTES = 16  # of a source in a block
 PROBE_ROW_BYTES = 8
 FIRST_TARGETS = 64
+CHAINED = 32  # texts that are searched one by one
 PAIRS_AT_ONCE = 1 << 20
 SORT_PAYS = 24  # targets for which sorting a block costs less than looking through it for each
 
@@ -51,17 +52,21 @@ def _units(text: str) -> Column:
     return F.expr(f"octet_length(encode({text}, 'UTF-16BE')) div 2")
 
 
+def _fitting(rows: DataFrame, text: str, filters: list[str], out: str) -> DataFrame:
+    """``rows`` plus the places in ``filters`` of those that the lower-cased column holds: a chain of
+    searches if they are few, else one pass for all of them."""
+    wanted = [_filter_text(f) for f in filters]
+    lowered = F.lower(normalise(F.col(text)))
+    if len(wanted) > CHAINED:
+        return matching.with_hits(rows.withColumn("_lowered", lowered), "_lowered", wanted, out).drop("_lowered")
+    hits = [F.when(F.contains(lowered, F.lit(w)), F.lit(i)) for i, w in enumerate(wanted)]
+    return rows.withColumn(out, F.filter(F.array(*hits), lambda c: c.isNotNull()))
+
+
 def constrained_targets(targets: DataFrame, constraints: list[tuple[str, str]]) -> DataFrame:
     """``(cid, rel)``: targets each constraint applies to; an empty filter takes all."""
-    lowered = F.lower(normalise(F.col("rel")))
-    hits = [
-        F.when(F.contains(lowered, F.lit(_filter_text(text))), F.lit(cid))
-        for cid, (text, _) in enumerate(constraints)
-    ]
-    return targets.select(
-        F.explode(F.filter(F.array(*hits), lambda c: c.isNotNull())).alias("cid"),
-        normalise(F.col("rel")).alias("rel"),
-    )
+    fitting = _fitting(targets.select("rel"), "rel", [text for text, _ in constraints], "cids")
+    return fitting.select(F.explode("cids").alias("cid"), normalise(F.col("rel")).alias("rel"))
 
 
 def _powers(units: np.ndarray) -> np.ndarray:
@@ -119,15 +124,14 @@ def _search_by_seed(
     seeds: range,
     partitions: int,
 ) -> DataFrame:
-    lowered = F.lower("rel")
-    flags = [F.contains(lowered, F.lit(_filter_text(text))).alias(f"q{i}") for i, (_, text) in enumerate(constraints)]
     tail = "concat(':overlay:', rel)"
-    ring = (
-        sources.orderBy("source").select(hash_state(tail).alias("tail"), _units(tail).alias("units"), *flags).toPandas()
-    )
+    held = _fitting(sources, "rel", [text for _, text in constraints], "cids").orderBy("source")
+    ring = held.select(hash_state(tail).alias("tail"), _units(tail).alias("units"), "cids").toPandas()
     suffix = "concat(':', rel)"
     probe = wanted.select("cid", hash_state(suffix).alias("tail"), _units(suffix).alias("units")).toPandas()
-    qualifies = np.stack([ring[f"q{i}"].to_numpy(bool) for i in range(len(constraints))])
+    qualifies = np.zeros((len(constraints), len(ring)), bool)
+    for row, cids in enumerate(ring["cids"]):
+        qualifies[cids, row] = True
     source_tail, source_power = ring["tail"].to_numpy(np.uint32), _powers(ring["units"].to_numpy())
     probes = []
     for cid in range(len(constraints)):
@@ -172,7 +176,7 @@ class Block:
 
 
 def _blocks(spark: SparkSession, sources: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
-    """Broadcast blocks of ``sources`` (rel, place, tail, units), of about ``block_bytes`` each."""
+    """Broadcast blocks of ``sources`` (place, tail, units), of about ``block_bytes`` each."""
     count = max(1, -(-sources.count() * BLOCK_ROW_BYTES // block_bytes))
     for n in range(count):
         rows = sources.where(F.pmod(F.xxhash64("place"), F.lit(count)) == n).toPandas()
@@ -286,11 +290,12 @@ def _search_in_blocks(
     block_bytes: int,
 ) -> DataFrame:
     tail, suffix = "concat(':overlay:', rel)", "concat(':', rel)"
-    placed = sources.repartitionByRange(partitions, "source").sortWithinPartitions("source")
+    held = _fitting(sources, "rel", [text for _, text in constraints], "cids")
+    placed = held.repartitionByRange(partitions, "source").sortWithinPartitions("source")
     # Numbers that rise from one partition to the next follow the order of paths.
     placed = cut_lineage(
         placed.select(
-            "rel", F.monotonically_increasing_id().alias("place"), hash_state(tail).alias("tail"), _units(tail).alias("units")
+            "cids", F.monotonically_increasing_id().alias("place"), hash_state(tail).alias("tail"), _units(tail).alias("units")
         )
     )
     probes = cut_lineage(wanted.select("cid", "rel", hash_state(suffix).alias("tail"), _units(suffix).alias("units")))
@@ -299,7 +304,7 @@ def _search_in_blocks(
         return spark.range(0).withColumnRenamed("id", "seed")
     alive = spark.range(seeds.start, seeds.stop, seeds.step, partitions).withColumnRenamed("id", "seed")
     for cid in sorted(counts, key=lambda c: counts[c]):
-        fits = F.contains(F.lower("rel"), F.lit(_filter_text(constraints[cid][1])))
+        fits = F.array_contains("cids", cid)
         own, rest = placed.where(fits), placed.where(~fits)
         if own.isEmpty():
             return spark.range(0).withColumnRenamed("id", "seed")

@@ -12,7 +12,9 @@ from ringloom.functions.paths import relative_to
 from ringloom.operators.assign import assign_entities, assign_frames, assign_targets, primary_overlays
 from ringloom.operators.classify import classification_totals, classify_targets
 from ringloom.operators.catalog import texture_owners
+from ringloom.operators.matching import with_hits
 from ringloom.operators.ring import prepare_ring
+from ringloom.operators.sizing import measure
 from ringloom.operators.search import of_kind, priority_top, reverse_lookup, text_filter
 from ringloom.plans.assign import build_assignments, preview_list, zip_faces
 from ringloom.plans.seed_search import BLOCK_ROW_BYTES, search_seeds
@@ -186,6 +188,19 @@ def seed_search_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_seeds(spark, sources, pages, SEARCH_CONSTRAINTS, SEARCH_SEEDS, max_task_bytes=0, block_bytes=third)
 
 
+def many_text_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's key as a text filter on the urls: how many meet, and the least of them."""
+    keys = table(spark, sf_dir, "customer", "c_custkey")
+    if not measure(keys).fits():
+        raise ValueError("more filters than one list may hold")
+    filters = [str(r[0]) for r in keys.orderBy("c_custkey").collect()]
+    found = with_hits(table(spark, sf_dir, "pages", "page_id", "url"), "url", filters)
+    first = spark.createDataFrame([(n, int(key)) for n, key in enumerate(filters)], "_nth int, least bigint")
+    return found.withColumn("_nth", F.get("hits", F.lit(0))).join(F.broadcast(first), "_nth", "left").select(
+        "page_id", F.size("hits").cast("bigint").alias("n_hits"), "least"
+    )
+
+
 def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths below their source's folder, or, for every fifth document, below another one."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source")
@@ -240,6 +255,7 @@ QUERIES = {
     "preview_list": preview,
     "seed_search": seed_search,
     "seed_search_blocked": seed_search_blocked,
+    "many_text_filters": many_text_filters,
     "ring_assign_shuffled": ring_assign_shuffled,
     "classify_suffix_shuffled": classify_suffix_shuffled,
     "full_assignment_shuffled": full_assignment_shuffled,
@@ -396,6 +412,10 @@ ORACLE = {
 ORACLE |= {f"{name}_shuffled": ORACLE[name] for name in ("ring_assign", "classify_suffix", "full_assignment", "text_filter")}
 ORACLE |= {
     "seed_search_blocked": ORACLE["seed_search"],
+    "many_text_filters": (
+        "SELECT page_id, count(c_custkey) AS n_hits, min(c_custkey) AS least "
+        "FROM pages LEFT JOIN customer ON contains(url, c_custkey::VARCHAR) GROUP BY page_id"
+    ),
     "relative_paths": (
         "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '/data/' || source || '/' || doc_id ELSE doc_id::VARCHAR END AS rel FROM documents"
     ),
