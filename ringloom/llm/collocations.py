@@ -269,18 +269,57 @@ def frequent_buckets(numbered: DataFrame, k: int, least: int, bits: int, parts)
 
 
 def candidates(numbered: DataFrame, k: int, bits: int, parts, often) -> DataFrame:
-    """(phrase): safe phrases of ``k`` words in buckets that are hit often."""
+    """(phrase): safe phrases of ``k`` words in buckets that are hit often, once each.
+
+    A shard's phrases travel as one row for each page of the bitmap.
+    """
+    page_bits = _page_bits(bits)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for numbers, codes in _shards_of(batch):
                 words = numbers[codes]
                 at = _safe(words, k, bits, parts.value)
-                at = at[_set(often.value, _buckets(words, at, k, bits))]
-                found = np.stack([words[at + j] for j in range(k)], axis=1)
-                yield pa.record_batch({"phrase": _array_of(np.unique(found, axis=0))})
+                bucket = _buckets(words, at, k, bits)
+                kept = _set(often.value, bucket)
+                at, page = at[kept], bucket[kept] >> page_bits
+                # Sorted by page, then by words: equal ones follow each other.
+                found = np.stack([page, *(words[at + j] for j in range(k))])
+                found = found[:, np.lexsort(found[::-1])]
+                new = np.append(True, (np.diff(found) != 0).any(axis=0)) if len(at) else np.zeros(0, bool)
+                found = found[:, new]
+                pages, first = np.unique(found[0], return_index=True)
+                blocks = [np.ascontiguousarray(b.T).tobytes() for b in np.split(found[1:], first[1:], axis=1)] if len(pages) else []
+                yield pa.record_batch({"page": pages.astype(np.int32), "block": pa.array(blocks, pa.binary())})
+
+    rows = numbered.mapInArrow(find, "page int, block binary").repartition("page").sortWithinPartitions("page")
+    return rows.mapInArrow(_distinct(k), "phrase array<long>")
+
 
-    return numbered.mapInArrow(find, "phrase array<long>").distinct()
+def _distinct(k: int):
+    """(phrase) of each page's phrases, once each, from rows that come one after the other. What is
+    held is the phrases of a page, of which there are at least 512."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+
+        def once() -> np.ndarray:
+            return np.unique(np.concatenate(held), axis=0)
+
+        for batch in batches:
+            for page, block in zip(batch.column("page").to_pylist(), batch.column("block"), strict=True):
+                if page != now:
+                    if held:
+                        yield pa.record_batch({"phrase": _array_of(once())})
+                    now, held, size = page, [], 0
+                held.append(np.frombuffer(block.as_buffer(), np.int64).reshape(-1, k))
+                if sum(map(len, held[1:])) > max(10_000, 3 * size):
+                    held = [once()]
+                    size = len(held[0])
+        if held:
+            yield pa.record_batch({"phrase": _array_of(once())})
+
+    return distinct
 
 
 def bitmap_of(phrases: DataFrame, k: int, bits: int) -> np.ndarray:
