@@ -42,7 +42,7 @@ LABELLED = [
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|svg|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
     r"|<[!?][^>]*>|</?[a-zA-Z][^<>]*\Z|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
@@ -52,7 +52,8 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # Names of the markup language, and words that class names and ids use.
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mspace semantics".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ASIDE = frozenset("head nav header footer aside form button dialog menu fieldset".split())
@@ -68,9 +69,27 @@ _ASIDE_WORDS = frozenset(
 )
 _ARTICLE_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 _MODIFIERS = frozenset("has with no without show".split())  # a class has-sidebar is of what stands beside one
+_STATES = frozenset("open closed enabled disabled on off visible active".split())  # comments-open is said of a post
+_AROUND = frozenset("wrap wrapper container row layout grid columns inner outer area".split())  # content-sidebar-wrap holds both
 _SECTIONS = frozenset("div section td table ul ol li dl p span blockquote center details".split())
 
 
+def _kind(name: str) -> str | None:
+    """What a class name or id says of its element. The last word that is known decides, as nouns do:
+    post-comments are comments. Names of what stands beside (has-sidebar), of a state (comments-open),
+    of what holds several things, or of an aside's content say both."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    known = [w for w in words if w in _ASIDE_WORDS or w in _ARTICLE_WORDS]
+    asides = [w for w in known if w in _ASIDE_WORDS]
+    if not known:
+        return None
+    if not asides:
+        return "main"
+    if not _MODIFIERS.isdisjoint(words[: words.index(asides[0])]) or words[-1] in _STATES or words[-1] in _AROUND:
+        return "both"
+    return "aside" if known[-1] in _ASIDE_WORDS else "both"
+
+
 def _place(tag: str, attributes: str) -> int:
     """1: opens an article; -1: opens what is not main text; 0: neither."""
     if tag in _ASIDE:
@@ -86,17 +105,11 @@ def _place(tag: str, attributes: str) -> int:
     if named and (tag in _SECTIONS or tag in _ARTICLE):
         said = _CAMEL.sub("-", f"{named.get('class', '')} {named.get('id', '')}").lower()
         main = tag == "main" or named.get("role", "").lower() in ("main", "article")
-        aside = beside = False
-        for name in said.split():
-            words = re.split(r"[^a-z]+", name)
-            main = main or not _ARTICLE_WORDS.isdisjoint(words)
-            for before, word in zip(["", *words], words):
-                if word in _ASIDE_WORDS:
-                    aside, beside = aside or before not in _MODIFIERS, beside or before in _MODIFIERS
-        if aside:  # words that name both kinds decide nothing
-            return 0 if main else -1
-        if main:
-            return 0 if beside and tag not in _ARTICLE else 1
+        kinds = {_kind(name) for name in said.split()}
+        if "aside" in kinds:  # names of both kinds beside each other decide nothing
+            return 0 if main or "main" in kinds else -1
+        if main or "main" in kinds:
+            return 0 if "both" in kinds and tag not in _ARTICLE else 1
     return 1 if tag in _ARTICLE else 0
 
 
@@ -221,8 +234,8 @@ def extract(pages: DataFrame, html_col: str = "html", name: str = "text", tree:
     """``pages`` with the main text of each whole page in a new column ``name``.
 
     A null or empty page has an empty text, and so has one without main text. Markup that does
-    not end is taken to end with the page. Repeated rows and other columns (but ``name``) pass
-    as they are.
+    not end is taken to end with the page. Pages may be of any length; a table without rows stays
+    one. Repeated rows and other columns (but ``name``) pass as they are.
     """
     grown = train_tree() if tree is None else tree
 

@@ -181,6 +181,35 @@ def test_tree_agrees_with_its_table():
 # -- archives
 
 
+
+@pytest.mark.parametrize("name", ["post-comments", "entry-comments", "article-comments", "entry-footer", "article-footer", "post-sidebar", "content-sidebar", "post-share"])
+@pytest.mark.parametrize("page", ["<article><p>{told}</p><div class='{name}'>{junk}</div></article>", "<div><p>{told}</p></div><div id='{name}'>{junk}</div>"])
+def test_the_last_word_of_a_name_decides(name, page):
+    told, junk = "the main text " * 20, "junk of many words " * 10
+    got = html_extract.main_text(page.format(told=told, name=name, junk=junk), html_extract.train_tree())
+    assert got == told.strip()
+
+
+@pytest.mark.parametrize("name", ["post comments-open", "content-sidebar-wrap", "content has-sidebar", "entry-content", "post no-comments", "widget-content"])
+def test_names_of_what_stands_beside_do_not_decide(name):
+    told = "the main text " * 20
+    got = html_extract.main_text(f"<div class='{name}'><p>{told}</p></div>", html_extract.train_tree())
+    assert got == told.strip()
+
+
+def test_formulas_and_fallbacks_are_kept():
+    told = "the main text " * 20
+    page = f"<article><p>{told}<math><mi>x</mi><mo>=</mo><mn>2</mn></math> and</p><object><p>{told}</p></object><canvas>drawn</canvas></article>"
+    assert html_extract.main_text(page, html_extract.train_tree()) == f"{told}x=2 and {told}drawn"
+
+
+def test_very_long_and_no_pages(spark):
+    long = "<article>" + "<p>word <b>more</b></p>" * 60_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")
+    assert html_extract.extract(pages).first()["text"] == " ".join(["word more"] * 60_000)
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
 def test_round_trip(spark, tmp_path):
     draw = random.Random(3)
     rows = [(i, f"http://h/{i} x", draw.choice([None, "", "same", prose(draw, 5) + "é\r\n\r\nWARC/1.1\r\n"])) for i in range(60)]
