@@ -409,7 +409,11 @@ def catalogue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue written as JSON documents and parsed back."""
     source = part_catalogue(spark, sf_dir)
     documents = entity_documents(source).select(F.concat("entity_id", F.lit(".json")).alias("file"), "value")
-    back = parse_catalogue(documents)
+    return catalogue_rows(parse_catalogue(documents))
+
+
+def catalogue_rows(back: Catalogue) -> DataFrame:
+    """Regions, textures and sizes of a catalogue as rows of one shape."""
     return (
         back.regions.select(F.lit("region").alias("kind"), "entity_id", "ord", "name")
         .unionByName(back.textures.select(F.lit("texture").alias("kind"), "entity_id", "ord", F.col("texture").alias("name")))

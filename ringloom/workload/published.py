@@ -7,13 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringloom.operators.catalog import Catalogue
 from ringloom.operators.lineage import shared_folder
 from ringloom.operators.rows import map_rows
 from ringloom.plans.publish import publish
 from ringloom.sources import files, store
+from ringloom.sources.catalog_json import read_models, read_written_catalogue, write_catalogue
 from ringloom.sources.params import RunParameters
 from ringloom.workload import rasters as r
-from ringloom.workload.tables import SEED, placed_sql, position_sql, ring_sql, table
+from ringloom.workload.catalogues import ORACLE as CATALOGUES
+from ringloom.workload.catalogues import catalogue_rows
+from ringloom.workload.tables import SEED, part_catalogue, placed_sql, position_sql, ring_sql, table
 
 SCALE = 2
 _SIDECAR_TEXT = '{"animation": {"frametime": 2}}'
@@ -72,7 +76,39 @@ def publish_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumnRenamed("target", "rel").join(copied, "rel", "full").select("rel", "w", "h", "r", "g", "b", "a", "sha")
 
 
-QUERIES = {"publish_round_trip": publish_round_trip}
+def _part_of(catalogue: Catalogue, kept: str, **sizes: str) -> Catalogue:
+    """The entities that ``kept`` names, with other sizes."""
+    entities = catalogue.entities.filter(kept).withColumns({c: F.expr(e).cast("int") for c, e in sizes.items()})
+    return Catalogue(entities, catalogue.regions.filter(kept), catalogue.textures.filter(kept))
+
+
+def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue written in three goes and read back: entities that are there already are passed
+    over, unless they are to be overwritten."""
+    folder = f"{shared_folder(spark).rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    whole = part_catalogue(spark, sf_dir)
+    write_catalogue(_part_of(whole, "entity_id < 'Brand#3'", tex_w="tex_w + 100"), folder)
+    write_catalogue(whole, folder)
+    write_catalogue(_part_of(whole, "entity_id >= 'Brand#5'", tex_h="tex_h + 7"), folder, overwrite=True)
+    return catalogue_rows(read_written_catalogue(spark, folder))
+
+
+def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block model file for each brand and type, some with elements, some that are no JSON."""
+    folder = f"{shared_folder(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    kinds = table(spark, sf_dir, "part", "p_brand", "p_type", "p_name", "p_size").groupBy("p_brand", "p_type").agg(
+        F.min("p_name").alias("texture"), F.min("p_size").alias("least")
+    )
+    body = F.concat(
+        F.lit('{"parent": "'), "p_brand", F.lit('", "textures": {"side": "'), "texture", F.lit('"}'),
+        F.when(F.col("least") % 2 == 0, F.lit(', "elements": []')).otherwise(""), F.when(F.col("least") % 5 == 3, "").otherwise("}"),
+    )
+    name = F.concat(F.regexp_replace("p_brand", "#", "-"), F.lit("+"), F.regexp_replace("p_type", " ", "_"))
+    store.write_files(kinds.select(F.concat(name, F.lit(".json")).alias("rel"), body.cast("binary").alias("content")), folder)
+    return read_models(spark, folder).select("name", "parent", F.col("textures")["side"].alias("side"), "has_elements")
+
+
+QUERIES = {"publish_round_trip": publish_round_trip, "catalogue_files": catalogue_files, "model_files": model_files}
 
 # Oracle ------------------------------------------------------------------------------
 
@@ -103,5 +139,14 @@ ORACLE = {
         + f") c JOIN ({_TARGETS}) t ON 't' || t.img = c.target "
         + f"UNION ALL SELECT rel || '{files.SIDECAR}', NULL, NULL, NULL, NULL, NULL, NULL, sha256('{_SIDECAR_TEXT}') FROM ({_TARGETS}) WHERE kind = 2 "
         + "UNION ALL SELECT 'notes/t' || vec_id || '.txt', NULL, NULL, NULL, NULL, NULL, NULL, sha256('note ' || vec_id) FROM embeddings WHERE vec_id % 5 = 0"
-    )
+    ),
+    "catalogue_files": (
+        "SELECT kind, entity_id, CASE WHEN kind = 'entity' AND entity_id < 'Brand#3' THEN ord + 100 ELSE ord END AS ord, "
+        "CASE WHEN kind = 'entity' AND entity_id >= 'Brand#5' THEN (name::INTEGER + 7)::VARCHAR ELSE name END AS name "
+        f"FROM ({CATALOGUES['catalogue_json']})"
+    ),
+    "model_files": (
+        "SELECT replace(p_brand, '#', '-') || '+' || replace(p_type, ' ', '_') AS name, p_brand AS parent, min(p_name) AS side, "
+        "min(p_size) % 2 = 0 AS has_elements FROM part GROUP BY p_brand, p_type HAVING min(p_size) % 5 <> 3"
+    ),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ringloom.operators import pixels as px
 from ringloom.operators.assign import assign_frames, assign_targets
+from ringloom.operators.lineage import cut_lineage
 from ringloom.operators.ring import prepare_ring
 from ringloom.operators.search import priority_top
 from ringloom.plans import compose
@@ -176,13 +177,17 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"vec_id": batch["vec_id"], "data": [r.tobytes() for r in rgba]})
 
 
-def _rasters(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
-    packed = table(spark, sf_dir, "embeddings", "vec_id", "embedding").mapInPandas(_pack, "vec_id bigint, data binary")
+def _rasters(spark: SparkSession, sf_dir: str, width: int = 8, only: DataFrame | None = None) -> DataFrame:
+    """Packed rasters, of the images ``only`` (vec_id) if they are given."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    if only is not None:
+        vectors = vectors.join(only, "vec_id", "left_semi")
+    packed = vectors.mapInPandas(_pack, "vec_id bigint, data binary")
     return packed.selectExpr("vec_id", f"{width} AS w", f"{64 // width} AS h", "data")
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rasters(spark, sf_dir).selectExpr("concat('v', vec_id) AS path", "w", "h", "data")
+def _sources(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    return _rasters(spark, sf_dir, 8, only).selectExpr("concat('v', vec_id) AS path", "w", "h", "data")
 
 
 def _checksums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +281,10 @@ def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews of the first fifty images in priority order; the limit comes before the pixels."""
     listed = _assigned(spark, sf_dir).selectExpr("img", "overlay", "rel AS target")
     top = priority_top(listed, "img", 50, ("77", "9"))
-    images = top.join(_rasters(spark, sf_dir, 4).withColumnRenamed("vec_id", "img"), "img").selectExpr(
+    top = cut_lineage(top)  # fifty rows; only their pixels and those of their sources are packed
+    pixels = _rasters(spark, sf_dir, 4, top.select(F.col("img").alias("vec_id"))).withColumnRenamed("vec_id", "img")
+    drawn_from = top.selectExpr("CAST(substring(overlay, 2) AS BIGINT) AS vec_id").distinct()
+    images = top.join(pixels, "img").selectExpr(
         "*", "false AS is_entity", "'' AS texture", "4 AS tex_w", "16 AS tex_h"
     )
     no_faces = spark.sql(
@@ -284,7 +292,7 @@ def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).limit(0)
     knobs = {"alpha": ALPHA, "overlay_scale": 0.5, "keep_aspect": False}
     patches = compose.preview_patches(images.drop("data"), no_faces, knobs)
-    return checksums(compose.thumbnails(images, patches, _sources(spark, sf_dir)))
+    return checksums(compose.thumbnails(images, patches, _sources(spark, sf_dir, drawn_from)))
 
 
 QUERIES = {
