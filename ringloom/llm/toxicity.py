@@ -3,8 +3,8 @@
 A word enters as two parts: what labelled documents say of the word (a hashed bucket) and of
 its character n-grams (mean and maximum over hashed buckets). Both are smoothed log-odds of
 being in a toxic document, beside random signs of the buckets and shape features. The network
-reads overlapping windows of words in both directions, pools its states by attention and
-gives a probability; a document scores as its worst window.
+reads a window of words from every place in both directions, pools its states by attention
+and gives a probability; a document scores as its worst window.
 """
 
 from __future__ import annotations
@@ -23,19 +23,18 @@ from ringloom.llm.common import cut_lineage
 
 WIDTH = 16  # words in a window
 LONGEST = 64  # characters of a word; a longer one is read as pieces that overlap by half
-STRIDE = 8
 HIDDEN = 8
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 SIGNS = 3  # random signs of a bucket that tell words apart
 PER_CLASS = 2_000  # labelled documents of each class that are learned from, about: the bound
-WINDOWS_KEPT = 4  # training windows of a document
+WINDOWS_KEPT = 4  # training windows of a document, of those at every half window; scoring reads all
 EPOCHS = 6
 LEAST_STEPS = 600  # of training, when windows are few
 SEED = 7
 FALSE_ALARM_COST = 4  # a clean document that goes, in toxic ones that stay
 CACHE = 300_000
-BATCH_WORDS = 1 << 14
+BATCH_WORDS = 1 << 13  # what one step of the network works on stays in the cache
 
 _WORD = re.compile(r"[^\W_]+")
 FEATURES = 5 + 2 * SIGNS
@@ -136,6 +135,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _squash(x: np.ndarray) -> np.ndarray:
+    """The softsign x / (1 + |x|), which costs a tenth of tanh; a gate is (1 + softsign) / 2."""
+    return x / (1 + np.abs(x))
+
+
 def _start(seed: int) -> dict:
     draw = np.random.default_rng(seed)
     norm = lambda *s: draw.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
@@ -150,9 +154,9 @@ def _run(inputs: list[np.ndarray], u: np.ndarray, keep: list | None = None) -> l
     h, states = np.zeros((len(inputs[0]), HIDDEN), np.float32), []
     u_gates, u_new = np.ascontiguousarray(u[:, : 2 * HIDDEN]), np.ascontiguousarray(u[:, 2 * HIDDEN :])
     for x in inputs:
-        gates = _sigmoid(x[:, : 2 * HIDDEN] + h @ u_gates)
+        gates = 0.5 * _squash(x[:, : 2 * HIDDEN] + h @ u_gates) + 0.5
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        new = np.tanh(x[:, 2 * HIDDEN :] + (r * h) @ u_new)
+        new = _squash(x[:, 2 * HIDDEN :] + (r * h) @ u_new)
         if keep is not None:
             keep.append((h, z, r, new))
         h = h + z * (new - h)
@@ -199,9 +203,10 @@ def _backward(x: np.ndarray, d_logit: np.ndarray, p: dict, keep: dict) -> dict:
             t = order[n]
             h, z, r, new = keep["kept"][side][n]
             d_h = d_h + d_states[t][:, part]
-            d_new = d_h * z * (1 - new * new)
+            d_new = d_h * z * (1 - np.abs(new)) ** 2
             d_rh = d_new @ u[:, 2 * HIDDEN :].T
-            d_gates = np.concatenate([d_h * (new - h) * z * (1 - z), d_rh * h * r * (1 - r)], axis=1)
+            slopes = [0.5 * (1 - np.abs(2 * g - 1)) ** 2 for g in (z, r)]
+            d_gates = np.concatenate([d_h * (new - h) * slopes[0], d_rh * h * slopes[1]], axis=1)
             grad["U" + side][:, : 2 * HIDDEN] += h.T @ d_gates
             grad["U" + side][:, 2 * HIDDEN :] += (r * h).T @ d_new
             d_x = np.concatenate([d_gates, d_new], axis=1)
@@ -233,41 +238,58 @@ def train_network(x: np.ndarray, mask: np.ndarray, y: np.ndarray, epochs: int =
     return p
 
 
-def _layout(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Places of documents on one line of strides, the number of windows of each, its length."""
-    counts = np.array([1 if n <= WIDTH else -(-(n - WIDTH) // STRIDE) + 1 for n in lengths], np.int64)
-    used = (counts - 1) * STRIDE + WIDTH
-    starts = np.concatenate(([0], np.cumsum(used)[:-1]))
-    return starts, counts, int(used.sum())
+def _read(x: np.ndarray, u: np.ndarray, heads: np.ndarray, out: np.ndarray, backward: bool) -> None:
+    """Adds to ``out`` [T, 2, windows] what both heads [2, HIDDEN] see in the states of one direction.
+
+    x [3 * HIDDEN, words] are projected inputs. Gates stay twice as large; the halves are taken
+    where they cost least. All is in place, in rows as long as the windows are many.
+    """
+    n = out.shape[2]
+    u_gates, u_new = np.ascontiguousarray(u[:, : 2 * HIDDEN].T), 0.5 * u[:, 2 * HIDDEN :].T
+    h, gates, new = (np.zeros((rows, n), np.float32) for rows in (HIDDEN, 2 * HIDDEN, HIDDEN))
+    size = np.empty((2 * HIDDEN, n), np.float32)
+    for t in reversed(range(WIDTH)) if backward else range(WIDTH):
+        np.matmul(u_gates, h, out=gates)
+        gates += x[: 2 * HIDDEN, t : t + n]
+        np.abs(gates, out=size)
+        size += 1
+        gates /= size
+        gates += 1
+        z, r = gates[:HIDDEN], gates[HIDDEN:]
+        r *= h
+        np.matmul(u_new, r, out=new)
+        new += x[2 * HIDDEN :, t : t + n]
+        np.abs(new, out=size[:HIDDEN])
+        size[:HIDDEN] += 1
+        new /= size[:HIDDEN]
+        new -= h
+        z *= 0.5
+        new *= z
+        h += new
+        out[t] += heads @ h
 
 
 def window_logits(found: list[np.ndarray], table: np.ndarray, p: dict) -> list[np.ndarray]:
-    """Logits of all overlapping windows of each document, given rows of ``table`` (0: none)."""
-    starts, counts, total = _layout([len(x) for x in found])
+    """Logits of the windows from every place of each document, given rows of ``table`` (0: none)."""
+    used = np.array([max(len(x), WIDTH) for x in found], np.int64)
+    starts, total = np.concatenate(([0], np.cumsum(used)[:-1])), int(used.sum())
     row = np.zeros(total, np.int64)
     for at, x in zip(starts, found, strict=True):
         row[at : at + len(x)] = x
-    real = row > 0
-    n = (total - WIDTH) // STRIDE + 1
-    features = table[row]
-    sides = {s: features @ p["W" + s] + p["c" + s] for s in "fb"}
-    views = {s: [v[t : t + STRIDE * (n - 1) + 1 : STRIDE] for t in range(WIDTH)] for s, v in sides.items()}
-    fore, back = _run(views["f"], p["Uf"]), _run(views["b"][::-1], p["Ub"])[::-1]
-    mask = [real[t : t + STRIDE * (n - 1) + 1 : STRIDE] for t in range(WIDTH)]
-    a_f, a_b, o_f, o_b = p["a"][:HIDDEN], p["a"][HIDDEN:], p["o"][:HIDDEN], p["o"][HIDDEN:]
-    raw = np.stack([np.where(m, f @ a_f + b @ a_b, np.float32(-30)) for m, f, b in zip(mask, fore, back, strict=True)])
-    value = np.stack([f @ o_f + b @ o_b for f, b in zip(fore, back, strict=True)])
+    features = np.ascontiguousarray(table[row].T)
+    seen = np.zeros((WIDTH, 2, total - WIDTH + 1), np.float32)
+    for s, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+        heads = np.stack([p["a"][part], p["o"][part]])
+        _read(p["W" + s].T @ features + p["c" + s][:, None], p["U" + s], heads, seen, s == "b")
+    real = np.lib.stride_tricks.sliding_window_view(row > 0, WIDTH).T
+    raw = np.where(real, seen[:, 0], np.float32(-30))
     weight = np.exp(raw - raw.max(axis=0))
-    logits = (weight * value).sum(axis=0) / weight.sum(axis=0) + p["b"][0]
-    first = starts // STRIDE
-    return [logits[a : a + c] for a, c in zip(first, counts, strict=True)]
+    logits = (weight * seen[:, 1]).sum(axis=0) / weight.sum(axis=0) + p["b"][0]
+    return [logits[a : a + n - WIDTH + 1] for a, n in zip(starts, used, strict=True)]
 
 
-def score_texts(texts: list[str | None], model: Model, words: _Vocabulary | None = None) -> list[float]:
-    """The probability of the worst window of each whole text."""
-    if model.weights is None:
-        return [model.prior] * len(texts)
-    words = _Vocabulary(model.odds) if words is None else words
+def worst_logits(texts: list[str | None], model: Model, words: _Vocabulary) -> np.ndarray:
+    """The logit of the worst window of each whole text."""
     best = np.full(len(texts), -np.inf)
     held, whose, size = [], [], 0
 
@@ -283,15 +305,23 @@ def score_texts(texts: list[str | None], model: Model, words: _Vocabulary | None
             flush()
             words.forget()
         found = words.rows(tokens(text))
-        # A very long text goes in pieces that overlap by a window less a stride: no window is lost.
-        for at in range(0, max(1, len(found) - (WIDTH - STRIDE)), BATCH_WORDS):
-            held.append(found[at : at + BATCH_WORDS + WIDTH - STRIDE])
+        # A very long text goes in pieces that overlap by a window less a word: no window is lost.
+        for at in range(0, max(1, len(found) - WIDTH + 1), BATCH_WORDS):
+            held.append(found[at : at + BATCH_WORDS + WIDTH - 1])
             whose.append(i)
             size += len(held[-1]) + WIDTH
             if size >= BATCH_WORDS:
                 flush()
     flush()
-    return [float(x) for x in _sigmoid(best)]
+    return best
+
+
+def score_texts(texts: list[str | None], model: Model, words: _Vocabulary | None = None) -> list[float]:
+    """The probability of the worst window of each whole text, to six places: what is beyond depends on batches."""
+    if model.weights is None:
+        return [model.prior] * len(texts)
+    found = worst_logits(texts, model, _Vocabulary(model.odds) if words is None else words)
+    return [float(x) for x in np.round(_sigmoid(found), 6)]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
@@ -316,10 +346,11 @@ def fit(
 ) -> Model:
     """A model from labelled documents, about ``per_class`` of each class.
 
-    They are drawn by a hash of the id, at the rate that gives that many. The windows that the network is trained on are those with the most suspicious word of each
-    document, so that clean documents contribute their hardest ones; their features come from
-    log-odds of the other half of the documents, as if they had not been seen. The log-odds of
-    the model are those of both halves. Null labels and ids are left out; an id labelled twice
+    They are drawn by a hash of the id, at the rate that gives that many. The network is trained
+    on at most ``WINDOWS_KEPT`` windows of a document, those with its most suspicious words, so
+    that clean documents contribute their hardest ones; their features come from log-odds of the
+    other half of the documents, as if they had not been seen. Where scores part is set by the
+    worst of all windows of each document. The log-odds of the model are those of both halves. Null labels and ids are left out; an id labelled twice
     is toxic if one label says so. With one class only, or no labels, the model is the share of
     toxic ones.
     """
@@ -354,7 +385,7 @@ def fit(
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = [_Vocabulary(other[0]), _Vocabulary(other[1])]
         for frame in frames:
-            ys, xs, ds = [], [], []
+            ys, xs = [], []
             for text, y, half in zip(frame["text"].fillna(""), frame["y"], frame["half"], strict=True):
                 words = both[half]
                 if len(words) > CACHE:
@@ -362,33 +393,39 @@ def fit(
                 found = words.rows(tokens(text))
                 padded = np.concatenate([found, np.zeros(WIDTH, np.int64)])
                 suspicion = (words.table[:, 0] * 0.5 + words.table[:, 1] + words.table[:, 2] * 0.5)[padded]
-                starts = np.arange(0, max(1, len(found) - (WIDTH - STRIDE)), STRIDE)
+                starts = np.arange(0, max(1, len(found) - WIDTH // 2), WIDTH // 2)
                 worst = np.array([suspicion[a : a + WIDTH].max() for a in starts])
                 keep = np.argsort(-worst, kind="stable")[: WINDOWS_KEPT // 2 if y else WINDOWS_KEPT].tolist()
                 keep += [] if y else [len(starts) // 2]
                 for k in keep:
                     rows = padded[starts[k] : starts[k] + WIDTH]
                     ys.append(y)
-                    ds.append(crc32(text.encode("utf-8", "surrogatepass"), len(text)))
                     xs.append(np.concatenate([words.table[rows], (rows > 0)[:, None]], axis=1).astype(np.float32).tobytes())
-            yield pd.DataFrame({"y": ys, "x": xs, "d": ds})
+            yield pd.DataFrame({"y": ys, "x": xs})
 
-    made = sample.mapInPandas(windows, "y long, x binary, d long").toArrow()
+    made = sample.mapInPandas(windows, "y long, x binary").toArrow()
     raw = made["x"].to_pylist()
     both = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), WIDTH, FEATURES + 1)
     y = made["y"].to_numpy().astype(np.float32)
     order = np.lexsort((np.array([crc32(x) for x in raw]), y))  # whatever order tasks ended in
-    x, mask, y, whose = both[order, :, :FEATURES], both[order, :, FEATURES] > 0, y[order], made["d"].to_numpy()[order]
+    x, mask, y = both[order, :, :FEATURES], both[order, :, FEATURES] > 0, y[order]
     network = train_network(x, mask, y)
-    logits = _forward(np.ascontiguousarray(x.transpose(1, 0, 2)), mask.T, network)
-    network["b"] = network["b"] - np.float32(_cut(logits, y, whose))
+
+    def worst(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models, words = [Model(o, network, 0.0) for o in other], [_Vocabulary(o) for o in other]
+        for frame in frames:
+            for half, part in frame.groupby("half"):
+                yield pd.DataFrame({"s": worst_logits(part["text"].tolist(), models[half], words[half]), "y": part["y"]})
+
+    documents = sample.mapInPandas(worst, "s double, y long").toArrow()
+    network["b"] = network["b"] - np.float32(_cut(documents["s"].to_numpy(), documents["y"].to_numpy()))
     return Model(odds, network, float(y.mean()))
 
 
-def _cut(logits: np.ndarray, y: np.ndarray, whose: np.ndarray) -> float:
+def _cut(worst: np.ndarray, y: np.ndarray) -> float:
     """Where documents part by their worst windows: the middle of the span with the least loss."""
-    worst = pd.DataFrame({"s": logits, "y": y, "d": whose}).groupby("d").max().sort_values("s")
-    s, toxic = worst["s"].to_numpy(np.float64), worst["y"].to_numpy() > 0
+    order = np.lexsort((y, worst))
+    s, toxic = worst[order], y[order] > 0
     missed = np.append(0, np.cumsum(toxic)) / max(1, toxic.sum())
     wronged = 1 - np.append(0, np.cumsum(~toxic)) / max(1, (~toxic).sum())
     loss = missed + FALSE_ALARM_COST * wronged

@@ -56,7 +56,7 @@ def test_windows_are_those_of_the_network():
         words = toxicity._Vocabulary(odds)
         rows = words.rows(toxicity.tokens(text))
         worst = 0.0
-        for a in range(0, max(1, len(rows) - toxicity.STRIDE), toxicity.STRIDE):
+        for a in range(max(1, len(rows) - toxicity.WIDTH + 1)):
             part = np.concatenate([rows[a : a + toxicity.WIDTH], np.zeros(toxicity.WIDTH, np.int64)])[: toxicity.WIDTH]
             logit = toxicity._forward(words.table[part][:, None, :], (part > 0)[:, None], model.weights)
             worst = max(worst, float(toxicity._sigmoid(logit)[0]))
