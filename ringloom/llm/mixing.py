@@ -3,9 +3,11 @@
 Slot i of the schedule is the golden-ratio point frac(i * phi). Mapped through the cumulative
 targets it falls on a source, and its rank among that source's slots says which block of the
 source it plays. The documents of a source are shuffled into a line of words, repeated, and
-cut into blocks of equal length; joining slots to blocks gives the mix. Low discrepancy keeps
-every stretch of the schedule near the target weights; the length of a source's blocks is its
-target over its slots, so that its total is its target whatever the rounding of the slots.
+cut into blocks of one length for all sources; joining slots to blocks gives the mix. Low
+discrepancy keeps every stretch of the schedule near the target weights. A source plays as many
+blocks as it has slots, so the schedule decides what is taken; where that misses the target by
+more than a hundredth, as it may for a source of few blocks, the last block is cut or slots are
+added after the end of the schedule.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MAX_REPEATS = 2
-BLOCK_WORDS = 8192
+BLOCK_WORDS = 8192  # at most; fewer where that would give fewer than LEAST_SLOTS
+LEAST_SLOTS = 1 << 14
+TOLERANCE_PERCENT = 1  # how far a source may end from its target
 GOLDEN = 0.6180339887498949
 BINS = 1024
 MAX_BROADCAST_SOURCES = 100_000  # beyond, Spark chooses how to join sources
@@ -29,7 +33,7 @@ MAX_BROADCAST_SOURCES = 100_000  # beyond, Spark chooses how to join sources
 
 class Mix(NamedTuple):
     documents: DataFrame  # sid, pos, doc_id, source, size, source_size, target
-    sources: DataFrame  # sid, source, source_size, target, quota, slots, block
+    sources: DataFrame  # sid, source, source_size, target, quota, slots, played, block
     schedule: DataFrame  # slot, sid, rank
     picks: DataFrame  # slot, sid, pos, doc_id, first_word, words
 
@@ -70,11 +74,11 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    block_words: int = BLOCK_WORDS,
+    block_words: int | None = None,
     seed: int = 42,
     **shares,
 ) -> Mix:
-    """The mix of all rows of ``docs``.
+    """The mix of all rows of ``docs``, in blocks of ``block_words`` (None: by the constants above).
 
     A null source is a source (the last one); null, empty and blank texts have size 0 and are
     never picked; a null id shuffles like an empty one. Rows that repeat an id are rows of
@@ -94,19 +98,20 @@ def mix(
     small = F.broadcast if n_sources <= MAX_BROADCAST_SOURCES else (lambda df: df)
 
     # Documents, laid out in a line per source.
-    named = small(sources.select("sid", F.col("source").alias("_source"), "source_size", "target", "quota", "buckets"))
+    named = small(sources.select("sid", F.col("source").alias("_source"), "source_size", "target", "buckets"))
     dealt = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
     first = F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / float(1 << 32)
     dealt = dealt.withColumn("bucket", F.floor(first * F.col("buckets")))
     line = cut_lineage(
         running_total(dealt, ["sid"], "bucket", ["draw", "doc_id", "size"], F.col("size"), "pos").select(
-            "sid", "pos", "doc_id", "source", "size", "source_size", "target", "quota"
+            "sid", "pos", "doc_id", "source", "size", "source_size", "target"
         )
     )
 
     # The schedule.
-    n_slots = max(1, -(-int(quota) // block_words))
+    block = block_words or min(BLOCK_WORDS, max(1, int(quota) // LEAST_SLOTS))
+    n_slots = max(1, -(-int(quota) // block))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), ((F.col("id") * GOLDEN) % 1).alias("point"))
     along = Window.orderBy("sid")
     top = (F.sum("quota").over(along) / F.lit(float(max(1, quota)))).alias("hi")
@@ -117,27 +122,28 @@ def mix(
     slots = slots.withColumn("stretch", F.floor(F.col("slot") / F.lit(max(1, int(n_slots**0.5)))))
     ranked = running_total(slots, ["sid"], "stretch", ["slot"], F.lit(1), "rank").select("slot", "sid", "rank")
     counted = ranked.groupBy("sid").agg(F.count("*").alias("slots"))
-    sources = sources.join(counted, "sid", "left").withColumn("slots", F.coalesce("slots", F.when(F.col("quota") > 0, 1).otherwise(0)))
-    sources = sources.withColumn("block", F.ceil(F.col("quota") / F.greatest("slots", F.lit(1))))
-    sources = cut_lineage(sources.select("sid", "source", "source_size", "target", "quota", "slots", "block"))
-    missed = sources.where("quota > 0").join(counted, "sid", "left_anti")
-    schedule = ranked.unionByName(
-        missed.select((F.lit(n_slots) + F.col("sid")).cast("long").alias("slot"), "sid", F.lit(0).cast("long").alias("rank"))
-    )
+    repeats = shares.get("repeats", MAX_REPEATS)
+    sources = sources.join(counted, "sid", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    least, most = (F.expr(f"quota * {100 + sign * TOLERANCE_PERCENT} div 100") for sign in (-1, 1))
+    played = F.least(F.greatest(F.least(F.col("slots") * block, most), least), F.col("source_size") * repeats)
+    sources = sources.withColumn("played", played).withColumn("block", F.lit(block).cast("long"))
+    sources = cut_lineage(sources.select("sid", "source", "source_size", "target", "quota", "slots", "played", "block"))
+    wanted = F.ceil(F.col("played") / F.col("block"))
+    added = sources.where(wanted > F.col("slots")).select("sid", F.explode(F.sequence(F.col("slots"), wanted - 1)).alias("rank"))
+    schedule = ranked.unionByName(added.select((n_slots + F.col("rank") * n_sources + F.col("sid")).alias("slot"), "sid", "rank"))
 
     # Pieces of documents in blocks: at most one more than a document's words fill.
-    repeats = shares.get("repeats", MAX_REPEATS)
-    lengths = small(sources.where("quota > 0").select("sid", "block"))
+    lengths = small(sources.where("played > 0").select("sid", "played", "block"))
     pieces = line.where("size > 0").join(lengths, "sid")
     pieces = pieces.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     pieces = pieces.withColumn("from", F.col("pos") + F.col("turn") * F.col("source_size"))
-    pieces = pieces.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota"))).where("from < to")
+    pieces = pieces.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("played"))).where("from < to")
     pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / F.col("block")), F.floor((F.col("to") - 1) / F.col("block")))))
     lo = F.greatest("from", F.col("rank") * F.col("block"))
     hi = F.least("to", (F.col("rank") + 1) * F.col("block"))
     pieces = pieces.select("sid", "rank", "pos", "doc_id", (lo - F.col("from")).alias("first_word"), (hi - lo).alias("words"))
     picks = schedule.join(pieces, ["sid", "rank"]).select("slot", "sid", "pos", "doc_id", "first_word", "words")
-    return Mix(line.drop("quota"), sources, schedule, picks)
+    return Mix(line, sources, schedule, picks)
 
 
 def taken(made: Mix) -> DataFrame:

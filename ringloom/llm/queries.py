@@ -139,11 +139,26 @@ WITH d AS (
          coalesce(least((2 * source_size)::DOUBLE, (SELECT arg_min(fits, {'a': ratio, 'b': sid}) FROM f WHERE fits < ratio) * weight),
                   (2 * source_size)::DOUBLE) AS target
   FROM f
+), q AS (
+  SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t
+), b AS (
+  SELECT coalesce(sum(quota), 0)::BIGINT AS total, least(8192, greatest(1, total // 16384)) AS block FROM q
+), g AS (
+  SELECT unnest(range(greatest(1, (total + block - 1) // block))) AS slot FROM b
+), e AS (
+  SELECT sid, sum(quota) OVER (ORDER BY sid)::DOUBLE / greatest(1, total)::DOUBLE AS hi,
+         coalesce(sum(quota) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / greatest(1, total)::DOUBLE AS lo
+  FROM q, b
+), k AS (
+  SELECT sid, count(*) AS slots FROM (SELECT (slot * 0.6180339887498949::DOUBLE) % 1 AS point FROM g) JOIN e ON point >= lo AND point < hi GROUP BY sid
+), p AS (
+  SELECT q.*, least(greatest(least(coalesce(slots, 0) * block, quota * 101 // 100), quota * 99 // 100), 2 * source_size) AS played
+  FROM q CROSS JOIN b LEFT JOIN k USING (sid)
 ), o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.played AS quota,
          coalesce(sum(d.size) OVER (PARTITION BY t.sid ORDER BY md5('42:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN p AS t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target,
        (greatest(0, least(pos + size, quota) - pos)
