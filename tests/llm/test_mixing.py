@@ -32,6 +32,7 @@ def brute_played(sizes, targets, block, golden):
     names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [n for n in sizes if n is None]
     quota = {n: int(targets[n] + 0.5) for n in names}
     total = sum(quota.values())
+    block = block or min(8192, max(1, total // 16384))
     edges = [sum(quota[m] for m in names[: i + 1]) / max(1, total) for i in range(len(names))]
     slots = defaultdict(int)
     for i in range(max(1, -(-total // block))):
@@ -39,7 +40,7 @@ def brute_played(sizes, targets, block, golden):
     return {n: min(2 * sizes[n], max(quota[n] * 99 // 100, min(quota[n] * 101 // 100, slots[n] * block))) for n in names}
 
 
-def brute(rows, block, golden=0.6180339887498949):
+def brute(rows, block=None, golden=0.6180339887498949):
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
     sizes = defaultdict(int)
     for (_, _, s), n in zip(rows, size, strict=True):
