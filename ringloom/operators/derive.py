@@ -19,7 +19,7 @@ from ringloom.functions.geometry import (
 )
 from ringloom.functions.paths import NAME_PREFIXES, strip_namespace
 from ringloom.operators import sizing
-from ringloom.operators.catalog import append_after, keep_first
+from ringloom.operators.catalog import append_after, hinted, keep_first
 from ringloom.operators.lineage import cut_lineage
 
 REGION_TABLE = ["entity_id", "ord", "name", "x", "y", "width", "height", "flip", "rotate"]
@@ -179,15 +179,18 @@ def mirror_parts(regions: DataFrame, rules: DataFrame, entities: DataFrame) -> D
     mirrored copies take ``x' = tex_w - x - width``. The part must own a ``top`` face. A rule
     is idle if the entity already has a region named ``unless`` (null: never idle).
     """
-    names = regions.select("entity_id", "name").distinct()
+    small = sizing.measure(rules).fits()
+    needed = rules.withColumn("_needs", F.concat("old", F.lit("top")))
+    # Of all names only those that rules ask for are kept, so what is joined is as small as the rules are.
+    asked = needed.select("entity_id", F.explode(F.array("_needs", "unless")).alias("name")).distinct()
+    named = regions.select("entity_id", "name").join(hinted(asked, small), ["entity_id", "name"], "left_semi").distinct()
+    names = hinted(named, small)
     live = (
-        rules.withColumn("_needs", F.concat("old", F.lit("top")))
-        .join(names.withColumnRenamed("name", "_needs"), ["entity_id", "_needs"], "left_semi")
+        needed.join(names.withColumnRenamed("name", "_needs"), ["entity_id", "_needs"], "left_semi")
         .join(names.withColumnRenamed("name", "unless"), ["entity_id", "unless"], "left_anti")
         .join(entities.select("entity_id", "tex_w"), "entity_id")
     )
-    if sizing.measure(rules).fits():
-        live = F.broadcast(live)
+    live = hinted(live, small)
     r, k = regions.alias("r"), live.alias("k")
     on = (F.col("r.entity_id") == F.col("k.entity_id")) & F.startswith(F.col("r.name"), F.col("k.old"))
     copies = r.join(k, on).select(

@@ -191,6 +191,19 @@ def test_merging_replaces_an_entity_of_the_merged_name(spark):
     assert sorted(r["texture"] for r in got.textures.collect()) == ["bed_foot.png", "bed_head.png"]
 
 
+def test_mirroring_joins_only_the_names_that_rules_ask_for(spark):
+    shape = ("*", "0 AS x", "0 AS y", "2 AS width", "2 AS height", "CAST(NULL AS STRING) AS flip", "CAST(NULL AS STRING) AS rotate")
+    rows = [("e", 0, "arm_top"), ("e", 1, "arm_left"), ("e", 2, "leg_left"), ("f", 0, "arm_top"), ("f", 1, "done"), (None, 0, "arm_top")]
+    regions = spark.createDataFrame(rows, "entity_id string, ord long, name string").selectExpr(*shape)
+    rules = [(e, old, "new_", True, unless) for e in ("e", "f", None) for old, unless in (("arm_", "done"), ("leg_", None))]
+    rules = spark.createDataFrame(rules, "entity_id string, old string, new string, mirror boolean, unless string")
+    entities = spark.createDataFrame([("e", 10), ("f", 10)], "entity_id string, tex_w int")
+    made = derive.mirror_parts(regions, rules, entities)
+    assert sorted(r["name"] for r in made.collect() if r["name"].startswith("new_")) == ["new_left", "new_top"]
+    joined = made._jdf.queryExecution().analyzed().toString()
+    assert joined.count("Join LeftSemi") == 3  # the rules, and both times the names
+
+
 def test_ordinals_that_do_not_fit_are_an_error(spark):
     from ringloom.operators.derive import faces_of_cuboids
 
