@@ -5,8 +5,9 @@ characters. So the theta join becomes equi-joins on the text's cuts at the patte
 that occur. All patterns share a minimum length ``k``; a first equi-join on the
 ``k``-character cut gives the lengths worth trying, so a text that cannot match is never
 probed again. Lengths are then probed longest first, each probe a map-side join against the
-same broadcast table. Only texts with very many candidate lengths, or a pattern table too
-large to broadcast, are expanded and reduced to their longest match instead.
+same broadcast table, which must fit once for each. Only texts with very many candidate
+lengths, or a pattern table too large to broadcast, are expanded and reduced to their longest
+match instead.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ def length_stats(pattern: str) -> list[Column]:
     return [F.min(length).alias("shortest"), F.count_distinct(length).alias("lengths")]
 
 
+def joins_of(lengths: int) -> int:
+    """Joins of one stage that hold the patterns, if those are broadcast: a task has a table for
+    each, so the patterns must fit as often."""
+    return min(lengths, MAX_PROBES) + 1
+
+
 def longest_affix(
     texts: DataFrame,
     text: str,
@@ -39,8 +46,8 @@ def longest_affix(
     """``texts`` plus the columns of its longest matching pattern row (null if none).
 
     ``patterns[pattern]`` must be unique; empty patterns never match. ``key`` identifies a
-    row of ``texts``. ``small`` says whether the patterns were already measured to fit a
-    broadcast, ``lengths_known`` gives their least length and number of distinct lengths
+    row of ``texts``. ``small`` says whether the patterns were already measured to fit
+    ``joins_of`` broadcasts, ``lengths_known`` gives their least length and number of distinct lengths
     (those of a superset will do).
     """
     if side not in ("prefix", "suffix"):
@@ -57,7 +64,7 @@ def longest_affix(
         found = sizing.size_row(rows, *length_stats(pattern)).first()
         lengths_known = found["shortest"], found["lengths"]
         if small is None:
-            small = sizing.Size(found["n"], found["b"]).fits(max_broadcast_bytes)
+            small = sizing.Size(found["n"], found["b"]).fits(max_broadcast_bytes, copies=joins_of(found["lengths"]))
     shortest, most = lengths_known
     if shortest is None:
         return texts.select("*", *[F.lit(None).cast(t).alias(n) for n, t in patterns.dtypes])

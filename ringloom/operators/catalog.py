@@ -34,9 +34,10 @@ class Profile:
     texture_lengths: tuple[int | None, int]  # least and number of distinct path lengths
     max_broadcast_bytes: int | None = None
 
-    def fits(self, *parts: str, extra: int = 0) -> bool:
-        """Whether each part, with up to ``extra`` bytes added to a row, may be broadcast."""
-        return all(getattr(self, p).widened(extra).fits(self.max_broadcast_bytes) for p in parts)
+    def fits(self, *parts: str, extra: int = 0, copies: int = 1) -> bool:
+        """Whether each part, with up to ``extra`` bytes added to a row, may be broadcast to
+        ``copies`` joins of one stage."""
+        return all(getattr(self, p).widened(extra).fits(self.max_broadcast_bytes, copies=copies) for p in parts)
 
 
 @dataclass(frozen=True)

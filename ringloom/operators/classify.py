@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.functions.paths import normalise
-from ringloom.operators.affix import longest_affix
+from ringloom.operators.affix import joins_of, longest_affix
 from ringloom.operators.catalog import Profile
 
 
@@ -26,7 +26,10 @@ def classify_targets(
         .select("_norm", "_o.texture", "_o.entity_id")
     )
     probe = targets.withColumn("_path", normalise(F.col("target")))
-    known = (profile.fits("textures"), profile.texture_lengths) if profile else (None, None)
+    known = (None, None)
+    if profile:
+        lengths = profile.texture_lengths
+        known = profile.fits("textures", copies=joins_of(lengths[1])), lengths
     matched = longest_affix(probe, "_path", patterns, "_norm", "suffix", "target", *known)
     return matched.drop("_path", "_norm").withColumn("is_entity", F.col("entity_id").isNotNull())
 

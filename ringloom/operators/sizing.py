@@ -29,10 +29,11 @@ class Size:
         """The same rows with up to ``extra`` more bytes each."""
         return Size(self.rows, self.bytes + self.rows * extra, self.widest + extra)
 
-    def fits(self, max_bytes: int | None = None, max_rows: int | None = None) -> bool:
+    def fits(self, max_bytes: int | None = None, max_rows: int | None = None, copies: int = 1) -> bool:
+        """Whether ``copies`` joins of one stage may each hold the table."""
         max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
         max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-        return self.rows <= max_rows and self.bytes <= max_bytes
+        return self.rows * copies <= max_rows and self.bytes * copies <= max_bytes
 
 
 def _row_width(df: DataFrame) -> str:

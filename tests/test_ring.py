@@ -171,6 +171,21 @@ def test_longest_affix_matches_brute_force(spark, monkeypatch, side, small, prob
     assert got == {i: best(x) for i, x in enumerate(texts)}
 
 
+def test_patterns_that_fit_once_but_not_for_each_probe_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "BROADCAST_MAX_ROWS", 100)
+    monkeypatch.setattr(affix, "MAX_PROBES", 3)
+
+    def plan(count):
+        p = spark.createDataFrame([("x" * (1 + i % 3) + str(i), i) for i in range(count)], "pat string, val int")
+        t = spark.createDataFrame([(1, f"axxx{count - 1}")], "i int, txt string")
+        found = longest_affix(t, "txt", p, "pat", "suffix", "i")
+        assert found.first()["val"] == count - 1
+        return found._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "strategy=broadcast" in plan(25)
+    assert "strategy=broadcast" not in plan(60)
+
+
 def test_no_patterns(spark):
     t = spark.createDataFrame([(1, "x")], "i int, txt string")
     none = spark.createDataFrame([("", 1)], "pat string, val int")
