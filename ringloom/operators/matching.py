@@ -22,12 +22,14 @@ STRINGS_AT_ONCE = 4096
 
 @dataclass(frozen=True)
 class Automaton:
-    """``step[state, class]`` is the next state, 0 the start. ``ends[state]`` is the pattern that ends
+    """``step[rows[state], class]`` is the next state, 0 the start: states that no pattern goes on from
+    do what the state they fall back to does and share its row. ``ends[state]`` is the pattern that ends
     there or -1, ``shorter[state]`` the state of the longest pattern that ends there too, but is
     shorter, or 0."""
 
     classes: np.ndarray
     step: np.ndarray
+    rows: np.ndarray
     ends: np.ndarray
     shorter: np.ndarray
 
@@ -43,7 +45,7 @@ class Automaton:
         seen: list[np.ndarray] = []
         for at in range(int(lengths.max(initial=0))):
             live = np.searchsorted(falling, -at)  # strings longer than ``at`` come first
-            state[:live] = self.step[state[:live], text[begin[:live] + at]]
+            state[:live] = self.step[self.rows[state[:live]], text[begin[:live] + at]]
             said = np.flatnonzero(speaks[state[:live]])
             if len(said):
                 seen.append(said << 32 | state[said])
@@ -73,6 +75,7 @@ def build(patterns: list[bytes]) -> Automaton:
     for row, i in enumerate(order):
         grid[row, : lengths[row]] = classes[np.frombuffer(patterns[i], np.uint8)]
     node, states = np.zeros(len(patterns), np.int32), 1
+    goes_on: list[np.ndarray] = []
     for depth in range(grid.shape[1]):
         live = np.flatnonzero(lengths > depth)
         parent, char = node[live], grid[live, depth]
@@ -81,24 +84,49 @@ def build(patterns: list[bytes]) -> Automaton:
         node[live] = made
         child, up, by = made[new], parent[new], char[new]
         states += len(child)
+        goes_on.append(up)
         # The parents' rows are complete but for their children: what they say now is the fall-back.
         fail[child] = step[up, by]
         step[up, by] = child
         ends[node[live[lengths[live] == depth + 1]]] = np.array(order)[live[lengths[live] == depth + 1]]
         step[child] = step[fail[child]]
         shorter[child] = np.where(ends[fail[child]] >= 0, fail[child], shorter[fail[child]])
-    return Automaton(classes, step[:states], ends[:states], shorter[:states])
+    inner = np.zeros(states, bool)
+    inner[0] = True
+    for parents in goes_on:
+        inner[parents] = True
+    acts = np.arange(states, dtype=np.int32)
+    while not inner[acts].all():
+        acts = np.where(inner[acts], acts, fail[acts])
+    rows = (np.cumsum(inner, dtype=np.int32) - 1)[acts]
+    return Automaton(classes, step[:states][inner], rows, ends[:states].copy(), shorter[:states].copy())
+
+
+def _alike(a: bytes, b: bytes) -> int:
+    """Bytes that both begin with."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
 def _lots(patterns: list[bytes], table_bytes: int) -> Iterator[list[int]]:
-    """Places of patterns, in lots whose tables stay below ``table_bytes`` about."""
-    lot, size = [], 0
+    """Places of patterns, in lots whose tables stay below ``table_bytes`` while they are built.
+
+    Sorted patterns share states with the one before as far as they begin alike.
+    """
+    state_bytes = 4 * (len(set(b"".join(patterns))) + 5)  # a row, and four numbers beside it
+    lot, size, before = [], 0, b""
     for i in sorted(range(len(patterns)), key=patterns.__getitem__):
-        if lot and (size + len(patterns[i])) * 4 * 64 > table_bytes:
+        new = len(patterns[i]) - _alike(before, patterns[i])
+        if lot and (size + new) * state_bytes > table_bytes:
             yield lot
-            lot, size = [], 0
+            lot, size, new = [], 0, len(patterns[i])
         lot.append(i)
-        size += len(patterns[i])
+        size += new
+        before = patterns[i]
     if lot:
         yield lot
 
@@ -107,15 +135,17 @@ def _finder(shared):
     """Column function: places of the patterns of one lot in each text."""
 
     def find(column: pd.Series) -> pd.Series:
-        automaton, places = shared.value
-        out: list[list[int]] = []
+        automaton, starts, places = shared.value
+        out: list[np.ndarray] = []
         for start in range(0, len(column), STRINGS_AT_ONCE):
             part = [(t or "").encode() for t in column.iloc[start : start + STRINGS_AT_ONCE]]
-            rows: list[list[int]] = [[] for _ in part]
-            for row, pattern in zip(*(x.tolist() for x in automaton.find(part)), strict=True):
-                rows[row].extend(places[pattern])
-            out += rows
-        return pd.Series(out)
+            row, pattern = automaton.find(part)
+            many = starts[pattern + 1] - starts[pattern]
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            row, place = np.repeat(row, many), places[np.repeat(starts[pattern], many) + nth]
+            order = np.argsort(row, kind="stable")
+            out += np.split(place[order], np.searchsorted(row[order], np.arange(1, len(part))))
+        return pd.Series(out, dtype=object)
 
     return F.pandas_udf(find, "array<int>")
 
@@ -136,7 +166,10 @@ def with_hits(texts: DataFrame, text: str, patterns: list[str], out: str = "hits
     found = texts
     names = []
     for n, lot in enumerate(_lots(keys, table_bytes)):
-        shared = context.broadcast((build([keys[i] for i in lot]), [same[distinct[keys[i]]] for i in lot]))
+        given = [same[distinct[keys[i]]] for i in lot]
+        starts = np.append(0, np.cumsum([len(g) for g in given]))
+        flat = np.array([i for g in given for i in g], np.int32)
+        shared = context.broadcast((build([keys[i] for i in lot]), starts, flat))
 
         names.append(f"_hits{n}")
         found = found.withColumn(names[-1], _finder(shared)(F.col(text)))

@@ -53,3 +53,11 @@ def test_no_patterns(spark):
     df = spark.createDataFrame([("a",)], "t string")
     assert matching.with_hits(df, "t", []).collect()[0]["hits"] == []
     assert matching.with_hits(df, "t", ["", ""]).collect()[0]["hits"] == [0, 1]
+
+
+def test_numbers_make_a_small_automaton_in_one_lot():
+    numbers = [str(i).encode() for i in range(20_000)]
+    assert len(list(matching._lots(numbers, 2 << 20))) == 1
+    made = matching.build(numbers)
+    assert len(made.rows) == 20_001  # every number is a state, and the start
+    assert len(made.step) < 3_000
