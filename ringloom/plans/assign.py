@@ -54,17 +54,20 @@ def build_assignments(
     texture_mode: str = "shared",
     ring: Ring | None = None,
     keep: tuple[str, ...] = (),
+    checked: bool = False,
 ) -> Assignments:
     """Assign ``sources(source, rel)`` to ``targets(target, rel)``.
 
     With a ring and a catalogue of broadcast size the targets are read once and never
     shuffled. ``keep`` names further target columns to carry along. The bounds of broadcasts are
-    those of the ring and of the catalogue (``max_broadcast_bytes`` of either).
+    those of the ring and of the catalogue (``max_broadcast_bytes`` of either). ``checked`` says that
+    there are targets, which is not looked for again.
     """
     ring = ring or prepare_ring(sources, seed)
     if ring.sources.rows == 0:
         raise ValueError("No overlay images found")
-    require_rows(targets, "texture images")
+    if not checked:
+        require_rows(targets, "texture images")
     kinds = ["target", "rel", "overlay", "is_entity", "entity_id", "texture", "tex_w", "tex_h", "display", *keep]
     if catalogue is None:
         placed = assign_targets(targets, ring, seed)

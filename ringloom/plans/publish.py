@@ -95,7 +95,7 @@ def stage_inputs(
     ``listings`` are those of the sources' and the targets' folder, if they were made before. Files
     whose names Spark's sources pass over are copied to the staging folder and read there.
 
-    Targets are written partitioned by the way they will be drawn (one patch, several frames,
+    Targets are decoded to the staging folder and written there again partitioned by the way they will be drawn (one patch, several frames,
     regions), so that each compositing plan reads only its own pixels.
     """
     overlays, textures = listings or [store.list_tree(spark, d) for d in (params.overlay_dir, params.texture_dir)]
@@ -112,11 +112,16 @@ def stage_inputs(
     rasters = files.read_rasters(spark, params.texture_dir, shown[1]).withColumnRenamed("path", "target")
     if done is not None:
         rasters = rasters.join(sizing.broadcast_if_small(done), "rel", "left_anti")
-        if rasters.isEmpty():
+    # Files are opened once: what was decoded is counted and assigned from the staging folder.
+    rasters.write.parquet(f"{staging}/decoded")
+    rasters = spark.read.parquet(f"{staging}/decoded")
+    if rasters.isEmpty():
+        if done is not None:
             return None
+        raise ValueError("No texture images found")
     built = build_assignments(
         listed, rasters, catalogue, params.seed, params.entity_face_mode, params.entity_texture_mode, ring,
-        keep=("w", "h", "data"),
+        keep=("w", "h", "data"), checked=True,
     )
     sidecars = files.read_sidecars(spark, params.texture_dir, shown[1]).select(
         F.regexp_replace("path", f"\\{files.SIDECAR}$", "").alias("target"), "has_anim"

@@ -183,6 +183,12 @@ class FileWriter(DataSourceWriter):
         self.store.remove()
 
 
+def tasks_of(spark: SparkSession) -> int:
+    """Tasks among which files are dealt by name: a number that is given is not coalesced, however
+    few bytes the names have."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def write_files(files: DataFrame, root: str, origin: str | None = None) -> None:
     """Write ``files`` (rel, content) or (rel, content, source) below ``root``, replacing files.
 
@@ -212,7 +218,7 @@ def write_files(files: DataFrame, root: str, origin: str | None = None) -> None:
                         store.move(f"{pending}/{rel}", rel.partition("/")[2])
                     yield pd.DataFrame({"n": [len(batch)]})
 
-            written = list_tree(spark, staging, tasks).select("rel").repartition("rel")
+            written = list_tree(spark, staging, tasks).select("rel").repartition(tasks_of(spark), "rel")
             written.mapInPandas(place, "n long").agg(F.sum("n")).collect()
     finally:
         store.remove(pending)

@@ -309,3 +309,12 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
     assert found == {r[0]: r[1] for r in good} | {"d/a.txt": b"", "e/big.bin": (tmp_path / "big.bin").read_bytes()}
     store.write_files(spark.createDataFrame([], store.FILE_COLUMNS), str(root))
     assert not any(p.name.startswith(".") for p in root.iterdir())
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Spark would take some thirty small files to a task."""
+    for i in range(600):
+        (tmp_path / f"n{i}.txt").write_bytes(b"x")
+    found = files.read_other_files(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert found.count() == 600
