@@ -7,7 +7,8 @@ that occur. All patterns share a minimum length ``k``; a first equi-join on the
 probed again. Lengths are then probed longest first, each probe a map-side join against the
 same broadcast table, which must fit once for each. Only texts with very many candidate
 lengths, or a pattern table too large to broadcast, are expanded and reduced to their longest
-match instead.
+match instead; then only the lengths per cut are broadcast, if they fit, and nothing that Spark
+merely estimates to be small.
 """
 
 from __future__ import annotations
@@ -69,24 +70,22 @@ def longest_affix(
     if shortest is None:
         return texts.select("*", *[F.lit(None).cast(t).alias(n) for n, t in patterns.dtypes])
 
-    def hinted(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df
-
     stem = F.lit(shortest)
     lengths = rows.groupBy(cut(F.col(pattern), stem).alias("_stem")).agg(
         # Distinct lengths, so bounded by the longest pattern.
         F.sort_array(F.collect_set(F.length(pattern)), asc=False).alias("_lengths")
     )
-    if most > MAX_PROBES:
-        # Many lengths overall may still be few per cut.
-        most = lengths.agg(F.max(F.size("_lengths"))).first()[0]
+    stems_small = small
+    if most > MAX_PROBES or not small:
+        # Many lengths overall may still be few per cut, many patterns may have few cuts.
+        stems = sizing.size_row(lengths, F.max(F.size("_lengths")).alias("most")).first()
+        stems_small = small or sizing.Size(stems["n"], stems["b"]).fits(max_broadcast_bytes, copies=2)
+        most = stems["most"]
     probes = min(most, MAX_PROBES) if small else 1
     own = list(texts.columns)
-    table = hinted(
-        rows.select(F.col(pattern).alias("_cut"), F.struct(pattern, *payload).alias("_row"))
-    )
+    table = rows.select(F.col(pattern).alias("_cut"), F.struct(pattern, *payload).alias("_row"))
     probe = texts.withColumn("_stem", F.when(F.length(text) >= stem, cut(F.col(text), stem)))
-    probe = sizing.join_left(probe, lengths, "_stem", small).drop("_stem")
+    probe = sizing.join_left(probe, lengths, "_stem", stems_small).drop("_stem")
 
     def finished(df: DataFrame) -> DataFrame:
         return df.select(*own, *[F.col(f"_best.{c}").alias(c) for c in (pattern, *payload)])
@@ -106,8 +105,8 @@ def longest_affix(
         several.select(key, text, F.explode("_lengths").alias("_n"))
         .filter(F.length(text) >= F.col("_n"))
         .select(key, "_n", cut(F.col(text), F.col("_n")).alias("_cut"))
-        .join(table, "_cut")
+        .join(sizing.hinted(table, small), "_cut")
         .groupBy(key)
         .agg(F.max_by("_row", "_n").alias("_best"))
     )
-    return finished(few).unionByName(finished(several.join(hits, key, "left")))
+    return finished(few).unionByName(finished(several.join(sizing.hinted(hits, False), key, "left")))

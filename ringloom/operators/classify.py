@@ -26,11 +26,12 @@ def classify_targets(
         .select("_norm", "_o.texture", "_o.entity_id")
     )
     probe = targets.withColumn("_path", normalise(F.col("target")))
-    known = (None, None)
+    known, bound = (None, None), None
     if profile:
+        bound = profile.max_broadcast_bytes
         lengths = profile.texture_lengths
         known = profile.fits("textures", copies=joins_of(lengths[1])), lengths
-    matched = longest_affix(probe, "_path", patterns, "_norm", "suffix", "target", *known)
+    matched = longest_affix(probe, "_path", patterns, "_norm", "suffix", "target", *known, bound)
     return matched.drop("_path", "_norm").withColumn("is_entity", F.col("entity_id").isNotNull())
 
 

@@ -136,9 +136,8 @@ def look_up(keys: DataFrame, ring: Ring, pos: str = "pos", out: str = "overlay")
         f"explode(sequence(shiftright(lo, {shift}), shiftright(hi, {shift}))) AS bucket",
     )
     probe = keys.selectExpr("*", f"shiftright({pos}, {shift}) AS bucket")
-    if ring.broadcastable:
-        arcs = F.broadcast(arcs)
-    else:
+    arcs = sizing.hinted(arcs, ring.broadcastable)
+    if not ring.broadcastable:
         row = ", ".join(f"`{c}`" for c, kind in keys.dtypes if kind != "binary")
         alone = f"-1L - pmod(xxhash64({row}), {MASK32}L)"
         probe = keys.selectExpr("*", f"coalesce(shiftright({pos}, {shift}), {alone}) AS bucket")

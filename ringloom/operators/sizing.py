@@ -76,8 +76,18 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     return F.broadcast(df) if measure(df).fits(max_bytes) else df
 
 
+def hinted(df: DataFrame, small: bool) -> DataFrame:
+    """``df`` broadcast if it is ``small``, else in a sorted merge, which spills.
+
+    Without a hint Spark would still broadcast a side that its own estimate, made before joins and
+    aggregates have run, takes for small; that side grows with the data.
+    """
+    return F.broadcast(df) if small else df.hint("merge")
+
+
 def join_left(df: DataFrame, other: DataFrame, key: str, small: bool) -> DataFrame:
-    """Left equi-join on the string column ``key``; ``other`` is broadcast if it is ``small``.
+    """Left equi-join on the string column ``key``; ``other`` is broadcast if it is ``small``, else
+    never, whatever Spark estimates.
 
     In a shuffle all rows without a key would meet in one task. They get keys of their own
     instead, which begin with a character that no path or name has.
@@ -87,7 +97,7 @@ def join_left(df: DataFrame, other: DataFrame, key: str, small: bool) -> DataFra
     row = [F.col(f"`{c}`") for c, kind in df.dtypes if kind != "binary"]
     alone = F.concat(F.lit("\0"), F.xxhash64(*row).cast("string"))
     spread = df.withColumn("_spread", F.coalesce(key, alone))
-    return spread.join(other.withColumnRenamed(key, "_spread"), "_spread", "left").drop("_spread")
+    return spread.join(hinted(other.withColumnRenamed(key, "_spread"), False), "_spread", "left").drop("_spread")
 
 
 def salt_hot_keys(

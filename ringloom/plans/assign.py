@@ -17,7 +17,7 @@ from ringloom.operators.assign import (
     primary_overlays,
     target_position,
 )
-from ringloom.operators.catalog import Catalogue, hinted, texture_owners
+from ringloom.operators.catalog import Catalogue, texture_owners
 from ringloom.operators.classify import classify_targets
 from ringloom.operators.ring import Ring, look_up, prepare_ring
 from ringloom.operators.search import PRIORITY_PATTERNS, of_kind, priority_top, text_filter
@@ -37,7 +37,7 @@ class Assignments:
     def target_faces(self) -> DataFrame:
         """``(target, entity_id, region_ord, region, overlay)`` for entity targets."""
         owners = self.targets.filter("is_entity").select("target", "texture")
-        return owners.join(hinted(self.faces, self.faces_fit()), "texture").drop("texture")
+        return owners.join(sizing.hinted(self.faces, self.faces_fit()), "texture").drop("texture")
 
 
 def require_rows(df: DataFrame, what: str) -> None:

@@ -186,6 +186,19 @@ def test_patterns_that_fit_once_but_not_for_each_probe_are_not_broadcast(spark,
     assert "strategy=broadcast" not in plan(60)
 
 
+def test_spark_broadcasts_no_patterns_of_its_own_accord(spark, sources):
+    p = spark.range(3000).selectExpr("concat('x', id) AS pat", "id AS val")
+    t = spark.range(3000).selectExpr("id AS i", "concat('a/x', id) AS txt")
+    found = longest_affix(t, "txt", p, "pat", "suffix", "i", False, max_broadcast_bytes=0)
+    assert found.where("val = i").count() == 3000
+    rows = found.where("val >= 0")
+    rows.collect()
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    _, df = sources
+    placed = assign_targets(t.withColumnRenamed("txt", "rel"), prepare_ring(df, 4, max_broadcast_bytes=0), 4)
+    assert "hint=(strategy=merge)" in placed._jdf.queryExecution().optimizedPlan().toString() or "SortMergeJoin" in placed._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_no_patterns(spark):
     t = spark.createDataFrame([(1, "x")], "i int, txt string")
     none = spark.createDataFrame([("", 1)], "pat string, val int")
