@@ -231,17 +231,22 @@ def _set(bitmap: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return (bitmap[bucket >> 6] >> (bucket & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def _safe(words: np.ndarray, k: int, bits: int, parts: np.ndarray) -> np.ndarray:
-    """Positions at which ``k`` words stand whose both parts of k-1 words may be frequent."""
-    n = len(words) - k + 1
+def _runs(alive: np.ndarray, k: int) -> np.ndarray:
+    """Positions from which ``k`` follow each other that are ``alive``."""
+    n = len(alive) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    alive = words != 0
     whole = alive[:n].copy()
     for j in range(1, k):
         whole &= alive[j : j + n]
-    at = np.flatnonzero(whole)
-    for shift in (0, 1):
+    return np.flatnonzero(whole)
+
+
+def _safe(numbers: np.ndarray, codes: np.ndarray, words: np.ndarray, k: int, bits: int, single: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Positions at which ``k`` words stand, each of which (``single``) and both parts of k-1 words of which
+    (``parts``) may be frequent. Words are looked up once a shard, parts only where all words pass."""
+    at = _runs(((numbers != 0) & _set(single, _buckets(numbers, np.arange(len(numbers)), 1, bits)))[codes], k)
+    for shift in (0, 1) if k > 2 else ():
         at = at[_set(parts, _buckets(words, at + shift, k - 1, bits))]
     return at
 
@@ -254,21 +259,22 @@ def _array_of(phrases: np.ndarray) -> pa.Array:
 _PAGES = "page int, places binary, hits binary"
 
 
-def frequent_buckets(numbered: DataFrame, k: int, least: int, bits: int, parts) -> np.ndarray:
+def frequent_buckets(numbered: DataFrame, k: int, least: int, bits: int, single, parts) -> np.ndarray:
     """Bitmap of buckets hit at least ``least`` times by safe phrases of ``k`` words."""
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for numbers, codes in _shards_of(batch):
                 words = numbers[codes]
-                bucket = _buckets(words, _safe(words, k, bits, parts.value), k, bits)
+                at = _safe(numbers, codes, words, k, bits, single.value, parts.value)
+                bucket = _buckets(words, at, k, bits)
                 if len(bucket):
                     yield _paged(np.sort(bucket), _page_bits(bits))
 
     return _bitmap(_masks(numbered.mapInArrow(hit, _PAGES), least, bits), bits)
 
 
-def candidates(numbered: DataFrame, k: int, bits: int, parts, often) -> DataFrame:
+def candidates(numbered: DataFrame, k: int, bits: int, single, parts, often) -> DataFrame:
     """(phrase): safe phrases of ``k`` words in buckets that are hit often, once each.
 
     A shard's phrases travel as one row for each page of the bitmap.
@@ -279,7 +285,7 @@ def candidates(numbered: DataFrame, k: int, bits: int, parts, often) -> DataFram
         for batch in batches:
             for numbers, codes in _shards_of(batch):
                 words = numbers[codes]
-                at = _safe(words, k, bits, parts.value)
+                at = _safe(numbers, codes, words, k, bits, single.value, parts.value)
                 bucket = _buckets(words, at, k, bits)
                 kept = _set(often.value, bucket)
                 at, page = at[kept], bucket[kept] >> page_bits
@@ -356,19 +362,17 @@ class Trie:
         """Occurrences of each phrase in the words ``numbers[codes]``.
 
         The states of all positions advance together, symbol by symbol; a position whose state has
-        no child leaves.
+        no child leaves. Only positions of words that are all in phrases begin.
         """
         place = np.searchsorted(self.numbers, numbers)
         place[place == len(self.numbers)] = 0
         known = self.numbers[place] == numbers
-        digits = [np.where(known, d + 1, 0)[codes] for d in np.divmod(place, RADIX)]
-        at = np.flatnonzero(digits[0])
+        digits = [np.where(known, d + 1, 0) for d in np.divmod(place, RADIX)]
+        at = _runs(known[codes], self.phrases.shape[1])
         state = np.zeros(len(at), np.int64)
         for depth in range(self.phrases.shape[1]):
-            inside = at + depth < len(codes)
-            at, state = at[inside], state[inside]
             for digit in digits:
-                symbol = digit[at + depth]
+                symbol = digit[codes[at + depth]]
                 onward = self.base[state] + symbol
                 good = (symbol > 0) & (self.check[onward] == state)
                 at, state = at[good], onward[good]
@@ -569,10 +573,10 @@ def frequent_phrases(
         n = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
         bits = min(MOST_BITS, max(LEAST_BITS, (n // WORDS_PER_BUCKET).bit_length()))
     counts = vocabulary.select(F.array("id").alias("phrase"), "f")
-    parts = spark.sparkContext.broadcast(bitmap_of(counts, 1, bits))
+    single = parts = spark.sparkContext.broadcast(bitmap_of(counts, 1, bits))
     for k in range(2, longest + 1):
-        often = spark.sparkContext.broadcast(frequent_buckets(numbered, k, least, bits, parts))
-        tried = cut_lineage(candidates(numbered, k, bits, parts, often))
+        often = spark.sparkContext.broadcast(frequent_buckets(numbered, k, least, bits, single, parts))
+        tried = cut_lineage(candidates(numbered, k, bits, single, parts, often))
         level = cut_lineage(count_phrases(numbered, tried, least, round_phrases))
         counts = counts.unionByName(level)
         if k < longest:

@@ -126,3 +126,18 @@ def test_scores_pass_64_bits(spark):
     big = [(10**15, 9 * 10**17, 10**16, 10**15), (7, 3, 2, 5)]
     df = spark.createDataFrame(big, "a long, n long, l long, r long")
     assert [r[0] for r in df.select(co._score("a", "n", "l", "r")).collect()] == [1000 * a * n // (l * r) for a, n, l, r in big]
+
+
+def test_rare_words_are_looked_up_once_a_shard_not_at_each_place(monkeypatch):
+    numbers = np.zeros(1 << 16, np.int64)
+    numbers[:50] = np.arange(1, 51)
+    codes = np.tile(np.arange(50, dtype=np.uint16), 4000)
+    hashed = []
+    buckets = co._buckets
+    monkeypatch.setattr(co, "_buckets", lambda words, at, k, bits: hashed.append(len(at)) or buckets(words, at, k, bits))
+    none, all_ = np.zeros(1 << 14, np.uint64), np.full(1 << 14, ~np.uint64(0))
+    for k in (2, 3):
+        assert len(co._safe(numbers, codes, numbers[codes], k, 20, none, all_)) == 0
+        assert sum(hashed) <= len(numbers)
+        hashed.clear()
+    assert len(co._safe(numbers, codes, numbers[codes], 2, 20, all_, all_)) == len(codes) - 1
