@@ -46,6 +46,7 @@ ROUND_PHRASES = 1 << 18  # in one trie
 LEAST_BITS, MOST_BITS = 20, 27  # of a bitmap, as powers of two
 WORDS_PER_BUCKET = 8
 TOP_SALTS = 64
+BROADCAST_BYTES = 16 << 20  # as measured; the driver holds such a table several times while it sends it
 RADIX = 512
 BLOCK = 4096  # phrases whose counts travel in one row
 FIRST_SALT = 0
@@ -382,50 +383,62 @@ class Trie:
 def build_trie(phrases: np.ndarray) -> Trie:
     """Double array of distinct phrases of one length, without a loop over its nodes.
 
-    Depth by depth, the nodes still without a base try one each, drawn from a fixed seed. A node
-    keeps it if all its children's slots are free and no other node that tries wants one of them;
-    nodes with more children win. The array grows while few succeed.
+    Depth by depth, the nodes of several children that are still without a base try one each, drawn
+    from a fixed seed, in room of twice their children. A node keeps it if no other node that tries
+    wants one of its children's slots; nodes with more children win. While few succeed, those that
+    are left move on to new room. Nodes of one child take the next free slot each, wherever it is.
+    So slots stay a few times the edges, and what a driver and a task hold is bounded by a round.
     """
     phrases = phrases[np.lexsort(phrases.T[::-1])]
     numbers, place = np.unique(phrases, return_inverse=True)
-    high, low = np.divmod(place.reshape(phrases.shape).astype(np.int64), RADIX)
-    symbols = np.stack([high, low], axis=2).reshape(len(phrases), -1) + 1
+    digits = np.divmod(place.reshape(phrases.shape).astype(np.int32), np.int32(RADIX))
+    symbols = np.stack(digits, axis=2).reshape(len(phrases), -1) + np.int32(1)
     n, top = len(phrases), int(symbols.max()) + 1
     draw = np.random.default_rng(0)
-    size = 2 * symbols.size + 2 * top
-    base, check = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+    base, check = np.zeros(top, np.int32), np.full(top, -1, np.int32)
     check[0] = 0  # taken: the root is nobody's child
-    node = np.zeros(n, np.int64)  # state of each phrase's prefix
+    node = np.zeros(n, np.int32)  # state of each phrase's prefix
     for symbol in symbols.T:
         first = np.ones(n, bool)
         first[1:] = (node[1:] != node[:-1]) | (symbol[1:] != symbol[:-1])
         parent, child = node[first], symbol[first]
         new = np.append(True, parent[1:] != parent[:-1])
-        owner, group = parent[new], np.cumsum(new) - 1
-        width = np.bincount(group)
-        waiting = np.ones(len(owner), bool)
+        owner, group = parent[new], np.cumsum(new, dtype=np.int32) - 1
+        width = np.bincount(group).astype(np.int32)
+        waiting, few = width > 1, True
         while waiting.any():
-            tries = draw.integers(0, len(check) - top, len(owner))
-            edge = waiting[group]
+            if few:
+                room = len(check)
+                base, check = _longer(base, check, 2 * int(width[waiting].sum()) + 2 * top)
+            tries = draw.integers(room, len(check) - top, len(owner), np.int32)
+            edge = np.flatnonzero(waiting[group])
             who = group[edge]
             slot = tries[who] + child[edge]
-            claim = np.full(len(check), -1, np.int64)
+            claim = np.full(len(check) - room, -1, np.int32)
             order = np.lexsort((-who, width[who]))  # the last to write has the most children
-            claim[slot[order]] = who[order]
+            claim[slot[order] - room] = who[order]
             won = waiting.copy()
-            won[who[(check[slot] >= 0) | (claim[slot] != who)]] = False
+            won[who[(check[slot] >= 0) | (claim[slot - room] != who)]] = False
             mine = won[who]
             base[owner[won]] = tries[won]
             check[slot[mine]] = owner[who[mine]]
             few = won.sum() * 4 < waiting.sum()
             waiting &= ~won
-            if few:
-                more = max(4 * top, len(check) // 2)
-                base, check = np.pad(base, (0, more)), np.pad(check, (0, more), constant_values=-1)
+        alone = np.flatnonzero((width == 1)[group])
+        free = np.flatnonzero(check[top : len(check) - top] < 0)[: len(alone)] + top
+        if len(free) < len(alone):
+            base, check = _longer(base, check, len(alone) + top)
+            free = np.flatnonzero(check[top : len(check) - top] < 0)[: len(alone)] + top
+        base[parent[alone]] = free - child[alone]
+        check[free] = parent[alone]
         node = (base[parent] + child)[np.cumsum(first) - 1]
     accepts = np.full(len(check), -1, np.int32)
     accepts[node] = np.arange(n)
-    return Trie(numbers, base.astype(np.int32), check.astype(np.int32), accepts, phrases)
+    return Trie(numbers, base, check, accepts, phrases)
+
+
+def _longer(base: np.ndarray, check: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.append(base, np.zeros(more, np.int32)), np.append(check, np.full(more, -1, np.int32))
 
 
 def count_phrases(numbered: DataFrame, phrases: DataFrame, least: int, round_phrases: int) -> DataFrame:
@@ -503,7 +516,7 @@ def _score(a: pd.Series, n: pd.Series, l: pd.Series, r: pd.Series) -> pd.Series:
 
 def _lowest_cut(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds l, r and score of each phrase's lowest-scoring cut."""
-    sides = sizing.broadcast_if_small(counts)
+    sides = sizing.broadcast_if_small(counts, BROADCAST_BYTES)
     cuts = phrases.select("phrase", "a", "n", F.explode(F.sequence(F.lit(1), F.size("phrase") - 1)).alias("k"))
     cut = (
         cuts.withColumn("_left", F.expr("slice(phrase, 1, k)"))
@@ -530,7 +543,7 @@ def _covered(phrases: DataFrame, share: int) -> DataFrame:
 def _said(phrases: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(phrase, lang, text) with the words of each phrase."""
     words = phrases.select("phrase", F.posexplode("phrase").alias("at", "id"))
-    named = words.join(sizing.broadcast_if_small(vocabulary.select("id", "lang", "word")), "id")
+    named = words.join(sizing.broadcast_if_small(vocabulary.select("id", "lang", "word"), BROADCAST_BYTES), "id")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("w")))), lambda p: p["w"])
     return named.groupBy("phrase").agg(F.first("lang").alias("lang"), F.array_join(in_order, " ").alias("text"))
 

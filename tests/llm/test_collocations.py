@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -122,6 +123,22 @@ def test_trie_of_wide_states_stays_small():
     assert len(trie.check) < 40 * len(phrases)
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_trie_of_a_full_round_is_small_to_build_and_to_send(k):
+    """Common words go on to many others, rare ones to few: what the driver holds is bounded all the same."""
+    draw = np.random.default_rng(k)
+    words = draw.permutation(np.unique(draw.integers(1, 2**60, 60_000)))
+    phrases = np.unique(words[(len(words) * draw.random((150_000, k)) ** 3).astype(int)], axis=0)
+    tracemalloc.start()
+    trie = co.build_trie(phrases)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(trie.check) < 3 * 2 * phrases.size  # two symbols a word
+    assert peak < 150 * phrases.size  # bytes, 8 of them the word's number
+    assert {a.dtype for a in (trie.base, trie.check, trie.accepts)} == {np.dtype(np.int32)}
+    assert (trie.count(trie.phrases.ravel(), np.arange(phrases.size)) > 0).all()
+
+
 def test_scores_pass_64_bits(spark):
     big = [(10**15, 9 * 10**17, 10**16, 10**15), (7, 3, 2, 5)]
     df = spark.createDataFrame(big, "a long, n long, l long, r long")
