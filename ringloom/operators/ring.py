@@ -112,7 +112,8 @@ def prepare_ring(
     """
     found = sizing.size_row(sources.select("source"), F.min("source").alias("first")).first()
     size = sizing.Size(found["n"], found["b"], found["w"])
-    small = size.fits(max_broadcast_bytes)
+    # What is broadcast has three numbers beside the source, and about two rows for each.
+    small = size.widened(24).fits(max_broadcast_bytes, copies=2)
     layout = _adjacent if small else _adjacent_by_segment
     bits = (max(size.rows // rings, 2) - 1).bit_length()
     return Ring(layout(build_ring(sources, seed, by), by), by, min(bits, MAX_BUCKET_BITS), small, size, found["first"])

@@ -33,6 +33,7 @@ from ringloom.operators.rows import map_rows, map_rows_many
 PARAMETERS = ["scale", "alpha", "overlay_scale", "keep_aspect", "fast_overlay_size"]
 PATCHES_PER_SALT = 20_000
 DRAWN_BYTES = 64 << 20
+SOURCE_BYTES = 256  # what a broadcast source takes beside its pixels
 RASTERS = "target string, w int, h int, data binary"
 DRAWN = "target string, ord bigint, xs int, ys int, ws int, hs int, alpha double, pixels binary"
 BAND_BYTES = 16 << 20
@@ -122,9 +123,10 @@ def source_versions(patches: DataFrame, sources: DataFrame, keep_aspect: bool) -
 
 
 def _source_bytes(sources: DataFrame, sizes: DataFrame) -> int:
-    """Upper bound of all versions' pixel bytes: every source raw and at every size in use."""
+    """Upper bound of all versions' bytes: every source raw and at every size in use."""
     raw = sources.agg(F.coalesce(F.sum(F.col("w").cast("bigint") * F.col("h") * 4), F.lit(0)), F.count(F.lit(1))).first()
-    fixed = sizes.agg(F.coalesce(F.sum(F.col("size").cast("bigint") * F.col("size") * 4), F.lit(0))).first()[0]
+    of_size = F.col("size").cast("bigint") * F.col("size") * 4 + SOURCE_BYTES
+    fixed = sizes.agg(F.coalesce(F.sum(of_size), F.lit(0))).first()[0]
     return raw[0] + raw[1] * fixed
 
 
@@ -192,7 +194,7 @@ def map_patches(
     versions = source_versions(patches, sources, keep_aspect)
     bound = _source_bytes(sources, sized.select("size").distinct())
     if bound <= (sizing.BROADCAST_MAX_BYTES if max_broadcast_bytes is None else max_broadcast_bytes):
-        rows = versions.collect()  # at most ``bound`` bytes of pixels
+        rows = versions.collect()  # at most ``bound`` bytes
         shared = patches.sparkSession.sparkContext.broadcast(
             {(r["overlay"], r["size"]): (r["sw"], r["sh"], bytes(r["sdata"])) for r in rows}
         )

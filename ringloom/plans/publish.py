@@ -93,7 +93,7 @@ def stage_inputs(
     Targets whose ``rel`` is ``done`` are left out before any work; None if no other is left.
 
     ``listings`` are those of the sources' and the targets' folder, if they were made before. Files
-    whose names Spark's sources pass over are copied to the staging folder and read there.
+    whose names Spark's sources pass over are read too, by way of the staging folder where Spark decodes them.
 
     Targets are decoded to the staging folder and written there again partitioned by the way they will be drawn (one patch, several frames,
     regions), so that each compositing plan reads only its own pixels.
@@ -105,11 +105,11 @@ def stage_inputs(
     ]
     listed = files.images_of(overlays).select(F.col("path").alias("source"), "rel")
     ring = prepare_ring(listed, params.seed)
-    sources = files.read_rasters(spark, params.overlay_dir, shown[0])
+    sources = files.read_rasters(spark, params.overlay_dir, shown[0], overlays)
     sources.select("path", "w", "h", "data").write.parquet(f"{staging}/sources")
 
     catalogue = load_catalogue(spark, params.entity_regions)
-    rasters = files.read_rasters(spark, params.texture_dir, shown[1]).withColumnRenamed("path", "target")
+    rasters = files.read_rasters(spark, params.texture_dir, shown[1], textures).withColumnRenamed("path", "target")
     if done is not None:
         rasters = rasters.join(sizing.broadcast_if_small(done), "rel", "left_anti")
     # Files are opened once: what was decoded is counted and assigned from the staging folder.
@@ -123,7 +123,7 @@ def stage_inputs(
         listed, rasters, catalogue, params.seed, params.entity_face_mode, params.entity_texture_mode, ring,
         keep=("w", "h", "data"), checked=True,
     )
-    sidecars = files.read_sidecars(spark, params.texture_dir, shown[1]).select(
+    sidecars = files.read_sidecars(spark, params.texture_dir, shown[1], textures).select(
         F.regexp_replace("path", f"\\{files.SIDECAR}$", "").alias("target"), "has_anim"
     )
     resolved = resolve_parameters(built.targets, load_rules(spark, params.path_config), params.blend_defaults())

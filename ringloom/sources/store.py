@@ -14,19 +14,17 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ringloom.functions.paths import plain_root
 from ringloom.operators.lineage import cut_lineage
 
 COPY_BYTES = 8 << 20
 PENDING = ".pending-"  # names that begin with a dot are nobody's files
-_WINNERS = "tasks"
 FILE_COLUMNS = "rel string, content binary, source string"
-_SINK_COLUMNS = f"{FILE_COLUMNS}, more boolean"
 
 
 @dataclass(frozen=True)
@@ -70,9 +68,9 @@ class Store:
         self._at[0].create_dir(path.rpartition("/")[0], recursive=True)
         return self._at[0].open_output_stream(path)
 
-    def write(self, rel: str, body: bytes) -> None:
-        with self.create(rel) as out:
-            out.write(body)
+    def make(self) -> None:
+        """The folder itself, if it is not there."""
+        self._at[0].create_dir(self._path(""), recursive=True)
 
     def copy(self, rel: str, source: Store, name: str) -> None:
         """A file of another store, in pieces."""
@@ -128,59 +126,37 @@ def list_tree(spark: SparkSession, root: str, below: tuple[str, ...] = ("",)) ->
 # Writing ----------------------------------------------------------------------------------
 
 
-@dataclass
-class TaskDone(WriterCommitMessage):
-    folder: str
+def _write(store: Store, origin: Store):
+    """Writes rows ``(rel, content, source, more)``, one file each, to a folder of a task attempt's own, whose
+    name is what it returns.
 
-
-class FileSink(DataSource):
-    """Spark sink of files: rows ``(rel, content, source, more)``, one file each.
-
-    ``content`` is written; where it is null the file at ``source`` (below the option ``from``) is
-    copied in pieces. A row with ``more`` goes on with the file of the row before it. Every task attempt writes to a folder of its own below ``path``. The commit
-    names the attempts that count; a failed job leaves nothing.
+    ``content`` is written; where it is null the file at ``source`` below ``origin`` is copied in pieces.
+    A row with ``more`` goes on with the file of the row before it.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "ringloom_files"
-
-    def schema(self) -> str:
-        return _SINK_COLUMNS
-
-    def writer(self, schema, overwrite: bool) -> FileWriter:
-        return FileWriter(Store(self.options["path"]), Store(self.options.get("from", self.options["path"])))
-
-
-class FileWriter(DataSourceWriter):
-    def __init__(self, store: Store, origin: Store):
-        self.store, self.origin = store, origin
-
-    def write(self, iterator: Iterator[Row]) -> TaskDone:
-        folder, out = uuid.uuid4().hex, None
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, out, written = uuid.uuid4().hex, None, False
         try:
-            for row in iterator:
-                if not row["more"]:
-                    out = out and out.close()
-                    name = f"{folder}/{row['rel']}"
-                    if row["content"] is None:
-                        self.store.copy(name, self.origin, row["source"])
-                        continue
-                    out = self.store.create(name)
-                out.write(bytes(row["content"]))
+            for batch in batches:
+                for rel, content, source, more in zip(*batch.columns, strict=True):
+                    written = True
+                    if not more.as_py():
+                        out = out and out.close()
+                        name = f"{folder}/{rel.as_py()}"
+                        if not content.is_valid:
+                            store.copy(name, origin, source.as_py())
+                            continue
+                        out = store.create(name)
+                    out.write(content.as_buffer())
             if out:
                 out.close()
         except BaseException:
-            self.store.remove(folder)
+            store.remove(folder)
             raise
-        return TaskDone(folder)
-
-    def commit(self, messages: list[TaskDone | None]) -> None:
-        done = [m.folder for m in messages if m is not None and self.store.exists(m.folder)]
-        self.store.write(_WINNERS, "\n".join(done).encode())
+        if written:
+            yield pa.record_batch({"folder": [folder]})
 
-    def abort(self, messages: list[TaskDone | None]) -> None:
-        self.store.remove()
+    return write
 
 
 def tasks_of(spark: SparkSession) -> int:
@@ -205,11 +181,12 @@ def write_files(files: DataFrame, root: str, origin: str | None = None) -> None:
         files = files.withColumn("more", F.lit(False))
     pending = f"{PENDING}{uuid.uuid4().hex}"
     staging, store = f"{root.rstrip('/')}/{pending}", Store(root)
-    spark.dataSource.register(FileSink)
-    sink = files.select("rel", "content", "source", "more").write.format(FileSink.name()).mode("append")
+    rows = files.select("rel", "content", "source", "more")
     try:
-        sink.option("path", staging).option("from", origin or root).save()
-        tasks = tuple(Store(staging).read(_WINNERS).decode().split())
+        # Of the attempts of a task only the one that counts is in the result.
+        done = rows.mapInArrow(_write(Store(staging), Store(origin or root)), "folder string").collect()
+        tasks = tuple(r["folder"] for r in done)
+        store.make()
         if tasks:
 
             def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,11 +218,14 @@ def reveal(spark: SparkSession, root: str, listing: DataFrame, folder: str) -> s
     hidden = listing.where(passed_over(F.col("rel")))
     if hidden.isEmpty():
         return None
-    shown = F.concat(F.lit("v"), F.replace("rel", F.lit("/"), F.lit("/v")))
-    copies = hidden.select(shown.alias("rel"), F.lit(None).cast("binary").alias("content"), F.col("rel").alias("source"))
+    copies = hidden.select(shown_rel(F.col("rel")).alias("rel"), F.lit(None).cast("binary").alias("content"), F.col("rel").alias("source"))
     write_files(copies, folder, root)
     return folder
 
 
+def shown_rel(rel: Column) -> Column:
+    return F.concat(F.lit("v"), F.replace(rel, F.lit("/"), F.lit("/v")))
+
+
 def revealed_rel(rel: Column) -> Column:
     return F.regexp_replace(rel, "(^|/)v", "$1")

@@ -71,8 +71,8 @@ def publish_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = f"{folder}/out/tree"
     listing = store.list_tree(spark, tree)
     shown = files.reveal(spark, tree, listing, f"{folder}/shown")
-    drawn = r.checksums(files.read_rasters(spark, tree, shown).withColumnRenamed("rel", "target").select("target", "w", "h", "data"))
-    copied = files.read_other_files(spark, tree, shown).select("rel", F.sha2("content", 256).alias("sha"))
+    drawn = r.checksums(files.read_rasters(spark, tree, shown, listing).withColumnRenamed("rel", "target").select("target", "w", "h", "data"))
+    copied = files.read_other_files(spark, tree, shown, listing).select("rel", F.sha2("content", 256).alias("sha"))
     return drawn.withColumnRenamed("target", "rel").join(copied, "rel", "full").select("rel", "w", "h", "r", "g", "b", "a", "sha")
 
 

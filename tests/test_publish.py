@@ -14,6 +14,7 @@ import pytest
 from ringloom.functions.hashing import literal_state
 from ringloom.operators import raster_kernel as kernel
 from ringloom.operators.lineage import shared_folder
+from ringloom.plans import compose
 from ringloom.plans.publish import composite_inputs, publish, stage_inputs, undecodable
 from ringloom.sources import files, store
 from ringloom.sources.params import RunParameters, read_parameters
@@ -318,3 +319,79 @@ def test_small_files_share_tasks(spark, tmp_path):
     found = files.read_other_files(spark, str(tmp_path))
     assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     assert found.count() == 600
+
+
+def shaped(kind: int, depth: int, seed: int, *chunks: bytes, woven: int = 0) -> tuple[bytes, np.ndarray]:
+    """A PNG of 9 by 7 whose scan lines have drawn filters, ``chunks`` before its pixels, and its samples."""
+    draw_, channels = np.random.default_rng(seed), {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    step = channels * depth // 8
+    values = draw_.integers(0, 2 if kind == 3 else 256, (7, 9 * step)).astype(np.uint8)
+    head = files._chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 7, depth, kind, 0, 0, woven))
+    raw = zlib.compress(filtered(values, step, draw_))
+    body = files._chunk(b"IDAT", raw[:20]) + files._chunk(b"IDAT", raw[20:]) + files._chunk(b"IEND", b"")
+    return files.PNG_SIGNATURE + head + b"".join(chunks) + body, values.reshape(7, 9, step)
+
+
+PALETTE = files._chunk(b"PLTE", bytes([10, 20, 30, 200, 100, 50]))
+
+
+def test_plain_images_are_as_spark_decodes_them(spark, tmp_path, monkeypatch):
+    made = {"rgba.png": shaped(6, 8, 1)[0], "rgb.png": shaped(2, 8, 2)[0], "said.png": shaped(6, 8, 3, files._chunk(b"tEXt", b"a\0b"))[0]}
+    other = {"gray.png": shaped(0, 8, 4)[0], "pal.png": shaped(3, 8, 5, PALETTE)[0], "deep.png": shaped(6, 16, 6)[0]}
+    for name, content in (made | other).items():
+        (tmp_path / name).write_bytes(content)
+    for content in made.values():
+        assert files.plain_raster(content) is not None
+        for bad in (content[:-1], content[:60], content[:28] + b"\1" + content[29:], content[:-20] + b"?" + content[-19:]):
+            assert files.plain_raster(bad) is None
+    for content in [*other.values(), shaped(6, 8, 7, files._chunk(b"gAMA", bytes(4)))[0], shaped(4, 8, 8)[0], b"", b"no image"]:
+        assert len(content) < 29 or files.plain_raster(content) is None
+
+    def rasters():
+        return sorted((r["rel"], r["w"], r["h"], bytes(r["data"])) for r in files.read_rasters(spark, str(tmp_path)).collect())
+
+    here = rasters()
+    monkeypatch.setattr(files, "SMALL_RASTER", 0)
+    assert here == rasters() and len(here) == 6
+
+
+def test_the_driver_lists_no_folder(spark, tmp_path, monkeypatch):
+    """Spark's file sources keep the status of each file on the driver: they are given lots of those images only
+    that need their decoder, whatever the names."""
+    root, want = tmp_path / "t", {}
+    (root / "_h/d").mkdir(parents=True)
+    for i in range(40):
+        rel = f"{['', '_h/d/', '_h/'][i % 3]}{['p', '_p'][i % 2]}{i}.png"
+        (root / rel).write_bytes(png(6, 2, 2, rgba(i, 2, 2)))
+        want[rel] = rgba(i, 2, 2).tobytes()
+    for i, name in enumerate(["a[1]", "b{x,y}", "c*", "d?", "e\\f", "g+h %41", "é", "_u", "_h/[v]", "_h/d/_w", "x"]):
+        values = np.random.default_rng(i).integers(0, 256, (3, 2))
+        (root / f"{name}.png").write_bytes(png(0, 2, 3, values))
+        want[f"{name}.png"] = np.concatenate([np.repeat(values[..., None], 3, 2), np.full((3, 2, 1), 255)], 2).astype(np.uint8).tobytes()
+    (root / "_h/p2.png.mcmeta").write_text('{"animation": {}}')
+    (root / "n.mcmeta").write_text("{}")
+    (root / "n.txt").write_text("n")
+    (root / "void.txt").write_text("")
+    given, source = [], files._image_source
+    monkeypatch.setattr(files, "LOT_FILES", 3)
+    monkeypatch.setattr(files, "_image_source", lambda spark, paths: given.append(paths) or source(spark, paths))
+    listing = store.list_tree(spark, str(root))
+    shown = files.reveal(spark, str(root), listing, str(tmp_path / "shown"))
+    assert sorted(p.name for p in (tmp_path / "shown").rglob("*.png")) == ["v[v].png", "v_u.png", "v_w.png"]
+    found = files.read_rasters(spark, str(root), shown, listing)
+    assert {r["rel"]: bytes(r["data"]) for r in found.collect()} == want
+    assert {r["path"] for r in found.collect()} == {f"{root}/{rel}" for rel in want}
+    assert len(given) >= 3 and sum(map(len, given)) == 11 and not found.inputFiles()
+    plain = {r["rel"]: bytes(r["data"]) for r in files.read_rasters(spark, str(root)).collect()}
+    assert plain == {rel: data for rel, data in want.items() if "_" not in rel}
+    others, sidecars = files.read_other_files(spark, str(root), shown), files.read_sidecars(spark, str(root), shown)
+    assert sorted(r["rel"] for r in others.collect()) == ["_h/p2.png.mcmeta", "n.mcmeta", "n.txt"]
+    assert sorted(r["rel"] for r in files.read_other_files(spark, str(root)).collect()) == ["n.mcmeta", "n.txt"]
+    assert {(r["path"], r["has_anim"]) for r in sidecars.collect()} == {(f"{root}/_h/p2.png.mcmeta", True), (f"{root}/n.mcmeta", False)}
+    assert not others.inputFiles() and not sidecars.inputFiles()
+
+
+def test_sources_are_measured_with_what_they_take_beside_their_pixels(spark):
+    sources = spark.range(100).selectExpr("CAST(id AS string) AS path", "2 AS w", "3 AS h")
+    sizes = spark.createDataFrame([(0,), (4,)], "size int")
+    assert compose._source_bytes(sources, sizes) == 100 * (24 + 2 * compose.SOURCE_BYTES + 4 * 4 * 4)

@@ -316,3 +316,13 @@ def test_rows_without_a_key_do_not_meet(spark):
         got = join_left(df, other, "k", small)
         assert set(got.columns) == {"id", "k", "v"}
         assert {(r["id"], r["v"]) for r in got.collect()} == {(i, 2 * i if i % 5 == 0 else None) for i in range(500)}
+
+
+def test_a_ring_is_measured_as_it_is_broadcast(spark):
+    """Two rows about for each source, each with three numbers beside it."""
+    df = spark.range(1000).selectExpr("concat('a source with a name, ', id) AS source", "CAST(id AS string) AS rel")
+    size = prepare_ring(df, 3).sources
+    assert not prepare_ring(df, 3, max_broadcast_bytes=size.bytes).broadcastable
+    assert prepare_ring(df, 3, max_broadcast_bytes=2 * (size.bytes + 24 * size.rows)).broadcastable
+    intervals = prepare_ring(df, 3).intervals
+    assert prepare_ring(df, 3, max_broadcast_bytes=size.bytes).intervals.exceptAll(intervals).isEmpty()
